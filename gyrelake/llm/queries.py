@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gyrelake.llm.common import read_table
+from gyrelake.llm.language import identify
 from gyrelake.llm.packing import pack
+from gyrelake.llm.pii import pii_digest
+from gyrelake.llm.quality import quality_scores
 from gyrelake.llm.token_counts import count_tokens
 
 
@@ -15,13 +18,31 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op3_token_counts": op3_token_counts, "op7_best_fit_packing": op7_best_fit_packing}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(spark, read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op3_token_counts": op3_token_counts,
+    "op6_language_id": op6_language_id,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_quality_classifier": op10_quality_classifier,
+}
 ORACLE_SQL: dict[str, str] = {}
