@@ -34,8 +34,11 @@ from gyrelake.llm.common import Scratch, TwoGenerations, groups
 
 CAPACITY, END_ID = 1024, 2
 ROUNDS, RATE = 300, 0.1
-CACHE = 250_000
-_CUTS = re.compile(r"\s*\S+|\s+\Z")
+CACHE = 400_000
+#: White space and a word of Latin letters before ASCII punctuation or white space, or else all up to
+#: the next white space.
+_CUTS = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[!-/:-@\[-`{-~\s]|\Z)|\s*\S+|\s+\Z")
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Python counts these as white space and the tokenizer's pattern does not.
 _ODD = "\x1c\x1d\x1e\x1f"
 
@@ -45,8 +48,9 @@ _loaded: dict[str, WordIds] = {}
 class WordIds:
     """Token ids, as bytes of little-endian uint32, by a byte-level BPE of the tokenizers library.
 
-    The pre-tokeniser never joins a non-space to white space after it, so a text is cut there and
-    each distinct cut is encoded once.
+    The pre-tokeniser never joins a non-space to white space after it, nor a letter to punctuation
+    after it, so a text is cut there and each distinct cut is encoded once; many words at once as
+    the lines of one text, since a line feed between them is a token of its own.
     """
 
     def __init__(self, model: str):
@@ -57,6 +61,15 @@ class WordIds:
 
         self.encode = Tokenizer.from_file(model).encode_batch_fast
         self.cache = TwoGenerations(CACHE)
+        self.line = self._ids(["\n"])[0]
+        self.lines = len(self.line) == 4 and self._ids(["ab\n cd\nef"])[0] == self.line.join(self._ids(["ab", " cd", "ef"]))
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without line feeds, encoded as one text."""
+        ids = np.frombuffer(self._ids(["\n".join(words)])[0], "<u4")
+        ends = np.append(np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0]), len(ids)).tolist()
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in ends[:-1])], ends, strict=True)]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encode(texts, add_special_tokens=False)]
@@ -64,9 +77,12 @@ class WordIds:
     def of(self, texts: list[str]) -> list[bytes]:
         cut = [None if any(c in t for c in _ODD) else _CUTS.findall(t) for t in texts]
         missing = self.cache.absent(set(itertools.chain.from_iterable(c for c in cut if c)))
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            self.cache.update(zip(part, self._ids(part), strict=True))
+        words = [c for c in missing if _WORD.fullmatch(c)] if self.lines else []
+        other = [c for c in missing if not _WORD.fullmatch(c)] if self.lines else missing
+        for cuts, encode in ((words, self._words), (other, self._ids)):
+            for at in range(0, len(cuts), 4096):
+                part = cuts[at : at + 4096]
+                self.cache.update(zip(part, encode(part), strict=True))
         return [self._ids([t])[0] if c is None else b"".join(map(self.cache.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
 
 
