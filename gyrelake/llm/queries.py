@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gyrelake.llm.common import read_table
+from gyrelake.llm.decontamination import contamination
 from gyrelake.llm.language import identify
 from gyrelake.llm.packing import pack
 from gyrelake.llm.pii import pii_digest
 from gyrelake.llm.quality import quality_scores
 from gyrelake.llm.token_counts import count_tokens
+from gyrelake.llm.topk import top_k
 
 
 def tokenizer_path(name: str) -> str:
@@ -34,6 +36,14 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark, read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(spark, read_table(spark, sf_dir, "documents"))
 
@@ -43,6 +53,24 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_exact_top_k": """
+        with rows as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(256e0 * cast(x as double)) as bigint)) as v
+            from embeddings
+            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scored as (
+            select q.vec_id as query_id, c.vec_id as vec_id,
+                cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+            from rows q join rows c on q.vec_id <> c.vec_id
+            where q.vec_id % 50 = 0
+        ), ranked as (
+            select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored
+        )
+        select query_id, rank, vec_id, score from ranked where rank <= 5
+    """,
+}
