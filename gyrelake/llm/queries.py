@@ -4,22 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from gyrelake.llm.common import read_table
 from gyrelake.llm.decontamination import contamination
+from gyrelake.llm.jaccard_join import near_duplicates
 from gyrelake.llm.language import identify
 from gyrelake.llm.packing import pack
 from gyrelake.llm.pii import pii_digest
 from gyrelake.llm.quality import quality_scores
 from gyrelake.llm.token_counts import count_tokens
+from gyrelake.llm.tokenizers_at import tokenizer_path
 from gyrelake.llm.topk import top_k
 
 
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(read_table(spark, sf_dir, "documents"))
 
@@ -28,6 +25,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark, read_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark, read_table(spark, sf_dir, "documents"))
 
@@ -51,11 +52,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_token_counts": op3_token_counts,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_quality_classifier": op10_quality_classifier,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_top_k": """
