@@ -9,6 +9,8 @@ from gyrelake.llm.common import read_table
 from gyrelake.llm.decontamination import contamination
 from gyrelake.llm.jaccard_join import near_duplicates
 from gyrelake.llm.language import identify
+from gyrelake.llm.language_model import score
+from gyrelake.llm.licenses import TEMPLATES, license_report
 from gyrelake.llm.packing import pack
 from gyrelake.llm.pii import pii_digest
 from gyrelake.llm.quality import quality_scores
@@ -21,6 +23,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -29,6 +35,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, read_table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    templates = spark.createDataFrame(TEMPLATES, "license_id string, text string")
+    return license_report(spark, read_table(spark, sf_dir, "documents"), templates)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark, read_table(spark, sf_dir, "documents"))
 
@@ -51,8 +62,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_token_counts": op3_token_counts,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_license_scan": op5_license_scan,
     "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
