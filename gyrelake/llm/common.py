@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that an operator handles at once inside an Arrow batch.
@@ -119,8 +120,6 @@ _MASK = (1 << 64) - 1
 
 def hash_word(word: bytes, seed: int = 0) -> int:
     """A stable 64-bit hash of bytes (xxh64)."""
-    import xxhash
-
     return xxhash.xxh64_intdigest(word, seed)
 
 

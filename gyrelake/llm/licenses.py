@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyrelake.llm.common import WordHashes, groups, mix
+from gyrelake.llm.common import WordHashes, groups, hash_word, mix, words_of
 
 WORDS, CONTAINED = 5, 0.8
 BANDS = 40
@@ -33,7 +33,20 @@ BLOCK_WORDS = 2_000_000
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _TOKEN = re.compile(r"[^ \t-\r]+")
 _ODD = mix(np.arange(1, BANDS + 1, dtype=np.uint64)) | np.uint64(1)
-_hashes = WordHashes()
+
+
+class Stripped(WordHashes):
+    """token -> hash of the word without marks, 0 where nothing is left."""
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        word = token.strip(_MARKS)
+        value = self[token] = (hash_word(word) or 1) if word else 0
+        return value
+
+
+_stripped = Stripped()
 
 # Short notices of common public licences.
 TEMPLATES = [
@@ -48,14 +61,8 @@ TEMPLATES = [
 ]
 
 
-def words_at(text: str) -> tuple[list[bytes], list[int]]:
-    """Words without marks, and the index of each among the white-space separated tokens."""
-    words, at = [], []
-    for i, w in enumerate(text.encode("utf-8", "surrogatepass").lower().split()):
-        if w := w.strip(_MARKS):
-            words.append(w)
-            at.append(i)
-    return words, at
+def words_of_template(text: str) -> list[bytes]:
+    return [w for t in words_of(text) if (w := t.strip(_MARKS))]
 
 
 def ordered(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -77,7 +84,7 @@ class Templates:
         self.words: list[int] = []
         self.classes: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for name, text in rows:
-            hashes = _hashes.array(words_at(text or "")[0])
+            hashes = _stripped.array(words_of_template(text or ""))
             if not len(hashes):
                 continue
             n = min(WORDS, len(hashes))
@@ -96,53 +103,83 @@ class Templates:
                     order = np.argsort(mins[:, b], kind="stable")
                     self.bands[n, size, b] = (mins[order, b], np.array(members)[order])
 
-    def matches(self, text: str) -> list[tuple[str, int, int, float]]:
-        """(name, start, end, containment) of the best window of every run of windows that holds a template."""
-        words, at = words_at(text)
-        hashes = _hashes.array(words)
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    def _retrieve(self, grams: np.ndarray, blank: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+        """(template, first position of the window) of the pairs that share a band; ``blank`` positions hold nothing."""
+        classes = self.classes[n]
+        found: set[tuple[int, int]] = set()
+        for b in range(BANDS):
+            blocks = grams * _ODD[b]
+            blocks[blank] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            size = 1
+            while True:
+                if size in classes:
+                    keys, members = self.bands[n, size, b]
+                    windows = blocks.copy()
+                    np.minimum(blocks[:-1], blocks[1:], out=windows[:-1])
+                    table = np.zeros(1 << 16, bool)
+                    table[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
+                    for w in np.flatnonzero(table[(windows & np.uint64(0xFFFF)).astype(np.int64)]).tolist():
+                        s = int(np.searchsorted(keys, windows[w]))
+                        while s < len(keys) and keys[s] == windows[w]:
+                            found.add((int(members[s]), w * size))
+                            s += 1
+                if size >= max(classes):
+                    break
+                blocks = np.minimum(blocks[0::2], blocks[1::2])
+                size *= 2
+        return iter(sorted(found))
+
+    def matches_of(self, texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
+        """(name, start, end, containment) of every place that holds a template, for each text."""
+        hashes, ats = [], []
+        for text in texts:
+            h = _stripped.array(text.encode("utf-8", "surrogatepass").lower().split())
+            at = np.flatnonzero(h)
+            hashes.append(h[at])
+            ats.append(at)
+        best: list[dict[tuple[int, int], tuple[float, int, int]]] = [{} for _ in texts]
         for n, classes in self.classes.items():
-            grams = ordered(hashes, n)
+            pad = max(classes)
+            parts = [ordered(h, n) for h in hashes]
+            room = [-(-len(g) // pad) * pad for g in parts]
+            starts = np.append(0, np.cumsum(room)).astype(np.int64)
+            grams, blank = np.zeros(starts[-1], np.uint64), np.ones(starts[-1], bool)
+            for g, s in zip(parts, starts[:-1].tolist(), strict=True):
+                grams[s : s + len(g)] = g
+                blank[s : s + len(g)] = False
             if not len(grams):
                 continue
-            candidates = {size: set() for size in classes}
-            for b in range(BANDS):
-                mixed = grams * _ODD[b]
-                for size in classes:
-                    blocks = np.minimum.reduceat(mixed, np.arange(0, len(mixed), size)) if size > 1 else mixed
-                    windows = np.minimum(blocks, np.append(blocks[1:], blocks[-1]))
-                    keys, members = self.bands[n, size, b]
-                    slot = np.searchsorted(keys, windows)
-                    slot[slot == len(keys)] = 0
-                    for w in np.flatnonzero(keys[slot] == windows).tolist():
-                        for s in range(int(slot[w]), len(keys)):
-                            if keys[s] != windows[w]:
-                                break
-                            candidates[size].add((int(members[s]), w))
-            for size, pairs in candidates.items():
-                for k, w in pairs:
-                    a = w * size
-                    inside = np.isin(grams[a : a + 2 * size], self.sets[k])
-                    share = len(np.unique(grams[a : a + 2 * size][inside])) / len(self.sets[k])
+            for k, w in self._retrieve(grams, blank, n):
+                size = 1 << (len(self.sets[k]) - 1).bit_length()
+                # a window over the end of a text also shows the next text's first block
+                for d in {int(np.searchsorted(starts, x, "right")) - 1 for x in (w, min(w + size, len(grams) - 1))}:
+                    a, own = max(0, w - int(starts[d])), parts[d]
+                    inside = np.isin(own[a : max(0, w + 2 * size - int(starts[d]))], self.sets[k])
+                    where = np.flatnonzero(inside)
+                    share = len(np.unique(own[a + where])) / len(self.sets[k])
                     if share >= CONTAINED:
-                        where = np.flatnonzero(inside)
                         hit = (share, a + int(where[0]), a + int(where[-1]) + n)
                         key = (k, hit[1])
-                        best[key] = max(best.get(key, hit), hit)
-        if not best:
-            return []
+                        best[d][key] = max(best[d].get(key, hit), hit)
+        return [self._places(t, at, b) if b else [] for t, at, b in zip(texts, ats, best, strict=True)]
+
+    def _places(self, text: str, at: np.ndarray, best: dict) -> list[tuple[str, int, int, float]]:
         spans = [m.span() for m in _TOKEN.finditer(text)]
         out, last = [], {}
         for (k, _), (share, a, b) in sorted(best.items()):
+            found = (self.names[k], spans[at[a]][0], spans[at[b - 1]][1], share)
             if k in last and a < last[k][1]:  # an overlapping window of the same place
                 if share > last[k][2]:
-                    out[-1] = (self.names[k], spans[at[a]][0], spans[at[b - 1]][1], share)
+                    out[-1] = found
                     last[k] = (a, b, share)
                 continue
             last[k] = (a, b, share)
-            out.append((self.names[k], spans[at[a]][0], spans[at[b - 1]][1], share))
+            out.append(found)
         return sorted(out, key=lambda m: (m[1], str(m[0])))
 
+    def matches(self, text: str) -> list[tuple[str, int, int, float]]:
+        return self.matches_of([text])[0]
+
 
 MATCH = "array<struct<license_id:string,start:bigint,end:bigint,containment:double>>"
 _ARROW = pa.list_(pa.struct([("license_id", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("containment", pa.float64())]))
@@ -164,7 +201,7 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, templates: DataFrame) ->
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for part, texts in groups(batches):
-                found = [[*before, *({"license_id": n, "start": s, "end": e, "containment": c} for n, s, e, c in shared.value.matches(t))] for t, before in zip(texts, part.column(2).to_pylist(), strict=True)]
+                found = [[*before, *({"license_id": n, "start": s, "end": e, "containment": c} for n, s, e, c in rows)] for rows, before in zip(shared.value.matches_of(texts), part.column(2).to_pylist(), strict=True)]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(found, _ARROW)], ["doc_id", "text", "matches"])
 
         out = out.mapInArrow(run, out.schema)

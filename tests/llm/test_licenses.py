@@ -5,10 +5,10 @@ from gyrelake.llm import licenses as lic
 
 def brute(text, templates):
     """Templates of which some stretch of words holds enough shingles."""
-    words = lic.words_at(text)[0]
+    words = lic.words_of_template(text)
     out = set()
     for name, t in templates:
-        tw = lic.words_at(t)[0]
+        tw = lic.words_of_template(t)
         n = min(lic.WORDS, len(tw))
         need = {tuple(tw[i : i + n]) for i in range(len(tw) - n + 1)}
         have = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
@@ -48,6 +48,12 @@ def test_places():
     assert [m[0] for m in lic.Templates([("t", "two words"), ("n", None), ("b", " ")]).matches("so two, words here")] == ["t"]
 
 
+def test_many_texts_at_once_equal_one_by_one():
+    templates = lic.Templates(lic.TEMPLATES)
+    texts = ["", "x " * 7, lic.TEMPLATES[3][1], "y " * 31 + lic.TEMPLATES[0][1], lic.TEMPLATES[1][1], lic.TEMPLATES[4][1] + " z" * 40, "Released under the", "MIT License. ok"]
+    assert templates.matches_of(texts) == [templates.matches(t) for t in texts]
+
+
 def test_query_and_edges(spark):
     templates = spark.createDataFrame([*lic.TEMPLATES, (None, None)], "license_id string, text string")
     docs = spark.createDataFrame([(1, "x. Released under the MIT License."), (None, "Licensed under the Apache License, Version 2.0."), (2, None), (2, ""), (3, "word " * 100000)], "doc_id long, text string")
