@@ -1,7 +1,671 @@
-"""The catalogue of queries and their DuckDB counterparts."""
+"""The catalogue of queries and their DuckDB counterparts.
+
+Every key is written twice: with the engine's operators over Spark frames, and as SQL over the same
+tables. Inputs that the driver's tables lack are derived by the adapters of ``sources.testdata``.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gyrelake.functions import geometry as G
+from gyrelake.functions import text as X
+from gyrelake.operators import alignment, evidence, merge, projection, raster, registration, slicing
+from gyrelake.plans import lifecycle, metadata
+from gyrelake.sources.testdata import adapted, read, sql
+from gyrelake.streaming import cycles, events
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "detection_summary"
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+FRAMES = [(0, 6560, 4948), (1, 2000, 1312), (2, 1312, 1312), (3, 800, 600), (4, 1312, 2000)]
+FRAMES_SQL = "(select * from (values " + ", ".join(map(str, FRAMES)) + ") as f(frame, width, height))"
+
+
+def frames(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(FRAMES, "frame int, width int, height int")
+
+
+def all_frames(spark: SparkSession) -> DataFrame:
+    """Sixteen frames of the large size, for det_frame."""
+    return spark.range(16).selectExpr("cast(id as int) as frame", "6560 as width", "4948 as height")
+
+
+def _axis(size: str) -> str:
+    return f"case when {size} <= 1312 then [0::bigint] else list_distinct(list_concat(range(0, {size} - 1312 + 1, 656), [({size} - 1312)::bigint])) end"
+
+
+def _windows(source: str) -> str:
+    return f"""
+        select frame, cast(row_number() over (partition by frame order by y, x) - 1 as integer) as slice_index, cast(x as integer) as x, cast(y as integer) as y,
+            cast(least(1312, width - x) as integer) as valid_width, cast(least(1312, height - y) as integer) as valid_height
+        from (select frame, width, height, x, unnest({_axis("height")}) as y from (select *, unnest({_axis("width")}) as x from {source}))
+    """
+
+
+ALL_FRAMES_SQL = "(select cast(range as integer) as frame, 6560 as width, 4948 as height from range(16))"
+
+
+@query(_windows(FRAMES_SQL))
+def slice_window_plan(spark, sf_dir):
+    return slicing.slice_windows(frames(spark))
+
+
+@query(f"""
+    select frame, cast(slice_index // 8 as integer) as batch_index, count(*) as windows, min(slice_index) as first_slice, max(slice_index) as last_slice
+    from ({_windows(FRAMES_SQL)}) group by all
+""")
+def slice_batches(spark, sf_dir):
+    out = slicing.batches(slicing.slice_windows(frames(spark)), 8)
+    return out.groupBy("frame", "batch_index").agg(F.count("*").alias("windows"), F.min("slice_index").alias("first_slice"), F.max("slice_index").alias("last_slice"))
+
+
+CLIPPED_SQL = f"""
+    select frame, slice_index, cls, conf, least(a1 + x, 6560e0) as x1, least(b1 + y, 4948e0) as y1, least(a2 + x, 6560e0) as x2, least(b2 + y, 4948e0) as y2 from (
+        select d.frame, d.slice_index, d.cls, d.conf, w.x, w.y,
+            least(greatest(d.x1, 0), w.valid_width) as a1, least(greatest(d.x2, 0), w.valid_width) as a2,
+            least(greatest(d.y1, 0), w.valid_height) as b1, least(greatest(d.y2, 0), w.valid_height) as b2
+        from {sql("det_frame")} d join ({_windows(ALL_FRAMES_SQL)}) w on d.frame = w.frame and d.slice_index = w.slice_index
+    ) where a2 > a1 and b2 > b1
+"""
+
+
+def clipped(spark, sf_dir):
+    f = all_frames(spark)
+    return slicing.map_and_clip(slicing.slice_windows(f), adapted(spark, sf_dir, "det_frame"), f)
+
+
+@query(CLIPPED_SQL)
+def map_clip_detections(spark, sf_dir):
+    return clipped(spark, sf_dir)
+
+
+@query(f"""
+    select frame, cls, count(*) as n, max(conf) as conf, min(x1) as x1, min(y1) as y1, max(x2) as x2, max(y2) as y2,
+        array_to_string(list_sort(list_distinct(list(slice_index))), ',') as slices
+    from ({CLIPPED_SQL}) group by frame, cls
+""")
+def detection_summary(spark, sf_dir):
+    slices = F.array_join(F.array_sort(F.collect_set("slice_index")).cast("array<string>"), ",").alias("slices")
+    return clipped(spark, sf_dir).groupBy("frame", "cls").agg(F.count("*").alias("n"), F.max("conf").alias("conf"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), slices)
+
+
+@query(f"""
+    select count_if(not (cls between 0 and 1)) as bad_class, count_if(not (conf between 0 and 1)) as bad_conf, count_if(not (x2 > x1 and y2 > y1)) as empty_box, count(*) as n from {sql("det_frame")}
+""")
+def detection_validity(spark, sf_dir):
+    d = adapted(spark, sf_dir, "det_frame")
+    return d.agg(F.count_if(~F.col("cls").between(0, 1)).alias("bad_class"), F.count_if(~F.col("conf").between(0, 1)).alias("bad_conf"), F.count_if(~F.expr("x2 > x1 and y2 > y1")).alias("empty_box"), F.count("*").alias("n"))
+
+
+ACQ = "row_number() over (partition by acq, cls order by conf desc, x1, y1, x2, y2, slice_index)"
+BOTH = "(least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))"
+
+
+@query(f"""
+    with d as (select *, {ACQ} as ord from {sql("det_acq")}),
+    p as (
+        select a.acq, a.cls, a.ord as first, b.ord as second, {BOTH} as common, (a.x2 - a.x1) * (a.y2 - a.y1) as one, (b.x2 - b.x1) * (b.y2 - b.y1) as two
+        from d a join d b on a.acq = b.acq and a.cls = b.cls and a.ord < b.ord and a.x1 < b.x2 and b.x1 < a.x2 and a.y1 < b.y2 and b.y1 < a.y2
+    )
+    select acq, cls, cast(first as integer) as first, cast(second as integer) as second, round(greatest(common / (one + two - common), common / least(one, two)), 9) as score
+    from p where greatest(common / (one + two - common), common / least(one, two)) >= 0.5
+""")
+def overlap_pairs(spark, sf_dir):
+    order = Window.partitionBy("acq", "cls").orderBy(F.desc("conf"), "x1", "y1", "x2", "y2", "slice_index")
+    d = adapted(spark, sf_dir, "det_acq").withColumn("ord", F.row_number().over(order))
+    a, b = d.alias("a"), d.alias("b")
+    box = lambda t: tuple(F.col(f"{t}.{c}") for c in merge.BOX)
+    meets = F.expr("a.acq = b.acq and a.cls = b.cls and a.ord < b.ord and a.x1 < b.x2 and b.x1 < a.x2 and a.y1 < b.y2 and b.y1 < a.y2")
+    pairs = a.join(b, meets).select("a.acq", "a.cls", F.col("a.ord").alias("first"), F.col("b.ord").alias("second"), G.overlap_score(box("a"), box("b")).alias("score"))
+    return pairs.where("score >= 0.5").withColumn("score", F.round("score", 9))
+
+
+@query(f"""
+    with recursive d as (select * from {sql("det_acq")}),
+    step as (
+        select acq, cls, l[1] as cur, l[2:] as pend, l[1:0] as keep, false as ch, l[1:0] as done, false as fin from (
+            select acq, cls, list(struct_pack(x1 := x1, y1 := y1, x2 := x2, y2 := y2, conf := conf, s := [slice_index]) order by conf desc, x1, y1, x2, y2, slice_index) as l from d group by acq, cls)
+        union all
+        select acq, cls,
+            case when len(pend) > 0 and hit then struct_pack(x1 := least(cur.x1, p.x1), y1 := least(cur.y1, p.y1), x2 := greatest(cur.x2, p.x2), y2 := greatest(cur.y2, p.y2), conf := greatest(cur.conf, p.conf), s := list_concat(cur.s, p.s))
+                when len(pend) = 0 and not ch and len(keep) > 0 then keep[1] else cur end,
+            case when len(pend) > 0 then pend[2:] when ch then keep else keep[2:] end,
+            case when len(pend) > 0 and not hit then list_append(keep, p) when len(pend) > 0 then keep else keep[1:0] end,
+            case when len(pend) > 0 then ch or hit else false end,
+            case when len(pend) = 0 and not ch then list_append(done, cur) else done end,
+            len(pend) = 0 and not ch and len(keep) = 0
+        from (
+            select *, coalesce(w > 0 and h > 0 and greatest(w * h / (one + two - w * h), w * h / least(one, two)) >= 0.5, false) as hit from (
+                select *, least(cur.x2, p.x2) - greatest(cur.x1, p.x1) as w, least(cur.y2, p.y2) - greatest(cur.y1, p.y1) as h,
+                    (cur.x2 - cur.x1) * (cur.y2 - cur.y1) as one, (p.x2 - p.x1) * (p.y2 - p.y1) as two
+                from (select *, pend[1] as p from step where not fin)
+            )
+        )
+    )
+    select acq, cls, m.x1 as x1, m.y1 as y1, m.x2 as x2, m.y2 as y2, m.conf as conf, array_to_string(list_sort(list_distinct(m.s)), ',') as slices
+    from (select acq, cls, unnest(done) as m from step where fin)
+""")
+def merge_detections(spark, sf_dir):
+    d = adapted(spark, sf_dir, "det_acq")
+    return merge.merge_boxes(d, ["acq", "cls"], 0.5).withColumn("slices", F.array_join(F.col("slices").cast("array<string>"), ","))
+
+
+MATRIX = "1e0, frame / 64e0, frame * 10e0, frame / -128e0, 1e0, frame * 5e0, frame / 1048576e0, 0e0, 1e0"
+
+
+@query(f"""
+    select frame, cls, round(min(px), 6) as left_px, round(min(py), 6) as top_px, round(max(px), 6) as right_px, round(max(py), 6) as bottom_px from (
+        select frame, cls, (x + frame / 64e0 * y + frame * 10e0) / w as px, (frame / -128e0 * x + y + frame * 5e0) / w as py
+        from (select frame, cls, x, y, frame / 1048576e0 * x + 1e0 as w from (
+            select frame, cls, unnest([x1, x2, x2, x1]) as x, unnest([y1, y1, y2, y2]) as y from {sql("det_frame")}))
+    ) group by frame, cls
+""")
+def project_points(spark, sf_dir):
+    m = spark.range(16).selectExpr("cast(id as int) as frame").selectExpr("frame", f"array({MATRIX}) as m")
+    corners = projection.project_corners(adapted(spark, sf_dir, "det_frame"), m).select("frame", "cls", F.inline("corners"))
+    return corners.groupBy("frame", "cls").agg(*[F.round(f(c), 6).alias(n) for f, c, n in ((F.min, "x", "left_px"), (F.min, "y", "top_px"), (F.max, "x", "right_px"), (F.max, "y", "bottom_px"))])
+
+
+SMALL = f"(select *, {ACQ} as ord from (select acq, cls, conf, x1, y1, x1 + 1 + slice_index % 9 as x2, y1 + 1 + slice_index % 7 as y2, slice_index from {sql('det_acq')}))"
+PIXELS_SQL = f"(select acq, cls, ord, conf, x, unnest(range(cast(y1 as bigint), cast(y2 as bigint))) as y from (select *, unnest(range(cast(x1 as bigint), cast(x2 as bigint))) as x from {SMALL}))"
+ACQUIRED_SQL = "(select x, y, cast((x * 7 + y * 3) % 4 as integer) as p from (select range as x from range(60)), (select range as y from range(60)))"
+
+
+def small_boxes(spark, sf_dir):
+    d = adapted(spark, sf_dir, "det_acq").withColumns({"x2": F.expr("x1 + 1 + slice_index % 9"), "y2": F.expr("y1 + 1 + slice_index % 7")})
+    return d.withColumn("ord", F.expr(ACQ).cast("long"))
+
+
+def canvas(spark):
+    """A 60 x 60 canvas with a provenance pattern."""
+    return spark.range(3600).selectExpr("cast(id % 60 as int) as x", "cast(floor(id / 60) as int) as y").withColumn("p", F.expr("(x * 7 + y * 3) % 4"))
+
+
+@query(f"""
+    select acq, cls, ord, cast(min(x) as integer) as x1, cast(min(y) as integer) as y1, cast(max(x) + 1 as integer) as x2, cast(max(y) + 1 as integer) as y2, count(*) as area
+    from {PIXELS_SQL} join {ACQUIRED_SQL} using (x, y) where p = 1 group by acq, cls, ord
+""")
+def provenance_clip(spark, sf_dir):
+    keys = ["acq", "cls", "ord"]
+    return projection.clip_to_acquired(projection.box_pixels(small_boxes(spark, sf_dir), keys), canvas(spark), keys)
+
+
+@query(f"""
+    with p as (select acq, cls, ord, x, y from {PIXELS_SQL})
+    select a.acq as acq, a.cls as cls, a.ord as a, b.ord as b, count(*) as both from p a join p b on a.acq = b.acq and a.cls = b.cls and a.x = b.x and a.y = b.y and a.ord < b.ord group by all
+""")
+def footprint_overlap(spark, sf_dir):
+    return projection.footprint_overlaps(projection.box_pixels(small_boxes(spark, sf_dir), ["acq", "cls", "ord"]), ["acq", "cls"], "ord")
+
+
+@query()
+def dedup_predictions(spark, sf_dir):
+    """Greedy footprints: rows only here; tests hold it against a plain loop."""
+    boxes = small_boxes(spark, sf_dir).withColumns({"frame": F.col("slice_index") % 16, "id": F.concat(F.lit("p"), F.col("ord"))})
+    pixels = projection.box_pixels(boxes, ["acq", "cls", "frame", "id", "conf"])
+    return projection.dedup_footprints(pixels, ["acq", "cls"], 0.5).withColumn("links", F.array_join("links", ",")).drop("cls")
+
+
+@query(f"""
+    select acq, cls, ord, cast(size as bigint) as size, cast(sum(size) over (partition by acq, cls order by ord) as bigint) as total, sum(size) over (partition by acq, cls order by ord) <= 60 as within
+    from (select acq, cls, ord, cast((x2 - x1) * (y2 - y1) as bigint) as size from {SMALL})
+""")
+def footprint_budget(spark, sf_dir):
+    sizes = small_boxes(spark, sf_dir).select("acq", "cls", "ord", F.expr("cast((x2 - x1) * (y2 - y1) as bigint)").alias("size"))
+    return projection.running_budget(sizes, ["acq", "cls"], ["ord"], "size", 60)
+
+
+REASON_SQL = """case when target_frame <> source_frame % 16 + 1 then 'not_adjacent' when abs(angle_degrees + 225e-1) > 2 then 'angle' when not (scale between 995e-3 and 1005e-3) then 'scale'
+    when inlier_count < 5 then 'inliers' when residual_px > 4 then 'residual' end"""
+
+
+@query(f"select acq, source_frame, target_frame, {REASON_SQL} as reason from {sql('pairs')}")
+def pair_gate_calibration(spark, sf_dir):
+    return adapted(spark, sf_dir, "pairs").select("acq", "source_frame", "target_frame", registration.calibration_reason().alias("reason"))
+
+
+CONF_SQL = "(45e-2 * least(1, inlier_count / 30e0) + 35e-2 * greatest(0, 1 - residual_px / 4e0) + 20e-2 * greatest(0, 1 - abs(angle_degrees + 225e-1) / 2e0))"
+ASSESSED_SQL = f"""(select *, case when abs(angle_degrees + 225e-1) > 2 then 'angle' when not (scale between 995e-3 and 1005e-3) then 'scale' when inlier_count < 5 then 'inliers' when residual_px > 4 then 'residual'
+    when sqrt((center_x - 150) ** 2 + (center_y + 500) ** 2) > 150 then 'center' when {CONF_SQL} < 35e-2 then 'confidence' end as reason from {sql("pairs")})"""
+
+
+@query(f"""
+    select acq, source_frame, reason, round(case when reason is null then {CONF_SQL} else 0 end, 9) as confidence, round(case when reason is null then -angle_degrees - 225e-1 end, 9) as correction from {ASSESSED_SQL}
+""")
+def pair_gate_registration(spark, sf_dir):
+    out = registration.assess(adapted(spark, sf_dir, "pairs"), (150.0, -500.0))
+    return out.select("acq", "source_frame", "reason", F.round("confidence", 9).alias("confidence"), F.round("correction", 9).alias("correction"))
+
+
+@query(f"""
+    with c as (select acq, center_x, center_y from {sql("pairs")}),
+    m as (select acq, median(center_x) as mx, median(center_y) as my, count(*) as candidates from c group by acq having count(*) >= 5),
+    d as (select c.*, candidates, sqrt((center_x - mx) ** 2 + (center_y - my) ** 2) as away from c join m using (acq)),
+    b as (select acq, least(250, greatest(25, 3 * median(away))) as bound from d group by acq),
+    k as (select d.*, bound from d join b using (acq) where away <= bound),
+    f as (select acq, median(center_x) as fx, median(center_y) as fy, count(*) as accepted, any_value(candidates) as candidates, any_value(bound) as bound from k group by acq having count(*) >= 5)
+    select acq, round(any_value(fx), 6) as x, round(any_value(fy), 6) as y, any_value(f.candidates) as candidates, any_value(accepted) as accepted, round(any_value(f.bound), 6) as bound,
+        round(max(sqrt((center_x - fx) ** 2 + (center_y - fy) ** 2)), 6) as spread
+    from k join f using (acq) group by acq
+""")
+def robust_center(spark, sf_dir):
+    out = registration.robust_center(adapted(spark, sf_dir, "pairs"))
+    return out.select("acq", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "candidates", "accepted", F.round("bound", 6).alias("bound"), F.round("spread", 6).alias("spread"))
+
+
+@query(f"""
+    select pair, n, round(median, 9) as median, round(p95, 9) as p95, most,
+        array_to_string(list_filter([case when n < 5 then 'count' end, case when median > 1 then 'median' end, case when p95 > 1 then 'p95' end, case when most > 1 then 'maximum' end], lambda x: x is not null), ',') as reasons
+    from (select pair, count(*) as n, quantile_cont(residual_px, 0.5) as median, quantile_cont(residual_px, 0.95) as p95, max(residual_px) as most from {sql("residuals")} group by grouping sets ((pair), ()))
+""")
+def heldout_metrics(spark, sf_dir):
+    out = evidence.heldout_reasons(evidence.heldout_metrics(adapted(spark, sf_dir, "residuals")))
+    return out.select("pair", "n", F.round("median", 9).alias("median"), F.round("p95", 9).alias("p95"), "most", F.array_join("reasons", ",").alias("reasons"))
+
+
+SPLIT_SQL = f"(select *, row_number() over (partition by pair order by floor(y / 256), floor(x / 256), y, x, k1, k2, k3, k4) - 1 as ordinal from {sql('points')})"
+
+
+@query(f"select pair, x, y, ordinal, case when ordinal % 5 = 0 then 'held' else 'fit' end as part from {SPLIT_SQL}")
+def spatial_split(spark, sf_dir):
+    out = evidence.spatial_split(adapted(spark, sf_dir, "points"), ["pair"], ["k1", "k2", "k3", "k4"])
+    return out.select("pair", "x", "y", F.col("ordinal").cast("long").alias("ordinal"), "part")
+
+
+@query(f"""
+    with r as (select pair, x, y, ordinal, count(*) over (partition by pair) as n from {SPLIT_SQL})
+    select pair, x, y, ordinal from r where n <= 300 or list_contains(list_transform(range(300), lambda i: case when i = 299 then n - 1 else cast(floor(i * ((n - 1) / 299e0)) as bigint) end), ordinal)
+""")
+def even_sample(spark, sf_dir):
+    points = adapted(spark, sf_dir, "points")
+    split = evidence.spatial_split(points, ["pair"], ["k1", "k2", "k3", "k4"])
+    return evidence.even_sample(split, ["pair"], ["ordinal"], 300).select("pair", "x", "y", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query(f"""
+    select user_id, sequence, coalesce(lead(sequence) over w, first_value(sequence) over w2) as neighbour, round(coalesce(lead(value) over w, first_value(value) over w2) - value, 9) as difference
+    from {sql("run_events")} window w as (partition by user_id order by sequence), w2 as (partition by user_id order by sequence rows between unbounded preceding and unbounded following)
+""")
+def ring_neighbours(spark, sf_dir):
+    e = adapted(spark, sf_dir, "run_events")
+    w = Window.partitionBy("user_id").orderBy("sequence")
+    following = F.coalesce(F.lead("value").over(w), F.first("value").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return e.select("user_id", "sequence", registration.next_frame("sequence", "user_id").alias("neighbour"), F.round(following - F.col("value"), 9).alias("difference"))
+
+
+RING_STEP = "((acq * 7 + source_frame * 13) % 21 - 10) / 100e0"
+
+
+@query(f"""
+    with p as (select distinct acq, source_frame, {RING_STEP} as step from {sql("pairs")}),
+    q as (select *, sum(step) over (partition by acq) / 16 as mean, count(*) over (partition by acq) as n from p)
+    select acq, source_frame as frame, round(coalesce(sum(step - mean) over (partition by acq order by source_frame rows between unbounded preceding and 1 preceding), 0), 6) + 0 as correction from q where n = 16
+""")
+def ring_solve(spark, sf_dir):
+    """Equal weights: the closing error is shared evenly, so that the oracle is a running sum."""
+    p = adapted(spark, sf_dir, "pairs").select("acq", "source_frame", "target_frame").distinct()
+    p = p.withColumns({"correction": F.expr(RING_STEP), "confidence": F.lit(1.0)})
+    out = registration.ring_corrections(p, 1000.0)
+    return out.select("acq", "frame", (F.round("correction", 6) + 0.0).alias("correction"))
+
+
+@query("""
+    with recursive c as (
+        select 1 as frame, 1e0 as a, 0e0 as b, 0e0 as tx, 0e0 as ty
+        union all
+        select frame + 1, a * 75e-2 - b * 5e-1, b * 75e-2 + a * 5e-1, a * frame - b * 2 + tx, b * frame + a * 2 + ty from c where frame < 16
+    )
+    select frame, round(a, 9) as a, round(b, 9) as b, round(tx, 9) as tx, round(ty, 9) as ty from c
+""")
+def pose_chain(spark, sf_dir):
+    """The running product of 16 edge matrices as an ordered fold."""
+    edges = spark.range(1, 17).selectExpr("cast(id as int) as frame", "array(75e-2, -5e-1, cast(id as double), 5e-1, 75e-2, 2e0, 0e0, 0e0, 1e0) as m")
+    chain = F.array_sort(F.collect_list(F.struct("frame", "m")))
+    start = F.array(*[F.lit(float(k in (0, 4, 8))) for k in range(9)])
+    poses = F.aggregate(chain, F.struct(start.alias("m"), F.array().cast("array<struct<frame:int,m:array<double>>>").alias("out")), lambda s, e: F.struct(G.multiply(s["m"], e["m"]).alias("m"), F.concat(s["out"], F.array(F.struct(e["frame"].alias("frame"), s["m"].alias("m")))).alias("out")))
+    out = edges.agg(poses.alias("p")).select(F.inline("p.out"))
+    return out.select("frame", *[F.round(F.col("m")[k], 9).alias(n) for k, n in ((0, "a"), (3, "b"), (2, "tx"), (5, "ty"))])
+
+
+PROFILE_SQL = f"(select b.range as bin, coalesce(s / n, 0) as score from range(360) b left join (select bin, sum(v * (1 - sat / 510e0)) as s, count(*) as n from {sql('angles')} group by bin) m on m.bin = b.range)"
+
+
+@query(f"""
+    with p as {PROFILE_SQL}, w as (select bin, score, bin + turn as spot, turn from p, (values (-360), (0), (360)) as t(turn)),
+    m as (select *, avg(score) over (order by spot rows between 5 preceding and 5 following) as smooth from w)
+    select cast(bin as integer) as bin, round(score, 6) as score, round(smooth, 6) as smooth from m where turn = 0
+""")
+def circular_mean_profile(spark, sf_dir):
+    out = alignment.circular_mean(alignment.angular_profile(adapted(spark, sf_dir, "angles"), spark))
+    return out.select("bin", F.round("score", 6).alias("score"), F.round("smooth", 6).alias("smooth"))
+
+
+@query()
+def circular_peaks(spark, sf_dir):
+    """Ten peaks of the profile: rows only; tests hold the finder against its definition."""
+    profile = alignment.angular_profile(adapted(spark, sf_dir, "angles"), spark).withColumn("side", F.lit("lower"))
+    return alignment.peak_table(profile, "side", count=5, prominence=0.5)
+
+
+SOURCE_ANGLES = [12, 46, 77, 118, 148, 190, 222, 262, 292, 329]
+TARGET_ANGLES = [15, 50, 83, 119, 155, 188, 226, 260, 299, 333]
+
+
+@query(f"""
+    with a as (select unnest({SOURCE_ANGLES}) as a, unnest(range(10)) as i), b as (select unnest({TARGET_ANGLES}) as b, unnest(range(10)) as j),
+    d as (select s.range as shift, a.a, b.b, (((b.b - a.a + 180) % 360) + 360) % 360 - 180 as diff from a, range(10) s, b where b.j = (a.i + s.range) % 10),
+    r as (select shift, median(diff) as raw from d group by shift),
+    o as (select d.shift, raw, abs(((((a + raw - b + 180) % 360) + 360) % 360) - 180) as off from d join r using (shift))
+    select cast(shift as integer) as shift, cast(any_value(raw) as double) as raw, cast(median(off) as double) as median_off, cast(max(off) as double) as most_off,
+        cast(((any_value(raw) + 36 * round_even((160e0 - any_value(raw)) / 36, 0)) % 360 + 360) % 360 as double) as rotation
+    from o group by shift
+""")
+def cyclic_alignment(spark, sf_dir):
+    table = lambda v: spark.createDataFrame([(i, float(a)) for i, a in enumerate(v)], "place int, angle double")
+    return alignment.cyclic_alignments(table(SOURCE_ANGLES), table(TARGET_ANGLES), 160.0).select("shift", "raw", "median_off", "most_off", "rotation")
+
+
+WEIGHT_SQL = "greatest(0, least(x + 1, 64 - x, y + 1, 48 - y, 512))"
+
+
+@query(f"""
+    select x, y, cast(floor(cast(sum(w * r) as double) / sum(w)) as integer) as r, cast(floor(cast(sum(w * g) as double) / sum(w)) as integer) as g, cast(floor(cast(sum(w * b) as double) / sum(w)) as integer) as b, cast(least(count(*), 255) as integer) as coverage
+    from (select *, {WEIGHT_SQL} * (1 + frame % 3) as w from {sql("pixels")}) where w > 0 group by x, y
+""")
+def blend_pixels(spark, sf_dir):
+    p = adapted(spark, sf_dir, "pixels")
+    weight = G.feather(F.col("x"), F.col("y"), F.lit(64), F.lit(48)) * (1 + F.col("frame") % 3)
+    return raster.blend(p.withColumn("w", weight), ["x", "y"]).select("x", "y", "r", "g", "b", "coverage")
+
+
+@query(f"""
+    with c as (select x, y, least(count(distinct frame), 255) as coverage from {sql("pixels")} group by x, y)
+    select cast(a.range as integer) as x, cast(b.range as integer) as y, cast(coalesce(coverage, 0) as bigint) as coverage,
+        case when coverage > 0 then 1 when (a.range * 5 + b.range * 11) % 256 >= 128 then 2 else 0 end as provenance
+    from range(80) a, range(60) b left join c on c.x = a.range and c.y = b.range
+""")
+def coverage_map(spark, sf_dir):
+    seen = adapted(spark, sf_dir, "pixels").select("frame", "x", "y").distinct()
+    covered = seen.groupBy("x", "y").agg(F.least(F.count("*"), F.lit(255)).alias("coverage"))
+    grid = spark.range(80 * 60).selectExpr("cast(id % 80 as int) as x", "cast(floor(id / 80) as int) as y")
+    return raster.provenance(grid, covered, grid.withColumn("mask", F.expr("(x * 5 + y * 11) % 256")))
+
+
+@query("""
+    with t as (select range as tile, (range % 10) * 400 as x0, (range // 10) * 400 as y0 from range(80)),
+    f as (select range as frame, (range * 613) % 3000 as l, (range * 379) % 2500 as tp from range(16))
+    select tile, frame from t join f on l + 900 > x0 and l < x0 + 400 and tp + 700 > y0 and tp < y0 + 400
+""")
+def tile_cull(spark, sf_dir):
+    tiles = spark.range(80).selectExpr("id as tile", "(id % 10) * 400 as x0", "cast(floor(id / 10) as long) * 400 as y0").withColumns({"x1": F.expr("x0 + 400"), "y1": F.expr("y0 + 400")})
+    bounds = spark.range(16).selectExpr("id as frame", "(id * 613) % 3000 as left", "(id * 379) % 2500 as top").withColumns({"right": F.expr("left + 900"), "bottom": F.expr("top + 700")})
+    return raster.cull(tiles, bounds)
+
+
+@query("""
+    with s as (
+        select q.vec_id as query, c.vec_id as id, list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: (cast(p[1] as double) - cast(p[2] as double)) ** 2)) as d
+        from embeddings q join embeddings c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+    ), r as (select *, row_number() over (partition by query order by d, id) as rank from s)
+    select query, min(case when rank = 1 then id end) as neighbour, round(min(d), 4) as d1, round(max(d), 4) as d2 from r where rank <= 2 group by query having sqrt(min(d)) < 98e-2 * sqrt(max(d))
+""")
+def knn_top2_ratio(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
+    out = evidence.ratio_matches(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), queries, 0.98)
+    return out.select("query", "neighbour", F.round("d1", 4).alias("d1"), F.round("d2", 4).alias("d2"))
+
+
+@query(f"select run_id, status, source, side from {sql('runs')} order by created_at desc, run_id limit 50 offset 100")
+def list_runs_page(spark, sf_dir):
+    return metadata.page(adapted(spark, sf_dir, "runs"), "created_at", "run_id", 50, 100).select("run_id", "status", "source", "side")
+
+
+@query(f"select * from {sql('models')} order by created_ord desc, model_bundle_id limit 50 offset 10")
+def list_models_page(spark, sf_dir):
+    return metadata.page(adapted(spark, sf_dir, "models"), "created_ord", "model_bundle_id", 50, 10)
+
+
+@query(f"select * from {sql('pipelines')} order by created_ord desc, pipeline_snapshot_id limit 20 offset 5")
+def list_pipelines_page(spark, sf_dir):
+    return metadata.page(adapted(spark, sf_dir, "pipelines"), "created_ord", "pipeline_snapshot_id", 20, 5)
+
+
+@query(f"select * from {sql('runs')} where run_id = 'run-77'")
+def run_lookup(spark, sf_dir):
+    return metadata.lookup(adapted(spark, sf_dir, "runs"), run_id="run-77")
+
+
+@query(f"""
+    select model_bundle_id, state, coalesce(n, 0) as pipelines, coalesce(n, 0) > 0 as referenced, state <> 'active' and n is null as can_archive, state = 'retired' and n is null as can_delete
+    from {sql("models")} left join (select model_bundle_id, count(*) as n from {sql("pipelines")} group by 1) using (model_bundle_id)
+""")
+def models_with_references(spark, sf_dir):
+    return metadata.models_with_references(adapted(spark, sf_dir, "models"), adapted(spark, sf_dir, "pipelines"))
+
+
+@query(f"select 'pipeline-' || range as pipeline_id, cast(coalesce(max(revision), 0) + 1 as bigint) as revision from range(60) left join {sql('pipelines')} p on p.pipeline_id = 'pipeline-' || range group by 1")
+def next_revision(spark, sf_dir):
+    return metadata.next_revision(adapted(spark, sf_dir, "pipelines"), spark.range(60).select(F.concat(F.lit("pipeline-"), "id").alias("pipeline_id")))
+
+
+@query(f"select model_bundle_id, display_name from {sql('models')} where state = 'active'")
+def active_rows(spark, sf_dir):
+    return metadata.active(adapted(spark, sf_dir, "models")).select("model_bundle_id", "display_name")
+
+
+@query(f"select count(*) as active, count(*) > 1 as broken from {sql('pipelines')} where state = 'active'")
+def active_violation(spark, sf_dir):
+    n = F.count("*")
+    return metadata.active(adapted(spark, sf_dir, "pipelines")).agg(n.alias("active"), (n > 1).alias("broken"))
+
+
+@query("""
+    select o_orderkey as run_id, o_orderstatus as status, coalesce(c, '') as checkpoints, coalesce(a, '') as artifacts from orders
+    left join (select l_orderkey, array_to_string(list_sort(list('stage' || l_linenumber || ':' || l_linestatus)), ',') as c from lineitem group by 1) c on c.l_orderkey = o_orderkey
+    left join (select l_orderkey, array_to_string(list_sort(list('part' || l_partkey || ':' || cast(l_quantity as bigint))), ',') as a from lineitem group by 1) a on a.l_orderkey = o_orderkey
+""")
+def run_detail(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem")
+    runs = read(spark, sf_dir, "orders").selectExpr("o_orderkey as run_id", "o_orderstatus as status")
+    checkpoints = lines.selectExpr("l_orderkey as run_id", "concat('stage', l_linenumber) as stage_name", "l_linestatus as status")
+    artifacts = lines.selectExpr("l_orderkey as run_id", "concat('part', l_partkey) as artifact_id", "cast(l_quantity as bigint) as size_bytes")
+    out = metadata.run_details(runs, checkpoints, artifacts)
+    joined = lambda c, a, b: F.array_join(F.array_sort(F.transform(c, lambda x: F.concat(x[a], F.lit(":"), x[b]))), ",").alias(c)
+    return out.select("run_id", "status", joined("checkpoints", "stage_name", "status"), joined("artifacts", "artifact_id", "size_bytes"))
+
+
+@query(f"select run_id, pipeline_snapshot_id from {sql('runs')} r where exists (select 1 from {sql('pipelines')} p where p.pipeline_snapshot_id = r.pipeline_snapshot_id and p.state in ('approved', 'active'))")
+def runnable_runs(spark, sf_dir):
+    return metadata.runnable(adapted(spark, sf_dir, "runs"), adapted(spark, sf_dir, "pipelines")).select("run_id", "pipeline_snapshot_id")
+
+
+@query(f"select pipeline_snapshot_id from {sql('pipelines')} p where model_bundle_id is null or exists (select 1 from {sql('models')} m where m.model_bundle_id = p.model_bundle_id and m.state in ('valid', 'approved', 'active'))")
+def usable_pipelines(spark, sf_dir):
+    return metadata.usable_pipelines(adapted(spark, sf_dir, "pipelines"), adapted(spark, sf_dir, "models")).select("pipeline_snapshot_id")
+
+
+@query(f"select model_bundle_id, state from {sql('models')} m where not exists (select 1 from {sql('pipelines')} p where p.model_bundle_id = m.model_bundle_id)")
+def unreferenced_models(spark, sf_dir):
+    return metadata.unreferenced(adapted(spark, sf_dir, "models"), adapted(spark, sf_dir, "pipelines")).select("model_bundle_id", "state")
+
+
+@query("""
+    with d as (select 'f' || doc_id as path, sha256(text) as sha from documents where doc_id % 7 <> 0),
+    f as (select 'f' || doc_id as path, sha256(case when doc_id % 11 = 0 then text || 'x' else text end) as sha from documents where doc_id % 5 <> 0)
+    select coalesce(d.path, f.path) as path, case when f.sha is null then 'missing' when d.sha is null then 'undeclared' else 'changed' end as problem
+    from d full join f on d.path = f.path where d.sha is distinct from f.sha
+""")
+def checksum_inventory_diff(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("f"), "doc_id").alias("path"))
+    declared = docs.where("doc_id % 7 <> 0").select("path", F.sha2("text", 256).alias("sha256"))
+    changed = F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    return metadata.inventory_difference(declared, docs.where("doc_id % 5 <> 0").select("path", F.sha2(changed, 256).alias("sha256")))
+
+
+@query("""
+    select rule, cast(o_orderkey as varchar) as key from (
+        select o_orderkey, unnest(list_filter([
+            case when not (o_orderstatus in ('F', 'O')) then 'state' end, case when not (o_totalprice > 20000) then 'positive' end,
+            case when not (length(o_orderpriority) >= 6) then 'length' end, case when not ((o_custkey % 5 = 0) = (o_orderkey % 5 = 0)) then 'pair' end
+        ], lambda x: x is not null)) as rule from orders)
+""")
+def constraint_violations(spark, sf_dir):
+    rules = {"state": F.col("o_orderstatus").isin("F", "O"), "positive": F.col("o_totalprice") > 20000, "length": F.length("o_orderpriority") >= 6, "pair": (F.col("o_custkey") % 5 == 0) == (F.col("o_orderkey") % 5 == 0)}
+    return metadata.violations(read(spark, sf_dir, "orders"), F.col("o_orderkey"), rules)
+
+
+@query("select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1")
+def unique_violations(spark, sf_dir):
+    return metadata.duplicates(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("select o_orderkey, o_custkey from orders where o_custkey is not null and not exists (select 1 from customer where c_custkey = o_custkey and c_nationkey % 5 <> 0)")
+def fk_violations(spark, sf_dir):
+    orders, customers = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer").where("c_nationkey % 5 <> 0")
+    return metadata.orphans(orders, customers, "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
+
+
+@query("select l_orderkey from (select l_orderkey, min(l_linenumber) as lo, max(l_linenumber) as hi, count(*) as n, count(distinct l_linenumber) as d from lineitem group by 1) where lo <> 1 or hi <> n or d <> n")
+def contiguous_violations(spark, sf_dir):
+    return metadata.contiguous(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", 1)
+
+
+@query("select doc_id, sha from (select doc_id, sha256(text) as sha, row_number() over (partition by sha256(text) order by doc_id) as nth from documents) where nth > 1")
+def duplicate_content(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    return metadata.repeated(docs, "sha", "doc_id")
+
+
+NAMES_SQL = "(select 'DISC-' || lpad(cast(event_id // 16 as varchar), 4, '0') || '_' || lpad(cast(case when event_id % 97 = 0 then 3 when event_id % 53 = 0 then 17 else event_id % 16 + 1 end as varchar), 2, '0') || case when event_id % 31 = 0 then '.png' else '.JPG' end as name from events)"
+
+
+@query(f"""
+    with m as (select regexp_extract(name, '(?i)^(.+)_([0-9][0-9])[.]jpg$', 1) as cycle, try_cast(regexp_extract(name, '(?i)^(.+)_([0-9][0-9])[.]jpg$', 2) as integer) as position from {NAMES_SQL})
+    select cycle, count(*) as files, count(distinct position) as positions, case when count(*) > count(distinct position) then 'duplicate' when count(distinct position) = 16 then 'complete' else 'incomplete' end as status
+    from m where position between 1 and 16 group by cycle
+""")
+def acquisition_cycle_gate(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    number = F.when(F.col("event_id") % 97 == 0, 3).when(F.col("event_id") % 53 == 0, 17).otherwise(F.col("event_id") % 16 + 1)
+    name = F.concat(F.lit("DISC-"), F.lpad(F.floor(F.col("event_id") / 16).cast("string"), 4, "0"), F.lit("_"), F.lpad(number.cast("string"), 2, "0"), F.when(F.col("event_id") % 31 == 0, ".png").otherwise(".JPG"))
+    return cycles.cycle_gate(e.select(X.match_template(name, "{cycle}_{position}.jpg", 2).alias("m")).where("m is not null").select("m.cycle", "m.position"))
+
+
+@query("""
+    with p as (select page_id, case page_id % 8 when 0 then replace(url, 'https://', '') when 1 then '/' || url when 2 then 'a/../b' when 3 then 'a/con.txt' when 4 then 'dir/name.' when 5 then 'C:x' when 6 then 'a\\b' else 'ok/file-' || page_id || '.png' end as path from pages),
+    t as (select page_id, trim(path) as p from p)
+    select page_id, case when p is null or p = '' then 'empty' when contains(p, '\\') then 'backslash' when starts_with(p, '/') then 'absolute' when regexp_matches(p, '^[A-Za-z]:') then 'drive'
+        when len(list_filter(string_split(p, '/'), lambda x: x in ('', '.', '..'))) > 0 then 'part' when len(list_filter(string_split(p, '/'), lambda x: ends_with(x, ' ') or ends_with(x, '.'))) > 0 then 'trailing'
+        when regexp_matches(p, '[<>:"|?*]') then 'character' when len(list_filter(string_split(p, '/'), lambda x: upper(string_split(x, '.')[1]) in ('CON', 'PRN', 'AUX', 'NUL'))) > 0 then 'reserved' end as problem
+    from t
+""")
+def safe_path_check(spark, sf_dir):
+    k = F.col("page_id") % 8
+    path = F.when(k == 0, F.replace("url", F.lit("https://"), F.lit(""))).when(k == 1, F.concat(F.lit("/"), "url")).when(k == 2, "a/../b").when(k == 3, "a/con.txt").when(k == 4, "dir/name.").when(k == 5, "C:x").when(k == 6, "a\\b")
+    path = path.otherwise(F.concat(F.lit("ok/file-"), F.col("page_id"), F.lit(".png")))
+    return read(spark, sf_dir, "pages").select("page_id", X.path_problem(path).alias("problem"))
+
+
+@query("select cast(c.range as integer) as cycle, cast(p.range as integer) as position, 'DISC-' || c.range || '_' || lpad(cast(p.range as varchar), cast(greatest(2, length(cast(p.range as varchar))) as integer), '0') || '.jpg' as name from range(5) c, range(1, 121, 7) p")
+def expected_filenames(spark, sf_dir):
+    rows = spark.range(5).select(F.col("id").cast("int").alias("cycle"), F.explode(F.sequence(F.lit(1), F.lit(120), F.lit(7))).alias("position"))
+    return rows.withColumn("name", X.expected_name("{cycle}_{position}.jpg", F.concat(F.lit("DISC-"), "cycle"), F.col("position"), 2))
+
+
+@query("""
+    select l_orderkey, 'disc-prediction-' || left(sha256('1|' || array_to_string(list_transform(list_sort(list(struct_pack(frame := l_linenumber, id := 'p' || l_partkey))), lambda x: x.frame || ':' || x.id), '|')), 24) as prediction_id
+    from lineitem group by l_orderkey
+""")
+def prediction_ids(spark, sf_dir):
+    links = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("frame"), F.concat(F.lit("p"), "l_partkey").alias("id"))))
+    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(links.alias("links")).select("l_orderkey", G.prediction_id(F.lit(1), F.col("links")).alias("prediction_id"))
+
+
+@query(f"select sequence, event_type, run_id from {sql('run_events')} where sequence > 250 order by sequence limit 100")
+def event_page(spark, sf_dir):
+    return events.event_page(adapted(spark, sf_dir, "run_events"), 250, 100).select("sequence", "event_type", "run_id")
+
+
+@query(f"""
+    with e as (select sequence from {sql("run_events")}), r as (select sequence from e where sequence > (select max(sequence) from e) - 500)
+    select range * 150 as after, (select min(sequence) from r) as oldest, (select max(sequence) from r) as latest, range > 0 and range * 150 < (select min(sequence) from r) - 1 as gap from range(100)
+""")
+def event_gap(spark, sf_dir):
+    return events.gaps(events.retained(adapted(spark, sf_dir, "run_events"), 500), spark.range(100).selectExpr("id * 150 as after"))
+
+
+@query(f"select sequence, event_type from {sql('run_events')} order by sequence desc limit 500")
+def event_retention(spark, sf_dir):
+    return events.retained(adapted(spark, sf_dir, "run_events"), 500).select("sequence", "event_type")
+
+
+@query(f"select run_id, max(sequence) as sequence, arg_max(event_type, sequence) as event_type, arg_max(value, sequence) as value from {sql('run_events')} group by run_id")
+def latest_progress(spark, sf_dir):
+    return events.latest(adapted(spark, sf_dir, "run_events"), "run_id", "event_type", "value")
+
+
+REQUESTS = ["run_id", "sequence", "sequence * 3 as at", "concat('w', sequence % 3) as owner", "cast(40 as bigint) as seconds"]
+
+
+@query(f"""
+    with recursive q as (select run_id, sequence, sequence * 3 as asked, 'w' || sequence % 3 as owner, 40 as seconds, row_number() over (partition by run_id order by sequence) as nth from {sql("run_events")}),
+    s as (
+        select run_id, sequence, nth, owner, asked + seconds as until, true as granted from q where nth = 1
+        union all
+        select q.run_id, q.sequence, q.nth, case when s.owner = q.owner or s.until <= q.asked then q.owner else s.owner end, case when s.owner = q.owner or s.until <= q.asked then q.asked + q.seconds else s.until end, s.owner = q.owner or s.until <= q.asked
+        from s join q on q.run_id = s.run_id and q.nth = s.nth + 1
+    )
+    select run_id, sequence, granted from s
+""")
+def lease_state(spark, sf_dir):
+    return events.leases(adapted(spark, sf_dir, "run_events").selectExpr(*REQUESTS)).select("run_id", "sequence", "granted")
+
+
+@query(f"""
+    select run_id, stage, sequence, event_type as status from (
+        select run_id, 'stage' || sequence % 4 as stage, sequence, event_type, row_number() over (partition by run_id, sequence % 4 order by sequence desc) as nth from {sql("run_events")}) where nth = 1
+""")
+def checkpoint_upsert(spark, sf_dir):
+    e = adapted(spark, sf_dir, "run_events").selectExpr("run_id", "concat('stage', sequence % 4) as stage", "sequence", "event_type as status")
+    return lifecycle.upsert(e.where("sequence % 2 = 0"), e.where("sequence % 2 = 1"), ["run_id", "stage"], "sequence")
+
+
+@query(f"""
+    with a as (select run_id, 'stage' || sequence % 4 as stage, sequence, case sequence % 5 when 0 then 'ok' when 1 then 'error' else 'retry' end as outcome from {sql("run_events")}),
+    n as (select *, row_number() over (partition by run_id, stage order by sequence) as n from a),
+    e as (select run_id, stage, min(n) as stop from n where outcome <> 'retry' or n >= 3 group by all),
+    m as (select n.* from n left join e using (run_id, stage) where stop is null or n.n <= stop)
+    select run_id, stage, max(n) as attempts, case when arg_max(outcome, n) = 'ok' then 'completed' when arg_max(outcome, n) = 'error' or max(n) >= 3 then 'failed' else 'running' end as status from m group by all
+""")
+def retry_fold(spark, sf_dir):
+    e = adapted(spark, sf_dir, "run_events")
+    outcome = F.when(F.col("sequence") % 5 == 0, "ok").when(F.col("sequence") % 5 == 1, "error").otherwise("retry")
+    return events.retry_state(e.select("run_id", F.concat(F.lit("stage"), F.col("sequence") % 4).alias("stage"), "sequence", outcome.alias("outcome")))
+
+
+@query(f"select sequence, run_id, case when nth > 1 then 'duplicate' when place <= 8 then 'queued' else 'full' end as decision from (select *, count_if(nth = 1) over (order by sequence) as place from (select sequence, run_id, row_number() over (partition by run_id order by sequence) as nth from {sql('run_events')}))")
+def queue_admission(spark, sf_dir):
+    return events.admitted(adapted(spark, sf_dir, "run_events").select("sequence", "run_id"), 8)
+
+
+@query("select true as ready, 0 as missing")
+def health(spark, sf_dir):
+    out = metadata.ready(spark.createDataFrame([("database", True), ("models", True), ("events", True)], "component string, ready boolean"))
+    return out.select("ready", F.size("missing").alias("missing"))
