@@ -85,6 +85,8 @@ def peak_table(profiles: DataFrame, group: str, **options) -> DataFrame:
             found = flash_angles(scores, **options)
         except ValueError:
             found = []
+        if not found:
+            return pd.DataFrame()
         return pd.DataFrame({group: [rows[group].iloc[0]] * len(found), "place": range(len(found)), "angle": found})
 
     kind = profiles.schema[group].dataType.simpleString()

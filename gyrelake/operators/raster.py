@@ -94,7 +94,7 @@ def opening(acquired: DataFrame, width: int, height: int, cx: int, cy: int, grou
                 break
             seen = grown
         if not seen.any() or seen[0].any() or seen[-1].any() or seen[:, 0].any() or seen[:, -1].any():
-            return pd.DataFrame({group: [], "area": [], "radius": []})
+            return pd.DataFrame()
         y, x = np.nonzero(seen)
         return pd.DataFrame({group: [rows[group].iloc[0]], "area": [len(x)], "radius": [float(np.hypot(x - cx, y - cy).max())]})
 
