@@ -24,8 +24,7 @@ MOST_FILES, MOST_BYTES, MOST_RATIO = 10_000, 20 << 30, 200
 def listing(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """path, relative, name, length of the files below a folder, without their content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    root = F.lit(folder.rstrip("/") + "/")
-    relative = F.substring_index(F.col("path"), root, -1)
+    relative = F.substring_index(F.col("path"), folder.rstrip("/") + "/", -1)
     return files.select("path", relative.alias("relative"), F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
@@ -134,7 +133,7 @@ def archive_entries(spark: SparkSession, path: str) -> DataFrame:
 
 def documents(spark: SparkSession, path: str, schema: str, most: int = 10 << 20) -> DataFrame:
     """path, value and problem of JSON documents: too long, not of the schema, or with fields that it lacks."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", F.decode("content", F.lit("UTF-8")).alias("body"))
+    files = spark.read.format("binaryFile").load(path).select("path", "length", F.decode("content", "UTF-8").alias("body"))
     parsed = files.withColumn("value", F.from_json("body", schema, {"mode": "PERMISSIVE"})).withColumn("fields", F.json_object_keys("body"))
     known = F.array(*[F.lit(f) for f in spark.createDataFrame([], schema).columns])
     problem = F.when(F.col("length") > most, "length").when(F.col("fields").isNull(), "json").when(F.size(F.array_except("fields", known)) > 0, "extra")
