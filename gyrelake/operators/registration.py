@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyrelake.functions.geometry import FRAMES, STEP_DEGREES, registration_confidence
+from gyrelake.functions.geometry import FRAMES, STEP_DEGREES, ray_interval, registration_confidence
 
 
 def next_frame(frame: str = "frame", group: str = "acq"):
@@ -54,6 +54,23 @@ def robust_center(pairs: DataFrame, group: str = "acq", least: int = 5) -> DataF
     return kept.where(F.col("accepted") >= least).groupBy(group).agg(F.first("fx").alias("x"), F.first("fy").alias("y"), F.first("m").alias("candidates"), F.first("accepted").alias("accepted"), F.first("bound").alias("bound"), spread)
 
 
+RAYS = 4097
+
+
+def radial_bands(calibrations: DataFrame, group: str = "acq") -> DataFrame:
+    """inner and outer whole-pixel radius that every ray of a 22.5 degree sector covers inside the region of interest.
+
+    calibrations: group, cx, cy, left, top, right, bottom, ray (degrees). ``RAYS`` evenly spread rays,
+    a margin of two pixels; a sector with a ray that misses, or without a band, gives no row.
+    """
+    spread = calibrations.select("*", F.explode(F.sequence(F.lit(0), F.lit(RAYS - 1))).alias("k"))
+    angle = F.radians(F.col("ray") - STEP_DEGREES / 2 + STEP_DEGREES * F.col("k") / (RAYS - 1))
+    hit = ray_interval(*map(F.col, ("cx", "cy", "left", "top", "right", "bottom")), angle)
+    seen = spread.withColumn("hit", F.when(hit["far"] > hit["near"], hit)).groupBy(group)
+    band = seen.agg(F.count("hit").alias("hits"), F.ceil(F.max("hit.near") + 2).alias("inner"), F.floor(F.min("hit.far") - 2).alias("outer"))
+    return band.where((F.col("hits") == RAYS) & (F.col("outer") > F.col("inner"))).select(group, "inner", "outer")
+
+
 def ring_solution(source: np.ndarray, target: np.ndarray, correction: np.ndarray, weight: np.ndarray, frames: int = FRAMES, anchor: float = 1000.0) -> np.ndarray:
     """Corrections c with c[target] - c[source] = correction in the least-squares sense, c[1] held at 0."""
     a, b = np.zeros((len(source) + 1, frames)), np.zeros(len(source) + 1)

@@ -13,7 +13,7 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 def spark():
     from gyrelake.session import build_session
 
-    session = build_session("tests", "local[4]", 8)
+    session = build_session("tests", "local[4]", 4)
     yield session
     session.stop()
 

@@ -2,13 +2,15 @@
 
 import datetime as dt
 import io
+import math
 import struct
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from gyrelake.plans import lifecycle, metadata
+from gyrelake.operators import registration
+from gyrelake.plans import contracts, lifecycle, metadata
 from gyrelake.sources import files
 from gyrelake.streaming import cycles, events
 
@@ -90,6 +92,33 @@ def test_publish_replaces_whole_tables(spark, tmp_path):
         lifecycle.canonical_json(float("nan"))
 
 
+def test_contract_rules(spark):
+    schema = "id string, inference_enabled boolean, mode string, threshold double, sahi boolean, reconstruction_enabled boolean, segments int, degrees double, model_bundle_id string, intake string, automatic boolean"
+    data = [
+        ("good", True, "sahi", 0.5, True, True, 16, 22.5, "m", "manual_folder", None),
+        ("bare", False, None, None, None, False, None, None, None, "manual_folder", None),
+        ("turn", False, None, None, None, True, 16, 22.0, None, "automatic_folder", True),
+        ("slices", True, "direct", 0.5, True, False, None, None, None, "automatic_folder", None),
+    ]
+    got = metadata.violations(spark.createDataFrame(data, schema), F.col("id"), contracts.pipeline_rules()).collect()
+    assert {(r.key, r.rule) for r in got} == {("bare", "some_stage"), ("turn", "full_turn"), ("slices", "no_slices_for_direct"), ("slices", "model_with_inference"), ("slices", "automatic_settings")}
+    names = spark.createDataFrame([("{cycle}_{position}.jpg",), ("{cycle}.jpg",), ("{cycle}_{position}{x}",), ("a/{cycle}{position}",)], "filename_template string")
+    got = metadata.violations(names, F.col("filename_template"), contracts.template_rules()).collect()
+    assert {(r.key, r.rule) for r in got} == {("{cycle}.jpg", "one_position"), ("{cycle}_{position}{x}", "no_other_braces"), ("a/{cycle}{position}", "safe_characters")}
+    schema = "id string, side string, strategy string, plate_only boolean, screens boolean, angles array<double>, replaces_screens boolean, offset double, median_limit double, most_limit double"
+    ten = [float(x) for x in range(10)]
+    data = [("u", "upper", "upper_black_plate", True, False, [], False, None, 3.0, 8.0), ("l", "lower", "lower_complete_assembly", False, True, ten, True, 1.0, 3.0, 8.0), ("x", "upper", "upper_black_plate", True, False, None, False, 2.0, 9.0, 8.0), ("y", "lower", "lower_complete_assembly", False, True, ten[:9], False, None, 3.0, 8.0)]
+    got = metadata.violations(spark.createDataFrame(data, schema), F.col("id"), contracts.center_rules()).collect()
+    assert {(r.key, r.rule) for r in got} == {("x", "upper_has_no_offset"), ("x", "limits"), ("y", "ten_angles")}
+
+
+def test_radial_band(spark):
+    data = [(1, 0.0, 0.0, -50.0, 100.0, 50.0, 300.0, 90.0), (2, 0.0, 0.0, 0.0, 100.0, 1.0, 300.0, 90.0)]
+    got = registration.radial_bands(spark.createDataFrame(data, "acq int, cx double, cy double, left double, top double, right double, bottom double, ray double")).collect()
+    edge = 100 / math.cos(math.radians(11.25))
+    assert [(r.acq, r.inner, r.outer) for r in got] == [(1, math.ceil(edge + 2), math.floor(50 / math.sin(math.radians(11.25)) - 2))]
+
+
 def png(width, height):
     return b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", width, height) + b"\x08\x02\0\0\0"
 
