@@ -34,7 +34,7 @@ from gyrelake.llm.common import Scratch, TwoGenerations, groups
 
 CAPACITY, END_ID = 1024, 2
 ROUNDS, RATE = 300, 0.1
-CACHE = 400_000
+CACHE = 700_000
 #: White space and a word of Latin letters before ASCII punctuation or white space, or else all up to
 #: the next white space.
 _CUTS = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[!-/:-@\[-`{-~\s]|\Z)|\s*\S+|\s+\Z")
@@ -77,8 +77,9 @@ class WordIds:
     def of(self, texts: list[str]) -> list[bytes]:
         cut = [None if any(c in t for c in _ODD) else _CUTS.findall(t) for t in texts]
         missing = self.cache.absent(set(itertools.chain.from_iterable(c for c in cut if c)))
-        words = [c for c in missing if _WORD.fullmatch(c)] if self.lines else []
-        other = [c for c in missing if not _WORD.fullmatch(c)] if self.lines else missing
+        words, other = [], []
+        for c in missing:
+            (words if self.lines and _WORD.fullmatch(c) else other).append(c)
         for cuts, encode in ((words, self._words), (other, self._ids)):
             for at in range(0, len(cuts), 4096):
                 part = cuts[at : at + 4096]
