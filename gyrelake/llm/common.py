@@ -110,6 +110,22 @@ class TwoGenerations(dict):
         return missing
 
 
+_holder: list = ["", ()]
+
+
+def claim(owner: str, *caches: dict) -> None:
+    """Says that an operator uses these caches in this worker now; those of another operator are emptied.
+
+    A worker serves one operator after another, and what the last one remembered would only add up.
+    """
+    if _holder[0] != owner:
+        for cache in _holder[1]:
+            cache.clear()
+            if isinstance(cache, TwoGenerations):
+                cache.old = {}
+    _holder[:] = [owner, caches]
+
+
 #: Words of the contracts: lower case A-Z only, split at bytes 0x20 and 0x09-0x0D.
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()

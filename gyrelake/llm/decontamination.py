@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyrelake.llm.common import groups
+from gyrelake.llm.common import claim, groups
 
 Q, BUDGET = 8, 0.1
 BLOCK_CHARS = 16_000_000
@@ -217,6 +217,7 @@ def _matches(spark: SparkSession, docs: DataFrame, items: list[tuple[int, str]],
     arrow = pa.list_(pa.struct([("item_id", pa.int64() if kind in ("bigint", "int") else pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("decontamination")
         for part, texts in groups(batches):
             found = [[{"item_id": i, "start": s, "end": e, "edits": d} for i, s, e, d in index.value.matches(t)] for t in texts]
             found = [f + (b or []) for f, b in zip(found, part.column(2).to_pylist(), strict=True)]
@@ -247,6 +248,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
         index = spark.sparkContext.broadcast(Index(items))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            claim("decontamination")
             for part, texts in groups(batches):
                 yield part.filter(pa.array([not index.value.matches(t) for t in texts], pa.bool_()))
 

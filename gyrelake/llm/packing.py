@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gyrelake.llm.common import Scratch, TwoGenerations, groups
+from gyrelake.llm.common import Scratch, TwoGenerations, claim, groups
 
 CAPACITY, END_ID = 1024, 2
 ROUNDS, RATE = 300, 0.1
@@ -101,6 +101,7 @@ def token_pieces(docs: DataFrame, model: str, capacity: int = CAPACITY, end_id:
         words = _loaded.get(model)
         if words is None:
             words = _loaded[model] = WordIds(model)
+        claim("packing", words.cache)
         seen, pid = Counter(), TaskContext.get().partitionId()
         for part, texts in groups(batches):
             out: list[list] = [[] for _ in range(6)]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyrelake.llm.common import groups
+from gyrelake.llm.common import claim, groups
 
 SAMPLE, KEEP = 3000, 0.5
 BUCKETS = 1024
@@ -170,6 +170,7 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
     """The votes on each document, as one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for _, texts in groups(batches):
             yield pa.record_batch({"votes": pa.array([votes(Look(t)) for t in texts], pa.int32())})
 

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gyrelake.llm.common import TwoGenerations, groups
+from gyrelake.llm.common import TwoGenerations, claim, groups
 
 _CUTS = re.compile("\n[^ ▁\n]*|[ ▁]+[^ ▁\n]+|[^ ▁\n]+|[ ▁]+")
 BATCH_BYTES = 1 << 20
@@ -85,6 +85,7 @@ def count_tokens(docs: DataFrame, model: str, over: int = OVER) -> DataFrame:
         counter = _loaded.get(model)
         if counter is None:
             counter = _loaded[model] = PieceLengths(model)
+        claim("token counts", counter.cache)
         for part, texts in groups(batches):
             n = counter.lengths(texts)
             yield pa.record_batch({"doc_id": part.column(0), "n_bytes": pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([x > over for x in n], pa.bool_())})
