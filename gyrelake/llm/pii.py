@@ -40,13 +40,26 @@ FOR = {
 }
 AGAINST = {"version", "isbn", "order", "invoice", "serial", "sku", "part"}
 
+#: Characters of an IBAN by country; for a country that is not here, every length from 15 to 34 is tried.
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE BI", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE IM JE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BF CF CM CG CI DJ FR GA GR IT MC MG MR SM", 28: "AL AZ BJ BY CY DO GT HN HU LB ML NI PL SN SV TG",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 # A match never ends inside a run of digits, so that a new one begins where a run begins.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+_IBAN_NEXT = re.compile(r" ?[A-Z0-9]")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NEAR_PHONE = re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -78,6 +91,27 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, end))
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Each country and check number takes as many characters as its country has, spaces aside, up to the end of a word.
+
+    A country without a known length takes the longest stretch of 15 to 34 characters that passes.
+    """
+    end = 0
+    for m in _IBAN.finditer(text):
+        if m.start() < end:
+            continue
+        known, compact, at = IBAN_LENGTHS.get(m[0][:2]), m[0], m.end()
+        found = 0
+        while len(compact) < (known or 34) and (x := _IBAN_NEXT.match(text, at)):
+            compact, at = compact + text[x.end() - 1], x.end()
+            ended = at == len(text) or not (text[at].isascii() and text[at].isalnum())
+            if ended and (len(compact) == known if known else len(compact) >= 15) and mod97(compact):
+                found = at
+        if found:
+            end = found
+            yield m.start(), end
+
+
 def _score(kind: str, text: str, start: int, end: int) -> float:
     near = {w.lower() for w in _WORD.findall(text[max(0, start - WINDOW) : start] + " " + text[end : end + WINDOW])}
     score = PRIOR[kind] + CHECKED.get(kind, 0.0) + 0.3 * bool(near & FOR[kind]) - 0.3 * bool(near & AGAINST)
@@ -104,7 +138,7 @@ def spans(text: str) -> list[tuple[int, int, str, float]]:
             if 9 <= len(_digits(m[0])) <= 15:
                 found.append((*m.span(), "phone"))
     taken = sorted(x[:2] for x in found)
-    more = [(*m.span(), "iban") for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+    more = [(*x, "iban") for x in ibans(text)]
     more += [(*m.span(), "ssn") for m in _SSN.finditer(text)]
     more += [(*m.span(), "local_phone") for m in _NEAR_PHONE.finditer(text)]
     out = [(s, e, k, _score(k, text, s, e)) for s, e, k in found]

@@ -63,3 +63,25 @@ def test_digest_and_edges(spark):
     docs = spark.createDataFrame([(1, "a@b.cc", "de", 6), (2, None, None, None)], "doc_id long, text string, lang string, n_chars long")
     assert sorted(map(tuple, pii.redact_documents(docs).collect())) == [(1, "[EMAIL]", "de", 7), (2, None, None, None)]
     assert pii.pii_digest(docs.limit(0)).collect() == []
+
+
+def test_iban_ends_with_its_country_length():
+    """Whatever follows a valid number, or stands before it, its span is the number alone."""
+    for iban in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "FR14 2004 1010 0505 0001 3M02 606"):
+        for after in ("", " Please pay", " BIC COBADEFFXXX", " I pay", " 2 days", " VAT 12", ", ok", " ok", " " + iban):
+            for before in ("", "to ", "BIC COBADEFFXXX ", "DE12 "):
+                text = before + iban + after
+                found = [(s, e) for s, e, k, _ in pii.spans(text) if k == "iban"]
+                twice = [(len(before) + len(iban) + 1, len(text))] if after.strip() == iban else []
+                assert found == [(len(before), len(before) + len(iban)), *twice], text
+    assert pii.redact("DE89370400440532013000 Please pay") == "[IBAN] Please pay"
+
+
+def test_iban_of_an_unknown_length():
+    """A country that has no entry takes the longest stretch that passes mod-97."""
+    body = "0011223344556677"
+    check = 98 - int("".join(str(int(c, 36)) for c in body + "ZZ00")) % 97
+    iban = f"ZZ{check:02d}{body}"
+    assert [x[:3] for x in pii.spans(f"{iban} Please pay")] == [(0, len(iban), "iban")]
+    assert pii.spans(f"{iban}x") == []
+    assert pii.spans("DE89370400440532013000X") == []
