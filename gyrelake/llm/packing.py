@@ -5,9 +5,9 @@
 2. The histogram of piece lengths (at most ``capacity`` rows) goes to the driver. The
    configuration program min sum(x_c), sum(a_cl x_c) >= n_l is solved by multiplicative weights:
    every round prices a configuration by an unbounded knapsack over the present weights, adds
-   copies of it, and lowers the weights of what it covers.
-3. The fractional copies are rounded down within the supply; what is left is packed by exact
-   subset sums around its longest length, each pattern as often as the supply allows.
+   copies of it, and lowers the weights of what it covers, until every length is covered.
+3. The fractional copies are rounded down within the supply; what the rounding leaves is packed by
+   exact subset sums around its longest length, each pattern as often as the supply allows.
 4. A pattern's places are ranges of ranks among the pieces of one length, so that each piece
    finds its sequence and offset from its own rank; no group of pieces meets in one task.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from gyrelake.llm.common import Scratch, TwoGenerations, claim, groups
 
 CAPACITY, END_ID = 1024, 2
-ROUNDS, RATE = 300, 0.1
+RATE = 0.1
 CACHE = 700_000
 #: White space and a word of Latin letters before ASCII punctuation or white space, or else all up to
 #: the next white space.
@@ -120,40 +120,39 @@ def token_pieces(docs: DataFrame, model: str, capacity: int = CAPACITY, end_id:
 def price(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
     """The configuration of greatest weight: unbounded knapsack by dynamic programming."""
     best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    worth = np.full(capacity + 1, -np.inf)  # by length, so that a room needs slices alone
+    worth[lengths] = weights
     for room in range(1, capacity + 1):
         best[room] = best[room - 1]
-        k = int(np.searchsorted(lengths, room, "right"))
-        if k:
-            value = best[room - lengths[:k]] + weights[:k]
-            top = int(value.argmax())
-            if value[top] > best[room]:
-                best[room], took[room] = value[top], top
+        value = best[room - 1 :: -1] + worth[1 : room + 1]
+        top = int(value.argmax())
+        if value[top] > best[room]:
+            best[room], took[room] = value[top], top + 1
     config, room = Counter(), capacity
     while room > 0:
         if took[room] < 0:
             room -= 1
         else:
-            config[int(lengths[took[room]])] += 1
-            room -= int(lengths[took[room]])
+            config[int(took[room])] += 1
+            room -= int(took[room])
     return dict(config)
 
 
-def fractional(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[dict[int, int], float]]:
+def fractional(histogram: dict[int, int], capacity: int, rate: float = RATE) -> list[tuple[dict[int, int], float]]:
     """Configurations and their fractional copies by multiplicative weights.
 
     A round takes the configuration of greatest weight as often as the uncovered supply allows; the
     weights of what it uses fall by (1 - rate) for their covered share, and a length that is wholly
-    covered leaves, so that nothing is covered twice. Long lengths begin with more weight than
-    their share of the capacity, as they fit into fewer configurations.
+    covered leaves, so that nothing is covered twice. It ends when less than a piece of every length
+    is uncovered; a round covers one length at least, so there are at most ``capacity`` rounds. Long
+    lengths begin with more weight than their share of the capacity, as they fit into fewer
+    configurations.
     """
     lengths = np.array(sorted(histogram), np.int64)
     supply = np.array([histogram[int(x)] for x in lengths], float)
     weights, left = (lengths / capacity) ** 1.1, supply.copy()
     found: Counter = Counter()
-    for _ in range(rounds):
-        active = np.flatnonzero(left >= 1)
-        if not len(active):
-            break
+    while len(active := np.flatnonzero(left >= 1)):
         config = price(weights[active], lengths[active], capacity)
         at = {x: int(np.searchsorted(lengths, x)) for x in config}
         step = min(left[at[x]] / a for x, a in config.items())
@@ -202,9 +201,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict
     if full := left.pop(capacity, 0):
         out.append(({capacity: 1}, full))
     for config, copies in sorted(fractional(left, capacity), key=lambda c: -sum(x * a for x, a in c[0].items())):
-        if sum(x * a for x, a in config.items()) < capacity:
-            continue  # only full patterns are kept; the rest is packed anew
-        times = min(int(copies), *(left[x] // a for x, a in config.items()))
+        times = min(int(copies + 1e-6), *(left[x] // a for x, a in config.items()))
         if times > 0:
             out.append((config, times))
             for x, a in config.items():

@@ -81,6 +81,23 @@ def test_plan_is_near_the_bound(seed):
     assert sum(t for _, t in patterns) <= max(big, -(-int(lengths.sum()) // 1024)) * 1.01 + 2
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_program_covers_every_length(seed):
+    """Less than a piece of each length is uncovered, and rounding leaves little to the subset sums."""
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(1, 1024, 100_000) if seed % 2 else np.minimum(1023, rng.lognormal(5, 1, 200_000).astype(int) + 1)
+    histogram = dict(Counter(lengths.tolist()))
+    found, covered, whole = packing.fractional(histogram, 1024), Counter(), 0
+    for config, copies in found:
+        assert sum(x * a for x, a in config.items()) <= 1024
+        for x, a in config.items():
+            covered[x] += a * copies
+            whole += x * a * int(copies)
+    assert all(n - 1 <= covered[x] <= n + 1e-6 for x, n in histogram.items())
+    assert whole >= 0.98 * lengths.sum()
+    assert sum(t for _, t in packing.plan(histogram)) <= max((lengths > 512).sum(), -(-int(lengths.sum()) // 1024)) * 1.002
+
+
 def test_price_is_the_best_knapsack():
     lengths, weights = np.array([3, 4, 7]), np.array([0.4, 0.55, 1.0])
     config = packing.price(weights, lengths, 10)
