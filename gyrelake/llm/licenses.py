@@ -7,7 +7,8 @@ class a text is read in windows of 2 * s shingles every s shingles, so that ever
 shingles lies wholly inside one window. A window that holds ``CONTAINED`` of a template has a
 Jaccard similarity of at least 0.19 with it; with ``BANDS`` bands of one MinHash row each it is
 missed with a probability below (1 - 0.19) ** BANDS = 2e-4, and a whole template (at least 0.25)
-below 1e-5. Retrieved pairs are verified by exact shingle containment.
+below 1e-5. Retrieved windows of a text that meet are read as one stretch, in which exact shingle
+containment finds every place of the template on its own (``stretches``).
 
 Templates are broadcast in blocks of at most ``BLOCK_WORDS`` words. Null or blank templates match
 nothing; a null text counts as empty; null ids stay; repeated rows are scanned one by one; other
@@ -16,8 +17,9 @@ columns are ignored; texts are whole and empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,18 +83,18 @@ class Templates:
     def __init__(self, rows: list[tuple[str, str]]):
         self.names: list = []
         self.sets: list[np.ndarray] = []
-        self.words: list[int] = []
+        self.parts: list[tuple[np.ndarray, int]] = []  # times of each shingle, and all of them
         self.classes: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for name, text in rows:
             hashes = _stripped.array(words_of_template(text or ""))
             if not len(hashes):
                 continue
             n = min(WORDS, len(hashes))
-            found = np.unique(ordered(hashes, n))
+            found, times = np.unique(ordered(hashes, n), return_counts=True)
             k = len(self.names)
             self.names.append(name)
             self.sets.append(found)
-            self.words.append(len(hashes))
+            self.parts.append((times, int(times.sum())))
             self.classes[n][1 << (len(found) - 1).bit_length()].append(k)
         self.classes = {n: dict(c) for n, c in self.classes.items()}
         self.bands: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -137,7 +139,7 @@ class Templates:
             at = np.flatnonzero(h)
             hashes.append(h[at])
             ats.append(at)
-        best: list[dict[tuple[int, int], tuple[float, int, int]]] = [{} for _ in texts]
+        best: list[list[tuple[int, float, int, int]]] = [[] for _ in texts]
         for n, classes in self.classes.items():
             pad = max(classes)
             parts = [ordered(h, n) for h in hashes]
@@ -149,33 +151,67 @@ class Templates:
                 blank[s : s + len(g)] = False
             if not len(grams):
                 continue
+            reach: dict[tuple[int, int], list[list[int]]] = {}
             for k, w in self._retrieve(grams, blank, n):
                 size = 1 << (len(self.sets[k]) - 1).bit_length()
                 # a window over the end of a text also shows the next text's first block
                 for d in {int(np.searchsorted(starts, x, "right")) - 1 for x in (w, min(w + size, len(grams) - 1))}:
-                    a, own = max(0, w - int(starts[d])), parts[d]
-                    inside = np.isin(own[a : max(0, w + 2 * size - int(starts[d]))], self.sets[k])
-                    where = np.flatnonzero(inside)
-                    share = len(np.unique(own[a + where])) / len(self.sets[k])
-                    if share >= CONTAINED:
-                        hit = (share, a + int(where[0]), a + int(where[-1]) + n)
-                        key = (k, hit[1])
-                        best[d][key] = max(best[d].get(key, hit), hit)
+                    a, b = max(0, w - int(starts[d])), min(len(parts[d]), w + 2 * size - int(starts[d]))
+                    meets = reach.setdefault((d, k), [[a, b]])
+                    if a <= meets[-1][1]:
+                        meets[-1][1] = max(b, meets[-1][1])
+                    else:
+                        meets.append([a, b])
+            for (d, k), meets in reach.items():
+                for a, b in meets:
+                    best[d] += [(k, share, a + x, a + y + n) for share, x, y in self.stretches(k, parts[d][a:b])]
         return [self._places(t, at, b) if b else [] for t, at, b in zip(texts, ats, best, strict=True)]
 
-    def _places(self, text: str, at: np.ndarray, best: dict) -> list[tuple[str, int, int, float]]:
+    def stretches(self, k: int, grams: np.ndarray) -> list[tuple[float, int, int]]:
+        """(containment, first, last shingle) of the places of a template, which share no shingle.
+
+        A stretch ends where enough shingles of the template were met; it begins as late as it can.
+        Of the stretches that end within the template's length after that one, the densest is the place, so that a
+        copy is neither cut nor begun in the rest of another; a shingle more often than in the template
+        begins anew.
+        """
+        own, (times, total) = self.sets[k], self.parts[k]
+        index = np.searchsorted(own, grams)
+        index[index == len(own)] = 0
+        where = np.flatnonzero(own[index] == grams)
+        at, which = where.tolist(), index[where].tolist()
+        need, far = math.ceil(CONTAINED * len(own) - 1e-9), 2 << (len(own) - 1).bit_length()
+        out, first = [], 0
+        while first < len(at):
+            seen: Counter = Counter()
+            i, top, until = first, None, None
+            for j in range(first, len(at)):
+                if until is not None and at[j] > until:
+                    break
+                seen[which[j]] += 1
+                while i < j:  # the first shingle goes where it is too far, once too often, or makes the stretch less dense
+                    left = len(seen) - (seen[which[i]] == 1)
+                    room, less = max(total, at[j] - at[i] + 1), max(total, at[j] - at[i + 1] + 1)
+                    if at[j] - at[i] < far and seen[which[i]] <= times[which[i]] and not (left >= need and left * room > len(seen) * less):
+                        break
+                    seen[which[i]] -= 1
+                    if not seen[which[i]]:
+                        del seen[which[i]]
+                    i += 1
+                if len(seen) >= need:
+                    until = at[j] + total if until is None else until
+                    density = len(seen) / max(total, at[j] - at[i] + 1)
+                    if top is None or density > top[0] or (density == top[0] and at[i] == top[2] and at[j] - at[i] < total):
+                        top = (density, len(seen) / len(own), at[i], at[j], j)
+            if top is None:
+                break
+            out.append(top[1:4])
+            first = top[4] + 1
+        return out
+
+    def _places(self, text: str, at: np.ndarray, best: list) -> list[tuple[str, int, int, float]]:
         spans = [m.span() for m in _TOKEN.finditer(text)]
-        out, last = [], {}
-        for (k, _), (share, a, b) in sorted(best.items()):
-            found = (self.names[k], spans[at[a]][0], spans[at[b - 1]][1], share)
-            if k in last and a < last[k][1]:  # an overlapping window of the same place
-                if share > last[k][2]:
-                    out[-1] = found
-                    last[k] = (a, b, share)
-                continue
-            last[k] = (a, b, share)
-            out.append(found)
-        return sorted(out, key=lambda m: (m[1], str(m[0])))
+        return sorted(((self.names[k], spans[at[a]][0], spans[at[b - 1]][1], share) for k, share, a, b in best), key=lambda m: (m[1], str(m[0])))
 
     def matches(self, text: str) -> list[tuple[str, int, int, float]]:
         return self.matches_of([text])[0]

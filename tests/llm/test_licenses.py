@@ -61,3 +61,28 @@ def test_query_and_edges(spark):
     assert got == {(1, 1, "MIT"), (None, 1, "Apache-2.0"), (2, 0, ""), (3, 0, "")}
     assert lic.license_report(spark, docs.limit(0), templates).collect() == []
     assert {r.n_matches for r in lic.license_report(spark, docs, templates.limit(0)).collect()} == {0}
+
+
+def test_repeated_notices_have_a_span_each():
+    """Whole notices in any number and order: the spans are those that a search for the texts themselves gives."""
+    rng = random.Random(1)
+    templates = lic.Templates(lic.TEMPLATES)
+    texts = [((name, text),) * times for name, text in lic.TEMPLATES for times in (1, 2, 3, 6, 10)]
+    texts += [tuple(rng.choice(lic.TEMPLATES) for _ in range(rng.randrange(1, 9))) for _ in range(200)]
+    for chosen in texts:
+        text, want = "", []
+        for name, notice in chosen:
+            text += " ".join(f"filler{rng.randrange(99)}" for _ in range(rng.choice([0, 0, 1, 3, 9]))) + " "
+            want.append((name, len(text), len(text) + len(notice)))
+            text += notice + " "
+        assert [m[:3] for m in templates.matches(text)] == want, text
+
+
+def test_a_damaged_copy_takes_nothing_of_the_next():
+    """The rest of a notice before a whole one is no part of its place."""
+    name, notice = lic.TEMPLATES[4]
+    words = notice.split()
+    for rest in (words[12:], words[:6], words[-7:]):
+        text = " ".join([*rest, "and", *words])
+        start = len(" ".join([*rest, "and"])) + 1
+        assert [m[:3] for m in lic.Templates(lic.TEMPLATES).matches(text)] == [(name, start, start + len(notice))], text
