@@ -17,7 +17,9 @@ columns are ignored; texts are whole and empty tables give empty results.
 
 from __future__ import annotations
 
+import json
 import math
+import pkgutil
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -63,6 +65,11 @@ TEMPLATES = [
 ]
 
 
+def production_templates() -> list[tuple[str, str]]:
+    """Whole texts of common licences, their usual notices in several wordings, and SPDX lines: the package's data and ``TEMPLATES``."""
+    return [*TEMPLATES, *map(tuple, json.loads(pkgutil.get_data(__package__, "license_texts.json")))]
+
+
 def words_of_template(text: str) -> list[bytes]:
     return [w for t in words_of(text) if (w := t.strip(_MARKS))]
 
@@ -105,30 +112,57 @@ class Templates:
                     order = np.argsort(mins[:, b], kind="stable")
                     self.bands[n, size, b] = (mins[order, b], np.array(members)[order])
 
-    def _retrieve(self, grams: np.ndarray, blank: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
-        """(template, first position of the window) of the pairs that share a band; ``blank`` positions hold nothing."""
+    def _levels(self, lengths: np.ndarray, n: int) -> list[tuple]:
+        """Of each power of 2 its blocks: size, the two blocks below, the next block, text and number in it.
+
+        A text takes part as long as it can hold some template of the size or above it.
+        """
+        least, top = {}, max(self.classes[n])
+        for size, members in sorted(self.classes[n].items(), reverse=True):
+            least[size] = min([math.ceil(CONTAINED * len(self.sets[k]) - 1e-9) for k in members] + list(least.values()))
+        texts, counts, begin, size, out = np.arange(len(lengths)), lengths, np.append(0, np.cumsum(lengths))[:-1], 1, []
+        while size < top:
+            size *= 2
+            kept = lengths[texts] >= min(x for at, x in least.items() if at >= size)
+            texts, below, old = texts[kept], counts[kept], begin[kept]
+            counts = (below + 1) // 2
+            begin = np.append(0, np.cumsum(counts))[:-1]
+            own = np.repeat(np.arange(len(texts)), counts)
+            if not len(own):
+                break
+            number = np.arange(len(own)) - begin[own]
+            left = old[own] + 2 * number
+            right = np.minimum(left + 1, old[own] + below[own] - 1)
+            out.append((size, left, right, np.arange(len(own)) + (number + 1 < counts[own]), texts[own], number))
+        return out
+
+    def _retrieve(self, grams: np.ndarray, lengths: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
+        """(text, template, first position of the window) of the pairs that share a band; one shingle is looked up as it is."""
         classes = self.classes[n]
-        found: set[tuple[int, int]] = set()
-        for b in range(BANDS):
+        found: set[tuple[int, int, int]] = set()
+
+        def look(keys: np.ndarray, members: np.ndarray, windows: np.ndarray, texts: np.ndarray, number: np.ndarray, size: int) -> None:
+            table = np.zeros(1 << 16, bool)
+            table[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
+            for w in np.flatnonzero(table[(windows & np.uint64(0xFFFF)).astype(np.int64)]).tolist():
+                s = int(np.searchsorted(keys, windows[w]))
+                while s < len(keys) and keys[s] == windows[w]:
+                    found.add((int(texts[w]), int(members[s]), int(number[w]) * size))
+                    s += 1
+
+        if 1 in classes:
+            texts = np.repeat(np.arange(len(lengths)), lengths)
+            number = np.arange(len(grams)) - (np.cumsum(lengths) - lengths)[texts]
+            keys, members = np.array([self.sets[k][0] for k in classes[1]]), np.array(classes[1])
+            order = np.argsort(keys, kind="stable")
+            look(keys[order], members[order], grams, texts, number, 1)
+        levels = self._levels(lengths, n)
+        for b in range(BANDS if levels else 0):
             blocks = grams * _ODD[b]
-            blocks[blank] = np.uint64(0xFFFFFFFFFFFFFFFF)
-            size = 1
-            while True:
+            for size, left, right, following, texts, number in levels:
+                blocks = np.minimum(blocks[left], blocks[right])
                 if size in classes:
-                    keys, members = self.bands[n, size, b]
-                    windows = blocks.copy()
-                    np.minimum(blocks[:-1], blocks[1:], out=windows[:-1])
-                    table = np.zeros(1 << 16, bool)
-                    table[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
-                    for w in np.flatnonzero(table[(windows & np.uint64(0xFFFF)).astype(np.int64)]).tolist():
-                        s = int(np.searchsorted(keys, windows[w]))
-                        while s < len(keys) and keys[s] == windows[w]:
-                            found.add((int(members[s]), w * size))
-                            s += 1
-                if size >= max(classes):
-                    break
-                blocks = np.minimum(blocks[0::2], blocks[1::2])
-                size *= 2
+                    look(*self.bands[n, size, b], np.minimum(blocks, blocks[following]), texts, number, size)
         return iter(sorted(found))
 
     def matches_of(self, texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
@@ -140,28 +174,18 @@ class Templates:
             hashes.append(h[at])
             ats.append(at)
         best: list[list[tuple[int, float, int, int]]] = [[] for _ in texts]
-        for n, classes in self.classes.items():
-            pad = max(classes)
+        for n in self.classes:
             parts = [ordered(h, n) for h in hashes]
-            room = [-(-len(g) // pad) * pad for g in parts]
-            starts = np.append(0, np.cumsum(room)).astype(np.int64)
-            grams, blank = np.zeros(starts[-1], np.uint64), np.ones(starts[-1], bool)
-            for g, s in zip(parts, starts[:-1].tolist(), strict=True):
-                grams[s : s + len(g)] = g
-                blank[s : s + len(g)] = False
-            if not len(grams):
-                continue
+            grams = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             reach: dict[tuple[int, int], list[list[int]]] = {}
-            for k, w in self._retrieve(grams, blank, n):
+            for d, k, a in self._retrieve(grams, np.array([len(g) for g in parts], np.int64), n):
                 size = 1 << (len(self.sets[k]) - 1).bit_length()
-                # a window over the end of a text also shows the next text's first block
-                for d in {int(np.searchsorted(starts, x, "right")) - 1 for x in (w, min(w + size, len(grams) - 1))}:
-                    a, b = max(0, w - int(starts[d])), min(len(parts[d]), w + 2 * size - int(starts[d]))
-                    meets = reach.setdefault((d, k), [[a, b]])
-                    if a <= meets[-1][1]:
-                        meets[-1][1] = max(b, meets[-1][1])
-                    else:
-                        meets.append([a, b])
+                b = min(len(parts[d]), a + 2 * size)
+                meets = reach.setdefault((d, k), [[a, b]])
+                if a <= meets[-1][1]:
+                    meets[-1][1] = max(b, meets[-1][1])
+                else:
+                    meets.append([a, b])
             for (d, k), meets in reach.items():
                 for a, b in meets:
                     best[d] += [(k, share, a + x, a + y + n) for share, x, y in self.stretches(k, parts[d][a:b])]
@@ -211,7 +235,21 @@ class Templates:
 
     def _places(self, text: str, at: np.ndarray, best: list) -> list[tuple[str, int, int, float]]:
         spans = [m.span() for m in _TOKEN.finditer(text)]
-        return sorted(((self.names[k], spans[at[a]][0], spans[at[b - 1]][1], share) for k, share, a, b in best), key=lambda m: (m[1], str(m[0])))
+        found = sorted(((self.names[k], spans[at[a]][0], spans[at[b - 1]][1], share) for k, share, a, b in best), key=lambda m: (m[1], -m[2], -m[3], str(m[0])))
+        lost, around = set(), []
+        for i, m in enumerate(found):
+            around = [(j, o) for j, o in around if o[2] > m[1]]
+            for j, o in around:
+                both = min(o[2], m[2]) - m[1]
+                if o[3] != m[3]:  # most of the place is held better by another one, as of another version of a licence
+                    k, less = (i, m) if m[3] < o[3] else (j, o)
+                    if 2 * both > less[2] - less[1]:
+                        lost.add(k)
+                if o[0] == m[0] and m[0] is not None and o[2] >= m[2] and o[3] >= m[3]:  # another wording of the same licence
+                    lost.add(i)
+            around.append((i, m))
+        out = [m for i, m in enumerate(found) if i not in lost]
+        return sorted(out, key=lambda m: (m[1], str(m[0])))
 
     def matches(self, text: str) -> list[tuple[str, int, int, float]]:
         return self.matches_of([text])[0]

@@ -10,7 +10,7 @@ from gyrelake.llm.decontamination import contamination
 from gyrelake.llm.jaccard_join import near_duplicates
 from gyrelake.llm.language import identify
 from gyrelake.llm.language_model import score
-from gyrelake.llm.licenses import TEMPLATES, license_report
+from gyrelake.llm.licenses import license_report, production_templates
 from gyrelake.llm.packing import pack
 from gyrelake.llm.pii import pii_digest
 from gyrelake.llm.quality import quality_scores
@@ -36,7 +36,7 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    templates = spark.createDataFrame(TEMPLATES, "license_id string, text string")
+    templates = spark.createDataFrame(production_templates(), "license_id string, text string")
     return license_report(spark, read_table(spark, sf_dir, "documents"), templates)
 
 

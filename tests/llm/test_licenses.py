@@ -86,3 +86,23 @@ def test_a_damaged_copy_takes_nothing_of_the_next():
         text = " ".join([*rest, "and", *words])
         start = len(" ".join([*rest, "and"])) + 1
         assert [m[:3] for m in lic.Templates(lic.TEMPLATES).matches(text)] == [(name, start, start + len(notice))], text
+
+
+def test_production_templates_know_whole_texts_and_usual_notices():
+    rows = lic.production_templates()
+    templates = lic.Templates(rows)
+    for name, text in rows:
+        framed = f"Some words before. {text} And some after."
+        assert [m for m in templates.matches(framed) if m[0] == name and m[1] <= 19 + 4 and m[2] >= 19 + len(text) - 4], (name, text[:60])
+    for text, name in (("Licensed under the MIT License", "MIT"), ("# SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"), ("// SPDX-License-Identifier: AGPL-3.0", "AGPL-3.0")):
+        assert [m[0] for m in templates.matches(text)] == [name]
+    assert templates.matches("A text about the work of the public, under a license or without.") == []
+    texts = [t for _, t in rows[:40]] + ["", "short one"]
+    assert templates.matches_of(texts) == [templates.matches(t) for t in texts]
+
+
+def test_another_version_of_a_licence_is_not_reported():
+    templates = lic.Templates(lic.production_templates())
+    for version, name in (("2", "GPL-2.0"), ("3", "GPL-3.0")):
+        for text in ("Licensed under the GNU General Public License, version {}.", "This work is licensed under the GNU General Public License, version {}.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."):
+            assert {m[0] for m in templates.matches(text.format(version))} == {name}
