@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that an operator handles at once inside an Arrow batch.
 GROUP_BYTES = 4 << 20
@@ -21,15 +22,16 @@ GROUP_BYTES = 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where the session names none (tests, a laptop), one is made and set.
+    Only a local session that names none (tests, a laptop) gets a folder of its own; on a cluster
+    executors could not see it, so that there it is an error.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
-        named = sc.getCheckpointDir()
-        if not named:
-            named = tempfile.mkdtemp(prefix="gyrelake-shared-")
-            sc.setCheckpointDir(named)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="gyrelake-shared-")
+        sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -43,6 +45,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/gyrelake-{name}-{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}
+        self.written: list[str] = []
         atexit.register(self.drop)
 
     def path(self, table: str) -> str:
@@ -50,9 +54,24 @@ class Scratch:
 
     def write(self, table: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(table))
+        self.written.append(table)
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
+    def write_bucketed(self, table: str, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """Stores a frame in buckets by ``key``, so that joins on it move only the other side."""
+        name = f"gyrelake_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, key).format("parquet").option("path", self.path(table)).saveAsTable(name)
+        self.tables[table] = name
+        self.written.append(table)
+        return self.spark.table(name)
+
     def drop(self, *tables: str) -> None:
+        for table in tables or list(self.tables):
+            if name := self.tables.pop(table, None):
+                try:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                except Exception:  # as below
+                    return
         for path in [self.path(t) for t in tables] or [self.base]:
             try:
                 jvm = self.spark.sparkContext._jvm
@@ -61,11 +80,50 @@ class Scratch:
             except Exception:  # the session may be gone at exit; cleaning up is best effort
                 return
 
+    def drop_all_but(self, kept: str) -> None:
+        """Removes every written table but one."""
+        self.drop(*(t for t in self.written if t != kept))
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: A key with more than one in HOT of a table's rows is hot; there are at most HOT such keys.
+HOT = 1000
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, which is unique in ``right``; a hot key's rows are dealt over several tasks.
+
+    ``counts`` is a written table of key and ``count`` of ``left``; without it ``left`` should be a
+    written table and is counted. At most ``HOT`` keys are hot at any size, so that their list is
+    broadcast, and ``right`` grows by at most 2 * ``HOT`` rows. ``by`` is the column of ``left``
+    that deals the rows.
+    """
+    total = left.count() if counts is None else counts.agg(F.sum("count")).first()[0] or 0
+    limit = max(64, total // HOT)
+    if total <= limit:
+        return left.join(right, key, how)
+    counts = left.groupBy(key).count() if counts is None else counts
+    hot = F.broadcast(counts.where(F.col("count") > limit).select(key, F.ceil(F.col("count") / limit).cast("int").alias("salts__")))
+    salts = F.coalesce("salts__", F.lit(1))
+    left = left.join(hot, key, "left").withColumn("salt__", F.pmod(F.xxhash64(by), salts).cast("int")).drop("salts__")
+    right = right.join(hot, key, "left").withColumn("salt__", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts__")
+    return left.join(right, [key, "salt__"], how).drop("salt__")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have."""
+    mark = uuid.uuid4().hex
+    return [f"{n}_{mark}" for n in names]
+
+
+def quoted(columns: list[str]) -> list:
+    """Columns by their whole names, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def groups(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = GROUP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with at most ``limit`` bytes of text (one row at least), null texts as ''."""
     for batch in batches:
