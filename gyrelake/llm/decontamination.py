@@ -34,6 +34,8 @@ _BASE = 0x100000001B3
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 TABLE_BITS = 20
 _SHIFT = 32
+#: Equal q-grams that are looked at together.
+SLICE = 1_000_000
 
 
 def normalise(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +85,7 @@ class Index:
             self.points.append(p)
             self.k.append(k)
             self.need.append(len(p) + 1 - Q * (k + 1))
-        self.width = max(self.k, default=0) + 1
+        self.width = np.array(self.k, np.int64) + 1  # of each item, so that a long one does not widen the bands of all
         g = np.concatenate(all_grams) if all_grams else np.zeros(0, np.uint64)
         order = np.argsort(g, kind="stable")
         self.grams, first = np.unique(g[order], return_index=True)
@@ -94,40 +96,65 @@ class Index:
         self.table[(self.grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
         self.need_of = np.array(self.need, np.int64)
 
-    def candidates(self, points: np.ndarray) -> list[tuple[int, int]]:
-        """(item, first diagonal of a band) wherever a band of 2 * width diagonals shares enough q-grams."""
-        if not len(self.grams):
-            return []
+    def postings(self, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, its position, diagonal) of all equal q-grams of text and items, in slices of about ``SLICE``."""
         h = grams(points)
         where = np.flatnonzero(self.table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
         slot = np.searchsorted(self.grams, h[where])
         slot[slot == len(self.grams)] = 0
         same = self.grams[slot] == h[where]
         where, slot = where[same], slot[same]
-        if not len(where):
+        ends = np.cumsum(self.first[slot + 1] - self.first[slot])
+        at = 0
+        while at < len(where):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+            first = self.first[slot[at:to]]
+            n = self.first[slot[at:to] + 1] - first
+            post = np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
+            yield self.item[post], self.at[post], np.repeat(where[at:to], n) - self.at[post]
+            at = to
+
+    def candidates(self, points: np.ndarray) -> list[tuple[int, int]]:
+        """(item, first diagonal of a band) wherever a band of 2 * width diagonals shares enough q-grams.
+
+        Bands are counted slice by slice, so that a repetitive text and item, whose equal q-grams are
+        as many as the product of their lengths, need no more room than their bands and positions.
+        """
+        if not len(self.grams):
+            return []
+        lowest = -int(self.at.max(initial=0))
+        span = len(points) - lowest + 2  # more than there are bands
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for item, _, diagonal in self.postings(points):
+            k, n = np.unique(item * span + (diagonal - lowest) // self.width[item] + 1, return_counts=True)
+            if len(keys):
+                k, back = np.unique(np.concatenate([keys, k]), return_inverse=True)
+                n = np.bincount(back, np.concatenate([counts, n]), len(k)).astype(np.int64)
+            keys, counts = k, n
+        if not len(keys):
             return []
-        n = self.first[slot + 1] - self.first[slot]
-        post = np.repeat(self.first[slot] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
-        item = self.item[post]
-        diagonal = np.repeat(where, n) - self.at[post]
-        lowest = int(diagonal.min())
-        band = (diagonal - lowest) // self.width
-        span = int(band.max()) + 2
-        keys, counts = np.unique(item * span + band, return_counts=True)
         # a band and the next one overlap: every run of ``width`` diagonals lies inside some pair
         following = np.searchsorted(keys, keys + 1)
         following[following == len(keys)] = 0
         pair = counts + np.where(keys[following] == keys + 1, counts[following], 0)
-        hit = pair >= self.need_of[keys // span]
-        before = keys[counts >= self.need_of[keys // span]] - 1  # also the pair that ends with this band
-        found = set(keys[hit].tolist()) | {int(x) for x in before if x % span != span - 1 and x >= 0}
-        out = []
-        for x in sorted(found):  # counted anew without repeats: an item's q-gram counts once in a band
-            i, first = x // span, x % span * self.width + lowest
-            here = (item == i) & (diagonal >= first) & (diagonal < first + 2 * self.width)
-            if len(np.unique(self.at[post[here]])) >= self.need[i]:
-                out.append((int(i), int(first)))
-        return out
+        need = self.need_of[keys // span]
+        found = np.union1d(keys[pair >= need], keys[counts >= need] - 1)  # also the pair that ends with this band
+        if not len(found):
+            return []
+        # counted anew without repeats: an item's q-gram counts once in a band
+        long = int(self.at.max()) + 1
+        once = np.zeros(0, np.int64)
+        for item, at, diagonal in self.postings(points):
+            key = item * span + (diagonal - lowest) // self.width[item] + 1
+            for back in (0, 1):  # the pair that begins with this band, and the one that ends with it
+                slot = np.minimum(np.searchsorted(found, key - back), len(found) - 1)
+                hit = found[slot] == key - back
+                once = np.union1d(once, slot[hit] * long + at[hit])
+        have = np.bincount(once // long, minlength=len(found))
+        items = found // span
+        ok = have >= self.need_of[items]
+        first = (found % span - 1) * self.width[items] + lowest
+        return list(zip(items[ok].tolist(), first[ok].tolist(), strict=True))
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, start, end, edits) of the items that ``text`` holds: the best place of each group of bands."""
@@ -153,8 +180,10 @@ class Index:
         if self.short:
             flat = "".join(map(chr, points.tolist()))
             for item_id, p in self.short:
-                if (a := flat.find("".join(map(chr, p.tolist())))) >= 0:
+                a = flat.find(word := "".join(map(chr, p.tolist())))
+                while a >= 0:
                     rows.append((item_id, int(start[a]), int(end[a + len(p) - 1]), 0))
+                    a = flat.find(word, a + len(p))
         return sorted(rows, key=lambda r: (str(r[0]), r[1:]))
 
     def align(self, points: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
@@ -163,12 +192,12 @@ class Index:
         Semi-global distance, row by row over the item; a cell holds edits and the start that it
         comes from, and only cells within ``k`` of the band are kept.
         """
-        p, k = self.points[item], self.k[item]
+        p, k, width = self.points[item], self.k[item], int(self.width[item])
         first = max(0, diagonal)
-        exact = points[first : max(0, diagonal + 2 * self.width + len(p))].tobytes().find(p.tobytes())
+        exact = points[first : max(0, diagonal + 2 * width + len(p))].tobytes().find(p.tobytes())
         if exact >= 0 and exact % 4 == 0:
             return 0, first + exact // 4, first + exact // 4 + len(p)
-        lo, reach = diagonal - k, 2 * self.width + 2 * k  # diagonals lo .. lo + reach - 1
+        lo, reach = diagonal - k, 2 * width + 2 * k  # diagonals lo .. lo + reach - 1
         one = np.int64(1) << _SHIFT
         far = np.int64(len(p) + 2) << _SHIFT
         cells = np.arange(reach + 1, dtype=np.int64)
@@ -200,6 +229,12 @@ class Index:
         return (edits, start, lo + best + len(p)) if edits <= k else None
 
 
+
+def id_kind(benchmark: DataFrame) -> str:
+    """Item ids are told as whole numbers where they are such, else as text."""
+    return "bigint" if benchmark.schema["item_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
+
+
 MATCH = "array<struct<item_id:{0},start:bigint,end:bigint,edits:bigint>>"
 
 
@@ -208,13 +243,13 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[list[tupl
     total = benchmark.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     n = int(total // limit) + 1
     for b in range(n):
-        part = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
+        part = benchmark.select(F.col("item_id").cast(id_kind(benchmark)), "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
         yield sorted(((r[0], r[1]) for r in part.collect()), key=lambda x: (str(x[0]), x[1] or ""))
 
 
 def _matches(spark: SparkSession, docs: DataFrame, items: list[tuple[int, str]], kind: str) -> DataFrame:
     index = spark.sparkContext.broadcast(Index(items))
-    arrow = pa.list_(pa.struct([("item_id", pa.int64() if kind in ("bigint", "int") else pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
+    arrow = pa.list_(pa.struct([("item_id", pa.int64() if kind == "bigint" else pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("decontamination")
@@ -228,8 +263,8 @@ def _matches(spark: SparkSession, docs: DataFrame, items: list[tuple[int, str]],
 
 def find_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id and matches, an array of (item_id, start, end, edits), of every row of ``docs``."""
-    kind = benchmark.schema["item_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text", F.lit(None).cast(MATCH.format(kind if kind in ("bigint", "int") else "string").replace(":int,", ":bigint,")).alias("matches"))
+    kind = id_kind(benchmark)
+    out = docs.select("doc_id", "text", F.lit(None).cast(MATCH.format(kind)).alias("matches"))
     for items in blocks(benchmark):
         out = _matches(spark, out, items, kind)
     return out.select("doc_id", "matches")

@@ -73,3 +73,40 @@ def test_blocks_cover_the_benchmark(spark):
     bench = spark.createDataFrame([(i, "x" * 50) for i in range(40)], "item_id long, text string")
     parts = list(d.blocks(bench, 300))
     assert len(parts) > 3 and sorted(i for p in parts for i, _ in p) == list(range(40))
+
+
+@pytest.mark.parametrize("slice_", [7, 1_000_000])
+def test_repetitive_text_and_item(monkeypatch, slice_):
+    """Equal q-grams as many as the product of the lengths: counted in slices, with the same result."""
+    monkeypatch.setattr(d, "SLICE", slice_)
+    n = 200 if slice_ == 7 else 20_000
+    index = d.Index([(1, "ab" * (n // 40)), (2, "an item that is not there at all, in words of its own")])
+    found = index.matches("ab" * (n // 2))
+    assert {m[0] for m in found} == {1} and all(m[3] == 0 for m in found)
+
+
+def test_slices_bound_memory():
+    """80 million equal q-grams, which took 2 GB at once, stay below 300 MB."""
+    import tracemalloc
+
+    index = d.Index([(1, "ab" * 1000)])
+    points = d.normalise("ab" * 20_000)[0]
+    tracemalloc.start()
+    assert index.candidates(points)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+def test_short_items_report_every_place():
+    assert [(s, e) for _, s, e, _ in d.Index([(8, "short")]).matches("Short shorts, short")] == [(0, 5), (6, 11), (14, 19)]
+
+
+@pytest.mark.parametrize("kind", ["smallint", "int", "string", "decimal(5,0)"])
+def test_item_ids_of_any_type_and_clashing_columns(spark, kind):
+    item = "what is the boiling point of water at the height of the sea"
+    benchmark = spark.createDataFrame([(1, item, "x"), (None, None, "y")], "item_id int, text string, matches string").selectExpr(f"cast(item_id as {kind}) as item_id", "text", "matches")
+    docs = spark.createDataFrame([(1, f"Q: {item}?", "m", 1), (2, "nothing", "m", 1), (None, None, "m", 1)], "doc_id int, text string, matches string, item_id int")
+    got = {r.doc_id: (r.contaminated, r.matches) for r in d.contamination(spark, docs, benchmark).collect()}
+    assert got == {1: (1, "1:3:62:0"), 2: (0, ""), None: (0, "")}
+    kept = d.drop_contaminated(spark, docs, benchmark)
+    assert kept.columns == docs.columns and sorted(r.matches for r in kept.collect()) == ["m", "m"]
