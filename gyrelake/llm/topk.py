@@ -1,11 +1,11 @@
 """Exact top-k search by inner product: a ball tree in every shard, searched by branch and bound.
 
 Components x become floor(256 * x) (x as double). Queries are the rows whose vec_id is divisible
-by ``EVERY``; a query's candidates are all rows but itself. Rows are written in shards of about
-``SHARD`` vectors; queries go over them in blocks of ``BLOCK`` (bounded, broadcast), so that no
-task holds more than a shard and a block. A block starts with the kth score that its own rows
-give, the first shards raise it, and the others get the raised score: a shard returns only what
-can still be among the k best.
+by ``EVERY``; a query's candidates are all rows but itself. Rows are cut into shards of at most
+``SHARD`` vectors; each shard's tree is built once, in the task that holds the shard, and written. Queries
+go over the shards in blocks of about ``BLOCK`` (bounded, broadcast), each block as two distributed jobs:
+every ``FIRST``-th shard is searched without a bound, which gives each query a kth score that all other
+shards then start from. No task holds more than a shard and a block, and the driver searches nothing.
 
 In a shard, a node's bound for query q is q.center + |q| * radius. Nodes whose bound is below the
 query's kth score are cut off; leaves are visited in the order of their bounds, each visit raising
@@ -20,6 +20,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from gyrelake.llm.common import Scratch
 
 K, EVERY, SCALE = 5, 50, 256
-SHARD, BLOCK, LEAF = 16_384, 8_192, 64
+SHARD, BLOCK, LEAF, FIRST = 16_384, 8_192, 64, 8
 EXACT = float(1 << 53)
 
 
@@ -73,7 +74,7 @@ class Best:
     """The k best of each query: (score, vec_id) in order, with the kth score."""
 
     def __init__(self, floors: list, k: int):
-        self.k, self.floor, self.found = k, list(floors), [[] for _ in floors]
+        self.k, self.floor, self.found, self.visits = k, list(floors), [[] for _ in floors], 0
 
     def add(self, query: int, score: int, vec_id: int) -> None:
         rows = self.found[query]
@@ -110,10 +111,10 @@ class BallTree:
             self.nodes[me] = (*self.nodes[me][:4], left, right)
         return me
 
-    def bounds(self, q: np.ndarray, floors: list) -> tuple[list[int], np.ndarray]:
+    def bounds(self, q: np.ndarray, floors: list, norms: np.ndarray | None = None) -> tuple[list[int], np.ndarray]:
         """(leaves, bounds [query, leaf]); minus infinity where a ball above the leaf is cut off."""
         q = q.astype(float)
-        norms = np.sqrt((q * q).sum(1))
+        norms = np.sqrt((q * q).sum(1)) if norms is None else norms
         low = np.array([-np.inf if f is None else float(f) for f in floors])
         leaves, columns = [], []
         stack = [(0, np.full(len(q), np.inf))] if self.nodes else []
@@ -133,13 +134,25 @@ class BallTree:
         return leaves, np.stack(columns, 1) if columns else np.zeros((len(q), 0))
 
 
-def search(x: np.ndarray, ids: np.ndarray, keys: np.ndarray, q: np.ndarray, query_keys: np.ndarray, floors: list, k: int = K) -> Best:
+class Shard:
+    """The rows of a shard, whole numbers, and their tree."""
+
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, vectors: list[list[int]]):
+        self.ids, self.keys, self.x = ids, keys, matrix(vectors)
+        self.tree = BallTree(self.x)
+        if self.x.dtype != object:
+            self.tree.x = self.x  # one array, not two
+
+
+def search(shard: Shard, q: np.ndarray, query_keys: np.ndarray, floors: list, k: int = K) -> Best:
     """The k best rows of the shard for each query, as far as they reach the query's floor."""
-    width = max(x.shape[1], q.shape[1])
-    x, q = pad(x, width), pad(q, width)
+    x, ids, keys, tree = shard.x, shard.ids, shard.keys, shard.tree
+    own, width = x.shape[1], max(x.shape[1], q.shape[1])
     best = Best(floors, k)
-    tree = BallTree(x)
-    leaves, bounds = tree.bounds(q, floors)
+    # components that the shard's rows lack count as zeros there, and as zeros in the query where it lacks them
+    norms = np.sqrt((q.astype(float) ** 2).sum(1))
+    q = pad(q, width)[:, :own]
+    leaves, bounds = tree.bounds(q, floors, norms)
     order = np.argsort(-bounds, axis=1, kind="stable")
     for turn in range(len(leaves)):
         at = order[:, turn]
@@ -152,6 +165,7 @@ def search(x: np.ndarray, ids: np.ndarray, keys: np.ndarray, q: np.ndarray, quer
             queries = live[at[live] == leaf]
             a, b = tree.nodes[leaves[leaf]][:2]
             rows = tree.order[a:b]
+            best.visits += len(queries)
             scores = products(x[rows], q[queries])
             cut = np.array([-np.inf if best.floor[j] is None else float(best.floor[j]) for j in queries])
             hit = (scores.astype(float) >= cut - np.abs(cut) * 1e-9) & (keys[rows][:, None] != query_keys[queries][None, :])
@@ -174,48 +188,47 @@ def top_k(spark: SparkSession, vectors: DataFrame, k: int = K, every: int = EVER
             at += batch.num_rows
 
     table = scratch.write("rows", rows.mapInArrow(number, "vec_id long, v array<long>, key long"))
-    n = table.count()
-    shards = -(-n // SHARD) or 1
-    table = scratch.write("shards", table.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")))
-    asked = table.where(F.col("vec_id") % every == 0)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in shard_arrays(batches):
+            yield pa.record_batch([pa.array([pickle.dumps(Shard(*shard), 5)], pa.binary())], ["tree"])
+
+    n_shards = -(-table.count() // SHARD) or 1
+    shards = scratch.write("shards", table.repartition(n_shards, "key").mapInArrow(build, "tree binary").withColumn("shard", F.monotonically_increasing_id()))
+    ids = [r["shard"] for r in shards.select("shard").sort("shard").collect()]  # a number for each SHARD rows
+    first = set(ids[::FIRST])
+    asked = scratch.write("asked", table.where(F.col("vec_id") % every == 0))
     n_blocks = -(-asked.count() // BLOCK) or 1
-    parts: list[DataFrame] = []
-    for b in range(n_blocks):
-        got = asked.where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(n_blocks)) == b).select("key", "vec_id", "v").collect()  # about BLOCK rows
-        if not got:
-            continue
-        got.sort()
-        q = matrix([r["v"] for r in got])
-        query_keys, query_ids = np.array([r["key"] for r in got]), [r["vec_id"] for r in got]
-        own = search(q, np.array(query_ids), query_keys, q, query_keys, [None] * len(got), k)
-        floors = own.floor
-
-        def scan(wanted: DataFrame, floors: list, q=q, query_keys=query_keys, query_ids=query_ids) -> DataFrame:
-            block = spark.sparkContext.broadcast((q, query_keys, query_ids, floors))
-
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                q, query_keys, query_ids, floors = block.value
-                for ids, keys, vectors in shard_arrays(batches):
-                    best = search(matrix(vectors), ids, keys, q, query_keys, floors, k)
+    parts: list[str] = []
+
+    def scan(wanted: DataFrame, block) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q, query_keys, query_ids, floors = block.value
+            for batch in batches:
+                for tree in batch["tree"]:
+                    best = search(pickle.loads(tree.as_buffer()), q, query_keys, floors, k)
                     flat = [(int(query_keys[j]), query_ids[j], i, -s) for j, found in enumerate(best.found) for s, i in found]
                     yield pa.record_batch([pa.array([x[c] for x in flat], pa.int64()) for c in range(4)], ["key", "query_id", "vec_id", "score"])
 
-            return wanted.select("vec_id", "key", "v").mapInArrow(run, "key long, query_id long, vec_id long, score long")
+        return wanted.select("tree").mapInArrow(run, "key long, query_id long, vec_id long, score long")
 
-        first = max(1, shards // 8)
-        seen = scratch.write(f"first{b}", best_of(scan(table.where(F.col("shard") < first), floors), k))
-        if shards > first:
+    for b in range(n_blocks):
+        got = sorted(asked.where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(n_blocks)) == b).select("key", "vec_id", "v").collect())  # about BLOCK rows
+        if not got:
+            continue
+        q, query_keys, query_ids = matrix([r["v"] for r in got]), np.array([r["key"] for r in got]), [r["vec_id"] for r in got]
+        begun = spark.sparkContext.broadcast((q, query_keys, query_ids, [None] * len(got)))
+        seen = scratch.write(f"first{b}", best_of(scan(shards.where(F.col("shard").isin(first)), begun), k))
+        parts.append(f"first{b}")
+        if len(ids) > len(first):
             kth = {r["key"]: r["score"] for r in seen.where(F.col("rank") == k).select("key", "score").collect()}  # a row for each query of the block
-            raised = [f if (s := kth.get(int(key))) is None else s if f is None else max(f, s) for key, f in zip(query_keys, floors, strict=True)]
-            parts += [seen.drop("rank"), scan(table.where(F.col("shard") >= first), raised)]
-        else:
-            parts.append(seen.drop("rank"))
+            raised = spark.sparkContext.broadcast((q, query_keys, query_ids, [kth.get(int(key)) for key in query_keys]))
+            scratch.write(f"rest{b}", best_of(scan(shards.where(~F.col("shard").isin(first)), raised), k))
+            parts.append(f"rest{b}")
+    kinds = "key long, query_id long, vec_id long, score long, rank int"
     if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return best_of(out, k).select("query_id", "rank", "vec_id", "score")
+        return spark.createDataFrame([], kinds).select("query_id", "rank", "vec_id", "score")
+    return best_of(spark.read.schema(kinds).parquet(*map(scratch.path, parts)).drop("rank"), k).select("query_id", "rank", "vec_id", "score")
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
