@@ -5,7 +5,9 @@
 2. The histogram of piece lengths (at most ``capacity`` rows) goes to the driver. The
    configuration program min sum(x_c), sum(a_cl x_c) >= n_l is solved by multiplicative weights:
    every round prices a configuration by an unbounded knapsack over the present weights, adds
-   copies of it, and lowers the weights of what it covers, until every length is covered.
+   copies of it, and lowers the weights of what it covers, until every length is covered; weights over
+   the greatest weight of a configuration are dual prices and bound the program from below. Passes
+   that end more than ``GAP`` above the bound are followed by others with weights raised where room was left.
 3. The fractional copies are rounded down within the supply; what the rounding leaves is packed by
    exact subset sums around its longest length, each pattern as often as the supply allows.
 4. A pattern's places are ranges of ranks among the pieces of one length, so that each piece
@@ -23,6 +25,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from gyrelake.llm.common import Scratch, TwoGenerations, claim, groups
 
 CAPACITY, END_ID = 1024, 2
-RATE = 0.1
+RATE, GAP, EPOCHS = 0.1, 0.002, 3
 CACHE = 700_000
 #: White space and a word of Latin letters before ASCII punctuation or white space, or else all up to
 #: the next white space.
@@ -138,23 +141,38 @@ def price(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int,
     return dict(config)
 
 
-def fractional(histogram: dict[int, int], capacity: int, rate: float = RATE) -> list[tuple[dict[int, int], float]]:
-    """Configurations and their fractional copies by multiplicative weights.
+def worth(weights: np.ndarray, lengths: np.ndarray, supply: np.ndarray, capacity: int) -> float:
+    """A lower bound of the program: weights over the greatest weight of a configuration are feasible dual prices."""
+    at = {int(x): w for x, w in zip(lengths, weights, strict=True)}
+    top = sum(at[x] * a for x, a in price(weights, lengths, capacity).items())
+    return float(supply @ weights) / top if top > 0 else 0.0
+
+
+@dataclass
+class Program:
+    """Configurations with fractional copies that cover the supply, their number of sequences and a lower bound of it."""
+
+    configs: list[tuple[dict[int, int], float]]
+    value: float
+    bound: float
+
+    @property
+    def gap(self) -> float:
+        return self.value / self.bound - 1 if self.bound else 0.0
+
+
+def cover(lengths: np.ndarray, supply: np.ndarray, weights: np.ndarray, capacity: int, rate: float) -> list[tuple[dict[int, int], float]]:
+    """Configurations and their fractional copies in one pass over the supply.
 
     A round takes the configuration of greatest weight as often as the uncovered supply allows; the
     weights of what it uses fall by (1 - rate) for their covered share, and a length that is wholly
     covered leaves, so that nothing is covered twice. It ends when less than a piece of every length
-    is uncovered; a round covers one length at least, so there are at most ``capacity`` rounds. Long
-    lengths begin with more weight than their share of the capacity, as they fit into fewer
-    configurations.
+    is uncovered; a round covers one length at least, so there are at most ``capacity`` rounds.
     """
-    lengths = np.array(sorted(histogram), np.int64)
-    supply = np.array([histogram[int(x)] for x in lengths], float)
-    weights, left = (lengths / capacity) ** 1.1, supply.copy()
-    found: Counter = Counter()
+    weights, left, found = weights.copy(), supply.copy(), Counter()
+    at = {int(x): k for k, x in enumerate(lengths)}
     while len(active := np.flatnonzero(left >= 1)):
         config = price(weights[active], lengths[active], capacity)
-        at = {x: int(np.searchsorted(lengths, x)) for x in config}
         step = min(left[at[x]] / a for x, a in config.items())
         found[tuple(sorted(config.items()))] += step
         for x, a in config.items():
@@ -163,6 +181,37 @@ def fractional(histogram: dict[int, int], capacity: int, rate: float = RATE) ->
     return [(dict(k), v) for k, v in found.items()]
 
 
+def fractional(histogram: dict[int, int], capacity: int, rate: float = RATE) -> Program:
+    """The configuration program by multiplicative weights, to ``GAP`` of its dual bound or over ``EPOCHS`` passes.
+
+    Long lengths begin with more weight than their share of the capacity, as they fit into fewer
+    configurations. After a pass the weight of a length grows by the room that its configurations
+    left empty, so that the next pass serves it earlier; the best pass is taken. Every pass gives a
+    dual bound by its weights, beside those of the lengths and of the pieces over half the capacity.
+    """
+    lengths = np.array(sorted(histogram), np.int64)
+    supply = np.array([histogram[int(x)] for x in lengths], float)
+    if not len(lengths):
+        return Program([], 0.0, 0.0)
+    share = lengths / capacity
+    weights, best = share**1.1, Program([], np.inf, max(worth(w, lengths, supply, capacity) for w in (share, (share > 0.5).astype(float))))
+    for _ in range(EPOCHS):
+        best.bound = max(best.bound, worth(weights, lengths, supply, capacity))
+        configs = cover(lengths, supply, weights, capacity, rate)
+        if (value := sum(v for _, v in configs)) < best.value:
+            best.configs, best.value = configs, value
+        if best.gap <= GAP:
+            break
+        empty = np.zeros(len(lengths))
+        for config, copies in configs:
+            room = 1 - sum(x * a for x, a in config.items()) / capacity
+            for x, a in config.items():
+                k = int(np.searchsorted(lengths, x))
+                empty[k] += room * a * copies / supply[k]
+        weights = weights * (1 + rate) ** (empty / max(empty.max(), 1e-12))
+    return best
+
+
 def subset_patterns(left: dict[int, int], capacity: int) -> Iterator[tuple[dict[int, int], int]]:
     """Packs the rest: around the longest length, the subset that fills the sequence best, as often as it can be had."""
     left = {k: v for k, v in left.items() if v}
@@ -200,7 +249,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict
     left, out = dict(histogram), []
     if full := left.pop(capacity, 0):
         out.append(({capacity: 1}, full))
-    for config, copies in sorted(fractional(left, capacity), key=lambda c: -sum(x * a for x, a in c[0].items())):
+    for config, copies in sorted(fractional(left, capacity).configs, key=lambda c: -sum(x * a for x, a in c[0].items())):
         times = min(int(copies + 1e-6), *(left[x] // a for x, a in config.items()))
         if times > 0:
             out.append((config, times))
@@ -243,5 +292,6 @@ def pack(spark: SparkSession, docs: DataFrame, model: str, capacity: int = CAPAC
             yield pa.record_batch([batch[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")] + [pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ranked = pieces.join(before, ["length", "pid"]).withColumn("rank", F.col("nth") + F.col("base"))
+    # a row of ``before`` for each length and task: it grows with the tasks, so it is not broadcast
+    ranked = pieces.join(before.hint("merge"), ["length", "pid"]).withColumn("rank", F.col("nth") + F.col("base"))
     return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

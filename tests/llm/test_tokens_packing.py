@@ -87,17 +87,35 @@ def test_program_covers_every_length(seed):
     rng = np.random.default_rng(seed)
     lengths = rng.integers(1, 1024, 100_000) if seed % 2 else np.minimum(1023, rng.lognormal(5, 1, 200_000).astype(int) + 1)
     histogram = dict(Counter(lengths.tolist()))
-    found, covered, whole = packing.fractional(histogram, 1024), Counter(), 0
-    for config, copies in found:
+    program, covered, whole = packing.fractional(histogram, 1024), Counter(), 0
+    for config, copies in program.configs:
         assert sum(x * a for x, a in config.items()) <= 1024
         for x, a in config.items():
             covered[x] += a * copies
             whole += x * a * int(copies)
     assert all(n - 1 <= covered[x] <= n + 1e-6 for x, n in histogram.items())
     assert whole >= 0.98 * lengths.sum()
+    assert program.bound <= program.value <= program.bound * (1 + packing.GAP)
+    sequences = sum(t for _, t in packing.plan(histogram))
+    assert sequences <= program.value + len(program.configs)
+    alone = sum(t for _, t in packing.subset_patterns(histogram, 1024))
+    print(len(program.configs), program.value, program.bound, sequences, alone)
+    assert sequences <= alone * 1.001  # where short pieces abound, subset sums alone are as good within rounding
     assert sum(t for _, t in packing.plan(histogram)) <= max((lengths > 512).sum(), -(-int(lengths.sum()) // 1024)) * 1.002
 
 
+def test_program_value_is_bounded_by_dual_prices():
+    """Lengths that waste room: the bound of the lengths alone is far off, dual prices tell the truth."""
+    histogram = {600: 50, 500: 30, 350: 40, 340: 20}  # 600 with 350 or 340, two of 500
+    program = packing.fractional(histogram, 1024)
+    assert 50 + 15 - 1e-6 <= program.bound <= program.value + 1e-6 <= 65 + 20
+    used = Counter()
+    for pattern, times in packing.plan(histogram):
+        for x, a in pattern.items():
+            used[x] += a * times
+    assert used == histogram
+
+
 def test_price_is_the_best_knapsack():
     lengths, weights = np.array([3, 4, 7]), np.array([0.4, 0.55, 1.0])
     config = packing.price(weights, lengths, 10)
