@@ -169,13 +169,13 @@ def joined(found: Column) -> Column:
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and all spans as text."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, all spans as text and their scores, in the same order."""
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return pii_spans(docs).select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return pii_spans(docs).select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda x: F.format_number(x["score"], 2)), ",").alias("scores"))
 
 
 def redact(text: str | None) -> str | None:
@@ -191,15 +191,18 @@ def redact(text: str | None) -> str | None:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with personal data masked in text, and n_chars (where there is one) of the new text."""
+    """The rows of ``docs`` with personal data masked in text, and n_chars (where there is one) of the new text.
+
+    Null texts stay null; all other columns are carried along unchanged, whatever their names are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in groups(batches):
             at = batch.schema.get_field_index("text")
-            texts = [redact(t) for t in batch.column(at).to_pylist()]
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            masked = [redact(t) if known else None for t, known in zip(texts, batch.column(at).is_valid().to_pylist(), strict=True)]
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(masked, batch.schema.field(at).type))
             if (n := batch.schema.get_field_index("n_chars")) >= 0:
-                batch = batch.set_column(n, batch.schema.field(n), pa.array([None if t is None else len(t) for t in texts], batch.schema.field(n).type))
+                batch = batch.set_column(n, batch.schema.field(n), pa.array([None if t is None else len(t) for t in masked], batch.schema.field(n).type))
             yield batch
 
     return docs.mapInArrow(run, docs.schema)
