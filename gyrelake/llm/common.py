@@ -80,6 +80,10 @@ class Scratch:
             except Exception:  # the session may be gone at exit; cleaning up is best effort
                 return
 
+    def collect_garbage(self) -> None:
+        """Lets Spark's cleaner remove the shuffle files of frames that nothing refers to any more."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop_all_but(self, kept: str) -> None:
         """Removes every written table but one."""
         self.drop(*(t for t in self.written if t != kept))
@@ -93,13 +97,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 HOT = 1000
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", counts: DataFrame | None = None, hint: str | None = None) -> DataFrame:
     """``left`` joined with ``right`` on ``key``, which is unique in ``right``; a hot key's rows are dealt over several tasks.
 
     ``counts`` is a written table of key and ``count`` of ``left``; without it ``left`` should be a
     written table and is counted. At most ``HOT`` keys are hot at any size, so that their list is
     broadcast, and ``right`` grows by at most 2 * ``HOT`` rows. ``by`` is the column of ``left``
-    that deals the rows.
+    that deals the rows; ``hint`` is a join hint for ``right``.
     """
     total = left.count() if counts is None else counts.agg(F.sum("count")).first()[0] or 0
     limit = max(64, total // HOT)
@@ -110,7 +114,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str =
     salts = F.coalesce("salts__", F.lit(1))
     left = left.join(hot, key, "left").withColumn("salt__", F.pmod(F.xxhash64(by), salts).cast("int")).drop("salts__")
     right = right.join(hot, key, "left").withColumn("salt__", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts__")
-    return left.join(right, [key, "salt__"], how).drop("salt__")
+    return left.join(right.hint(hint) if hint else right, [key, "salt__"], how).drop("salt__")
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
