@@ -363,8 +363,9 @@ def circular_peaks(spark, sf_dir):
     return alignment.peak_table(profile, "side", count=5, prominence=0.5)
 
 
-SOURCE_ANGLES = [12, 46, 77, 118, 148, 190, 222, 262, 292, 329]
-TARGET_ANGLES = [15, 50, 83, 119, 155, 188, 226, 260, 299, 333]
+SOURCE_ANGLES = [36 * i + 7 * i % 11 for i in range(10)]
+TARGET_ANGLES = [36 * i + 5 * i % 13 + 4 for i in range(10)]
+ESTIMATE = 205
 
 
 @query(f"""
@@ -373,12 +374,12 @@ TARGET_ANGLES = [15, 50, 83, 119, 155, 188, 226, 260, 299, 333]
     r as (select shift, median(diff) as raw from d group by shift),
     o as (select d.shift, raw, abs(((((a + raw - b + 180) % 360) + 360) % 360) - 180) as off from d join r using (shift))
     select cast(shift as integer) as shift, cast(any_value(raw) as double) as raw, cast(median(off) as double) as median_off, cast(max(off) as double) as most_off,
-        cast(((any_value(raw) + 36 * round_even((160e0 - any_value(raw)) / 36, 0)) % 360 + 360) % 360 as double) as rotation
+        cast(((any_value(raw) + 36 * round_even(({ESTIMATE}e0 - any_value(raw)) / 36, 0)) % 360 + 360) % 360 as double) as rotation
     from o group by shift
 """)
 def cyclic_alignment(spark, sf_dir):
     table = lambda v: spark.createDataFrame([(i, float(a)) for i, a in enumerate(v)], "place int, angle double")
-    return alignment.cyclic_alignments(table(SOURCE_ANGLES), table(TARGET_ANGLES), 160.0).select("shift", "raw", "median_off", "most_off", "rotation")
+    return alignment.cyclic_alignments(table(SOURCE_ANGLES), table(TARGET_ANGLES), float(ESTIMATE)).select("shift", "raw", "median_off", "most_off", "rotation")
 
 
 WEIGHT_SQL = "greatest(0, least(x + 1, 64 - x, y + 1, 48 - y, 512))"

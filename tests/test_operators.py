@@ -39,10 +39,43 @@ def merged(spark, width, height, boxes, threshold=0.5):
     return [((r.x1, r.y1, r.x2, r.y2), r.conf, r.slices) for r in out]
 
 
-def test_merges_across_tiles(spark):
-    assert merged(spark, 2000, 1312, [(0, 0, 0.80, 1000.0, 100.0, 1312.0, 120.0), (2, 0, 0.95, 312.0, 100.0, 712.0, 120.0)]) == [((1000, 100, 1400, 120), 0.95, [0, 2])]
-    assert merged(spark, 1312, 2000, [(0, 0, 0.82, 300.0, 1000.0, 325.0, 1312.0), (2, 0, 0.96, 300.0, 312.0, 325.0, 712.0)]) == [((300, 1000, 325, 1400), 0.96, [0, 2])]
-    assert merged(spark, 800, 600, [(0, 0, 0.5, 900.0, 100.0, 1000.0, 200.0), (0, 0, 0.6, 750.0, 550.0, 900.0, 700.0)]) == [((750, 550, 800, 600), 0.6, [0])]
+def plain_merge(boxes, width, height, threshold):
+    """Boxes of one class in frame coordinates, merged by a plain loop: (x1, y1, x2, y2, conf, slices)."""
+    live = [[max(0, x1), max(0, y1), min(width, x2), min(height, y2), conf, {s}] for s, conf, x1, y1, x2, y2 in boxes]
+    live = [b for b in live if b[0] < b[2] and b[1] < b[3]]
+    live.sort(key=lambda b: -b[4])
+    out = []
+    while live:
+        top = live.pop(0)
+        rest = []
+        for b in live:
+            both = max(0, min(top[2], b[2]) - max(top[0], b[0])) * max(0, min(top[3], b[3]) - max(top[1], b[1]))
+            area = lambda r: (r[2] - r[0]) * (r[3] - r[1])
+            if both / min(area(top), area(b)) >= threshold:
+                top = [min(top[0], b[0]), min(top[1], b[1]), max(top[2], b[2]), max(top[3], b[3]), max(top[4], b[4]), top[5] | b[5]]
+            else:
+                rest.append(b)
+        live = rest
+        out.append(((*top[:4],), top[4], sorted(top[5])))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("width,height,along", [(3280, 1312, 0), (1312, 3280, 1)])
+def test_merges_across_tiles(spark, width, height, along):
+    """A bar over three tiles of a frame, seen in pieces, a box that sticks out of the frame, and one wholly outside."""
+    seen, placed = [], []
+    for tile, conf, lo, hi in [(0, 0.71, 880, 1310), (1, 0.64, 700, 1900), (2, 0.33, 1330, 2200)]:
+        box = [lo, 417.0, hi, 455.0] if along == 0 else [417.0, lo, 455.0, hi]
+        placed.append((tile, conf, *map(float, box)))
+        shift = 656 * tile
+        moved = [box[0] - shift * (along == 0), box[1] - shift * (along == 1), box[2] - shift * (along == 0), box[3] - shift * (along == 1)]
+        seen.append((tile, 3, conf, *map(float, moved)))
+    for conf, box in [(0.52, (-9.0, 1200.0, 61.0, 1400.0)), (0.9, (1400.0, 1400.0, 1500.0, 1500.0))]:
+        seen.append((0, 3, conf, *box))
+        if conf < 0.9:  # the other lies outside its tile
+            placed.append((0, conf, box[0], box[1], box[2], min(box[3], 1312.0)))
+    got = [(tuple(b), c, list(s)) for b, c, s in merged(spark, width, height, seen, 0.4)]
+    assert sorted(got) == plain_merge(placed, width, height, 0.4)
 
 
 def test_greedy_is_not_a_closure():
@@ -53,20 +86,27 @@ def test_greedy_is_not_a_closure():
     assert (11, 2, 16, 13) in [g[:4] for g in got] and (12, 11, 15, 15) in [g[:4] for g in got]
 
 
-def test_sixteen_views_become_one(spark):
-    boxes = spark.createDataFrame([(f, f"p{f:02}", 0.8 + f / 100, 0, 20, 20, 40, 40) for f in range(16)], "frame int, id string, conf double, cls int, x1 int, y1 int, x2 int, y2 int")
-    pixels = projection.box_pixels(boxes, ["frame", "id", "conf", "cls"])
-    got = projection.dedup_footprints(pixels, ["cls"], 0.5).collect()
-    assert len(got) == 1 and (got[0].x1, got[0].y1, got[0].x2, got[0].y2, got[0].area) == (20, 20, 40, 40, 400)
-    assert got[0].conf == pytest.approx(0.95) and got[0].links == [f"{f}:p{f:02}" for f in range(16)]
-    apart = spark.createDataFrame([(0, "a", 0.9, 0, 0, 0, 5, 5), (1, "b", 0.8, 0, 50, 50, 60, 60)], boxes.schema)
-    assert [r.x1 for r in projection.dedup_footprints(projection.box_pixels(apart, ["frame", "id", "conf", "cls"]), ["cls"], 0.5).orderBy("x1").collect()] == [0, 50]
+def test_views_of_one_spot_become_one(spark):
+    """Five frames see one spot and two another; expected values by sets of pixels."""
+    views = [(f, f"v{f}", 0.31 + 0.07 * f, 4, 7 + f % 2, 11, 19 + f % 2, 16) for f in range(5)] + [(f, f"w{f}", 0.9 - 0.1 * f, 4, 60, 3, 66, 12 + f) for f in range(2)]
+    boxes = spark.createDataFrame(views, "frame int, id string, conf double, cls int, x1 int, y1 int, x2 int, y2 int")
+    got = projection.dedup_footprints(projection.box_pixels(boxes, ["frame", "id", "conf", "cls"]), ["cls"], 0.6).orderBy("x1").collect()
+    for r, name in zip(got, "vw", strict=True):
+        mine = [v for v in views if v[1][0] == name]
+        pixels = {(x, y) for *_, x1, y1, x2, y2 in mine for x in range(x1, x2) for y in range(y1, y2)}
+        assert r.area == len(pixels) and r.conf == pytest.approx(max(v[2] for v in mine)) and r.links == [f"{v[0]}:{v[1]}" for v in mine]
+        assert (r.x1, r.y1, r.x2, r.y2) == (min(x for x, _ in pixels), min(y for _, y in pixels), max(x for x, _ in pixels) + 1, max(y for _, y in pixels) + 1)
 
 
 def test_clip_to_provenance(spark):
-    boxes = spark.createDataFrame([("a", 20, 20, 40, 40), ("b", 40, 20, 60, 40)], "id string, x1 int, y1 int, x2 int, y2 int")
-    seen = spark.range(100 * 100).selectExpr("cast(id % 100 as int) x", "cast(id / 100 as int) y").withColumn("p", F.when(F.col("x") < 30, 1).otherwise(0))
-    assert rows(projection.clip_to_acquired(projection.box_pixels(boxes, ["id"]), seen, ["id"])) == [("a", 20, 20, 30, 40, 200)]
+    """Only pixels that some frame acquired stay: a slanted edge cuts one box, another lies beyond it."""
+    cut = lambda x, y: 3 * x + y < 90
+    boxes = [("cut", 12, 4, 33, 15), ("gone", 31, 20, 39, 26)]
+    seen = spark.createDataFrame([(x, y, int(cut(x, y))) for x in range(45) for y in range(30)], "x int, y int, p int")
+    pixels = projection.box_pixels(spark.createDataFrame(boxes, "id string, x1 int, y1 int, x2 int, y2 int"), ["id"])
+    left = [(x, y) for x in range(12, 33) for y in range(4, 15) if cut(x, y)]
+    want = ("cut", min(x for x, _ in left), min(y for _, y in left), max(x for x, _ in left) + 1, max(y for _, y in left) + 1, len(left))
+    assert rows(projection.clip_to_acquired(pixels, seen, ["id"])) == [want]
 
 
 def test_budget_and_hull(spark):
