@@ -25,19 +25,19 @@ def path_problem(path: Column) -> Column:
 
 
 def identifier_ok(value: Column) -> Column:
-    return value.rlike("^[A-Za-z0-9][A-Za-z0-9._-]*$") & (F.length(value) <= 128)
+    return value.rlike(r"\A[A-Za-z0-9][A-Za-z0-9._-]*\z") & (F.length(value) <= 128)
 
 
 def checksum_ok(value: Column) -> Column:
-    return F.lower(value).rlike("^[a-f0-9]{64}$")
+    return F.lower(value).rlike(r"\A[a-f0-9]{64}\z")
 
 
 def template_pattern(template: str, digits: int) -> str:
-    """The regular expression of a file-name template with one {cycle} and one {position}."""
+    """The regular expression of a whole file name by a template with one {cycle}, of 128 characters at most, and one {position}."""
     if template.count("{cycle}") != 1 or template.count("{position}") != 1 or len(re.findall("[{}]", template)) != 4:
         raise ValueError("a template holds {cycle} and {position} once each and no other braces")
-    body = "".join({"{cycle}": "([A-Za-z0-9][A-Za-z0-9._-]*?)", "{position}": f"([0-9]{{{digits}}})"}.get(p, re.escape(p)) for p in re.split(r"(\{cycle\}|\{position\})", template))
-    return f"(?i)^{body}$"
+    body = "".join({"{cycle}": "([A-Za-z0-9][A-Za-z0-9._-]{0,127}?)", "{position}": f"([0-9]{{{digits}}})"}.get(p, re.escape(p)) for p in re.split(r"(\{cycle\}|\{position\})", template))
+    return rf"(?i)\A{body}\z"
 
 
 def match_template(name: Column, template: str, digits: int, frames: int = 16) -> Column:

@@ -136,6 +136,12 @@ def test_names_and_paths(spark):
     df = spark.createDataFrame([(n,) for n in names], "name string")
     got = [r.m and (r.m.cycle, r.m.position) for r in df.select(X.match_template(F.col("name"), "{cycle}_{position}.jpg", 2).alias("m")).collect()]
     assert got == [("DISC-0042", 1), ("disc-0042", 16), None, None, None, None, None]
+    far = spark.createDataFrame([("c" * 128 + "_01.jpg",), ("c" * 129 + "_01.jpg",), ("A_01.jpg\n",)], "name string")
+    assert [r.m is not None for r in far.select(X.match_template(F.col("name"), "{cycle}_{position}.jpg", 2).alias("m")).collect()] == [True, False, False]
+    sums = spark.createDataFrame([("a" * 64,), ("a" * 63,), ("A" * 64,), ("a" * 64 + "\n",)], "s string")
+    assert [r[0] for r in sums.select(X.checksum_ok(F.col("s"))).collect()] == [True, False, True, False]
+    ids = spark.createDataFrame([("a.b-1",), ("-a",), ("a" * 129,), ("a\n",), ("",)], "s string")
+    assert [r[0] for r in ids.select(X.identifier_ok(F.col("s"))).collect()] == [True, False, False, False, False]
     with pytest.raises(ValueError):
         X.template_pattern("{cycle}.jpg", 2)
     paths = {"a/b.png": None, "": "empty", "/a": "absolute", "C:x": "drive", "a\\b": "backslash", "a/../b": "part", "a//b": "part", "a./b": "trailing", "a<b": "character", "x/nul.txt": "reserved", " ok ": None}
