@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from gyrelake.llm.common import read_table
 from gyrelake.llm.decontamination import contamination
 from gyrelake.llm.jaccard_join import near_duplicates
@@ -71,7 +70,6 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_quality_classifier": op10_quality_classifier,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_top_k": """
