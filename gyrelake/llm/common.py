@@ -60,7 +60,7 @@ class Scratch:
     def write_bucketed(self, table: str, df: DataFrame, key: str, buckets: int) -> DataFrame:
         """Stores a frame in buckets by ``key``, so that joins on it move only the other side."""
         name = f"gyrelake_{uuid.uuid4().hex}"
-        df.write.bucketBy(buckets, key).format("parquet").option("path", self.path(table)).saveAsTable(name)
+        df.write.bucketBy(buckets, key).format("parquet").option("compression", "zstd").option("path", self.path(table)).saveAsTable(name)
         self.tables[table] = name
         self.written.append(table)
         return self.spark.table(name)
