@@ -29,24 +29,40 @@ def clipped_bounds(corners: Column, width: Column, height: Column) -> Column:
     return F.when((left < right) & (top < bottom), box)
 
 
-def box_pixels(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each whole pixel (x, y) of boxes with whole-number bounds x1, y1, x2, y2 (ends exclusive)."""
-    across = F.explode(F.sequence(F.col("x1").cast("int"), F.col("x2").cast("int") - 1)).alias("x")
+def box_runs(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """A row (y, x1, x2) for each line of boxes with whole-number bounds x1, y1, x2, y2 (ends exclusive).
+
+    A footprint is any set of such runs that are disjoint; its rows grow with its height, not its area.
+    Empty boxes and null bounds give no row.
+    """
     down = F.explode(F.sequence(F.col("y1").cast("int"), F.col("y2").cast("int") - 1)).alias("y")
-    return boxes.where("x2 > x1 and y2 > y1").select(*keys, "y1", "y2", across).select(*keys, "x", down)
+    return boxes.where("x2 > x1 and y2 > y1").select(*keys, down, F.col("x1").cast("int").alias("x1"), F.col("x2").cast("int").alias("x2"))
+
 
+def acquired_runs(provenance: DataFrame, within: list[str] = []) -> DataFrame:  # noqa: B006
+    """(y, left, right): the longest runs of acquired pixels on each line of a map (x, y, p); ends exclusive."""
+    line = Window.partitionBy(*within, "y").orderBy("x")
+    seen = provenance.where(F.col("p") == ACQUIRED).select(*within, "x", "y").distinct()
+    runs = seen.withColumn("run", F.col("x") - F.row_number().over(line)).groupBy(*within, "y", "run")
+    return runs.agg(F.min("x").alias("left"), (F.max("x") + 1).alias("right")).drop("run")
 
-def clip_to_acquired(pixels: DataFrame, provenance: DataFrame, keys: list[str]) -> DataFrame:
-    """The trimmed extent and area of what lies on acquired pixels; predictions without any are gone."""
-    seen = pixels.join(provenance.where(F.col("p") == ACQUIRED).select("x", "y"), ["x", "y"])
-    return seen.groupBy(*keys).agg(F.min("x").alias("x1"), F.min("y").alias("y1"), (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2"), F.count("*").alias("area"))
+
+def clip_to_acquired(runs: DataFrame, provenance: DataFrame, keys: list[str], within: list[str] = []) -> DataFrame:  # noqa: B006
+    """The trimmed extent and area of what lies on acquired pixels; predictions without any are gone.
+
+    ``within`` names the columns of both tables that tell the canvases of several acquisitions apart.
+    """
+    seen = runs.join(acquired_runs(provenance, within), [*within, "y"]).where("x1 < right and left < x2")
+    cut = seen.withColumns({"x1": F.greatest("x1", "left"), "x2": F.least("x2", "right")})
+    return cut.groupBy(*keys).agg(F.min("x1").alias("x1"), F.min("y").alias("y1"), F.max("x2").alias("x2"), (F.max("y") + 1).alias("y2"), F.sum(F.col("x2") - F.col("x1")).alias("area"))
 
 
-def footprint_overlaps(pixels: DataFrame, within: list[str], key: str) -> DataFrame:
-    """a, b and both: common pixels of two footprints of a group, by an equi-join on pixels."""
-    left = pixels.select(*within, "x", "y", F.col(key).alias("a"))
-    right = pixels.select(*within, "x", "y", F.col(key).alias("b"))
-    return left.join(right, [*within, "x", "y"]).where("a < b").groupBy(*within, "a", "b").agg(F.count("*").alias("both"))
+def footprint_overlaps(runs: DataFrame, within: list[str], key: str) -> DataFrame:
+    """a, b and both: common pixels of two footprints of a group, by an equi-join on lines."""
+    left = runs.select(*within, "y", F.col(key).alias("a"), F.col("x1").alias("l1"), F.col("x2").alias("l2"))
+    right = runs.select(*within, "y", F.col(key).alias("b"), F.col("x1").alias("r1"), F.col("x2").alias("r2"))
+    meet = left.join(right, [*within, "y"]).where("a < b and l1 < r2 and r1 < l2")
+    return meet.groupBy(*within, "a", "b").agg(F.sum(F.least("l2", "r2") - F.greatest("l1", "r1")).alias("both"))
 
 
 def running_budget(sizes: DataFrame, group: list[str], order: list[str], size: str, most: int) -> DataFrame:
@@ -77,41 +93,45 @@ def stable_id(cls: int, links: list[tuple[int, str]]) -> str:
     return "disc-prediction-" + hashlib.sha256(text.encode()).hexdigest()[:24]
 
 
-def dedup_footprints(pixels: DataFrame, group: list[str], threshold: float) -> DataFrame:
-    """Greedy de-duplication of footprints (frame, id, conf, cls and one row for each pixel) in each group.
+def dedup_footprints(runs: DataFrame, group: list[str], threshold: float) -> DataFrame:
+    """Greedy de-duplication of footprints (frame, id, conf, cls and one row for each run) in each group.
 
     Best first: by confidence, then box, then id; a footprint absorbs those that overlap its present
     union at ``threshold`` (max of IoU and share of the smaller), until a pass changes nothing. The
     result keeps the greatest confidence, the union, all links sorted, and an id made from them.
+    A task holds the footprints of one group, a bit for each pixel of the group's extent.
     """
 
     def work(key: tuple, rows: list[tuple]) -> list[tuple]:
-        cls, spots_of = None, {}
-        for frame, name, conf, c, x, y in rows:
-            cls = c
-            spots_of.setdefault((frame, name, conf), set()).add((x, y))
+        left, top, right = min(r[5] for r in rows), min(r[4] for r in rows), max(r[6] for r in rows)
+        stride, views = right - left, {}
+        for frame, name, conf, cls, y, x1, x2 in rows:
+            views.setdefault((frame, name, conf, cls), []).append((y, x1, x2))
         items = []
-        for (frame, name, conf), spots in spots_of.items():
-            xs, ys = [p[0] for p in spots], [p[1] for p in spots]
-            items.append((-conf, min(xs), min(ys), max(xs) + 1, max(ys) + 1, stable_id(cls, [(frame, name)]), spots, [(frame, name)]))
-        waiting, out = sorted(items, key=lambda i: i[:6]), []
+        for (frame, name, conf, cls), lines in views.items():
+            bits = 0
+            for y, x1, x2 in lines:
+                bits |= ((1 << x2 - x1) - 1) << (y - top) * stride + x1 - left
+            box = (min(n[1] for n in lines), min(n[0] for n in lines), max(n[2] for n in lines), max(n[0] for n in lines) + 1)
+            items.append((-conf, box, stable_id(cls, [(frame, name)]), cls, bits, bits.bit_count(), [(frame, name)]))
+        waiting, out = sorted(items, key=lambda i: i[:3]), []
         while waiting:
-            (conf, *_, spots, links), waiting = waiting[0], waiting[1:]
+            (conf, box, _, cls, bits, size, links), waiting = waiting[0], waiting[1:]
             changed = True
             while changed:
                 changed, apart = False, []
                 for other in waiting:
-                    both = len(spots & other[6])
-                    if both and max(both / (len(spots) + len(other[6]) - both), both / min(len(spots), len(other[6]))) >= threshold:
-                        spots, links, changed = spots | other[6], sorted(links + other[7]), True
+                    both = (bits & other[4]).bit_count()
+                    if both and max(both / (size + other[5] - both), both / min(size, other[5])) >= threshold:
+                        bits, size, links, changed = bits | other[4], size + other[5] - both, sorted(links + other[6]), True
+                        box = (*map(min, box[:2], other[1][:2]), *map(max, box[2:], other[1][2:]))
                         conf = min(conf, other[0])
                     else:
                         apart.append(other)
                 waiting = apart
-            xs, ys = [p[0] for p in spots], [p[1] for p in spots]
-            out.append((min(xs), min(ys), max(xs) + 1, max(ys) + 1, -conf, len(spots), stable_id(cls, links), [f"{f}:{i}" for f, i in links]))
+            out.append((*box, -conf, size, stable_id(cls, links), [f"{f}:{i}" for f, i in links]))
         return [(*key, *r) for r in sorted(out, key=lambda r: (r[:4], -r[4], r[6]))]
 
-    types = ", ".join(f"{g} {pixels.schema[g].dataType.simpleString()}" for g in group)
-    rows = pixels.select(*group, "frame", "id", "conf", F.col("cls").alias("cls_of"), "x", "y")
+    types = ", ".join(f"{g} {runs.schema[g].dataType.simpleString()}" for g in group)
+    rows = runs.select(*group, "frame", "id", "conf", F.col("cls").alias("cls_of"), "y", "x1", "x2")
     return sorted_groups(rows, group, work, f"{types}, x1 int, y1 int, x2 int, y2 int, conf double, area int, id string, links array<string>")

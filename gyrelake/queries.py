@@ -182,53 +182,57 @@ def project_points(spark, sf_dir):
     return corners.groupBy("frame", "cls").agg(*[F.round(f(c), 6).alias(n) for f, c, n in ((F.min, "x", "left_px"), (F.min, "y", "top_px"), (F.max, "x", "right_px"), (F.max, "y", "bottom_px"))])
 
 
-SMALL = f"(select *, {ACQ} as ord from (select acq, cls, conf, x1, y1, x1 + 1 + slice_index % 9 as x2, y1 + 1 + slice_index % 7 as y2, slice_index from {sql('det_acq')}))"
-PIXELS_SQL = f"(select acq, cls, ord, conf, x, unnest(range(cast(y1 as bigint), cast(y2 as bigint))) as y from (select *, unnest(range(cast(x1 as bigint), cast(x2 as bigint))) as x from {SMALL}))"
-ACQUIRED_SQL = "(select x, y, cast((x * 7 + y * 3) % 4 as integer) as p from (select range as x from range(60)), (select range as y from range(60)))"
+BOXES_SQL = f"(select *, {ACQ} as ord from {sql('det_acq')})"
+CANVAS = 96  # the boxes of det_acq end before it
+ACQUIRED_SQL = f"(select x, y from (select range as x from range({CANVAS})), (select range as y from range({CANVAS})) where (x // 5 * 7 + y * 3) % 4 = 1)"
 
 
-def small_boxes(spark, sf_dir):
-    d = adapted(spark, sf_dir, "det_acq").withColumns({"x2": F.expr("x1 + 1 + slice_index % 9"), "y2": F.expr("y1 + 1 + slice_index % 7")})
-    return d.withColumn("ord", F.expr(ACQ).cast("long"))
+def ordered_boxes(spark, sf_dir):
+    return adapted(spark, sf_dir, "det_acq").withColumn("ord", F.expr(ACQ).cast("long"))
 
 
 def canvas(spark):
-    """A 60 x 60 canvas with a provenance pattern."""
-    return spark.range(3600).selectExpr("cast(id % 60 as int) as x", "cast(floor(id / 60) as int) as y").withColumn("p", F.expr("(x * 7 + y * 3) % 4"))
+    """A canvas with a provenance pattern: five pixels of twenty on each line are acquired, shifted from line to line."""
+    return spark.range(CANVAS * CANVAS).selectExpr(f"cast(id % {CANVAS} as int) as x", f"cast(floor(id / {CANVAS}) as int) as y").withColumn("p", F.expr("(floor(x / 5) * 7 + y * 3) % 4"))
 
 
 @query(f"""
-    select acq, cls, ord, cast(min(x) as integer) as x1, cast(min(y) as integer) as y1, cast(max(x) + 1 as integer) as x2, cast(max(y) + 1 as integer) as y2, count(*) as area
-    from {PIXELS_SQL} join {ACQUIRED_SQL} using (x, y) where p = 1 group by acq, cls, ord
+    with b as (select acq, cls, ord, cast(x1 as bigint) as x1, cast(y1 as bigint) as y1, cast(x2 as bigint) as x2, cast(y2 as bigint) as y2 from {BOXES_SQL}),
+    shapes as (select distinct x1, y1, x2, y2 from b),
+    lines as (select *, unnest(range(y1, y2)) as y from shapes),
+    cut as (select l.x1, l.y1, l.x2, l.y2, min(a.x) as ax1, min(l.y) as ay1, max(a.x) + 1 as ax2, max(l.y) + 1 as ay2, count(*) as area
+        from lines l join {ACQUIRED_SQL} a on a.y = l.y and a.x >= l.x1 and a.x < l.x2 group by all)
+    select acq, cls, ord, cast(ax1 as integer) as x1, cast(ay1 as integer) as y1, cast(ax2 as integer) as x2, cast(ay2 as integer) as y2, area from b join cut using (x1, y1, x2, y2)
 """)
 def provenance_clip(spark, sf_dir):
     keys = ["acq", "cls", "ord"]
-    return projection.clip_to_acquired(projection.box_pixels(small_boxes(spark, sf_dir), keys), canvas(spark), keys)
+    return projection.clip_to_acquired(projection.box_runs(ordered_boxes(spark, sf_dir), keys), canvas(spark), keys)
 
 
 @query(f"""
-    with p as (select acq, cls, ord, x, y from {PIXELS_SQL})
-    select a.acq as acq, a.cls as cls, a.ord as a, b.ord as b, count(*) as both from p a join p b on a.acq = b.acq and a.cls = b.cls and a.x = b.x and a.y = b.y and a.ord < b.ord group by all
+    with b as (select * from {BOXES_SQL})
+    select a.acq, a.cls, a.ord as a, b.ord as b, cast({BOTH} as bigint) as both
+    from b as a join b on a.acq = b.acq and a.cls = b.cls and a.ord < b.ord and a.x1 < b.x2 and b.x1 < a.x2 and a.y1 < b.y2 and b.y1 < a.y2
 """)
 def footprint_overlap(spark, sf_dir):
-    return projection.footprint_overlaps(projection.box_pixels(small_boxes(spark, sf_dir), ["acq", "cls", "ord"]), ["acq", "cls"], "ord")
+    return projection.footprint_overlaps(projection.box_runs(ordered_boxes(spark, sf_dir), ["acq", "cls", "ord"]), ["acq", "cls"], "ord")
 
 
 @query()
 def dedup_predictions(spark, sf_dir):
-    """Greedy footprints: rows only here; tests hold it against a plain loop."""
-    boxes = small_boxes(spark, sf_dir).withColumns({"frame": F.col("slice_index") % 16, "id": F.concat(F.lit("p"), F.col("ord"))})
-    pixels = projection.box_pixels(boxes, ["acq", "cls", "frame", "id", "conf"])
-    return projection.dedup_footprints(pixels, ["acq", "cls"], 0.5).withColumn("links", F.array_join("links", ",")).drop("cls")
+    """Greedy footprints: rows only here; tests hold it against a plain loop over sets of pixels."""
+    boxes = ordered_boxes(spark, sf_dir).withColumns({"frame": F.col("slice_index") % 16, "id": F.concat(F.lit("p"), F.col("ord"))})
+    runs = projection.box_runs(boxes, ["acq", "cls", "frame", "id", "conf"])
+    return projection.dedup_footprints(runs, ["acq", "cls"], 0.5).withColumn("links", F.array_join("links", ",")).drop("cls")
 
 
 @query(f"""
-    select acq, cls, ord, cast(size as bigint) as size, cast(sum(size) over (partition by acq, cls order by ord) as bigint) as total, sum(size) over (partition by acq, cls order by ord) <= 60 as within
-    from (select acq, cls, ord, cast((x2 - x1) * (y2 - y1) as bigint) as size from {SMALL})
+    select acq, cls, ord, cast(size as bigint) as size, cast(sum(size) over (partition by acq, cls order by ord) as bigint) as total, sum(size) over (partition by acq, cls order by ord) <= 1000 as within
+    from (select acq, cls, ord, cast((x2 - x1) * (y2 - y1) as bigint) as size from {BOXES_SQL})
 """)
 def footprint_budget(spark, sf_dir):
-    sizes = small_boxes(spark, sf_dir).select("acq", "cls", "ord", F.expr("cast((x2 - x1) * (y2 - y1) as bigint)").alias("size"))
-    return projection.running_budget(sizes, ["acq", "cls"], ["ord"], "size", 60)
+    sizes = ordered_boxes(spark, sf_dir).select("acq", "cls", "ord", F.expr("cast((x2 - x1) * (y2 - y1) as bigint)").alias("size"))
+    return projection.running_budget(sizes, ["acq", "cls"], ["ord"], "size", 1000)
 
 
 REASON_SQL = """case when target_frame <> source_frame % 16 + 1 then 'not_adjacent' when abs(angle_degrees + 225e-1) > 2 then 'angle' when not (scale between 995e-3 and 1005e-3) then 'scale'

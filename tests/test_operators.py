@@ -90,7 +90,7 @@ def test_views_of_one_spot_become_one(spark):
     """Five frames see one spot and two another; expected values by sets of pixels."""
     views = [(f, f"v{f}", 0.31 + 0.07 * f, 4, 7 + f % 2, 11, 19 + f % 2, 16) for f in range(5)] + [(f, f"w{f}", 0.9 - 0.1 * f, 4, 60, 3, 66, 12 + f) for f in range(2)]
     boxes = spark.createDataFrame(views, "frame int, id string, conf double, cls int, x1 int, y1 int, x2 int, y2 int")
-    got = projection.dedup_footprints(projection.box_pixels(boxes, ["frame", "id", "conf", "cls"]), ["cls"], 0.6).orderBy("x1").collect()
+    got = projection.dedup_footprints(projection.box_runs(boxes, ["frame", "id", "conf", "cls"]), ["cls"], 0.6).orderBy("x1").collect()
     for r, name in zip(got, "vw", strict=True):
         mine = [v for v in views if v[1][0] == name]
         pixels = {(x, y) for *_, x1, y1, x2, y2 in mine for x in range(x1, x2) for y in range(y1, y2)}
@@ -103,10 +103,67 @@ def test_clip_to_provenance(spark):
     cut = lambda x, y: 3 * x + y < 90
     boxes = [("cut", 12, 4, 33, 15), ("gone", 31, 20, 39, 26)]
     seen = spark.createDataFrame([(x, y, int(cut(x, y))) for x in range(45) for y in range(30)], "x int, y int, p int")
-    pixels = projection.box_pixels(spark.createDataFrame(boxes, "id string, x1 int, y1 int, x2 int, y2 int"), ["id"])
+    runs = projection.box_runs(spark.createDataFrame(boxes, "id string, x1 int, y1 int, x2 int, y2 int"), ["id"])
     left = [(x, y) for x in range(12, 33) for y in range(4, 15) if cut(x, y)]
     want = ("cut", min(x for x, _ in left), min(y for _, y in left), max(x for x, _ in left) + 1, max(y for _, y in left) + 1, len(left))
-    assert rows(projection.clip_to_acquired(pixels, seen, ["id"])) == [want]
+    assert rows(projection.clip_to_acquired(runs, seen, ["id"])) == [want]
+
+
+def plain_dedup(views, threshold):
+    """The greedy rule over sets of pixels: (frame, id, conf, pixels) in, (pixels, conf, links) out."""
+    box = lambda p: (min(x for x, _ in p), min(y for _, y in p), max(x for x, _ in p) + 1, max(y for _, y in p) + 1)
+    names = lambda links: projection.stable_id(2, links)
+    waiting = sorted(((-conf, box(p), names([(f, i)]), p, [(f, i)]) for f, i, conf, p in views), key=lambda v: v[:3])
+    out = []
+    while waiting:
+        conf, _, _, pixels, links = waiting.pop(0)
+        before = -1
+        while before != len(links):
+            before, rest = len(links), []
+            for w in waiting:
+                n = len(pixels & w[3])
+                if n and max(n / len(pixels | w[3]), n / min(len(pixels), len(w[3]))) >= threshold:
+                    pixels, links, conf = pixels | w[3], sorted(links + w[4]), min(conf, w[0])
+                else:
+                    rest.append(w)
+            waiting = rest
+        out.append((*box(pixels), -conf, len(pixels), [f"{f}:{i}" for f, i in links]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_dedup_equals_a_plain_loop(spark, threshold):
+    """Boxes at whole size with ties of confidence and repeated boxes, and one L-shaped footprint."""
+    draw = random.Random(11)
+    views = []
+    for i in range(60):
+        x, y = draw.randrange(70), draw.randrange(50)
+        views.append((i % 16, f"p{i}", draw.randrange(4) / 4, [(line, x, x + 5 + i % 45) for line in range(y, y + 6 + i % 31)]))
+    views += [(3, "twin", *views[7][2:]), (4, "bent", 0.75, [(line, 10, 14 if line < 30 else 60) for line in range(10, 40)])]
+    runs = spark.createDataFrame([(f, i, c, 2, *r) for f, i, c, lines in views for r in lines], "frame int, id string, conf double, cls int, y int, x1 int, x2 int")
+    got = sorted((r.x1, r.y1, r.x2, r.y2, r.conf, r.area, r.links) for r in projection.dedup_footprints(runs, ["cls"], threshold).collect())
+    assert got == plain_dedup([(f, i, c, {(x, y) for y, x1, x2 in lines for x in range(x1, x2)}) for f, i, c, lines in views], threshold)
+    assert projection.dedup_footprints(runs.limit(0), ["cls"], threshold).count() == 0
+
+
+def test_overlaps_and_clips_of_bent_footprints(spark):
+    """Runs of two acquisitions with canvases of their own; expected values by sets of pixels."""
+    shapes = {(a, k): {(x, y) for x in range(40) for y in range(20) if (x - 9 * k - a) ** 2 < 60 + 5 * y and (y + k) % 5} for a in (0, 1) for k in range(4)}
+    runs = []
+    for (a, k), pixels in shapes.items():
+        for y in {y for _, y in pixels}:
+            xs = sorted(x for x, py in pixels if py == y)
+            runs += [(a, k, y, xs[0], xs[-1] + 1)]
+    runs = spark.createDataFrame(runs, "acq int, ord int, y int, x1 int, x2 int")
+    want = [(a, i, j, len(shapes[a, i] & shapes[a, j])) for a in (0, 1) for i in range(4) for j in range(i + 1, 4) if shapes[a, i] & shapes[a, j]]
+    assert rows(projection.footprint_overlaps(runs, ["acq"], "ord")) == want
+    seen = {(a, x, y) for a in (0, 1) for x in range(40) for y in range(20) if (x // 3 + y + a) % 2}
+    provenance = spark.createDataFrame([(a, x, y, int((a, x, y) in seen)) for a in (0, 1) for x in range(40) for y in range(20)], "acq int, x int, y int, p int")
+    want = []
+    for (a, k), pixels in shapes.items():
+        left = [(x, y) for x, y in pixels if (a, x, y) in seen]
+        want.append((a, k, min(x for x, _ in left), min(y for _, y in left), max(x for x, _ in left) + 1, max(y for _, y in left) + 1, len(left)))
+    assert rows(projection.clip_to_acquired(runs, provenance, ["acq", "ord"], ["acq"])) == sorted(want)
 
 
 def test_budget_and_hull(spark):
