@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
@@ -11,10 +11,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
-def sorted_groups(rows: DataFrame, keys: list[str], work: Callable[[tuple, list[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+def sorted_groups(rows: DataFrame, keys: list[str], work: Callable[[tuple, Iterable[tuple]], Iterable[tuple]], schema: str, order: tuple[str, ...] = ()) -> DataFrame:
     """Calls ``work(key, rows)`` for each group of ``keys`` (first columns of ``rows``) and collects the rows it gives.
 
     One shuffle by the keys and a sort, then Arrow batches; a task holds one group and one batch.
+    With ``order`` a group comes sorted by these columns, as an iterator: then it is never held whole.
     """
     width = len(keys)
     columns = [*keys, *[c for c in rows.columns if c not in keys]]
@@ -26,13 +27,18 @@ def sorted_groups(rows: DataFrame, keys: list[str], work: Callable[[tuple, list[
             for batch in batches:
                 yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
+        def packed(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(kind)], schema=kind)
+
         found: list[tuple] = []
         for key, group in groupby(stream(), lambda r: r[:width]):
-            found += work(key, [r[width:] for r in group])
-            if len(found) >= 10_000:
-                yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r, strict=True)) for r in found], schema=kind)
-                found = []
-        yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r, strict=True)) for r in found], schema=kind)
+            rest = (r[width:] for r in group)
+            for row in work(key, rest if order else list(rest)):
+                found.append(row)
+                if len(found) >= 10_000:
+                    yield packed(found)
+                    found = []
+        yield packed(found)
 
     out: StructType = _parse_datatype_string(schema)
-    return rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, out)
+    return rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)

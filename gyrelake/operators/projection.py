@@ -20,6 +20,18 @@ def project_corners(predictions: DataFrame, frames: DataFrame) -> DataFrame:
     return joined.withColumn("corners", F.array(*[map_point(F.col("m"), x, y) for x, y in corner])).drop("m")
 
 
+def projected_bounds(predictions: DataFrame, frames: DataFrame) -> DataFrame:
+    """predictions with left_px, top_px, right_px, bottom_px around their corners through the frame's matrix ``m``.
+
+    All four are null where a corner goes to infinity: such a prediction is to be rejected, not cut.
+    """
+    joined = predictions.join(frames.select("frame", "m"), "frame")
+    at = [map_point(F.col("m"), F.col(a), F.col(b)) for a, b in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))]
+    whole = at[0].isNotNull() & at[1].isNotNull() & at[2].isNotNull() & at[3].isNotNull()
+    edges = (("left_px", F.least, "x"), ("top_px", F.least, "y"), ("right_px", F.greatest, "x"), ("bottom_px", F.greatest, "y"))
+    return joined.withColumns({n: F.when(whole, f(*[p[c] for p in at])) for n, f, c in edges}).drop("m")
+
+
 def clipped_bounds(corners: Column, width: Column, height: Column) -> Column:
     """struct(left, top, right, bottom) of whole pixels around the corners inside the canvas; null when empty."""
     xs, ys = F.transform(corners, lambda p: p["x"]), F.transform(corners, lambda p: p["y"])
@@ -30,13 +42,19 @@ def clipped_bounds(corners: Column, width: Column, height: Column) -> Column:
 
 
 def box_runs(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """A row (y, x1, x2) for each line of boxes with whole-number bounds x1, y1, x2, y2 (ends exclusive).
+    """A footprint for each box with whole-number bounds x1, y1, x2, y2 (ends exclusive): ``runs``, a (y, x1, x2) for each line.
 
-    A footprint is any set of such runs that are disjoint; its rows grow with its height, not its area.
-    Empty boxes and null bounds give no row.
+    A footprint is any set of disjoint runs; it grows with its height, not its area. Empty boxes and
+    null bounds give no row.
     """
-    down = F.explode(F.sequence(F.col("y1").cast("int"), F.col("y2").cast("int") - 1)).alias("y")
-    return boxes.where("x2 > x1 and y2 > y1").select(*keys, down, F.col("x1").cast("int").alias("x1"), F.col("x2").cast("int").alias("x2"))
+    down = F.sequence(F.col("y1").cast("int"), F.col("y2").cast("int") - 1)
+    line = lambda y: F.struct(y.alias("y"), F.col("x1").cast("int").alias("x1"), F.col("x2").cast("int").alias("x2"))
+    return boxes.where("x2 > x1 and y2 > y1").select(*keys, F.transform(down, line).alias("runs"))
+
+
+def lines(footprints: DataFrame, keys: list[str]) -> DataFrame:
+    """A row (y, x1, x2) for each run."""
+    return footprints.select(*keys, F.inline("runs"))
 
 
 def acquired_runs(provenance: DataFrame, within: list[str] = []) -> DataFrame:  # noqa: B006
@@ -47,18 +65,19 @@ def acquired_runs(provenance: DataFrame, within: list[str] = []) -> DataFrame:
     return runs.agg(F.min("x").alias("left"), (F.max("x") + 1).alias("right")).drop("run")
 
 
-def clip_to_acquired(runs: DataFrame, provenance: DataFrame, keys: list[str], within: list[str] = []) -> DataFrame:  # noqa: B006
+def clip_to_acquired(footprints: DataFrame, provenance: DataFrame, keys: list[str], within: list[str] = []) -> DataFrame:  # noqa: B006
     """The trimmed extent and area of what lies on acquired pixels; predictions without any are gone.
 
     ``within`` names the columns of both tables that tell the canvases of several acquisitions apart.
     """
-    seen = runs.join(acquired_runs(provenance, within), [*within, "y"]).where("x1 < right and left < x2")
+    seen = lines(footprints, list(dict.fromkeys([*within, *keys]))).join(acquired_runs(provenance, within), [*within, "y"]).where("x1 < right and left < x2")
     cut = seen.withColumns({"x1": F.greatest("x1", "left"), "x2": F.least("x2", "right")})
     return cut.groupBy(*keys).agg(F.min("x1").alias("x1"), F.min("y").alias("y1"), F.max("x2").alias("x2"), (F.max("y") + 1).alias("y2"), F.sum(F.col("x2") - F.col("x1")).alias("area"))
 
 
-def footprint_overlaps(runs: DataFrame, within: list[str], key: str) -> DataFrame:
+def footprint_overlaps(footprints: DataFrame, within: list[str], key: str) -> DataFrame:
     """a, b and both: common pixels of two footprints of a group, by an equi-join on lines."""
+    runs = lines(footprints, [*within, key])
     left = runs.select(*within, "y", F.col(key).alias("a"), F.col("x1").alias("l1"), F.col("x2").alias("l2"))
     right = runs.select(*within, "y", F.col(key).alias("b"), F.col("x1").alias("r1"), F.col("x2").alias("r2"))
     meet = left.join(right, [*within, "y"]).where("a < b and l1 < r2 and r1 < l2")
@@ -93,8 +112,8 @@ def stable_id(cls: int, links: list[tuple[int, str]]) -> str:
     return "disc-prediction-" + hashlib.sha256(text.encode()).hexdigest()[:24]
 
 
-def dedup_footprints(runs: DataFrame, group: list[str], threshold: float) -> DataFrame:
-    """Greedy de-duplication of footprints (frame, id, conf, cls and one row for each run) in each group.
+def dedup_footprints(footprints: DataFrame, group: list[str], threshold: float) -> DataFrame:
+    """Greedy de-duplication of footprints (frame, id, conf, cls and runs) in each group.
 
     Best first: by confidence, then box, then id; a footprint absorbs those that overlap its present
     union at ``threshold`` (max of IoU and share of the smaller), until a pass changes nothing. The
@@ -103,16 +122,13 @@ def dedup_footprints(runs: DataFrame, group: list[str], threshold: float) -> Dat
     """
 
     def work(key: tuple, rows: list[tuple]) -> list[tuple]:
-        left, top, right = min(r[5] for r in rows), min(r[4] for r in rows), max(r[6] for r in rows)
-        stride, views = right - left, {}
-        for frame, name, conf, cls, y, x1, x2 in rows:
-            views.setdefault((frame, name, conf, cls), []).append((y, x1, x2))
-        items = []
-        for (frame, name, conf, cls), lines in views.items():
-            bits = 0
-            for y, x1, x2 in lines:
+        left, top, right = (f(f(r[4][i::3]) for r in rows) for f, i in ((min, 1), (min, 0), (max, 2)))
+        stride, items = right - left, []
+        for frame, name, conf, cls, flat in rows:
+            bits, ys = 0, flat[::3]
+            for y, x1, x2 in zip(ys, flat[1::3], flat[2::3], strict=True):
                 bits |= ((1 << x2 - x1) - 1) << (y - top) * stride + x1 - left
-            box = (min(n[1] for n in lines), min(n[0] for n in lines), max(n[2] for n in lines), max(n[0] for n in lines) + 1)
+            box = (min(flat[1::3]), min(ys), max(flat[2::3]), max(ys) + 1)
             items.append((-conf, box, stable_id(cls, [(frame, name)]), cls, bits, bits.bit_count(), [(frame, name)]))
         waiting, out = sorted(items, key=lambda i: i[:3]), []
         while waiting:
@@ -132,6 +148,7 @@ def dedup_footprints(runs: DataFrame, group: list[str], threshold: float) -> Dat
             out.append((*box, -conf, size, stable_id(cls, links), [f"{f}:{i}" for f, i in links]))
         return [(*key, *r) for r in sorted(out, key=lambda r: (r[:4], -r[4], r[6]))]
 
-    types = ", ".join(f"{g} {runs.schema[g].dataType.simpleString()}" for g in group)
-    rows = runs.select(*group, "frame", "id", "conf", F.col("cls").alias("cls_of"), "y", "x1", "x2")
+    types = ", ".join(f"{g} {footprints.schema[g].dataType.simpleString()}" for g in group)
+    flat = F.flatten(F.transform("runs", lambda r: F.array(r["y"], r["x1"], r["x2"]))).alias("flat")
+    rows = footprints.where(F.size("runs") > 0).select(*group, "frame", "id", "conf", F.col("cls").alias("cls_of"), flat)
     return sorted_groups(rows, group, work, f"{types}, x1 int, y1 int, x2 int, y2 int, conf double, area int, id string, links array<string>")

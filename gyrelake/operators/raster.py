@@ -33,10 +33,10 @@ def coverage_report(covered: DataFrame) -> DataFrame:
     return covered.agg(F.count_if(F.col("coverage") == 0).alias("uncovered"), F.max("coverage").alias("most"))
 
 
-def cull(tiles: DataFrame, bounds: DataFrame) -> DataFrame:
-    """tile and frame wherever a frame's bounds meet a tile: a range join against the (16) frames of an acquisition."""
+def cull(tiles: DataFrame, bounds: DataFrame, group: str = "acq") -> DataFrame:
+    """The acquisition's tile and frame wherever a frame's bounds meet a tile: an equi-join on the acquisition."""
     meets = (F.col("right") > F.col("x0")) & (F.col("left") < F.col("x1")) & (F.col("bottom") > F.col("y0")) & (F.col("top") < F.col("y1"))
-    return tiles.join(bounds, meets).select("tile", "frame")
+    return tiles.join(bounds, group).where(meets).select(group, "tile", "frame")
 
 
 def canvas_geometry(corners: DataFrame, group: str) -> DataFrame:

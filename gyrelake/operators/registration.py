@@ -6,8 +6,11 @@ the 16 edges of one acquisition (a bounded group) and run in numpy inside a grou
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,36 +74,45 @@ def radial_bands(calibrations: DataFrame, group: str = "acq") -> DataFrame:
     return band.where((F.col("hits") == RAYS) & (F.col("outer") > F.col("inner"))).select(group, "inner", "outer")
 
 
-def ring_solution(source: np.ndarray, target: np.ndarray, correction: np.ndarray, weight: np.ndarray, frames: int = FRAMES, anchor: float = 1000.0) -> np.ndarray:
-    """Corrections c with c[target] - c[source] = correction in the least-squares sense, c[1] held at 0."""
-    a, b = np.zeros((len(source) + 1, frames)), np.zeros(len(source) + 1)
-    rows, root = np.arange(len(source)), np.sqrt(weight)
-    a[rows, target - 1] += root
-    a[rows, source - 1] -= root
-    b[:-1] = correction * root
-    a[-1, 0] = anchor
-    return np.linalg.lstsq(a, b, rcond=None)[0]
+def ring_solutions(source: np.ndarray, target: np.ndarray, correction: np.ndarray, weight: np.ndarray, frames: int = FRAMES, anchor: float = 1000.0) -> np.ndarray:
+    """Corrections c of each row's ring with c[target] - c[source] = correction in the least-squares sense, c[1] held at 0."""
+    n, m = source.shape
+    a, b = np.zeros((n, m + 1, frames)), np.zeros((n, m + 1, 1))
+    at, edge, root = np.arange(n)[:, None], np.arange(m)[None], np.sqrt(weight)
+    a[at, edge, target - 1] += root
+    a[at, edge, source - 1] -= root
+    b[:, :-1, 0] = correction * root
+    a[:, -1, 0] = anchor
+    return (np.linalg.pinv(a) @ b)[..., 0]
 
 
 def ring_corrections(assessed: DataFrame, radius: float, group: str = "acq", most_degrees: float = 2.0, most_px: float = 4.0) -> DataFrame:
     """frame, correction, residual_px and ok for acquisitions with a full ring of accepted pairs; others give no row.
 
-    ``assessed`` has source_frame, target_frame, correction and confidence; a null correction fails its acquisition.
+    ``assessed`` has source_frame, target_frame, correction and confidence; a null or a frame that is
+    not 1..16 fails its acquisition. Rings (16 rows each) are solved an Arrow batch at a time.
     """
-    full = assessed.groupBy(group).agg(F.count("correction").alias("good"), F.count("*").alias("n"), F.count_distinct("source_frame").alias("sources"))
+    known = F.col("source_frame").between(1, FRAMES) & F.col("target_frame").between(1, FRAMES) & F.col("correction").isNotNull() & F.col("confidence").isNotNull()
+    full = assessed.groupBy(group).agg(F.count_if(known).alias("good"), F.count("*").alias("n"), F.count_distinct("source_frame").alias("sources"))
     ready = full.where((F.col("good") == FRAMES) & (F.col("n") == FRAMES) & (F.col("sources") == FRAMES)).select(group)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("source_frame")
-        s, t = rows["source_frame"].to_numpy(), rows["target_frame"].to_numpy()
-        c = ring_solution(s, t, rows["correction"].to_numpy(), rows["confidence"].to_numpy())
-        gap = np.abs(np.radians(c[t - 1] - c[s - 1] - rows["correction"].to_numpy())) * radius
-        ok = bool((np.abs(c) <= most_degrees).all() and (gap <= most_px).all())
-        return pd.DataFrame({group: rows[group].iloc[0], "frame": s, "correction": c[s - 1], "residual_px": gap, "ok": ok})
-
-    kind = assessed.schema[group].dataType.simpleString()
-    columns = [group, "source_frame", "target_frame", "correction", "confidence"]
-    return assessed.join(ready, group).select(columns).groupBy(group).applyInPandas(run, f"{group} {kind}, frame int, correction double, residual_px double, ok boolean")
+    edge = F.struct("source_frame", "target_frame", F.col("correction").cast("double").alias("correction"), F.col("confidence").cast("double").alias("confidence"))
+    rings = assessed.join(ready, group).groupBy(group).agg(F.array_sort(F.collect_list(edge)).alias("e"))
+    rings = rings.select(group, *[f"e.{c}" for c in ("source_frame", "target_frame", "correction", "confidence")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            s, t, correction, weight = (c.flatten().to_numpy(zero_copy_only=False).reshape(n, FRAMES) for c in batch.columns[1:])
+            c = ring_solutions(s, t, correction, weight)
+            at = np.arange(n)[:, None]
+            gap = np.abs(np.radians(c[at, t - 1] - c[at, s - 1] - correction)) * radius
+            ok = (np.abs(c) <= most_degrees).all(1) & (gap <= most_px).all(1)
+            columns = [batch.column(0).take(pa.array(np.repeat(np.arange(n), FRAMES))), *(pa.array(x.ravel()) for x in (s.astype(np.int32), c[at, s - 1], gap, np.repeat(ok, FRAMES)))]
+            yield pa.record_batch(columns, [group, "frame", "correction", "residual_px", "ok"])
+
+    return rings.mapInArrow(run, f"{group} {assessed.schema[group].dataType.simpleString()}, frame int, correction double, residual_px double, ok boolean")
 
 
 def pose_graph(edges: pd.DataFrame, frames: int = FRAMES) -> pd.DataFrame:

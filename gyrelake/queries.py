@@ -178,8 +178,9 @@ MATRIX = "1e0, frame / 64e0, frame * 10e0, frame / -128e0, 1e0, frame * 5e0, fra
 """)
 def project_points(spark, sf_dir):
     m = spark.range(16).selectExpr("cast(id as int) as frame").selectExpr("frame", f"array({MATRIX}) as m")
-    corners = projection.project_corners(adapted(spark, sf_dir, "det_frame"), m).select("frame", "cls", F.inline("corners"))
-    return corners.groupBy("frame", "cls").agg(*[F.round(f(c), 6).alias(n) for f, c, n in ((F.min, "x", "left_px"), (F.min, "y", "top_px"), (F.max, "x", "right_px"), (F.max, "y", "bottom_px"))])
+    bounds = projection.projected_bounds(adapted(spark, sf_dir, "det_frame"), m).where("left_px is not null")
+    edges = (("left_px", F.min), ("top_px", F.min), ("right_px", F.max), ("bottom_px", F.max))
+    return bounds.groupBy("frame", "cls").agg(*[F.round(f(n), 6).alias(n) for n, f in edges])
 
 
 BOXES_SQL = f"(select *, {ACQ} as ord from {sql('det_acq')})"
@@ -414,13 +415,15 @@ def coverage_map(spark, sf_dir):
 
 @query("""
     with t as (select range as tile, (range % 10) * 400 as x0, (range // 10) * 400 as y0 from range(80)),
-    f as (select range as frame, (range * 613) % 3000 as l, (range * 379) % 2500 as tp from range(16))
-    select tile, frame from t join f on l + 900 > x0 and l < x0 + 400 and tp + 700 > y0 and tp < y0 + 400
+    f as (select distinct o_custkey as acq, o_orderkey % 16 as frame, (o_orderkey * 613) % 3000 as l, (o_orderkey * 379) % 2500 as tp from orders)
+    select acq, tile, frame, count(*) as n from t join f on l + 900 > x0 and l < x0 + 400 and tp + 700 > y0 and tp < y0 + 400 group by all
 """)
 def tile_cull(spark, sf_dir):
-    tiles = spark.range(80).selectExpr("id as tile", "(id % 10) * 400 as x0", "cast(floor(id / 10) as long) * 400 as y0").withColumns({"x1": F.expr("x0 + 400"), "y1": F.expr("y0 + 400")})
-    bounds = spark.range(16).selectExpr("id as frame", "(id * 613) % 3000 as left", "(id * 379) % 2500 as top").withColumns({"right": F.expr("left + 900"), "bottom": F.expr("top + 700")})
-    return raster.cull(tiles, bounds)
+    orders = read(spark, sf_dir, "orders")
+    bounds = orders.selectExpr("o_custkey as acq", "o_orderkey % 16 as frame", "(o_orderkey * 613) % 3000 as left", "(o_orderkey * 379) % 2500 as top").distinct().withColumns({"right": F.expr("left + 900"), "bottom": F.expr("top + 700")})
+    grid = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(79).cast("long"))).alias("tile")
+    tiles = bounds.select("acq").distinct().select("acq", grid).selectExpr("acq", "tile", "(tile % 10) * 400 as x0", "(tile div 10) * 400 as y0").withColumns({"x1": F.expr("x0 + 400"), "y1": F.expr("y0 + 400")})
+    return raster.cull(tiles, bounds).groupBy("acq", "tile", "frame").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -643,6 +646,24 @@ def lease_state(spark, sf_dir):
     return events.leases(adapted(spark, sf_dir, "run_events").selectExpr(*REQUESTS)).select("run_id", "sequence", "granted")
 
 
+KIND = "case sequence % 7 when 0 then 'release' when 1 then 'renew' when 2 then 'renew' else 'acquire' end"
+GRANTED_SQL = "case q.kind when 'acquire' then s.owner is null or s.owner = q.owner or s.until <= q.asked else coalesce(s.owner = q.owner, false) end"
+
+
+@query(f"""
+    with recursive q as (select run_id, sequence, sequence * 3 as asked, 'w' || sequence % 3 as owner, 40 as seconds, {KIND} as kind, row_number() over (partition by run_id order by sequence) as nth from {sql("run_events")}),
+    s as (
+        select run_id, cast(0 as bigint) as sequence, cast(0 as bigint) as nth, cast(null as varchar) as owner, cast(null as bigint) as until, false as granted from q where nth = 1
+        union all
+        select q.run_id, q.sequence, q.nth, case when not {GRANTED_SQL} then s.owner when q.kind <> 'release' then q.owner end, case when not {GRANTED_SQL} then s.until when q.kind <> 'release' then q.asked + q.seconds end, {GRANTED_SQL}
+        from s join q on q.run_id = s.run_id and q.nth = s.nth + 1
+    )
+    select run_id, sequence, owner, until, granted from s where nth > 0
+""")
+def lease_renewals(spark, sf_dir):
+    return events.leases(adapted(spark, sf_dir, "run_events").selectExpr(*REQUESTS, f"{KIND} as kind"))
+
+
 @query(f"""
     select run_id, stage, sequence, event_type as status from (
         select run_id, 'stage' || sequence % 4 as stage, sequence, event_type, row_number() over (partition by run_id, sequence % 4 order by sequence desc) as nth from {sql("run_events")}) where nth = 1

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gyrelake.operators.grouping import sorted_groups
+
 
 def event_page(events: DataFrame, after: int, limit: int = 100) -> DataFrame:
     """The next events after a sequence; limit 1..500."""
@@ -34,25 +38,28 @@ def latest(events: DataFrame, key: str, *columns: str) -> DataFrame:
 
 
 def leases(requests: DataFrame) -> DataFrame:
-    """Requests (run_id, sequence, at, owner, seconds) with ``granted``: free, expired at its time, or the same owner.
+    """Requests (run_id, sequence, at, owner, seconds) with ``granted``, and the owner and expiry after each.
 
-    A fold over each run's requests in order; state is one owner and one expiry.
+    ``kind`` tells 'acquire' (the default: granted when the run is free, expired at its time, or has the
+    same owner), 'renew' and 'release' (both granted to the owner only, expired or not; a release frees
+    the run). Each run's requests stream in order; state is one owner and one expiry.
     """
-    entry = F.struct("sequence", "at", "owner", "seconds")
-    folded = F.aggregate(
-        F.array_sort(F.collect_list(entry)),
-        F.struct(F.lit(None).cast("string").alias("owner"), F.lit(None).cast("long").alias("until"), F.array().cast("array<struct<sequence:bigint,granted:boolean>>").alias("log")),
-        lambda s, r: F.struct(
-            F.when(_free(s, r), r["owner"]).otherwise(s["owner"]).alias("owner"),
-            F.when(_free(s, r), r["at"] + r["seconds"]).otherwise(s["until"]).alias("until"),
-            F.concat(s["log"], F.array(F.struct(r["sequence"].alias("sequence"), _free(s, r).alias("granted")))).alias("log"),
-        ),
-    )
-    return requests.groupBy("run_id").agg(folded.alias("s")).select("run_id", F.col("s.owner").alias("owner"), F.col("s.until").alias("until"), F.inline("s.log"))
-
-
-def _free(s, r):
-    return s["owner"].isNull() | (s["owner"] == r["owner"]) | (s["until"] <= r["at"])
+
+    def work(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        owner = until = None
+        for sequence, at, who, seconds, kind in rows:
+            if kind == "acquire":
+                granted = owner is None or owner == who or until <= at
+            else:
+                granted = owner is not None and owner == who
+            if granted:
+                owner, until = (None, None) if kind == "release" else (who, at + seconds)
+            yield *key, owner, until, sequence, granted
+
+    kind = F.coalesce("kind", F.lit("acquire")) if "kind" in requests.columns else F.lit("acquire")
+    rows = requests.select("run_id", "sequence", "at", "owner", "seconds", kind.alias("kind"))
+    name = requests.schema["run_id"].dataType.simpleString()
+    return sorted_groups(rows, ["run_id"], work, f"run_id {name}, owner string, until long, sequence long, granted boolean", ("sequence",))
 
 
 def retry_state(attempts: DataFrame, most: int = 3) -> DataFrame:

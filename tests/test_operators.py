@@ -109,6 +109,9 @@ def test_clip_to_provenance(spark):
     assert rows(projection.clip_to_acquired(runs, seen, ["id"])) == [want]
 
 
+RUNS = "runs array<struct<y int, x1 int, x2 int>>"
+
+
 def plain_dedup(views, threshold):
     """The greedy rule over sets of pixels: (frame, id, conf, pixels) in, (pixels, conf, links) out."""
     box = lambda p: (min(x for x, _ in p), min(y for _, y in p), max(x for x, _ in p) + 1, max(y for _, y in p) + 1)
@@ -140,7 +143,7 @@ def test_dedup_equals_a_plain_loop(spark, threshold):
         x, y = draw.randrange(70), draw.randrange(50)
         views.append((i % 16, f"p{i}", draw.randrange(4) / 4, [(line, x, x + 5 + i % 45) for line in range(y, y + 6 + i % 31)]))
     views += [(3, "twin", *views[7][2:]), (4, "bent", 0.75, [(line, 10, 14 if line < 30 else 60) for line in range(10, 40)])]
-    runs = spark.createDataFrame([(f, i, c, 2, *r) for f, i, c, lines in views for r in lines], "frame int, id string, conf double, cls int, y int, x1 int, x2 int")
+    runs = spark.createDataFrame([(f, i, c, 2, lines) for f, i, c, lines in views], f"frame int, id string, conf double, cls int, {RUNS}")
     got = sorted((r.x1, r.y1, r.x2, r.y2, r.conf, r.area, r.links) for r in projection.dedup_footprints(runs, ["cls"], threshold).collect())
     assert got == plain_dedup([(f, i, c, {(x, y) for y, x1, x2 in lines for x in range(x1, x2)}) for f, i, c, lines in views], threshold)
     assert projection.dedup_footprints(runs.limit(0), ["cls"], threshold).count() == 0
@@ -151,10 +154,9 @@ def test_overlaps_and_clips_of_bent_footprints(spark):
     shapes = {(a, k): {(x, y) for x in range(40) for y in range(20) if (x - 9 * k - a) ** 2 < 60 + 5 * y and (y + k) % 5} for a in (0, 1) for k in range(4)}
     runs = []
     for (a, k), pixels in shapes.items():
-        for y in {y for _, y in pixels}:
-            xs = sorted(x for x, py in pixels if py == y)
-            runs += [(a, k, y, xs[0], xs[-1] + 1)]
-    runs = spark.createDataFrame(runs, "acq int, ord int, y int, x1 int, x2 int")
+        on = {y: [x for x, py in pixels if py == y] for y in {y for _, y in pixels}}
+        runs += [(a, k, [(y, min(xs), max(xs) + 1) for y, xs in on.items()])]
+    runs = spark.createDataFrame(runs, f"acq int, ord int, {RUNS}")
     want = [(a, i, j, len(shapes[a, i] & shapes[a, j])) for a in (0, 1) for i in range(4) for j in range(i + 1, 4) if shapes[a, i] & shapes[a, j]]
     assert rows(projection.footprint_overlaps(runs, ["acq"], "ord")) == want
     seen = {(a, x, y) for a in (0, 1) for x in range(40) for y in range(20) if (x // 3 + y + a) % 2}

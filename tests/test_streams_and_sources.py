@@ -30,6 +30,9 @@ def test_leases_and_retries(spark):
     asked = [("r", 1, 0, "a", 10), ("r", 2, 5, "b", 10), ("r", 3, 8, "a", 10), ("r", 4, 18, "b", 10), ("r", 5, 20, "a", 1)]
     got = events.leases(spark.createDataFrame(asked, "run_id string, sequence long, at long, owner string, seconds long"))
     assert [r.granted for r in got.orderBy("sequence").collect()] == [True, False, True, True, False]
+    asked = [("r", 1, 0, "a", 10, "renew"), ("r", 2, 1, "a", 10, None), ("r", 3, 2, "b", 10, "release"), ("r", 4, 30, "a", 5, "renew"), ("r", 5, 31, "b", 5, "acquire"), ("r", 6, 32, "a", 5, "release"), ("r", 7, 33, "b", 5, "acquire")]
+    got = events.leases(spark.createDataFrame(asked, "run_id string, sequence long, at long, owner string, seconds long, kind string")).orderBy("sequence").collect()
+    assert [(r.owner, r.until, r.granted) for r in got] == [(None, None, False), ("a", 11, True), ("a", 11, False), ("a", 35, True), ("a", 35, False), (None, None, True), ("b", 38, True)]
     tries = [("r", "s", 1, "retry"), ("r", "s", 2, "retry"), ("r", "s", 3, "retry"), ("r", "s", 4, "ok"), ("r", "t", 1, "retry"), ("r", "t", 2, "ok"), ("r", "u", 1, "error"), ("r", "v", 1, "retry")]
     out = events.retry_state(spark.createDataFrame(tries, "run_id string, stage string, sequence long, outcome string"))
     assert sorted((r.stage, r.attempts, r.status) for r in out.collect()) == [("s", 3, "failed"), ("t", 2, "completed"), ("u", 1, "failed"), ("v", 1, "running")]
