@@ -110,6 +110,13 @@ def prediction_id(cls: Column, links: Column) -> Column:
     return F.concat(F.lit("disc-prediction-"), F.substring(F.sha2(text, 256), 1, 24))
 
 
+def tile_coefficients(m: Column, x: Column, y: Column) -> Column:
+    """The eight coefficients that take a tile's pixels, the tile being at (x, y) of the output, to the source."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    moved = multiply(m, F.array(one, zero, x.cast("double"), zero, one, y.cast("double"), zero, zero, one))
+    return F.transform(F.slice(moved, 1, 8), lambda v: v / moved[8])
+
+
 def preview_scale(width: Column, height: Column, most: int) -> Column:
     return F.least(F.lit(1.0), most / F.greatest(width, height))
 

@@ -113,3 +113,18 @@ def best_alignment(alignments: DataFrame, coarse: float) -> DataFrame:
     """The shift of least median, then greatest residual, then distance from the estimate, then shift."""
     away = F.abs(circular_difference(F.col("rotation"), F.lit(coarse)))
     return alignments.agg(F.min(F.struct("median_off", "most_off", away.alias("away"), "shift", "raw", "rotation")).alias("b")).select("b.shift", "b.raw", "b.rotation", "b.median_off", "b.most_off")
+
+
+def upper_plans(profiles: DataFrame) -> DataFrame:
+    """profiles with rotation, scale and the affine (a, b, tx, c, d, ty) that turns the plate's marker to the start ray.
+
+    profiles: source_x, source_y, source_radius, marker_x, marker_y, target_x, target_y, target_radius,
+    ray (degrees). A target radius that is null, not finite or not positive gives nulls.
+    """
+    marker = F.degrees(F.atan2(F.col("marker_y") - F.col("source_y"), F.col("marker_x") - F.col("source_x")))
+    radius = F.when((F.col("target_radius") > 0) & (F.col("target_radius") < float("inf")), F.col("target_radius"))
+    out = profiles.withColumns({"rotation": F.when(radius.isNotNull(), circular_difference(F.col("ray"), marker)), "scale": radius / F.col("source_radius")})
+    c, s = F.cos(F.radians("rotation")) * F.col("scale"), F.sin(F.radians("rotation")) * F.col("scale")
+    tx = F.col("target_x") - c * F.col("source_x") + s * F.col("source_y")
+    ty = F.col("target_y") - s * F.col("source_x") - c * F.col("source_y")
+    return out.withColumn("affine", F.when(radius.isNotNull(), F.array(c, -s, tx, s, c, ty)))

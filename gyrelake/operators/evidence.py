@@ -79,3 +79,16 @@ def ratio_matches(vectors: DataFrame, queries: DataFrame, ratio: float = 0.78) -
     two = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))).where("rank <= 2")
     out = two.groupBy("query").agg(F.min_by("id", "rank").alias("neighbour"), F.min("d").alias("d1"), F.max("d").alias("d2"), F.count("*").alias("n"))
     return out.where((F.col("n") == 2) & (F.sqrt("d1") < ratio * F.sqrt("d2"))).drop("n")
+
+
+def flow_accepted(most_displacement: float, most_round_trip: float, most_error: float) -> Column:
+    """Whether a tracked corner is kept: found both ways, finite and short moves, small errors; a null is not kept."""
+    near = lambda c, most: ~F.isnan(c) & (F.col(c) <= most)
+    kept = F.col("forward_found") & F.col("backward_found") & near("displacement", most_displacement) & near("round_trip", most_round_trip)
+    return F.coalesce(kept & near("forward_error", most_error) & near("backward_error", most_error), F.lit(False))
+
+
+def best_channel(counts: DataFrame, group: str = "pair") -> DataFrame:
+    """The channel with most kept corners ``n``, the first in order (``ordinal``) on ties; a group without any has none."""
+    best = F.max_by(F.struct("channel", "n"), F.struct("n", -F.col("ordinal"))).alias("b")
+    return counts.where("n > 0").groupBy(group).agg(best).select(group, "b.channel", "b.n")

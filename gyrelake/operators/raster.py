@@ -108,3 +108,8 @@ def fill_center(canvas: DataFrame, warped: DataFrame, opened: DataFrame) -> Data
     joined = canvas.join(ref, ["x", "y"], "left")
     fill = ~F.col("acquired") & F.col("ref_r").isNotNull()
     return joined.select("x", "y", "acquired", fill.alias("filled"), *[F.when(fill, F.col(f"ref_{c}")).otherwise(F.col(c)).alias(c) for c in "rgb"])
+
+
+def unknown_provenance(pixels: DataFrame) -> DataFrame:
+    """Pixels whose provenance ``p`` is null or none of the known values; a map is valid only when there are none."""
+    return pixels.where(~F.coalesce(F.col("p").isin(0, 1, 2, 3), F.lit(False)))

@@ -11,10 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyrelake.functions.geometry import FRAMES, STEP_DEGREES, ray_interval, registration_confidence
+from gyrelake.functions.geometry import FRAMES, STEP_DEGREES, multiply, ray_interval, registration_confidence
 
 
 def next_frame(frame: str = "frame", group: str = "acq"):
@@ -201,3 +201,49 @@ def projective_cycle(pairs: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
         if small:
             break
     return matrices(x)
+
+
+def edge_residuals(edges: DataFrame, width: float, height: float) -> DataFrame:
+    """edges with median_px and most_px over five points (corners and middle) of a frame.
+
+    edges: matrices ``source`` and ``target`` (frame to reference) and ``observed`` (source to target);
+    a point goes to the reference straight, and over the observed target.
+    """
+    through = multiply(F.col("target"), F.col("observed"))
+
+    def gap(x: float, y: float) -> Column:
+        at = lambda m, k: m[k] * x + m[k + 1] * y + m[k + 2]
+        s, t = F.col("source"), F.col("through")
+        return F.hypot(at(s, 0) - at(t, 0), at(s, 3) - at(t, 3))
+
+    points = ((0.0, 0.0), (width, 0.0), (width, height), (0.0, height), (width / 2, height / 2))
+    gaps = F.array_sort(F.array(*[gap(*p) for p in points]))
+    out = edges.withColumn("through", through).withColumn("gaps", gaps)
+    return out.withColumns({"median_px": F.col("gaps")[2], "most_px": F.col("gaps")[4]}).drop("through", "gaps")
+
+
+def conditions(poses: DataFrame, matrix: str = "m", most: float = 1e8) -> DataFrame:
+    """poses with the 2-norm condition number of their 3 x 3 matrix (infinite where singular or null) and ``well``."""
+
+    @F.pandas_udf("double")
+    def number(m: pd.Series) -> pd.Series:
+        out = np.full(len(m), np.inf)
+        whole = np.array([x is not None and len(x) == 9 and bool(np.isfinite(np.asarray(x, float)).all()) for x in m], bool)
+        if whole.any():
+            out[whole] = np.linalg.cond(np.stack(m[whole].to_list()).astype(float).reshape(-1, 3, 3))
+        return pd.Series(out)
+
+    return poses.withColumn("condition", number(matrix)).withColumn("well", (F.col("condition") < float("inf")) & (F.col("condition") <= most))
+
+
+def angle_corrections(poses: DataFrame) -> DataFrame:
+    """poses (frame 1..16, angle in radians) with ``correction``: degrees beyond the frame's place on the ring."""
+    return poses.withColumn("correction", F.degrees("angle") - (F.col("frame") - 1) * STEP_DEGREES)
+
+
+def nominal_problem() -> Column:
+    """The first reason against placing an acquisition by its calibration; the two sides are structs ``manifest`` and ``calibration``."""
+    m, c = F.col("manifest"), F.col("calibration")
+    differ = lambda a, b: ~m[a].eqNullSafe(c[b])
+    out = F.when(differ("acquisition_id", "acquisition_id"), "acquisition").when(differ("side", "side"), "side").when(~c["state"].eqNullSafe("validated"), "state")
+    return out.when(differ("expected_width", "input_width"), "width").when(differ("expected_height", "input_height"), "height")

@@ -62,3 +62,11 @@ def preprocess(pixel: list[Column], order: str, scale: float, mean: list[float],
     """Channel order, scale, mean and deviation of a tile's pixel (r, g, b), as floats."""
     channels = pixel[::-1] if order == "BGR" else pixel
     return [((c.cast("float") * F.lit(scale).cast("float") - F.lit(m).cast("float")) / F.lit(s).cast("float")).cast("float") for c, m, s in zip(channels, mean, std, strict=True)]
+
+
+def inside_source(width: Column, height: Column) -> Column:
+    """Whether a prediction's box, its ``polygon`` (points x, y; null: none) and its mask's place lie in the source frame."""
+    box = (F.col("x1") >= 0) & (F.col("y1") >= 0) & (F.col("x2") <= width) & (F.col("y2") <= height)
+    out = F.exists("polygon", lambda p: (p["x"] < 0) | (p["y"] < 0) | (p["x"] > width) | (p["y"] > height))
+    mask = (F.col("mask_x") + F.col("mask_width") <= width) & (F.col("mask_y") + F.col("mask_height") <= height)
+    return box & ~F.coalesce(out, F.lit(False)) & F.coalesce(mask, F.lit(True))

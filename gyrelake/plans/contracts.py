@@ -70,3 +70,26 @@ def center_rules() -> dict[str, Column]:
         "upper_has_no_offset": implies(upper, absent("offset")),
         "limits": F.col("median_limit") <= F.col("most_limit"),
     }
+
+
+def progress_rules() -> dict[str, Column]:
+    """Rules over an event's progress_current and progress_total."""
+    current, total = F.col("progress_current"), F.col("progress_total")
+    return {"progress_pair": current.isNull() == total.isNull(), "progress_within": current <= total}
+
+
+def calibration_rules() -> dict[str, Column]:
+    """Rules over roi_x, roi_y, roi_width, roi_height, input_width, input_height, inner_radius, outer_radius."""
+    inside = (F.col("roi_x") + F.col("roi_width") <= F.col("input_width")) & (F.col("roi_y") + F.col("roi_height") <= F.col("input_height"))
+    return {"roi_inside": inside, "radii": F.col("inner_radius") < F.col("outer_radius")}
+
+
+def transform_set_rules(count: int = 16) -> dict[str, Column]:
+    """Rules over one set's n, first, last, positions, hashes and masks (see ``metadata.transform_sets``)."""
+    whole = (F.col("n") == count) & (F.col("first") == 1) & (F.col("last") == count) & (F.col("positions") == count)
+    return {"positions": whole, "hashes": F.col("hashes") == count, "masks": F.col("masks") == count}
+
+
+def same_names(a: Column, b: Column) -> Column:
+    """Whether two lists hold the same names, whatever their order; repeats count once, null lists differ."""
+    return F.coalesce(F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b)), F.lit(False))

@@ -118,3 +118,9 @@ def contiguous(values: DataFrame, group: str, value: str, start: int = 0) -> Dat
     """Groups whose values are not start, start + 1, ... once each."""
     seen = values.groupBy(group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n"), F.count_distinct(value).alias("d"))
     return seen.where((F.col("lo") != start) | (F.col("hi") != start + F.col("n") - 1) | (F.col("d") != F.col("n"))).select(group)
+
+
+def transform_sets(transforms: DataFrame, group: str = "acq") -> DataFrame:
+    """n, first, last, and distinct positions, hashes and masks of each set of (frame, sha256, mask_path)."""
+    distinct = [F.count_distinct(c).alias(n) for c, n in (("frame", "positions"), ("sha256", "hashes"), ("mask_path", "masks"))]
+    return transforms.groupBy(group).agg(F.count("*").alias("n"), F.min("frame").alias("first"), F.max("frame").alias("last"), *distinct)

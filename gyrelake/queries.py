@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gyrelake.functions import geometry as G
 from gyrelake.functions import text as X
 from gyrelake.operators import alignment, evidence, merge, projection, raster, registration, slicing
-from gyrelake.plans import lifecycle, metadata
+from gyrelake.plans import contracts, lifecycle, metadata
 from gyrelake.sources.testdata import adapted, read, sql
 from gyrelake.streaming import cycles, events
 
@@ -105,6 +105,11 @@ def detection_summary(spark, sf_dir):
     return clipped(spark, sf_dir).groupBy("frame", "cls").agg(F.count("*").alias("n"), F.max("conf").alias("conf"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), slices)
 
 
+@query(f"select frame, count_if(cls between 0 and 2 and conf between 0 and 1 and x2 > x1 and y2 > y1) as valid, count(*) as n from {sql('det_frame')} group by frame")
+def valid_detections(spark, sf_dir):
+    return adapted(spark, sf_dir, "det_frame").groupBy("frame").agg(F.count_if(slicing.valid_detection(3)).alias("valid"), F.count("*").alias("n"))
+
+
 @query(f"""
     select count_if(not (cls between 0 and 1)) as bad_class, count_if(not (conf between 0 and 1)) as bad_conf, count_if(not (x2 > x1 and y2 > y1)) as empty_box, count(*) as n from {sql("det_frame")}
 """)
@@ -695,3 +700,156 @@ def queue_admission(spark, sf_dir):
 def health(spark, sf_dir):
     out = metadata.ready(spark.createDataFrame([("database", True), ("models", True), ("events", True)], "component string, ready boolean"))
     return out.select("ready", F.size("missing").alias("missing"))
+
+
+FLOW = [
+    "l_orderkey % 500 as pair", "cast(l_linenumber % 3 as int) as ordinal", "concat('channel-', l_linenumber % 3) as channel", "l_partkey % 9 > 0 as forward_found", "l_suppkey % 11 > 0 as backward_found",
+    "case when l_partkey % 13 = 0 then cast('nan' as double) else l_partkey % 40 / 1e0 end as displacement", "l_suppkey % 8 / 4e0 as round_trip", "l_quantity / 2e0 as forward_error", "l_quantity / 4e0 as backward_error",
+]
+
+
+@query(f"""
+    with f as (select {", ".join(FLOW)} from lineitem),
+    c as (select pair, channel, ordinal, count(*) as n from f where forward_found and backward_found and not isnan(displacement) and displacement <= 32 and round_trip <= 1.5 and forward_error <= 20 and backward_error <= 20 group by all)
+    select pair, channel, n from (select *, row_number() over (partition by pair order by n desc, ordinal) as nth from c) where nth = 1
+""")
+def flow_best_channel(spark, sf_dir):
+    kept = read(spark, sf_dir, "lineitem").selectExpr(*FLOW).where(evidence.flow_accepted(32.0, 1.5, 20.0))
+    return evidence.best_channel(kept.groupBy("pair", "channel", "ordinal").agg(F.count("*").alias("n")))
+
+
+def _edge_points() -> str:
+    gaps = []
+    for x, y in ((0, 0), (640, 0), (640, 480), (0, 480), (320, 240)):
+        ox, oy = f"({x} - {y} * w + u)", f"({x} * w + {y} + v)"
+        gaps.append(f"sqrt(({x} + {y} * a + 3e0 - ({ox} * b - {oy} * a + 5e0)) ** 2 + ({y} - {x} * a - ({ox} * a + {oy} * b + 1e0)) ** 2)")
+    return "list_sort([" + ", ".join(gaps) + "])"
+
+
+EDGES = "o_orderkey, o_custkey % 16 / 256e0 as a, 1e0 + o_custkey % 5 / 128e0 as b, o_orderkey % 9 / 512e0 as w, o_orderkey % 7 / 1e0 as u, o_custkey % 11 / 1e0 as v"
+
+
+@query(f"select o_orderkey, round(g[3], 6) as median_px, round(g[5], 6) as most_px from (select o_orderkey, {_edge_points()} as g from (select {EDGES} from orders))")
+def edge_residuals(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").selectExpr(*EDGES.split(", "))
+    m = lambda text: F.expr(f"array({text}, 0e0, 0e0, 1e0)")
+    edges = rows.withColumns({"source": m("1e0, a, 3e0, -a, 1e0, 0e0"), "target": m("b, -a, 5e0, a, b, 1e0"), "observed": m("1e0, -w, u, w, 1e0, v")})
+    out = registration.edge_residuals(edges, 640.0, 480.0)
+    return out.select("o_orderkey", F.round("median_px", 6).alias("median_px"), F.round("most_px", 6).alias("most_px"))
+
+
+@query("""
+    select p_partkey, p_size, round(greatest(s, 2, 1) / least(s, 2, 1), 6) as condition, greatest(s, 2, 1) / least(s, 2, 1) <= 20 as well
+    from (select *, p_size / 1e0 as s from part)
+""")
+def pose_conditions(spark, sf_dir):
+    """A turn by the 3-4-5 triangle times a scale of each axis: the condition number is known."""
+    poses = read(spark, sf_dir, "part").selectExpr("p_partkey", "p_size", "array(6e-1 * p_size, -8e-1 * 2, 0e0, 8e-1 * p_size, 6e-1 * 2, 0e0, 0e0, 0e0, 1e0) as m")
+    return registration.conditions(poses.withColumn("m", F.col("m").cast("array<double>")), most=20.0 + 1e-9).select("p_partkey", "p_size", F.round("condition", 6).alias("condition"), "well")
+
+
+@query(f"select acq, count_if(reason is null) as passed, count(*) as n from {ASSESSED_SQL} group by acq")
+def passed_pairs(spark, sf_dir):
+    return registration.assess(adapted(spark, sf_dir, "pairs"), (150.0, -500.0)).groupBy("acq").agg(F.count_if(F.col("reason").isNull()).alias("passed"), F.count("*").alias("n"))
+
+
+@query(f"select acq, source_frame, target_frame, round(degrees(radians(angle_degrees)) - (source_frame - 1) * 225e-1, 9) as correction from {sql('pairs')}")
+def angle_corrections(spark, sf_dir):
+    poses = adapted(spark, sf_dir, "pairs").select("acq", "source_frame", "target_frame", F.col("source_frame").alias("frame"), F.radians("angle_degrees").alias("angle"))
+    return registration.angle_corrections(poses).select("acq", "source_frame", "target_frame", F.round("correction", 9).alias("correction"))
+
+
+@query(f"select frame, x, y, p, count(*) as n from (select frame, x, y, r % 5 as p from {sql('pixels')}) where p not in (0, 1, 2, 3) group by all")
+def unknown_provenance(spark, sf_dir):
+    return raster.unknown_provenance(adapted(spark, sf_dir, "pixels").selectExpr("frame", "x", "y", "r % 5 as p")).groupBy("frame", "x", "y", "p").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+    select frame, cls, count_if(x1 >= 0 and y1 >= 0 and x2 <= 1200 and y2 <= 1000 and (slice_index % 3 = 0 or (y2 + 20 <= 1000)) and (slice_index % 2 = 0 or x1 + 64 <= 1200)) as inside, count(*) as n
+    from {sql("det_frame")} group by all
+""")
+def source_bounds(spark, sf_dir):
+    d = adapted(spark, sf_dir, "det_frame").withColumns({
+        "polygon": F.expr("case when slice_index % 3 > 0 then array(struct(x1 as x, y1 as y), struct((x1 + x2) / 2 as x, y2 + 20 as y)) end"),
+        "mask_x": F.expr("case when slice_index % 2 = 1 then x1 end"), "mask_y": F.expr("0"), "mask_width": F.expr("64"), "mask_height": F.expr("64"),
+    })
+    return d.groupBy("frame", "cls").agg(F.count_if(slicing.inside_source(F.lit(1200), F.lit(1000))).alias("inside"), F.count("*").alias("n"))
+
+
+PROFILES = ["o_orderkey", "100e0 as source_x", "o_custkey % 90 / 1e0 as source_y", "40e0 as source_radius", "130e0 as marker_x", "o_orderkey % 120 / 1e0 as marker_y", "-150e0 as target_x", "500e0 as target_y", "o_custkey % 300 / 1e0 as target_radius", "o_orderkey % 360 / 1e0 as ray"]
+
+
+@query(f"""
+    with p as (select {", ".join(PROFILES)} from orders),
+    q as (select *, case when target_radius > 0 then target_radius / source_radius end as scale, degrees(atan2(marker_y - source_y, marker_x - source_x)) as marker from p),
+    r as (select *, case when scale is not null then ray - marker + 180 - 360 * floor((ray - marker + 180) / 360) - 180 end as rotation from q)
+    select o_orderkey, round(rotation, 6) as rotation, scale, round(cos(radians(rotation)) * scale, 6) as a,
+        round(target_x - cos(radians(rotation)) * scale * source_x + sin(radians(rotation)) * scale * source_y, 6) as tx,
+        round(target_y - sin(radians(rotation)) * scale * source_x - cos(radians(rotation)) * scale * source_y, 6) as ty from r where scale is not null
+""")
+def upper_plans(spark, sf_dir):
+    out = alignment.upper_plans(read(spark, sf_dir, "orders").selectExpr(*PROFILES)).where("scale is not null")
+    return out.select("o_orderkey", F.round("rotation", 6).alias("rotation"), "scale", *[F.round(F.col("affine")[k], 6).alias(n) for k, n in ((0, "a"), (2, "tx"), (5, "ty"))])
+
+
+@query("""
+    select p_partkey, round((x + 2 * y + 5) / w, 6) as c2, round((y - x + 7) / w, 6) as c5, round(2e0 / w, 6) as c1, round(1e0 / 1024 / w, 6) as c6
+    from (select p_partkey, p_size % 8 * 1312e0 as x, p_partkey % 6 * 1312e0 as y, p_size % 8 * 1312e0 / 1024 + 1 as w from part)
+""")
+def tile_coefficients(spark, sf_dir):
+    m = F.expr("array(1e0, 2e0, 5e0, -1e0, 1e0, 7e0, 1e0 / 1024, 0e0, 1e0)")
+    out = read(spark, sf_dir, "part").select("p_partkey", G.tile_coefficients(m, F.expr("p_size % 8 * 1312"), F.expr("p_partkey % 6 * 1312")).alias("k"))
+    return out.select("p_partkey", *[F.round(F.col("k")[i], 6).alias(f"c{i}") for i in (1, 2, 5, 6)])
+
+
+@query("""
+    with e as (select event_id, case when event_id % 6 > 0 then event_id % 10 end as c, case when event_id % 7 > 0 then user_id % 10 end as t from events)
+    select 'progress_pair' as rule, cast(event_id as varchar) as key from e where (c is null) <> (t is null)
+    union all select 'progress_within', cast(event_id as varchar) from e where c > t
+""")
+def progress_violations(spark, sf_dir):
+    e = read(spark, sf_dir, "events").selectExpr("event_id", "case when event_id % 6 > 0 then event_id % 10 end as progress_current", "case when event_id % 7 > 0 then user_id % 10 end as progress_total")
+    return metadata.violations(e, F.col("event_id"), contracts.progress_rules())
+
+
+@query("""
+    select 'roi_inside' as rule, cast(p_partkey as varchar) as key from part where not (p_size * 20 + 5600 <= 6560 and p_partkey % 50 + 4900 <= 4948)
+    union all select 'radii', cast(p_partkey as varchar) from part where not (p_size < p_partkey % 60)
+""")
+def calibration_violations(spark, sf_dir):
+    c = read(spark, sf_dir, "part").selectExpr("p_partkey", "p_size * 20 as roi_x", "p_partkey % 50 as roi_y", "5600 as roi_width", "4900 as roi_height", "6560 as input_width", "4948 as input_height", "p_size as inner_radius", "p_partkey % 60 as outer_radius")
+    return metadata.violations(c, F.col("p_partkey"), contracts.calibration_rules())
+
+
+@query(f"""
+    with s as (select acq, count(*) as n, min(source_frame) as lo, max(source_frame) as hi, count(distinct source_frame) as d, count(distinct inlier_count) as h, count(distinct source_frame % 15) as m from {sql("pairs")} group by acq)
+    select 'positions' as rule, cast(acq as varchar) as key from s where not (n = 16 and lo = 1 and hi = 16 and d = 16)
+    union all select 'hashes', cast(acq as varchar) from s where h <> 16
+    union all select 'masks', cast(acq as varchar) from s where m <> 16
+""")
+def transform_set_violations(spark, sf_dir):
+    sets = metadata.transform_sets(adapted(spark, sf_dir, "pairs").selectExpr("acq", "source_frame as frame", "inlier_count as sha256", "source_frame % 15 as mask_path"))
+    return metadata.violations(sets, F.col("acq"), contracts.transform_set_rules())
+
+
+@query("""
+    select p_partkey, list_sort(list_distinct(a)) = list_sort(list_distinct(b)) as same
+    from (select p_partkey, ['boxes', 'scores', 'out' || p_size % 3] as a, ['out' || p_partkey % 3, 'scores', 'boxes'] as b from part)
+""")
+def output_names(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").selectExpr("p_partkey", "array('boxes', 'scores', concat('out', p_size % 3)) as a", "array(concat('out', p_partkey % 3), 'scores', 'boxes') as b")
+    return rows.select("p_partkey", contracts.same_names(F.col("a"), F.col("b")).alias("same"))
+
+
+@query("""
+    select o_orderkey, case when o_custkey % 7 = 0 then 'acquisition' when o_custkey % 2 <> o_orderkey % 2 then 'side' when o_orderstatus <> 'F' then 'state' when o_custkey % 3 = 0 then 'width' when o_custkey % 5 = 0 then 'height' end as problem
+    from orders
+""")
+def nominal_placement(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey",
+        "struct(o_orderkey as acquisition_id, case o_orderkey % 2 when 0 then 'upper' else 'lower' end as side, 6560 as expected_width, 4948 as expected_height) as manifest",
+        "struct(case when o_custkey % 7 > 0 then o_orderkey end as acquisition_id, case o_custkey % 2 when 0 then 'upper' else 'lower' end as side, case o_orderstatus when 'F' then 'validated' else 'draft' end as state, "
+        "case when o_custkey % 3 > 0 then 6560 else 1 end as input_width, case when o_custkey % 5 > 0 then 4948 else 1 end as input_height) as calibration",
+    )
+    return rows.select("o_orderkey", registration.nominal_problem().alias("problem"))
