@@ -105,7 +105,7 @@ def detection_summary(spark, sf_dir):
     return clipped(spark, sf_dir).groupBy("frame", "cls").agg(F.count("*").alias("n"), F.max("conf").alias("conf"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), slices)
 
 
-@query(f"select frame, count_if(cls between 0 and 2 and conf between 0 and 1 and x2 > x1 and y2 > y1) as valid, count(*) as n from {sql('det_frame')} group by frame")
+@query(f"select frame, count(*) filter (cls between 0 and 2 and conf between 0 and 1 and x2 > x1 and y2 > y1) as valid, count(*) as n from {sql('det_frame')} group by frame")
 def valid_detections(spark, sf_dir):
     return adapted(spark, sf_dir, "det_frame").groupBy("frame").agg(F.count_if(slicing.valid_detection(3)).alias("valid"), F.count("*").alias("n"))
 
@@ -663,10 +663,10 @@ GRANTED_SQL = "case q.kind when 'acquire' then s.owner is null or s.owner = q.ow
         select q.run_id, q.sequence, q.nth, case when not {GRANTED_SQL} then s.owner when q.kind <> 'release' then q.owner end, case when not {GRANTED_SQL} then s.until when q.kind <> 'release' then q.asked + q.seconds end, {GRANTED_SQL}
         from s join q on q.run_id = s.run_id and q.nth = s.nth + 1
     )
-    select run_id, sequence, owner, until, granted from s where nth > 0
+    select run_id, sequence, owner, coalesce(until, -1) as until, granted from s where nth > 0
 """)
 def lease_renewals(spark, sf_dir):
-    return events.leases(adapted(spark, sf_dir, "run_events").selectExpr(*REQUESTS, f"{KIND} as kind"))
+    return events.leases(adapted(spark, sf_dir, "run_events").selectExpr(*REQUESTS, f"{KIND} as kind")).withColumn("until", F.coalesce("until", F.lit(-1)))
 
 
 @query(f"""
@@ -748,7 +748,7 @@ def pose_conditions(spark, sf_dir):
     return registration.conditions(poses.withColumn("m", F.col("m").cast("array<double>")), most=20.0 + 1e-9).select("p_partkey", "p_size", F.round("condition", 6).alias("condition"), "well")
 
 
-@query(f"select acq, count_if(reason is null) as passed, count(*) as n from {ASSESSED_SQL} group by acq")
+@query(f"select acq, cast(count_if(reason is null) as bigint) as passed, count(*) as n from {ASSESSED_SQL} group by acq")
 def passed_pairs(spark, sf_dir):
     return registration.assess(adapted(spark, sf_dir, "pairs"), (150.0, -500.0)).groupBy("acq").agg(F.count_if(F.col("reason").isNull()).alias("passed"), F.count("*").alias("n"))
 
@@ -765,7 +765,7 @@ def unknown_provenance(spark, sf_dir):
 
 
 @query(f"""
-    select frame, cls, count_if(x1 >= 0 and y1 >= 0 and x2 <= 1200 and y2 <= 1000 and (slice_index % 3 = 0 or (y2 + 20 <= 1000)) and (slice_index % 2 = 0 or x1 + 64 <= 1200)) as inside, count(*) as n
+    select frame, cls, count(*) filter (x1 >= 0 and y1 >= 0 and x2 <= 1200 and y2 <= 1000 and (slice_index % 3 = 0 or (y2 + 20 <= 1000)) and (slice_index % 2 = 0 or x1 + 64 <= 1200)) as inside, count(*) as n
     from {sql("det_frame")} group by all
 """)
 def source_bounds(spark, sf_dir):

@@ -131,13 +131,16 @@ def archive_entries(spark: SparkSession, path: str) -> DataFrame:
     return entries.withColumn("problem", problem)
 
 
-def documents(spark: SparkSession, path: str, schema: str, most: int = 10 << 20) -> DataFrame:
-    """path, value and problem of JSON documents: too long, not of the schema, or with fields that it lacks."""
+def documents(spark: SparkSession, path: str, schema: str, most: int = 10 << 20, required: tuple[str, ...] = ()) -> DataFrame:
+    """path, value and problem of JSON documents: too long, no object, with fields that the schema lacks, or a required one missing or of another type."""
     files = spark.read.format("binaryFile").load(path).select("path", "length", F.decode("content", "UTF-8").alias("body"))
     parsed = files.withColumn("value", F.from_json("body", schema, {"mode": "PERMISSIVE"})).withColumn("fields", F.json_object_keys("body"))
     known = F.array(*[F.lit(f) for f in spark.createDataFrame([], schema).columns])
     problem = F.when(F.col("length") > most, "length").when(F.col("fields").isNull(), "json").when(F.size(F.array_except("fields", known)) > 0, "extra")
-    return parsed.select("path", "value", problem.alias("problem"))
+    gone = F.lit(False)
+    for f in required:
+        gone = gone | F.col("value")[f].isNull()
+    return parsed.select("path", "value", problem.when(gone, "missing").alias("problem"))
 
 
 def onnx_tensors(spark: SparkSession, path: str) -> DataFrame:
