@@ -13,6 +13,7 @@ from gyrelake.llm.licenses import license_report, production_templates
 from gyrelake.llm.packing import pack
 from gyrelake.llm.pii import pii_digest
 from gyrelake.llm.quality import quality_scores
+from gyrelake.llm.resampling import resample
 from gyrelake.llm.token_counts import count_tokens
 from gyrelake.llm.tokenizers_at import tokenizer_path
 from gyrelake.llm.topk import top_k
@@ -59,6 +60,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_lm_scoring": op2_lm_scoring,
@@ -70,6 +75,7 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_top_k": """
