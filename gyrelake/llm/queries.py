@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gyrelake.llm.ball_kmeans import ball_kmeans
 from gyrelake.llm.common import read_table
 from gyrelake.llm.decontamination import contamination
 from gyrelake.llm.jaccard_join import near_duplicates
@@ -60,6 +61,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans(spark, read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -75,9 +80,61 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_centroid_clustering": op11_centroid_clustering,
     "op12_importance_resampling": op12_importance_resampling,
 }
+
+
+def kmeans_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Every round as two tables: each vector's nearest centroid, then the floored means."""
+    steps = [
+        f"""rows as materialized (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(256e0 * cast(x as double)) as bigint)) as v
+            from embeddings
+            where embedding is not null and len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        )""",
+        f"""c0 as materialized (
+            select * from (select cast(row_number() over (order by sha256('2:' || vec_id)) - 1 as integer) as c, v from rows) where c < {k}
+        )""",
+    ]
+    for t in range(rounds + 1):
+        steps.append(
+            f"""a{t} as materialized (
+            select vec_id, v, c, d from (
+                select *, row_number() over (partition by vec_id order by d, c) as n
+                from (
+                    select r.vec_id, r.v, m.c, cast(list_sum(list_transform(list_zip(r.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as bigint) as d
+                    from rows r cross join c{t} m
+                )
+            ) where n = 1
+        )"""
+        )
+        if t < rounds:
+            steps.append(
+                f"""c{t + 1} as materialized (
+            select o.c, coalesce(m.v, o.v) as v
+            from c{t} o left join (
+                select c, list((s - ((s % n) + n) % n) // n order by pos) as v
+                from (
+                    select c, pos, cast(sum(x) as bigint) as s, count(*) as n
+                    from (select c, unnest(v) as x, generate_subscripts(v, 1) as pos from a{t})
+                    group by c, pos
+                ) group by c
+            ) m on o.c = m.c
+        )"""
+            )
+    return f"""
+        with {", ".join(steps)}
+        select a.vec_id, a.c as cluster, a.d as distance,
+            cast(sum(a.d) over (partition by a.c) as bigint) as cluster_inertia,
+            cast(sum(a.d) over () as bigint) as inertia,
+            sha256(array_to_string(m.v, ',')) as centroid_sha256
+        from a{rounds} a join c{rounds} m on a.c = m.c
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroid_clustering": kmeans_sql(),
     "op9_exact_top_k": """
         with rows as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(256e0 * cast(x as double)) as bigint)) as v
