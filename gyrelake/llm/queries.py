@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gyrelake.llm.ball_kmeans import ball_kmeans
 from gyrelake.llm.common import read_table
 from gyrelake.llm.decontamination import contamination
+from gyrelake.llm.hash_forest import forest_search
 from gyrelake.llm.jaccard_join import near_duplicates
 from gyrelake.llm.language import identify
 from gyrelake.llm.language_model import score
@@ -69,6 +70,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest_search(spark, read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_lm_scoring": op2_lm_scoring,
@@ -82,6 +87,7 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_approximate_neighbours": op13_approximate_neighbours,
 }
 
 
