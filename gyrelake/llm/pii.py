@@ -8,12 +8,14 @@ say. Base spans stay whatever their score is. Offsets are code points, ends excl
 
 Nulls: a null text counts as empty and has no spans; null ids stay. Repeated rows are searched one
 by one; an empty table gives an empty result; further input columns are ignored. Every search
-is linear in the text, so very long texts and long runs of digits or letters are safe.
+is linear in the text and overlaps are found by bisection, so that very long texts, long runs of digits or letters
+and texts full of spans are safe.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -122,6 +124,18 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def disjoint(found: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """(starts, ends) of the stretches that the spans cover together, in order and apart from each other."""
+    starts, ends = [], []
+    for s, e, _ in sorted(found):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def spans(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, score), by start, then by the order of ``KINDS``."""
     found: list[tuple[int, int, str]] = []
@@ -137,13 +151,14 @@ def spans(text: str) -> list[tuple[int, int, str, float]]:
         for m in _PHONE.finditer(text):
             if 9 <= len(_digits(m[0])) <= 15:
                 found.append((*m.span(), "phone"))
-    taken = sorted(x[:2] for x in found)
+    starts, ends = disjoint(found)
     more = [(*x, "iban") for x in ibans(text)]
     more += [(*m.span(), "ssn") for m in _SSN.finditer(text)]
     more += [(*m.span(), "local_phone") for m in _NEAR_PHONE.finditer(text)]
     out = [(s, e, k, _score(k, text, s, e)) for s, e, k in found]
     for s, e, k in more:
-        if (score := _score(k, text, s, e)) >= THRESHOLD and not any(a < e and s < b for a, b in taken):
+        before = bisect_right(starts, e - 1) - 1  # the last base stretch that begins before the span ends
+        if (before < 0 or ends[before] <= s) and (score := _score(k, text, s, e)) >= THRESHOLD:
             out.append((s, e, k, score))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 

@@ -1,7 +1,10 @@
 import hashlib
+import random
 import re
+import time
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -51,6 +54,29 @@ def test_long_texts_are_linear():
         pii.spans(text)
 
 
+def test_a_long_text_full_of_spans_of_both_sorts():
+    """10 MB of base and added spans side by side; every stretch gives what it gives alone."""
+    unit, n = "a@b.co call 555 123 4567 ", 400_000
+    one = [x[:3] for x in pii.spans(unit)]
+    assert [k for *_, k in one] == ["email", "local_phone"]
+    began = time.process_time()
+    found = pii.spans(unit * n)
+    assert time.process_time() - began < 120
+    assert len(found) == 2 * n and [x[:3] for x in found[:2]] == one and [x[0] for x in found[-2:]] == [x[0] + len(unit) * (n - 1) for x in one]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_overlaps_equal_plain_comparison(seed):
+    """No added span meets a base one, and those left out do, or score too little."""
+    rng = random.Random(seed)
+    text = "".join(rng.choice(["555 123 4567", "+1 555 123 4567", "123-45-6789", "4111 1111 1111 1111", "call ", "ssn ", " ", ".", "a@b.co", "DE89370400440532013000"]) for _ in range(60))
+    found = pii.spans(text)
+    base = [x for x in found if x[2] in pii.BASE]
+    every = [(*x, "iban") for x in pii.ibans(text)] + [(*m.span(), "ssn") for m in pii._SSN.finditer(text)] + [(*m.span(), "local_phone") for m in pii._NEAR_PHONE.finditer(text)]
+    want = {(s, e, k) for s, e, k in every if pii._score(k, text, s, e) >= pii.THRESHOLD and not any(a < e and s < b for a, b, *_ in base)}
+    assert {x[:3] for x in found if x[2] not in pii.BASE} == want
+
+
 def test_digest_and_edges(spark):
     rows = [(1, "a@b.cc 4111111111111111"), (None, "a@b.cc"), (2, None), (2, None), (3, "")]
     got = pii.pii_digest(spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, spans string")).collect()
