@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +143,47 @@ def groups(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = G
             at = to
 
 
+def scan_blocks(spark: SparkSession, docs: DataFrame, blocks: Iterable, matches: Callable[[object, list[str]], list[list]], kind: str, arrow: pa.DataType) -> DataFrame:
+    """doc_id and ``matches`` of every row of ``docs``, whose texts are searched for each of some blocks.
+
+    ``matches(block, texts)`` gives a list of ``kind`` (Arrow's ``arrow``) for each text. Every block is a job of its
+    own whose hits are written, so that a worker never holds two blocks, however many there are; a single block
+    needs neither a written table nor a join.
+    """
+    blocks = iter(blocks)
+    begun = list(islice(blocks, 2))
+    if len(begun) < 2:
+        block = spark.sparkContext.broadcast(begun[0]) if begun else None
+
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, texts in groups(batches):
+                yield pa.record_batch([part.column(0), pa.array(matches(block.value, texts) if block else [[]] * len(texts), arrow)], ["doc_id", "matches"])
+
+        return docs.select("doc_id", "text").mapInArrow(one, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, matches {kind}")
+    scratch = Scratch(spark, "blocks")
+    keyed = scratch.write("docs", docs.select("doc_id", "text").withColumn("key", F.monotonically_increasing_id()))
+    hits = block_hits(scratch, keyed.select("key", "text"), chain(begun, blocks), matches, kind, arrow)
+    told = hits.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))  # a row for each block at most
+    return keyed.select("key", "doc_id").join(told, "key", "left").select("doc_id", F.coalesce("matches", F.array().cast(kind)).alias("matches"))
+
+
+def block_hits(scratch: Scratch, keyed: DataFrame, blocks: Iterable, matches: Callable[[object, list[str]], list[list]], kind: str, arrow: pa.DataType) -> DataFrame:
+    """key and ``matches`` of the rows (key, text) with any, for each block that has some; a written table and one Python stage a block."""
+    shape, n = f"key long, matches {kind}", 0
+    for n, value in enumerate(blocks, 1):
+        block = scratch.spark.sparkContext.broadcast(value)
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for part, texts in groups(batches):
+                found = matches(block.value, texts)
+                at = [i for i, f in enumerate(found) if f]
+                yield pa.record_batch([part.column(0).take(pa.array(at, pa.int64())), pa.array([found[i] for i in at], arrow)], ["key", "matches"])
+
+        scratch.write(f"hits{n}", keyed.mapInArrow(run, shape))
+        block.destroy()
+    return scratch.spark.read.schema(shape).parquet(*(scratch.path(f"hits{i}") for i in range(1, n + 1)))
+
+
 def crc_text(value) -> int:
     """crc32 of an id written as text; a null id counts as the empty text."""
     return zlib.crc32(b"" if value is None else str(value).encode())

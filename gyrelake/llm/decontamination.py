@@ -5,12 +5,13 @@ A document holds a benchmark item when some stretch of it is within the item's e
 joining white space). With k edits an item of length L keeps at least L + 1 - q * (k + 1) of its
 character q-grams, all on k + 1 neighbouring diagonals (document position less item position), so
 that shared q-grams are counted in overlapping bands of diagonals; bands below that bound cannot
-hold the item. The others are verified by a banded alignment, which also gives place and edits. An
-item's budget is lowered until the bound is at least 1; one shorter than q must occur as it is.
+hold the item. The others are verified by a banded alignment, which also gives place and edits. q is ``Q``,
+and for a short item as much less as keeps the bound at 1 or more under its whole budget (5 at least);
+an item shorter than ``Q`` has no edits in its budget and must occur as it is.
 
 Benchmark items are read in blocks of about ``BLOCK_CHARS`` characters, each block a bounded index
-that is broadcast; a larger benchmark takes more passes over the documents. Documents are read
-whole and never meet each other.
+that is broadcast; a larger benchmark takes more jobs, one pass over the documents each, whose hits are
+written (``scan_blocks``), so that no worker holds two indexes. Documents are read whole and never meet each other.
 
 Nulls: null or blank items match nothing; a null text is empty and holds nothing; null ids stay.
 Repeated rows are searched one by one, repeated items report their own ids; other columns are
@@ -20,13 +21,14 @@ ignored, or carried along by ``drop_contaminated``. Empty tables give empty resu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyrelake.llm.common import claim, groups
+from gyrelake.llm.common import Scratch, block_hits, claim, fresh, groups, scan_blocks
 
 Q, BUDGET = 8, 0.1
 BLOCK_CHARS = 16_000_000
@@ -52,53 +54,44 @@ def normalise(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return points[at], at, at + 1
 
 
-def grams(points: np.ndarray) -> np.ndarray:
-    """64-bit hashes of all q-grams, by doubling."""
+def grams(points: np.ndarray, q: int = Q) -> np.ndarray:
+    """64-bit hashes of all q-grams, by doubling as far as q has it, then a character at a time."""
     h, n, base = points.astype(np.uint64), 1, _BASE
-    while n < Q:
-        if len(h) <= n:
-            return h[:0]
+    if len(h) < q:
+        return h[:0]
+    while 2 * n <= q:
         h = h[:-n] * np.uint64(base) + h[n:]
         base, n = base * base % 2**64, 2 * n
+    for more in range(n, q):
+        h = h[:-1] * np.uint64(_BASE) + points[more:]
     return h * _SPREAD
 
 
-class Index:
-    """The q-grams of a block of items."""
+def gram_length(length: int, edits: int) -> int:
+    """The longest q up to ``Q`` of which an item keeps at least one under so many edits."""
+    return min(Q, length // (edits + 1))
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.points, self.k, self.need, self.short = [], [], [], [], []
-        all_grams, all_items, all_at = [], [], []
-        for item_id, text in items:
-            p = normalise((text or "").strip())[0]
-            if not len(p):
-                continue
-            if len(p) < Q:
-                self.short.append((item_id, p))
-                continue
-            k = min(int(BUDGET * len(p)), (len(p) - Q) // Q)
-            g = grams(p)
-            all_grams.append(g)
-            all_items.append(np.full(len(g), len(self.ids)))
-            all_at.append(np.arange(len(g)))
-            self.ids.append(item_id)
-            self.points.append(p)
-            self.k.append(k)
-            self.need.append(len(p) + 1 - Q * (k + 1))
-        self.width = np.array(self.k, np.int64) + 1  # of each item, so that a long one does not widen the bands of all
-        g = np.concatenate(all_grams) if all_grams else np.zeros(0, np.uint64)
+
+class Grams:
+    """The q-grams of the items of a block that have the same q."""
+
+    def __init__(self, q: int, items: list[int], points: list[np.ndarray], k: list[int]):
+        self.q, self.items = q, np.array(items, np.int64)
+        own = [grams(p, q) for p in points]
+        self.width = np.array(k, np.int64) + 1  # of each item, so that a long one does not widen the bands of all
+        self.need_of = np.array([len(p) + 1 - q * (e + 1) for p, e in zip(points, k, strict=True)], np.int64)
+        g = np.concatenate(own)
         order = np.argsort(g, kind="stable")
         self.grams, first = np.unique(g[order], return_index=True)
         self.first = np.append(first, len(g))
-        self.item = np.concatenate(all_items)[order] if all_items else np.zeros(0, np.int64)
-        self.at = np.concatenate(all_at)[order] if all_at else np.zeros(0, np.int64)
+        self.item = np.repeat(np.arange(len(own)), list(map(len, own)))[order]
+        self.at = np.concatenate([np.arange(len(x)) for x in own])[order]
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[(self.grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-        self.need_of = np.array(self.need, np.int64)
 
     def postings(self, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(item, its position, diagonal) of all equal q-grams of text and items, in slices of about ``SLICE``."""
-        h = grams(points)
+        h = grams(points, self.q)
         where = np.flatnonzero(self.table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
         slot = np.searchsorted(self.grams, h[where])
         slot[slot == len(self.grams)] = 0
@@ -120,8 +113,6 @@ class Index:
         Bands are counted slice by slice, so that a repetitive text and item, whose equal q-grams are
         as many as the product of their lengths, need no more room than their bands and positions.
         """
-        if not len(self.grams):
-            return []
         lowest = -int(self.at.max(initial=0))
         span = len(points) - lowest + 2  # more than there are bands
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -154,7 +145,33 @@ class Index:
         items = found // span
         ok = have >= self.need_of[items]
         first = (found % span - 1) * self.width[items] + lowest
-        return list(zip(items[ok].tolist(), first[ok].tolist(), strict=True))
+        return list(zip(self.items[items[ok]].tolist(), first[ok].tolist(), strict=True))
+
+
+class Index:
+    """The items of a block, their edit budgets and their q-grams."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.ids, self.points, self.k, self.short = [], [], [], []
+        by_q: dict[int, list[int]] = {}
+        for item_id, text in items:
+            p = normalise((text or "").strip())[0]
+            if not len(p):
+                continue
+            if len(p) < Q:
+                self.short.append((item_id, p))
+                continue
+            k = int(BUDGET * len(p))
+            by_q.setdefault(gram_length(len(p), k), []).append(len(self.ids))
+            self.ids.append(item_id)
+            self.points.append(p)
+            self.k.append(k)
+        self.width = np.array(self.k, np.int64) + 1
+        self.parts = [Grams(q, own, [self.points[i] for i in own], [self.k[i] for i in own]) for q, own in sorted(by_q.items())]
+
+    def candidates(self, points: np.ndarray) -> list[tuple[int, int]]:
+        """(item, first diagonal of a band) wherever q-grams let the item be."""
+        return [x for part in self.parts for x in part.candidates(points)]
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, start, end, edits) of the items that ``text`` holds: the best place of each group of bands."""
@@ -247,27 +264,20 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[list[tupl
         yield sorted(((r[0], r[1]) for r in part.collect()), key=lambda x: (str(x[0]), x[1] or ""))
 
 
-def _matches(spark: SparkSession, docs: DataFrame, items: list[tuple[int, str]], kind: str) -> DataFrame:
-    index = spark.sparkContext.broadcast(Index(items))
-    arrow = pa.list_(pa.struct([("item_id", pa.int64() if kind == "bigint" else pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
+def found_in(index: Index, texts: list[str]) -> list[list[dict]]:
+    """The matches of each text."""
+    claim("decontamination")
+    return [[{"item_id": i, "start": s, "end": e, "edits": d} for i, s, e, d in index.matches(t)] for t in texts]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("decontamination")
-        for part, texts in groups(batches):
-            found = [[{"item_id": i, "start": s, "end": e, "edits": d} for i, s, e, d in index.value.matches(t)] for t in texts]
-            found = [f + (b or []) for f, b in zip(found, part.column(2).to_pylist(), strict=True)]
-            yield pa.record_batch([part.column(0), part.column(1), pa.array(found, arrow)], ["doc_id", "text", "matches"])
 
-    return docs.mapInArrow(run, docs.schema)
+def arrow_kind(kind: str) -> pa.DataType:
+    return pa.list_(pa.struct([("item_id", pa.int64() if kind == "bigint" else pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
 
 
-def find_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_CHARS) -> DataFrame:
     """doc_id and matches, an array of (item_id, start, end, edits), of every row of ``docs``."""
     kind = id_kind(benchmark)
-    out = docs.select("doc_id", "text", F.lit(None).cast(MATCH.format(kind)).alias("matches"))
-    for items in blocks(benchmark):
-        out = _matches(spark, out, items, kind)
-    return out.select("doc_id", "matches")
+    return scan_blocks(spark, docs, map(Index, blocks(benchmark, limit)), found_in, MATCH.format(kind), arrow_kind(kind))
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -277,15 +287,21 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     return found.select("doc_id", (F.size("matches") > 0).cast("long").alias("contaminated"), F.size("matches").cast("long").alias("n_matches"), told.alias("matches"))
 
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    for items in blocks(benchmark):
-        index = spark.sparkContext.broadcast(Index(items))
+    indexes = map(Index, blocks(benchmark, limit))
+    begun = list(islice(indexes, 2))
+    if len(begun) < 2:
+        index = spark.sparkContext.broadcast(begun[0])
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             claim("decontamination")
             for part, texts in groups(batches):
                 yield part.filter(pa.array([not index.value.matches(t) for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return docs.mapInArrow(run, docs.schema)
+    (key,) = fresh(docs, "key")
+    scratch, kind = Scratch(spark, "decontamination"), id_kind(benchmark)
+    keyed = scratch.write("docs", docs.withColumn(key, F.monotonically_increasing_id()))
+    hits = block_hits(scratch, keyed.select(F.col(key).alias("key"), "text"), chain(begun, indexes), found_in, MATCH.format(kind), arrow_kind(kind))
+    return keyed.join(hits.select(F.col("key").alias(key)).distinct(), key, "left_anti").drop(key)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyrelake.llm.common import WordHashes, groups, hash_word, mix, words_of
+from gyrelake.llm.common import WordHashes, hash_word, mix, scan_blocks, words_of
 
 WORDS, CONTAINED = 5, 0.8
 BANDS = 40
@@ -269,17 +269,11 @@ def template_blocks(templates: DataFrame) -> Iterator[list[tuple[str, str]]]:
 
 def scan_licenses(spark: SparkSession, docs: DataFrame, templates: DataFrame) -> DataFrame:
     """doc_id and matches, an array of (license_id, start, end, containment); offsets are code points."""
-    out = docs.select("doc_id", "text", F.array().cast(MATCH).alias("matches"))
-    for rows in template_blocks(templates):
-        shared = spark.sparkContext.broadcast(Templates(rows))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for part, texts in groups(batches):
-                found = [[*before, *({"license_id": n, "start": s, "end": e, "containment": c} for n, s, e, c in rows)] for rows, before in zip(shared.value.matches_of(texts), part.column(2).to_pylist(), strict=True)]
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(found, _ARROW)], ["doc_id", "text", "matches"])
+    def matches(block: Templates, texts: list[str]) -> list[list[dict]]:
+        return [[{"license_id": n, "start": s, "end": e, "containment": c} for n, s, e, c in rows] for rows in block.matches_of(texts)]
 
-        out = out.mapInArrow(run, out.schema)
-    return out.select("doc_id", "matches")
+    return scan_blocks(spark, docs, map(Templates, template_blocks(templates)), matches, MATCH, _ARROW)
 
 
 def license_report(spark: SparkSession, docs: DataFrame, templates: DataFrame) -> DataFrame:

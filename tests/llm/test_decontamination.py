@@ -48,6 +48,36 @@ def test_equals_brute_force(seed):
                 assert got[j] == least
 
 
+@pytest.mark.parametrize("length", range(1, 41))
+def test_short_items_at_their_whole_budget(length):
+    """Every edit that the budget allows is found, and no more, for items of each length."""
+    rng = random.Random(length)
+    for turn in range(12):
+        item = "".join(rng.choice("abcdefgh ") for _ in range(length - 2)).join("xy")[:length]
+        k = int(d.BUDGET * length)
+        text = prose(rng, 4) + " " + edited(rng, item, turn % (k + 2)) + " " + prose(rng, 3)
+        flat = "".join(map(chr, d.normalise(item.strip())[0]))
+        least, budget = distance(flat, "".join(map(chr, d.normalise(text)[0]))), int(d.BUDGET * len(flat))
+        got = [m[3] for m in d.Index([(1, item)]).matches(text)]
+        assert (min(got) if got else None) == (least if least <= budget else None), (item, text)
+
+
+def test_gram_lengths_keep_the_bound():
+    for length in range(d.Q, 400):
+        k = int(d.BUDGET * length)
+        assert length + 1 - d.gram_length(length, k) * (k + 1) >= 1 and d.gram_length(length, k) >= 5
+
+
+def test_q_grams():
+    points = d.normalise("abcabcabcd abcabc")[0]
+    for q in range(1, 10):
+        h = d.grams(points, q)
+        assert len(h) == len(points) + 1 - q
+        for i in range(len(h)):
+            for j in range(len(h)):
+                assert (h[i] == h[j]) == (points[i : i + q].tolist() == points[j : j + q].tolist())
+
+
 def test_places_and_normalisation():
     index = d.Index([(7, "An Item  of some\nLength, with marks!"), (8, "short"), (9, None), (10, "  ")])
     text = "xx İ AN ITEM OF\t\tSOME LENGTH,  with marks! yy Short"
@@ -75,6 +105,21 @@ def test_blocks_cover_the_benchmark(spark):
     assert len(parts) > 3 and sorted(i for p in parts for i, _ in p) == list(range(40))
 
 
+def test_many_blocks_give_the_rows_of_one(spark):
+    """Each block is a job of its own: the plan that is left reads written hits and has no Python stage."""
+    rng = random.Random(3)
+    items = [(i, prose(rng, 9)) for i in range(12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, prose(rng, 5) + " " + items[i % 12][1] + " " + items[i % 5][1] if i % 3 else prose(rng, 9), "x") for i in range(40)] + [(None, items[3][1], "y"), (41, None, None), (41, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    one, many = d.find_matches(spark, docs, bench), d.find_matches(spark, docs, bench, 300)
+    told = lambda df: sorted(((r.doc_id, sorted(map(tuple, r.matches))) for r in df.collect()), key=str)
+    assert len(list(d.blocks(bench, 300))) > 3 and told(one) == told(many)
+    assert "MapInArrow" not in many._jdf.queryExecution().toString() and one._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+    left = [d.drop_contaminated(spark, docs, bench, n) for n in (d.BLOCK_CHARS, 300)]
+    assert sorted(map(str, left[0].collect())) == sorted(map(str, left[1].collect())) and left[1].columns == docs.columns
+
+
 @pytest.mark.parametrize("slice_", [7, 1_000_000])
 def test_repetitive_text_and_item(monkeypatch, slice_):
     """Equal q-grams as many as the product of the lengths: counted in slices, with the same result."""
