@@ -190,19 +190,38 @@ def crc_text(value) -> int:
 
 
 class TwoGenerations(dict):
-    """A bounded cache: when ``limit`` entries are new, the older generation is forgotten.
+    """A cache bounded in bytes: when what is new takes ``limit`` bytes, the older generation is forgotten.
 
-    What is in use is carried over, so frequent keys stay. Speed only: values never depend on it.
+    What is in use is carried over, so frequent keys stay; a text key over ``LONGEST`` characters is kept for the present
+    batch alone. Speed only: values never depend on it.
     """
 
+    LONGEST, ENTRY = 128, 200
+
     def __init__(self, limit: int):
         super().__init__()
-        self.limit, self.old = limit, {}
+        self.limit, self.size, self.old, self.passing = limit, 0, {}, {}
+
+    def __missing__(self, key: str):
+        return self.passing[key]
+
+    def empty(self) -> None:
+        """Forgets everything."""
+        self.clear()
+        self.old, self.passing, self.size = {}, {}, 0
+
+    def put(self, key: str, value) -> None:
+        if len(key) > self.LONGEST:
+            self.passing[key] = value
+        else:
+            self[key] = value
+            self.size += self.ENTRY + len(key) * (1 if key.isascii() else 4) + (len(value) if isinstance(value, bytes) else 0)
 
     def absent(self, keys: set) -> list:
         """Those keys that must be computed; the others are made present."""
-        if len(self) > self.limit:
-            self.old = dict(self)
+        self.passing = {}
+        if self.size > self.limit:
+            self.old, self.size = dict(self), 0
             self.clear()
         missing = []
         for key in keys.difference(self):
@@ -210,10 +229,25 @@ class TwoGenerations(dict):
             if value is None:
                 missing.append(key)
             else:
-                self[key] = value
+                self.put(key, value)
         return missing
 
 
+def windows(text: str, size: int, blank: str = " ") -> Iterator[str]:
+    """Stretches of some ``size`` characters, each but the first beginning with ``blank`` after another character."""
+    at = 0
+    while at < len(text):
+        to = at + size
+        while to < len(text):
+            to = text.find(blank, to)
+            if to < 0 or not text[to - 1].isspace():
+                break
+            to += 1
+        to = len(text) if to < 0 else to
+        yield text[at:to]
+        at = to
+
+
 _holder: list = ["", ()]
 
 
@@ -224,9 +258,7 @@ def claim(owner: str, *caches: dict) -> None:
     """
     if _holder[0] != owner:
         for cache in _holder[1]:
-            cache.clear()
-            if isinstance(cache, TwoGenerations):
-                cache.old = {}
+            cache.empty() if isinstance(cache, TwoGenerations) else cache.clear()
     _holder[:] = [owner, caches]
 
 

@@ -33,11 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gyrelake.llm.common import Scratch, TwoGenerations, claim, groups
+from gyrelake.llm.common import Scratch, TwoGenerations, claim, groups, windows
 
 CAPACITY, END_ID = 1024, 2
 RATE, GAP, EPOCHS = 0.1, 0.002, 3
-CACHE = 700_000
+#: What is left of a length below this is rounding of doubles.
+LEAST = 1e-6
+#: Bytes of new cuts that a worker remembers, twice; characters of a long text that are cut at once.
+CACHE, WINDOW = 150 << 20, 1 << 20
 #: White space and a word of Latin letters before ASCII punctuation or white space, or else all up to
 #: the next white space.
 _CUTS = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[!-/:-@\[-`{-~\s]|\Z)|\s*\S+|\s+\Z")
@@ -78,6 +81,12 @@ class WordIds:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encode(texts, add_special_tokens=False)]
 
     def of(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; a long one goes through in windows that begin with a space."""
+        whole = [t for t in texts if len(t) <= 2 * WINDOW]
+        ids = iter(self._of(whole))
+        return [next(ids) if len(t) <= 2 * WINDOW else self._of([t])[0] if any(c in t for c in _ODD) else b"".join(self._of([w])[0] for w in windows(t, WINDOW)) for t in texts]
+
+    def _of(self, texts: list[str]) -> list[bytes]:
         cut = [None if any(c in t for c in _ODD) else _CUTS.findall(t) for t in texts]
         missing = self.cache.absent(set(itertools.chain.from_iterable(c for c in cut if c)))
         words, other = [], []
@@ -86,7 +95,8 @@ class WordIds:
         for cuts, encode in ((words, self._words), (other, self._ids)):
             for at in range(0, len(cuts), 4096):
                 part = cuts[at : at + 4096]
-                self.cache.update(zip(part, encode(part), strict=True))
+                for key, ids in zip(part, encode(part), strict=True):
+                    self.cache.put(key, ids)
         return [self._ids([t])[0] if c is None else b"".join(map(self.cache.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
 
 
@@ -166,12 +176,12 @@ def cover(lengths: np.ndarray, supply: np.ndarray, weights: np.ndarray, capacity
 
     A round takes the configuration of greatest weight as often as the uncovered supply allows; the
     weights of what it uses fall by (1 - rate) for their covered share, and a length that is wholly
-    covered leaves, so that nothing is covered twice. It ends when less than a piece of every length
-    is uncovered; a round covers one length at least, so there are at most ``capacity`` rounds.
+    covered leaves, so that nothing is covered twice. It ends when every length is covered, so that the copies
+    are a solution of the program; a round covers one length at least, so there are at most ``capacity`` rounds.
     """
     weights, left, found = weights.copy(), supply.copy(), Counter()
     at = {int(x): k for k, x in enumerate(lengths)}
-    while len(active := np.flatnonzero(left >= 1)):
+    while len(active := np.flatnonzero(left > LEAST)):
         config = price(weights[active], lengths[active], capacity)
         step = min(left[at[x]] / a for x, a in config.items())
         found[tuple(sorted(config.items()))] += step

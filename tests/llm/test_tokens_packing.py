@@ -83,7 +83,7 @@ def test_plan_is_near_the_bound(seed):
 
 @pytest.mark.parametrize("seed", [0, 1])
 def test_program_covers_every_length(seed):
-    """Less than a piece of each length is uncovered, and rounding leaves little to the subset sums."""
+    """Each length is covered, and rounding leaves little to the subset sums."""
     rng = np.random.default_rng(seed)
     lengths = rng.integers(1, 1024, 100_000) if seed % 2 else np.minimum(1023, rng.lognormal(5, 1, 200_000).astype(int) + 1)
     histogram = dict(Counter(lengths.tolist()))
@@ -93,7 +93,7 @@ def test_program_covers_every_length(seed):
         for x, a in config.items():
             covered[x] += a * copies
             whole += x * a * int(copies)
-    assert all(n - 1 <= covered[x] <= n + 1e-6 for x, n in histogram.items())
+    assert all(n - 1e-5 <= covered[x] <= n + 1e-5 for x, n in histogram.items())
     assert whole >= 0.98 * lengths.sum()
     assert program.bound <= program.value <= program.bound * (1 + packing.GAP)
     sequences = sum(t for _, t in packing.plan(histogram))
@@ -121,3 +121,57 @@ def test_price_is_the_best_knapsack():
     config = packing.price(weights, lengths, 10)
     assert sum(x * a for x, a in config.items()) <= 10
     assert config == {7: 1, 3: 1}
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_program_value_is_not_below_its_bound(seed):
+    """On small supplies too, where most copies are fractions."""
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 2000))
+    lengths = rng.integers(1, 1024, n) if seed % 3 == 0 else np.minimum(1023, rng.lognormal(4 + seed % 3, 1, n).astype(int) + 1)
+    program = packing.fractional(dict(Counter(lengths.tolist())), 1024)
+    assert program.bound * (1 - 1e-9) <= program.value and program.gap >= -1e-9
+
+
+def long_texts():
+    rng = np.random.default_rng(6)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCXYZ0123456789.,;:!?-_/()[]#@"))
+    yield "".join(rng.choice(letters, 60_000))
+    yield "q" * 30_000
+    yield " " + "".join(rng.choice(letters, 20_000)) + "\n" + "".join(rng.choice(letters, 20_000)) + "é" * 50
+    yield "".join(rng.choice(list("xqzjkwv"), 30_000))
+    yield "word and word " * 3000 + "".join(rng.choice(letters, 9000)) + "  end "
+
+
+@pytest.mark.parametrize("window", [1000, 1 << 20])
+def test_long_texts_without_spaces(monkeypatch, window):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "WINDOW", window)
+    monkeypatch.setattr(packing, "WINDOW", window)
+    texts = list(long_texts()) + [t for t in TEXTS if t]
+    path = P.path("piece_bpe_32k.model")
+    sp, counter = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.PieceLengths(path)
+    assert len(counter.parts(texts[0])) > 8
+    assert counter.lengths(texts) == [len(sp.encode(t)) for t in texts]
+    t, words = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.WordIds(P.path("byte_bpe_50k.json"))
+    assert words.of(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
+def test_caches_are_bounded_in_bytes():
+    """Ten texts of a million characters without spaces, and many distinct words, leave little behind."""
+    from gyrelake.llm.common import TwoGenerations
+
+    counter = token_counts.PieceLengths(P.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(8)
+    for _ in range(3):
+        counter.lengths(["x " + "".join(rng.choice(list("xqzjkwv#"), 300_000))])
+    assert sum(map(len, counter.cache)) < 1000
+    cache = TwoGenerations(100_000)
+    for turn in range(50):
+        keys = {f"word{turn * 200 + i}" for i in range(200)} | {"often", "x" * 5000}
+        for key in cache.absent(keys):
+            cache.put(key, b"1234")
+        assert cache["often"] == b"1234" and cache["x" * 5000] == b"1234"
+        assert (len(cache) + len(cache.old)) * TwoGenerations.ENTRY < 3 * 100_000 and not any(len(k) > 128 for k in [*cache, *cache.old])
