@@ -10,7 +10,8 @@ shards then start from. No task holds more than a shard and a block, and the dri
 In a shard, a node's bound for query q is q.center + |q| * radius. Nodes whose bound is below the
 query's kth score are cut off; leaves are visited in the order of their bounds, each visit raising
 the score. Scores are whole numbers, exact as doubles while below 2 ** 53; larger ones are
-computed with Python's integers (beyond 64 bits they raise an error rather than wrap).
+computed with Python's integers, and those beyond a long count as the largest or least long (so that such
+rows tie). A component whose product leaves the doubles counts as the largest double.
 
 Rows take no part when their vec_id or vector is null or a component is null or not finite.
 Vectors of other lengths count as padded with zeros; an empty vector scores 0. Repeated rows are rows
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,27 +35,19 @@ from gyrelake.llm.common import Scratch
 
 K, EVERY, SCALE = 5, 50, 256
 SHARD, BLOCK, LEAF, FIRST = 16_384, 8_192, 64, 8
-EXACT = float(1 << 53)
+EXACT, LONG = float(1 << 53), (1 << 63) - 1
 
 
-def matrix(rows: list[list[int]], width: int = 0) -> np.ndarray:
-    """Vectors padded with zeros; doubles, or Python integers where doubles might round."""
+def matrix(rows: list[list[float]], width: int = 0) -> np.ndarray:
+    """Vectors of whole doubles padded with zeros; doubles, or Python integers where products might round."""
     width = max(width, max(map(len, rows), default=0))
-    try:
-        if all(len(r) == width for r in rows):
-            x = np.array(rows, np.int64).reshape(len(rows), width)
-        else:
-            x = np.zeros((len(rows), width), np.int64)
-            for i, r in enumerate(rows):
-                x[i, : len(r)] = r
-        if np.abs(x.astype(float)).max(initial=0) < 2.0**52:
-            return x.astype(float)
-    except OverflowError:
-        pass
-    out = np.zeros((len(rows), width), object)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
-    return out
+    if all(len(r) == width for r in rows):
+        x = np.array(rows, float).reshape(len(rows), width)
+    else:
+        x = np.zeros((len(rows), width))
+        for i, r in enumerate(rows):
+            x[i, : len(r)] = r
+    return x if np.abs(x).max(initial=0) < 2.0**52 else np.vectorize(int, otypes=[object])(x)
 
 
 def pad(x: np.ndarray, width: int) -> np.ndarray:
@@ -61,13 +55,15 @@ def pad(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact inner products of rows of x and q, as doubles or Python integers."""
+    """Exact inner products of rows of x and q, as doubles or Python integers within a long."""
     if x.dtype != object and q.dtype != object:
         big = np.sqrt((x * x).sum(1)).max(initial=0) * np.sqrt((q * q).sum(1)).max(initial=0)
         if big * max(1, x.shape[1]) < EXACT:
             return x @ q.T
     whole = lambda m: m if m.dtype == object else np.vectorize(int, otypes=[object])(m)
-    return whole(x) @ whole(q).T if x.size and q.size else np.zeros((len(x), len(q)), object)
+    if not (x.size and q.size):
+        return np.zeros((len(x), len(q)), object)
+    return np.maximum(np.minimum(whole(x) @ whole(q).T, LONG), -LONG - 1)
 
 
 class Best:
@@ -97,15 +93,17 @@ class BallTree:
 
     def _build(self, a: int, b: int, leaf: int) -> int:
         rows = self.x[self.order[a:b]]
-        center = rows.mean(0)
-        away = np.sqrt(((rows - center) ** 2).sum(1))
+        with np.errstate(all="ignore"):
+            center = rows.mean(0)
+            away = np.sqrt(((rows - center) ** 2).sum(1))
         me = len(self.nodes)
         self.nodes.append((a, b, center, float(away.max()), -1, -1))
         if b - a > leaf and away.max() > 0:
-            one = rows[away.argmax()]
-            two = rows[((rows - one) ** 2).sum(1).argmax()]
             middle = (a + b) // 2
-            self.order[a:b] = self.order[a:b][np.argsort(rows @ (one - two), kind="stable")]
+            with np.errstate(all="ignore"):
+                one = rows[away.argmax()]
+                two = rows[((rows - one) ** 2).sum(1).argmax()]
+                self.order[a:b] = self.order[a:b][np.argsort(rows @ (one - two), kind="stable")]
             left = self._build(a, middle, leaf)
             right = self._build(middle, b, leaf)
             self.nodes[me] = (*self.nodes[me][:4], left, right)
@@ -121,10 +119,12 @@ class BallTree:
         while stack:
             node, above = stack.pop()
             _, _, center, radius, left, right = self.nodes[node]
-            bound = q @ center + norms * radius
-            bound = bound + np.abs(bound) * 1e-9 + 1
+            with np.errstate(all="ignore"):
+                bound = q @ center + norms * radius
+                bound = bound + np.abs(bound) * 1e-9 + 1
+            bound[np.isnan(bound)] = np.inf  # beyond doubles nothing is known, so nothing is cut off
             bound = np.where((bound >= low) & (above > -np.inf), bound, -np.inf)
-            if not np.isfinite(bound).any():
+            if not (bound > -np.inf).any():
                 continue
             if left < 0:
                 leaves.append(node)
@@ -137,7 +137,7 @@ class BallTree:
 class Shard:
     """The rows of a shard, whole numbers, and their tree."""
 
-    def __init__(self, ids: np.ndarray, keys: np.ndarray, vectors: list[list[int]]):
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, vectors: list[list[float]]):
         self.ids, self.keys, self.x = ids, keys, matrix(vectors)
         self.tree = BallTree(self.x)
         if self.x.dtype != object:
@@ -150,7 +150,8 @@ def search(shard: Shard, q: np.ndarray, query_keys: np.ndarray, floors: list, k:
     own, width = x.shape[1], max(x.shape[1], q.shape[1])
     best = Best(floors, k)
     # components that the shard's rows lack count as zeros there, and as zeros in the query where it lacks them
-    norms = np.sqrt((q.astype(float) ** 2).sum(1))
+    with np.errstate(over="ignore"):
+        norms = np.sqrt((q.astype(float) ** 2).sum(1))
     q = pad(q, width)[:, :own]
     leaves, bounds = tree.bounds(q, floors, norms)
     order = np.argsort(-bounds, axis=1, kind="stable")
@@ -178,16 +179,20 @@ def top_k(spark: SparkSession, vectors: DataFrame, k: int = K, every: int = EVER
     """query_id, rank (from 1), vec_id and score: the k best rows of every query row."""
     scratch = Scratch(spark, "topk")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    whole = F.transform("embedding", lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")).cast("bigint")).alias("v")
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).select(F.col("vec_id").cast("bigint").alias("vec_id"), whole)
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 33
+        top = np.finfo(float).max
         for batch in batches:
-            yield batch.append_column("key", pa.array(np.arange(at, at + batch.num_rows), pa.int64()))
+            with np.errstate(over="ignore"):
+                whole = np.clip(np.floor(SCALE * batch["v"].flatten().to_numpy(zero_copy_only=False)), -top, top)
+            ends = np.append(0, np.cumsum(pc.list_value_length(batch["v"]).to_numpy(zero_copy_only=False)))
+            columns = [batch["vec_id"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(whole)), pa.array(np.arange(at, at + batch.num_rows), pa.int64())]
+            yield pa.record_batch(columns, ["vec_id", "v", "key"])
             at += batch.num_rows
 
-    table = scratch.write("rows", rows.mapInArrow(number, "vec_id long, v array<long>, key long"))
+    table = scratch.write("rows", rows.mapInArrow(number, "vec_id long, v array<double>, key long"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shard_arrays(batches):
@@ -236,7 +241,7 @@ def best_of(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def shard_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[int]]]]:
+def shard_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[float]]]]:
     """The task's rows in arrays of SHARD rows at most."""
     ids, keys, vectors = [], [], []
     for batch in batches:

@@ -5,7 +5,7 @@ import pytest
 
 from gyrelake.llm import topk
 
-NAN, INF = float("nan"), float("inf")
+NAN, INF, LONG = float("nan"), float("inf"), (1 << 63) - 1
 
 
 def brute(rows, k=5, every=50):
@@ -13,13 +13,13 @@ def brute(rows, k=5, every=50):
     out = []
     for a, (i, q) in enumerate(ok):
         if i % every == 0:
-            scored = sorted((-sum(x * y for x, y in zip(q, v)), j) for b, (j, v) in enumerate(ok) if b != a)
+            scored = sorted((-min(max(sum(x * y for x, y in zip(q, v)), -LONG - 1), LONG), j) for b, (j, v) in enumerate(ok) if b != a)
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])]
     return sorted(out)
 
 
-def got(spark, rows, **kw):
-    df = spark.createDataFrame([(i, v, 1.0) for i, v in rows], "vec_id long, embedding array<float>, score double")
+def got(spark, rows, kind="float", **kw):
+    df = spark.createDataFrame([(i, v, 1.0) for i, v in rows], f"vec_id long, embedding array<{kind}>, score double")
     return sorted(map(tuple, topk.top_k(spark, df, **kw).collect()))
 
 
@@ -41,6 +41,20 @@ def test_edges(spark):
     assert got(spark, big) == brute(big)
 
 
+@pytest.mark.parametrize("shard", [16384, 60])
+def test_huge_finite_components(spark, monkeypatch, shard):
+    """Exact in Python's integers; scores beyond a long count as its ends, and such rows tie."""
+    monkeypatch.setattr(topk, "SHARD", shard)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(200)]
+    rows += [(50, [1e300, 1.0, 2.0]), (201, [1e300, 0.0, 0.0]), (250, [-1e300, 1e300, 1e-300]), (202, [3e305, -3e305, 0.0]), (203, [1e16, 1e16, -1e16]), (300, [2e9, -2e9, 1.0]), (204, [-2e9, 2e9, 5.0]), (205, [1e30] * 3), (206, [1e30] * 3)]
+    rows += [(210 + i, [1e300, 1e300 * (i % 2), 0.0]) for i in range(100)]
+    want = sorted((*w[:3], w[3]) for w in brute(rows))
+    assert got(spark, rows, "double") == want
+    floats = [(i, [float(np.float32(min(max(x, -3e38), 3e38))) for x in v]) for i, v in rows]
+    assert got(spark, floats) == brute(floats)
+
+
 def test_tree_bounds_hold():
     rng = np.random.default_rng(3)
     x, q = rng.integers(-300, 300, (700, 16)).astype(float), rng.integers(-300, 300, (20, 16)).astype(float)
