@@ -196,7 +196,7 @@ class TwoGenerations(dict):
     batch alone. Speed only: values never depend on it.
     """
 
-    LONGEST, ENTRY = 128, 200
+    LONGEST, ENTRY = 512, 200
 
     def __init__(self, limit: int):
         super().__init__()
@@ -210,27 +210,32 @@ class TwoGenerations(dict):
         self.clear()
         self.old, self.passing, self.size = {}, {}, 0
 
-    def put(self, key: str, value) -> None:
-        if len(key) > self.LONGEST:
-            self.passing[key] = value
-        else:
-            self[key] = value
-            self.size += self.ENTRY + len(key) * (1 if key.isascii() else 4) + (len(value) if isinstance(value, bytes) else 0)
+    def put(self, keys: list[str], values: list) -> None:
+        """Remembers values of keys."""
+        if max(map(len, keys), default=0) > self.LONGEST:
+            self.passing.update((k, v) for k, v in zip(keys, values, strict=True) if len(k) > self.LONGEST)
+            keys, values = zip(*((k, v) for k, v in zip(keys, values, strict=True) if len(k) <= self.LONGEST), strict=True) if min(map(len, keys)) <= self.LONGEST else ((), ())
+        self.update(zip(keys, values, strict=True))
+        self._count(keys, values)
+
+    def _count(self, keys, values) -> None:
+        # a character takes 4 bytes at most, and most keys are short beside their entry
+        self.size += self.ENTRY * len(keys) + 4 * sum(map(len, keys)) + (sum(map(len, values)) if values and isinstance(values[0], bytes) else 0)
 
     def absent(self, keys: set) -> list:
         """Those keys that must be computed; the others are made present."""
-        self.passing = {}
+        if self.passing:
+            self.passing = {}
         if self.size > self.limit:
             self.old, self.size = dict(self), 0
             self.clear()
-        missing = []
-        for key in keys.difference(self):
-            value = self.old.get(key)
-            if value is None:
-                missing.append(key)
-            else:
-                self.put(key, value)
-        return missing
+        missing, old = keys.difference(self), self.old
+        if old and (kept := missing.intersection(old)):
+            again = {k: old[k] for k in kept}
+            self.update(again)
+            self._count(again.keys(), list(again.values()))
+            missing -= kept
+        return list(missing)
 
 
 def windows(text: str, size: int, blank: str = " ") -> Iterator[str]:

@@ -40,7 +40,7 @@ RATE, GAP, EPOCHS = 0.1, 0.002, 3
 #: What is left of a length below this is rounding of doubles.
 LEAST = 1e-6
 #: Bytes of new cuts that a worker remembers, twice; characters of a long text that are cut at once.
-CACHE, WINDOW = 150 << 20, 1 << 20
+CACHE, WINDOW = 160 << 20, 1 << 20
 #: White space and a word of Latin letters before ASCII punctuation or white space, or else all up to
 #: the next white space.
 _CUTS = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[!-/:-@\[-`{-~\s]|\Z)|\s*\S+|\s+\Z")
@@ -82,6 +82,8 @@ class WordIds:
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; a long one goes through in windows that begin with a space."""
+        if max(map(len, texts), default=0) <= 2 * WINDOW:
+            return self._of(texts)
         whole = [t for t in texts if len(t) <= 2 * WINDOW]
         ids = iter(self._of(whole))
         return [next(ids) if len(t) <= 2 * WINDOW else self._of([t])[0] if any(c in t for c in _ODD) else b"".join(self._of([w])[0] for w in windows(t, WINDOW)) for t in texts]
@@ -95,8 +97,7 @@ class WordIds:
         for cuts, encode in ((words, self._words), (other, self._ids)):
             for at in range(0, len(cuts), 4096):
                 part = cuts[at : at + 4096]
-                for key, ids in zip(part, encode(part), strict=True):
-                    self.cache.put(key, ids)
+                self.cache.put(part, encode(part))
         return [self._ids([t])[0] if c is None else b"".join(map(self.cache.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
 
 

@@ -41,9 +41,9 @@ def size_of(text: str) -> int:
 def balanced(texts: list[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
     """Lists of texts of about equal bytes: longest first, a list ends when it is full."""
     part, size = [], 0
-    for n, text in sorted(((size_of(t), t) for t in texts), reverse=True):
+    for text in sorted(texts, key=len, reverse=True):
         part.append(text)
-        size += n
+        size += size_of(text)
         if size >= limit:
             yield part
             part, size = [], 0
@@ -99,18 +99,20 @@ class PieceLengths:
         return sum(len(self.sp.encode("\n" + p)) - self.line for p in parts)
 
     def _encode(self, cuts: list[str]) -> None:
-        for part in balanced([c for c in cuts if len(c) <= PART]):
-            for cut, ids in zip(part, self.sp.encode([self._ask(c) for c in part], num_threads=1), strict=True):
-                self.cache.put(cut, len(ids) - (1 if cut[0] == "\n" else self.one if not cut.strip(" ▁") else 0))
-        for cut in cuts:
-            if len(cut) > PART:
-                first, *rest = self.parts(cut)
-                n = len(self.sp.encode(self._ask(first))) - (1 if cut[0] == "\n" else self.one if not first.strip(" ▁") else 0)
-                self.cache.put(cut, n + self._more(rest))
+        long = [c for c in cuts if len(c) > PART]
+        for part in balanced([c for c in cuts if len(c) <= PART] if long else cuts):
+            ids = self.sp.encode([self._ask(c) for c in part], num_threads=1)
+            self.cache.put(part, [len(i) - (1 if c[0] == "\n" else self.one if not c.strip(" ▁") else 0) for c, i in zip(part, ids, strict=True)])
+        for cut in long:
+            first, *rest = self.parts(cut)
+            n = len(self.sp.encode(self._ask(first))) - (1 if cut[0] == "\n" else self.one if not first.strip(" ▁") else 0)
+            self.cache.put([cut], [n + self._more(rest)])
 
     def lengths(self, texts: list[str]) -> list[int]:
         if not self.cuts:
             return [len(self.sp.encode(t)) for t in texts]
+        if max(map(len, texts), default=0) <= 2 * WINDOW:
+            return self._lengths(list(map(_CUTS.findall, texts)), begins=True)
         out = [0] * len(texts)
         long = [i for i, t in enumerate(texts) if len(t) > 2 * WINDOW]
         for i in long:
