@@ -21,12 +21,16 @@ def blend(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, *mean, F.least(F.col("n"), F.lit(255)).cast("int").alias("coverage"))
 
 
-def provenance(canvas: DataFrame, covered: DataFrame, reference: DataFrame) -> DataFrame:
-    """x, y, coverage and provenance of every canvas pixel: acquired, filled where only the reference mask (>= 128) is, or none."""
-    joined = canvas.join(covered.select("x", "y", "coverage"), ["x", "y"], "left").join(reference.where("mask >= 128").select("x", "y", F.lit(True).alias("filled")), ["x", "y"], "left")
+def provenance(canvas: DataFrame, covered: DataFrame, reference: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """x, y, coverage and provenance of every canvas pixel: acquired, filled where only the reference mask (>= 128) is, or none.
+
+    ``within`` names the columns of all three tables that tell the canvases of several acquisitions apart.
+    """
+    at = [*within, "x", "y"]
+    joined = canvas.join(covered.select(*at, "coverage"), at, "left").join(reference.where("mask >= 128").select(*at, F.lit(True).alias("filled")), at, "left")
     n = F.coalesce("coverage", F.lit(0))
     kind = F.when(n > 0, ACQUIRED).when(F.col("filled"), REFERENCE_FILL).otherwise(NO_DATA)
-    return joined.select("x", "y", n.alias("coverage"), kind.alias("provenance"))
+    return joined.select(*at, n.alias("coverage"), kind.alias("provenance"))
 
 
 def coverage_report(covered: DataFrame) -> DataFrame:

@@ -6,8 +6,6 @@ tables. Inputs that the driver's tables lack are derived by the adapters of ``so
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,24 +13,12 @@ from gyrelake.functions import geometry as G
 from gyrelake.functions import text as X
 from gyrelake.operators import alignment, evidence, merge, projection, raster, registration, slicing
 from gyrelake.plans import contracts, lifecycle, metadata
+from gyrelake.registry import query
 from gyrelake.sources.testdata import adapted, read, sql
 from gyrelake.streaming import cycles, events
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "detection_summary"
 
-
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE_SQL[f.__name__] = oracle
-        return f
-
-    return add
-
-
 FRAMES = [(0, 6560, 4948), (1, 2000, 1312), (2, 1312, 1312), (3, 800, 600), (4, 1312, 2000)]
 FRAMES_SQL = "(select * from (values " + ", ".join(map(str, FRAMES)) + ") as f(frame, width, height))"
 

@@ -72,6 +72,19 @@ ADAPTERS: dict[str, tuple[str, list[str], str]] = {
         ["cast(l_orderkey % 16 + 1 as int) as frame", "cast(l_partkey % 64 as int) as x", "cast(l_suppkey % 48 as int) as y", "cast(l_partkey % 256 as int) as r", "cast(l_suppkey % 256 as int) as g", "cast(l_orderkey % 256 as int) as b"],
         "true",
     ),
+    "plates": (
+        "lineitem",
+        [
+            "cast(floor(l_orderkey / 4000) as int) as acq", "cast(l_orderkey % 4 as int) as frame", "cast(l_partkey % 64 as int) as x", "cast((l_suppkey + l_linenumber * 7) % 48 as int) as y",
+            "cast(l_partkey % 256 as int) as r", "cast(l_suppkey % 256 as int) as g", "cast((l_orderkey * 5) % 256 as int) as b", "case when (l_partkey + l_linenumber) % 4 > 0 then 255 else 0 end as mask",
+        ],
+        "true",
+    ),
+    "masks": (
+        "lineitem",
+        ["cast(floor(l_orderkey / 3000) as int) as acq", "l_linenumber as id", "cast(l_partkey % 24 as int) as x", "cast(l_suppkey % 16 as int) as y"],
+        "l_orderkey % 3 > 0",
+    ),
 }
 
 

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from gyrelake import queries
+from gyrelake import catalogue as queries
 
 ROOT = Path(__file__).resolve().parents[1]
 SF = "/root/testdata/sf0.001"
