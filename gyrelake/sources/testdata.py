@@ -6,6 +6,8 @@ so that a query and its oracle start from equal rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 ADAPTERS: dict[str, tuple[str, list[str], str]] = {
@@ -80,6 +82,16 @@ ADAPTERS: dict[str, tuple[str, list[str], str]] = {
         ],
         "true",
     ),
+    "matches": (
+        "(select *, cast((l_partkey * 37) % 1600 as double) as sx, cast((l_suppkey * 29 + l_partkey * 7) % 1200 as double) as sy, case when l_partkey % 5 = 0 then 'held' else 'fit' end as part, (l_linenumber + l_partkey + l_orderkey) % 5 < 2 and l_partkey % 5 > 0 as off from lineitem)",
+        [
+            "cast(floor(l_orderkey / 4000) as int) as acq", "cast(l_orderkey % 16 + 1 as int) as source_frame", "cast((l_orderkey + 1) % 16 + 1 as int) as target_frame", "part", "off", "sx", "sy",
+            # a turn by -22.5 degrees about (800, -1500), a few tenths of noise, and two of five fit points somewhere else
+            "800e0 + 0.9238795325112867e0 * (sx - 800e0) + 0.3826834323650898e0 * (sy + 1500e0) + ((l_partkey * 13) % 7 - 3) / 10e0 + case when off then 100 + (l_partkey * 53) % 700 else 0 end as tx",
+            "-1500e0 - 0.3826834323650898e0 * (sx - 800e0) + 0.9238795325112867e0 * (sy + 1500e0) + ((l_suppkey * 11) % 7 - 3) / 10e0 - case when off then 150 + (l_suppkey * 31) % 500 else 0 end as ty",
+        ],
+        "true",
+    ),
     "masks": (
         "lineitem",
         ["cast(floor(l_orderkey / 3000) as int) as acq", "l_linenumber as id", "cast(l_partkey % 24 as int) as x", "cast(l_suppkey % 16 as int) as y"],
@@ -88,13 +100,20 @@ ADAPTERS: dict[str, tuple[str, list[str], str]] = {
 }
 
 
+#: A comma between columns: one that no bracket encloses.
+SPLIT = re.compile(r",\s*(?![^()]*\))")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
 def adapted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, columns, condition = ADAPTERS[name]
-    return read(spark, sf_dir, table).where(condition).selectExpr(*columns)
+    if not table.startswith("("):
+        return read(spark, sf_dir, table).where(condition).selectExpr(*columns)
+    stem = table.rsplit(" from ", 1)[1].rstrip(")")  # named columns over a table, so that they need not be written twice
+    return read(spark, sf_dir, stem).selectExpr(*SPLIT.split(table.removeprefix("(select ").rsplit(" from ", 1)[0])).where(condition).selectExpr(*columns)
 
 
 def sql(name: str) -> str:
