@@ -1,8 +1,8 @@
-"""State changes as table rewrites, and staged, atomic writes.
+"""State changes as table rewrites, and staged writes.
 
-A change is a new table computed from the old one; ``publish`` writes it beside the target and
-moves it into place, so that readers see the old rows or the new ones. Changes of several tables
-have no common transaction in Spark: write the one that others refer to first.
+A change is a new table computed from the old one. ``publish`` writes it beside a plain folder and moves it into
+place; for a moment between its two renames there is no folder, so that what readers must always find, and changes of
+several tables, go through ``commits.Store``, where a change is one manifest.
 """
 
 from __future__ import annotations
@@ -70,10 +70,13 @@ def publish(spark: SparkSession, rows: DataFrame, target: str, **options) -> Non
         writer = writer.partitionBy(*by)
     writer.parquet(staged)
     fs = path(target).getFileSystem(conf)
-    if fs.exists(path(target)):
-        fs.rename(path(target), path(old))
+    had = fs.exists(path(target))
+    if had and not fs.rename(path(target), path(old)):  # else the new rows would be moved into the old folder
+        fs.delete(path(staged), True)
+        raise OSError(f"{target} could not be moved aside")
     if not fs.rename(path(staged), path(target)):
-        fs.rename(path(old), path(target))
+        if had:
+            fs.rename(path(old), path(target))
         raise OSError(f"{target} could not be replaced")
     fs.delete(path(old), True)
 
