@@ -93,26 +93,28 @@ def peak_table(profiles: DataFrame, group: str, **options) -> DataFrame:
     return profiles.select(group, "bin", "score").groupBy(group).applyInPandas(run, f"{group} {kind}, place int, angle int")
 
 
-def cyclic_alignments(source: DataFrame, target: DataFrame, coarse: float, n: int = 10, period: float = 36.0) -> DataFrame:
+def cyclic_alignments(source: DataFrame, target: DataFrame, coarse: float, n: int = 10, period: float = 36.0, group: tuple[str, ...] = ()) -> DataFrame:
     """Every cyclic shift of n sorted angles against n others: raw turn, rotation, median and greatest residual.
 
-    source and target have place 0..n-1 and angle. The raw turn is the median circular difference;
+    source and target have place 0..n-1 and angle, once for each ``group``. The raw turn is the median circular difference;
     the rotation moves it by whole periods (half to even) to be nearest the coarse estimate.
     """
-    shifts = source.select(F.col("place").alias("i"), F.col("angle").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shift"))
-    both = shifts.join(target.select(F.col("place").alias("j"), F.col("angle").alias("b")), F.expr(f"j = (i + shift) % {n}"))
+    shifts = source.select(*group, F.col("angle").alias("a"), "place", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shift"))
+    shifts = shifts.withColumn("j", (F.col("place") + F.col("shift")) % n).drop("place")
+    both = shifts.join(target.select(*group, F.col("place").alias("j"), F.col("angle").alias("b")), [*group, "j"])
     both = both.withColumn("difference", circular_difference(F.col("b"), F.col("a")))
-    turn = both.groupBy("shift").agg(F.median("difference").alias("raw"))
-    scored = both.join(turn, "shift").withColumn("off", F.abs(circular_difference(F.col("a") + F.col("raw"), F.col("b"))))
-    out = scored.groupBy("shift").agg(F.first("raw").alias("raw"), F.median("off").alias("median_off"), F.max("off").alias("most_off"))
+    # n differences of a shift: medians over n rows
+    lists = both.groupBy(*group, "shift").agg(F.median("difference").alias("raw"), F.collect_list(F.struct("a", "b")).alias("ab"))
+    scored = lists.select(*group, "shift", "raw", F.explode("ab").alias("p")).withColumn("off", F.abs(circular_difference(F.col("p.a") + F.col("raw"), F.col("p.b"))))
+    out = scored.groupBy(*group, "shift").agg(F.first("raw").alias("raw"), F.median("off").alias("median_off"), F.max("off").alias("most_off"))
     steps = F.bround((F.lit(coarse) - F.col("raw")) / period)
     return out.withColumn("rotation", F.pmod(F.col("raw") + period * steps, F.lit(360.0)))
 
 
-def best_alignment(alignments: DataFrame, coarse: float) -> DataFrame:
-    """The shift of least median, then greatest residual, then distance from the estimate, then shift."""
+def best_alignment(alignments: DataFrame, coarse: float, group: tuple[str, ...] = ()) -> DataFrame:
+    """The shift of least median, then greatest residual, then distance from the estimate, then shift, of each group."""
     away = F.abs(circular_difference(F.col("rotation"), F.lit(coarse)))
-    return alignments.agg(F.min(F.struct("median_off", "most_off", away.alias("away"), "shift", "raw", "rotation")).alias("b")).select("b.shift", "b.raw", "b.rotation", "b.median_off", "b.most_off")
+    return alignments.groupBy(*group).agg(F.min(F.struct("median_off", "most_off", away.alias("away"), "shift", "raw", "rotation")).alias("b")).select(*group, "b.shift", "b.raw", "b.rotation", "b.median_off", "b.most_off")
 
 
 def upper_plans(profiles: DataFrame) -> DataFrame:

@@ -9,10 +9,20 @@ from pyspark.sql import functions as F
 
 
 def spatial_split(points: DataFrame, group: list[str], ties: list[str], tile: int = 256, stride: int = 5) -> DataFrame:
-    """Points with ``ordinal`` in tile order and ``part``: every ``stride``-th is held out, the rest fits."""
-    order = [F.floor(F.col("y") / tile), F.floor(F.col("x") / tile), F.col("y"), F.col("x"), *map(F.col, ties)]
-    ordinal = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
-    return points.withColumn("ordinal", ordinal).withColumn("part", F.when(F.col("ordinal") % stride == 0, "held").otherwise("fit"))
+    """Points with ``ordinal`` in tile order and ``part``: every ``stride``-th is held out, the rest fits.
+
+    Points are numbered inside their tile, by as many tasks as there are tiles, and go on from the number of
+    points in the group's tiles before; only the table of tiles is ordered group by group.
+    """
+    placed = points.withColumns({"ty__": F.floor(F.col("y") / tile), "tx__": F.floor(F.col("x") / tile)})
+    key = [*group, "ty__", "tx__"]
+    tiles = placed.groupBy(*key).agg(F.count("*").alias("n__"))
+    before = (F.sum("n__").over(Window.partitionBy(*group).orderBy("ty__", "tx__")) - F.col("n__")).alias("before__")
+    same = [placed[k].eqNullSafe(F.col(f"{k}_t")) for k in key]
+    joined = placed.join(tiles.select(*[F.col(k).alias(f"{k}_t") for k in key], before), same)
+    inside = F.row_number().over(Window.partitionBy(*key).orderBy("y", "x", *ties)) - 1
+    ordinal = joined.withColumn("ordinal", F.col("before__") + inside).select(*points.columns, "ordinal")
+    return ordinal.withColumn("part", F.when(F.col("ordinal") % stride == 0, "held").otherwise("fit"))
 
 
 def evenly_kept(n: Column, rank: Column, most: int) -> Column:
@@ -31,10 +41,57 @@ def even_sample(rows: DataFrame, group: list[str], order: list[str], most: int)
     return ranked.where(evenly_kept(F.col("n"), F.col("rank"), most)).drop("n")
 
 
+def ranked_sample(rows: DataFrame, group: list[str], rank: str, most: int) -> DataFrame:
+    """``even_sample`` of rows that have their rank (0, 1, ... in each group) already: groups are counted, not ordered."""
+    counts = rows.groupBy(*group).agg(F.count("*").alias("n__"))
+    return rows.join(counts, group).where(evenly_kept(F.col("n__"), F.col(rank), most)).select(*rows.columns)
+
+
+#: Brackets of a percentile are found to one in so many ranks.
+ACCURACY = 100_000
+
+
+def percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys, n, most and the exact percentiles (linear between ranks) named in ``shares``; without keys, of all rows. Null values do not count.
+
+    A sketch, combined before the shuffle, brackets each percentile between two values; a second pass counts what is below and above
+    and the different values inside the bracket, which hold some four of ``ACCURACY`` ranks. So no task
+    sees all values of a key, be it the grand total.
+    """
+    known = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v__"))
+    slack, names = 2 / ACCURACY, list(shares)
+    wanted = [min(1.0, max(0.0, p + d)) for p in shares.values() for d in (-slack, slack)]
+    sketch = [F.count("*").alias("n"), F.max("v__").alias("most"), F.min("v__").alias("low__"), F.percentile_approx("v__", wanted, ACCURACY).alias("edges__")]
+    about = known.groupBy(*keys).agg(*sketch)
+    if keys:
+        both = known.join(about, keys)
+    else:
+        both = known.join(F.broadcast(about))  # one row
+    # ranks 0 and n - 1 are the ends, whatever the sketch says of them
+    low = lambda i: F.when(F.lit(wanted[2 * i]) <= 0, F.col("low__")).otherwise(F.col("edges__")[2 * i])
+    high = lambda i: F.when(F.lit(wanted[2 * i + 1]) >= 1, F.col("most")).otherwise(F.col("edges__")[2 * i + 1])
+    both = both.withColumns({f"low__{i}": low(i) for i in range(len(names))} | {f"high__{i}": high(i) for i in range(len(names))})
+    side = [F.when(F.col("v__") < F.col(f"low__{i}"), -1).when(F.col("v__") > F.col(f"high__{i}"), 1).otherwise(0) for i in range(len(names))]
+    each = both.select(*keys, "n", "most", "v__", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), x.alias("side")) for i, x in enumerate(side)])).alias("e"))
+    # what is below and what is above counts as one value each, the one next to the bracket
+    inside = each.groupBy(*keys, "n", "most", "e.i", "e.side", F.when(F.col("e.side") == 0, F.col("v__")).alias("same__"))
+    inside = inside.agg(F.count("*").alias("k"), F.max("v__").alias("greatest"), F.min("v__").alias("least")).withColumn("v", F.when(F.col("side") < 0, F.col("greatest")).otherwise(F.col("least")))
+    seen = inside.withColumn("to", F.sum("k").over(Window.partitionBy(*keys, "i").orderBy("v")))
+    share = F.element_at(F.array(*map(F.lit, shares.values())), F.col("i") + 1)
+    rank = (F.col("n") - 1) * share
+    at = lambda r: F.min(F.when(F.col("to") > r, F.col("v")))  # noqa: E731  the value of a rank
+    found = seen.withColumn("rank", rank).groupBy(*keys, "n", "most", "i", "rank").agg(at(F.floor("rank")).alias("a"), at(F.ceil("rank")).alias("b"))
+    part = F.col("rank") - F.floor("rank")
+    exact = found.withColumn("p", F.col("a") + (F.col("b") - F.col("a")) * part)
+    return exact.groupBy(*keys, "n", "most").agg(*[F.max(F.when(F.col("i") == i, F.col("p"))).alias(n) for i, n in enumerate(names)])
+
+
 def heldout_metrics(residuals: DataFrame, key: str = "pair", value: str = "residual_px") -> DataFrame:
     """Count, median, 95th percentile (linear) and maximum for each pair and, with a null key, over all raw residuals."""
-    aggregates = [F.count("*").alias("n"), F.median(value).alias("median"), F.percentile(value, F.lit(0.95)).alias("p95"), F.max(value).alias("most")]
-    return residuals.rollup(key).agg(*aggregates)
+    shares = {"median": 0.5, "p95": 0.95}
+    every = percentiles(residuals, [], value, shares).withColumn(key, F.lit(None).cast(residuals.schema[key].dataType))
+    columns = [key, "n", "median", "p95", "most"]
+    return percentiles(residuals, [key], value, shares).select(columns).unionByName(every.select(columns))
 
 
 def heldout_reasons(metrics: DataFrame, limit: float = 1.0, least: int = 5) -> DataFrame:

@@ -20,16 +20,31 @@ def project_corners(predictions: DataFrame, frames: DataFrame) -> DataFrame:
     return joined.withColumn("corners", F.array(*[map_point(F.col("m"), x, y) for x, y in corner])).drop("m")
 
 
-def projected_bounds(predictions: DataFrame, frames: DataFrame) -> DataFrame:
+def unplaced(predictions: DataFrame, frames: DataFrame) -> DataFrame:
+    """Predictions that cannot be projected, with ``problem``: no matrix for their ``frame``, or a corner at ``infinity``; a projection is whole only when there are none."""
+    joined = projected_bounds(predictions, frames, "left")
+    problem = F.when(F.col("known__").isNull(), "frame").when(F.col("left_px").isNull(), "infinity")
+    return joined.withColumn("problem", problem).where("problem is not null").select(*predictions.columns, "problem")
+
+
+def projected_bounds(predictions: DataFrame, frames: DataFrame, how: str = "inner", gate: float = 1e-12) -> DataFrame:
     """predictions with left_px, top_px, right_px, bottom_px around their corners through the frame's matrix ``m``.
 
-    All four are null where a corner goes to infinity: such a prediction is to be rejected, not cut.
+    All four are null where a corner goes to infinity: such a prediction is to be rejected, not cut (``unplaced``).
     """
-    joined = predictions.join(frames.select("frame", "m"), "frame")
-    at = [map_point(F.col("m"), F.col(a), F.col(b)) for a, b in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))]
-    whole = at[0].isNotNull() & at[1].isNotNull() & at[2].isNotNull() & at[3].isNotNull()
+    # the cells, then each corner's weight, then its place, as columns of their own: nothing is computed twice
+    cells = {f"m__{k}": F.col("m")[k] for k in range(9)}
+    out = predictions.join(frames.select("frame", "m", F.lit(True).alias("known__")), "frame", how).withColumns(cells).drop("m")
+    corners = [(F.col(a), F.col(b)) for a, b in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))]
+    m = [F.col(f"m__{k}") for k in range(9)]
+    out = out.withColumns({f"w__{i}": m[6] * x + m[7] * y + m[8] for i, (x, y) in enumerate(corners)})
+    out = out.withColumn("whole__", F.least(*[F.abs(F.col(f"w__{i}")) for i in range(4)]) > gate)
+    place = {f"{n}__{i}": F.when(F.col("whole__"), (m[k] * x + m[k + 1] * y + m[k + 2]) / F.col(f"w__{i}")) for n, k in (("x", 0), ("y", 3)) for i, (x, y) in enumerate(corners)}
+    out = out.withColumns(place)
     edges = (("left_px", F.least, "x"), ("top_px", F.least, "y"), ("right_px", F.greatest, "x"), ("bottom_px", F.greatest, "y"))
-    return joined.withColumns({n: F.when(whole, f(*[p[c] for p in at])) for n, f, c in edges}).drop("m")
+    out = out.withColumns({n: f(*[F.col(f"{c}__{i}") for i in range(4)]) for n, f, c in edges})
+    extra = ["known__"] if how == "left" else []
+    return out.select(*predictions.columns, *extra, *[n for n, *_ in edges])
 
 
 def clipped_bounds(corners: Column, width: Column, height: Column) -> Column:
@@ -65,12 +80,24 @@ def acquired_runs(provenance: DataFrame, within: list[str] = []) -> DataFrame:
     return runs.agg(F.min("x").alias("left"), (F.max("x") + 1).alias("right")).drop("run")
 
 
+#: Runs are cut at multiples of this many pixels before they are joined, so that a line's key is not the whole line.
+STRIP = 64
+
+
+def strips(runs: DataFrame, left: str, right: str) -> DataFrame:
+    """Runs cut at strip borders, with the strip that each part lies in."""
+    each = F.explode(F.sequence(F.floor(F.col(left) / STRIP), F.floor((F.col(right) - 1) / STRIP)))
+    cut = runs.where(F.col(left) < F.col(right)).withColumn("strip", each)
+    return cut.withColumns({left: F.greatest(F.col(left), F.col("strip") * STRIP).cast("int"), right: F.least(F.col(right), (F.col("strip") + 1) * STRIP).cast("int")})
+
+
 def clip_to_acquired(footprints: DataFrame, provenance: DataFrame, keys: list[str], within: list[str] = []) -> DataFrame:  # noqa: B006
     """The trimmed extent and area of what lies on acquired pixels; predictions without any are gone.
 
-    ``within`` names the columns of both tables that tell the canvases of several acquisitions apart.
+    ``within`` names the columns of both tables that tell the canvases of several acquisitions apart. Lines meet strip by strip.
     """
-    seen = lines(footprints, list(dict.fromkeys([*within, *keys]))).join(acquired_runs(provenance, within), [*within, "y"]).where("x1 < right and left < x2")
+    runs = strips(lines(footprints, list(dict.fromkeys([*within, *keys]))), "x1", "x2")
+    seen = runs.join(strips(acquired_runs(provenance, within), "left", "right"), [*within, "y", "strip"]).where("x1 < right and left < x2")
     cut = seen.withColumns({"x1": F.greatest("x1", "left"), "x2": F.least("x2", "right")})
     return cut.groupBy(*keys).agg(F.min("x1").alias("x1"), F.min("y").alias("y1"), F.max("x2").alias("x2"), (F.max("y") + 1).alias("y2"), F.sum(F.col("x2") - F.col("x1")).alias("area"))
 

@@ -203,6 +203,19 @@ def projective_cycle(pairs: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
     return matrices(x)
 
 
+def pose_chain(edges: DataFrame, group: str = "acq", frame: str = "frame", matrix: str = "m") -> DataFrame:
+    """group, frame and ``m``: the product of the edge matrices before each frame, in order; the first frame's is the identity.
+
+    A group is one ring of frames, so that its fold is short.
+    """
+    chain = F.array_sort(F.collect_list(F.struct(F.col(frame).alias("frame"), F.col(matrix).alias("m"))))
+    start = F.array(*[F.lit(float(k in (0, 4, 8))) for k in range(9)])
+    kind = f"array<struct<frame:{edges.schema[frame].dataType.simpleString()},m:array<double>>>"
+    step = lambda s, e: F.struct(multiply(s["m"], e["m"]).alias("m"), F.concat(s["out"], F.array(F.struct(e["frame"].alias("frame"), s["m"].alias("m")))).alias("out"))
+    poses = F.aggregate(F.col("chain"), F.struct(start.alias("m"), F.array().cast(kind).alias("out")), step)
+    return edges.groupBy(group).agg(chain.alias("chain")).select(group, poses.alias("p")).select(group, F.inline("p.out"))
+
+
 def edge_residuals(edges: DataFrame, width: float, height: float) -> DataFrame:
     """edges with median_px and most_px over five points (corners and middle) of a frame.
 

@@ -7,9 +7,14 @@ so that Spark may broadcast it by its own size threshold; nothing here forces it
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gyrelake.operators import warp
+from gyrelake.operators.grouping import sorted_groups
+
 TILE, STRIDE = 1312, 656
 
 
@@ -35,6 +40,28 @@ def batches(windows: DataFrame, size: int) -> DataFrame:
     return windows.withColumn("batch_index", F.floor(F.col("slice_index") / size).cast("int")).withColumn("place", F.col("slice_index") % size)
 
 
+def pixel_batches(windows: DataFrame, blocks: DataFrame, bands: int, batch: int, tile: int = TILE, size: int = warp.BLOCK) -> DataFrame:
+    """frame, batch_index, windows and ``tensor``: the bytes of a batch's windows (window, band, line, column), in order.
+
+    ``blocks`` is the frames' raster (``warp.raster_blocks``). Blocks are joined to the windows over them, so that a task holds a batch of
+    windows and a block; what a window has beyond its frame is 0. The last batch of a frame may be short.
+    """
+    same = F.array(*[F.lit(float(k in (0, 4, 8))) for k in range(9)])
+    planned = batches(windows, batch).withColumns({"x0": F.col("x"), "y0": F.col("y"), "x1": F.col("x") + tile, "y1": F.col("y") + tile, "m": same})
+    planned = planned.withColumns({"width": F.col("x") + F.col("valid_width"), "height": F.col("y") + F.col("valid_height")})
+
+    def cut(target: warp.Target) -> Iterator[tuple]:
+        yield (target.values().tobytes(),)
+
+    crops = warp.warp(planned, blocks, ["frame"], ["batch_index", "place"], ["nearest"] * bands, cut, "data binary", size)
+
+    def join(key: tuple, rows: Iterable[tuple]) -> Iterator[tuple]:
+        parts = [data for _, data in rows]
+        yield (*key, len(parts), b"".join(parts))
+
+    return sorted_groups(crops.select("frame", "batch_index", "place", "data"), ["frame", "batch_index"], join, f"frame {windows.schema['frame'].dataType.simpleString()}, batch_index int, windows int, tensor binary", ("place",))
+
+
 def unknown_slices(windows: DataFrame, detections: DataFrame) -> DataFrame:
     """Detections whose slice is not planned; a map is valid only when there are none."""
     return detections.join(windows.select("frame", "slice_index"), ["frame", "slice_index"], "left_anti")

@@ -19,14 +19,6 @@ from gyrelake.streaming import cycles, events
 
 FLAGSHIP = "detection_summary"
 
-FRAMES = [(0, 6560, 4948), (1, 2000, 1312), (2, 1312, 1312), (3, 800, 600), (4, 1312, 2000)]
-FRAMES_SQL = "(select * from (values " + ", ".join(map(str, FRAMES)) + ") as f(frame, width, height))"
-
-
-def frames(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FRAMES, "frame int, width int, height int")
-
-
 def all_frames(spark: SparkSession) -> DataFrame:
     """Sixteen frames of the large size, for det_frame."""
     return spark.range(16).selectExpr("cast(id as int) as frame", "6560 as width", "4948 as height")
@@ -47,17 +39,17 @@ def _windows(source: str) -> str:
 ALL_FRAMES_SQL = "(select cast(range as integer) as frame, 6560 as width, 4948 as height from range(16))"
 
 
-@query(_windows(FRAMES_SQL))
+@query(_windows(sql("images")))
 def slice_window_plan(spark, sf_dir):
-    return slicing.slice_windows(frames(spark))
+    return slicing.slice_windows(adapted(spark, sf_dir, "images"))
 
 
 @query(f"""
     select frame, cast(slice_index // 8 as integer) as batch_index, count(*) as windows, min(slice_index) as first_slice, max(slice_index) as last_slice
-    from ({_windows(FRAMES_SQL)}) group by all
+    from ({_windows(sql("images"))}) group by all
 """)
 def slice_batches(spark, sf_dir):
-    out = slicing.batches(slicing.slice_windows(frames(spark)), 8)
+    out = slicing.batches(slicing.slice_windows(adapted(spark, sf_dir, "images")), 8)
     return out.groupBy("frame", "batch_index").agg(F.count("*").alias("windows"), F.min("slice_index").alias("first_slice"), F.max("slice_index").alias("last_slice"))
 
 
@@ -291,7 +283,7 @@ def spatial_split(spark, sf_dir):
 def even_sample(spark, sf_dir):
     points = adapted(spark, sf_dir, "points")
     split = evidence.spatial_split(points, ["pair"], ["k1", "k2", "k3", "k4"])
-    return evidence.even_sample(split, ["pair"], ["ordinal"], 300).select("pair", "x", "y", F.col("ordinal").cast("long").alias("ordinal"))
+    return evidence.ranked_sample(split, ["pair"], "ordinal", 300).select("pair", "x", "y", F.col("ordinal").cast("long").alias("ordinal"))
 
 
 @query(f"""
@@ -321,22 +313,19 @@ def ring_solve(spark, sf_dir):
     return out.select("acq", "frame", (F.round("correction", 6) + 0.0).alias("correction"))
 
 
-@query("""
-    with recursive c as (
-        select 1 as frame, 1e0 as a, 0e0 as b, 0e0 as tx, 0e0 as ty
+@query(f"""
+    with recursive e as (select *, row_number() over (partition by acq order by frame) as n from {sql("edges")}),
+    p as (
+        select acq, frame, n, 1e0 as a, 0e0 as b, 0e0 as x, 0e0 as y, c, s, tx, ty from e where n = 1
         union all
-        select frame + 1, a * 75e-2 - b * 5e-1, b * 75e-2 + a * 5e-1, a * frame - b * 2 + tx, b * frame + a * 2 + ty from c where frame < 16
+        select e.acq, e.frame, e.n, p.a * p.c - p.b * p.s, p.b * p.c + p.a * p.s, p.a * p.tx - p.b * p.ty + p.x, p.b * p.tx + p.a * p.ty + p.y, e.c, e.s, e.tx, e.ty from p join e on e.acq = p.acq and e.n = p.n + 1
     )
-    select frame, round(a, 9) as a, round(b, 9) as b, round(tx, 9) as tx, round(ty, 9) as ty from c
+    select acq, frame, round(a, 6) + 0 as a, round(b, 6) + 0 as b, round(x, 5) + 0 as tx, round(y, 5) + 0 as ty from p
 """)
 def pose_chain(spark, sf_dir):
-    """The running product of 16 edge matrices as an ordered fold."""
-    edges = spark.range(1, 17).selectExpr("cast(id as int) as frame", "array(75e-2, -5e-1, cast(id as double), 5e-1, 75e-2, 2e0, 0e0, 0e0, 1e0) as m")
-    chain = F.array_sort(F.collect_list(F.struct("frame", "m")))
-    start = F.array(*[F.lit(float(k in (0, 4, 8))) for k in range(9)])
-    poses = F.aggregate(chain, F.struct(start.alias("m"), F.array().cast("array<struct<frame:int,m:array<double>>>").alias("out")), lambda s, e: F.struct(G.multiply(s["m"], e["m"]).alias("m"), F.concat(s["out"], F.array(F.struct(e["frame"].alias("frame"), s["m"].alias("m")))).alias("out")))
-    out = edges.agg(poses.alias("p")).select(F.inline("p.out"))
-    return out.select("frame", *[F.round(F.col("m")[k], 9).alias(n) for k, n in ((0, "a"), (3, "b"), (2, "tx"), (5, "ty"))])
+    """The running product of each acquisition's edge matrices."""
+    edges = adapted(spark, sf_dir, "edges").selectExpr("acq", "frame", "array(c, -s, tx, s, c, ty, 0e0, 0e0, 1e0) as m")
+    return registration.pose_chain(edges).select("acq", "frame", *[(F.round(F.col("m")[k], d) + 0.0).alias(n) for k, n, d in ((0, "a", 6), (3, "b", 6), (2, "tx", 5), (5, "ty", 5))])
 
 
 PROFILE_SQL = f"(select b.range as bin, coalesce(s / n, 0) as score from range(360) b left join (select bin, sum(v * (1 - sat / 510e0)) as s, count(*) as n from {sql('angles')} group by bin) m on m.bin = b.range)"
@@ -359,23 +348,23 @@ def circular_peaks(spark, sf_dir):
     return alignment.peak_table(profile, "side", count=5, prominence=0.5)
 
 
-SOURCE_ANGLES = [36 * i + 7 * i % 11 for i in range(10)]
-TARGET_ANGLES = [36 * i + 5 * i % 13 + 4 for i in range(10)]
 ESTIMATE = 205
 
 
 @query(f"""
-    with a as (select unnest({SOURCE_ANGLES}) as a, unnest(range(10)) as i), b as (select unnest({TARGET_ANGLES}) as b, unnest(range(10)) as j),
-    d as (select s.range as shift, a.a, b.b, (((b.b - a.a + 180) % 360) + 360) % 360 - 180 as diff from a, range(10) s, b where b.j = (a.i + s.range) % 10),
-    r as (select shift, median(diff) as raw from d group by shift),
-    o as (select d.shift, raw, abs(((((a + raw - b + 180) % 360) + 360) % 360) - 180) as off from d join r using (shift))
-    select cast(shift as integer) as shift, cast(any_value(raw) as double) as raw, cast(median(off) as double) as median_off, cast(max(off) as double) as most_off,
+    with f as (select * from {sql("flashes")}), t as (select acq from f group by acq having count(*) = 10),
+    d as (select x.acq, s.range as shift, x.a, y.b, (((y.b - x.a + 180) % 360) + 360) % 360 - 180 as diff from f x join t using (acq), range(10) s, f y where y.acq = x.acq and y.place = (x.place + s.range) % 10),
+    r as (select acq, shift, median(diff) as raw from d group by all),
+    o as (select d.acq, d.shift, raw, abs(((((a + raw - b + 180) % 360) + 360) % 360) - 180) as off from d join r using (acq, shift))
+    select acq, cast(shift as integer) as shift, cast(any_value(raw) as double) as raw, cast(median(off) as double) as median_off, cast(max(off) as double) as most_off,
         cast(((any_value(raw) + 36 * round_even(({ESTIMATE}e0 - any_value(raw)) / 36, 0)) % 360 + 360) % 360 as double) as rotation
-    from o group by shift
+    from o group by acq, shift
 """)
 def cyclic_alignment(spark, sf_dir):
-    table = lambda v: spark.createDataFrame([(i, float(a)) for i, a in enumerate(v)], "place int, angle double")
-    return alignment.cyclic_alignments(table(SOURCE_ANGLES), table(TARGET_ANGLES), float(ESTIMATE)).select("shift", "raw", "median_off", "most_off", "rotation")
+    f = adapted(spark, sf_dir, "flashes")
+    f = f.join(f.groupBy("acq").count().where("count = 10").select("acq"), "acq")
+    side = lambda c: f.select("acq", "place", F.col(c).alias("angle"))
+    return alignment.cyclic_alignments(side("a"), side("b"), float(ESTIMATE), group=("acq",)).select("acq", "shift", "raw", "median_off", "most_off", "rotation")
 
 
 WEIGHT_SQL = "greatest(0, least(x + 1, 64 - x, y + 1, 48 - y, 512))"
@@ -582,10 +571,10 @@ def safe_path_check(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", X.path_problem(path).alias("problem"))
 
 
-@query("select cast(c.range as integer) as cycle, cast(p.range as integer) as position, 'DISC-' || c.range || '_' || lpad(cast(p.range as varchar), cast(greatest(2, length(cast(p.range as varchar))) as integer), '0') || '.jpg' as name from range(5) c, range(1, 121, 7) p")
+@query("select o_orderkey, 'DISC-' || o_custkey || '_' || lpad(cast(p as varchar), cast(greatest(2, length(cast(p as varchar))) as integer), '0') || '.jpg' as name from (select o_orderkey, o_custkey, o_orderkey % 120 + 1 as p from orders)")
 def expected_filenames(spark, sf_dir):
-    rows = spark.range(5).select(F.col("id").cast("int").alias("cycle"), F.explode(F.sequence(F.lit(1), F.lit(120), F.lit(7))).alias("position"))
-    return rows.withColumn("name", X.expected_name("{cycle}_{position}.jpg", F.concat(F.lit("DISC-"), "cycle"), F.col("position"), 2))
+    rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey", "concat('DISC-', o_custkey) as cycle", "o_orderkey % 120 + 1 as position")
+    return rows.select("o_orderkey", X.expected_name("{cycle}_{position}.jpg", F.col("cycle"), F.col("position"), 2).alias("name"))
 
 
 @query("""
@@ -682,10 +671,14 @@ def queue_admission(spark, sf_dir):
     return events.admitted(adapted(spark, sf_dir, "run_events").select("sequence", "run_id"), 8)
 
 
-@query("select true as ready, 0 as missing")
+@query(f"""
+    with c as (select pipeline_id as component, bool_or(state in ('active', 'approved')) as ready from {sql("pipelines")} group by pipeline_id)
+    select bool_and(ready) as ready, coalesce(string_agg(component, ',' order by component) filter (not ready), '') as missing from c
+""")
 def health(spark, sf_dir):
-    out = metadata.ready(spark.createDataFrame([("database", True), ("models", True), ("events", True)], "component string, ready boolean"))
-    return out.select("ready", F.size("missing").alias("missing"))
+    """Every pipeline is a component, ready when a revision of it is active or approved."""
+    components = adapted(spark, sf_dir, "pipelines").groupBy(F.col("pipeline_id").alias("component")).agg(F.bool_or(F.col("state").isin("active", "approved")).alias("ready"))
+    return metadata.ready(components).select("ready", F.array_join("missing", ",").alias("missing"))
 
 
 FLOW = [

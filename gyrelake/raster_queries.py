@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gyrelake.operators import polygons, raster, warp
+from gyrelake.operators import polygons, raster, slicing, warp
 from gyrelake.registry import query
 from gyrelake.sources.testdata import adapted, sql
 
@@ -156,3 +156,26 @@ def polygon_footprints(spark, sf_dir):
     cells = {n: F.col(f"runs.{n}") for n in ("x1", "x2", "y")}
     area = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r["x2"] - r["x1"])
     return runs.select(*keys, F.size(F.array_distinct(cells["y"])).cast("long").alias("lines"), F.array_min(cells["y"]).alias("top"), (F.array_max(cells["y"]) + 1).alias("bottom"), F.array_min(cells["x1"]).alias("left_px"), F.array_max(cells["x2"]).alias("right_px"), area.alias("area"))
+
+
+#: Windows of 24 pixels every 12, four in a batch, over frames of 50 x 40: the last ones end at the far edges.
+WINDOW, STEP, BATCH, FRAME = 24, 12, 4, (50, 40)
+
+
+def _places(side: int) -> list[int]:
+    return [*range(0, side - WINDOW + 1, STEP), *([side - WINDOW] if (side - WINDOW) % STEP else [])]
+
+
+@query(f"""
+    with p as (select acq * 4 + frame as frame, x, y, max(r) as r, max(g) as g, max(b) as b from {sql("plates")} where x < {FRAME[0]} and y < {FRAME[1]} group by all),
+    w as (select row_number() over (order by y0, x0) - 1 as n, x0, y0 from (select unnest({_places(FRAME[0])}) as x0), (select unnest({_places(FRAME[1])}) as y0)),
+    c as (select f.frame, n, x0 + i as x, y0 + j as y, k, (k * {WINDOW} + j) * {WINDOW} + i as place from (select distinct frame from p) f, w, (select range as i from range({WINDOW})), (select range as j from range({WINDOW})), (select range as k from range(3))),
+    v as (select c.frame, n, place, coalesce(case k when 0 then r when 1 then g else b end, 0) as v from c left join p on p.frame = c.frame and p.x = c.x and p.y = c.y)
+    select frame, cast(n // {BATCH} as integer) as batch_index, cast(count(distinct n) as integer) as windows, sha256(unhex(string_agg(printf('%02x', v), '' order by n, place))) as sha256 from v group by frame, n // {BATCH}
+""")
+def window_batches(spark, sf_dir):
+    """Overlapping windows of every frame as binary tensors of four, told by their hashes."""
+    pixels = plates(spark, sf_dir).where(f"x < {FRAME[0]} and y < {FRAME[1]}").withColumn("frame", F.expr("acq * 4 + frame"))
+    frames = pixels.select("frame").distinct().selectExpr("frame", f"{FRAME[0]} as width", f"{FRAME[1]} as height")
+    out = slicing.pixel_batches(slicing.slice_windows(frames, WINDOW, STEP), warp.raster_blocks(pixels, ["frame"], BANDS, BLOCK), 3, BATCH, WINDOW, BLOCK)
+    return out.select("frame", "batch_index", "windows", F.sha2("tensor", 256).alias("sha256"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -30,3 +31,18 @@ def build_session(app: str = "gyrelake", master: str | None = None, shuffle_part
     spark = builder.config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder for tables between two jobs that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    A local session that names none gets one of its own; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="gyrelake-scratch-")
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")

@@ -1,4 +1,4 @@
-"""Queries of the solvers that take correspondences: consensus, calibration and the projective ring, with their DuckDB SQL."""
+"""Queries of the solvers that take correspondences, and of numbered events, with their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from gyrelake.operators import calibration, projective, warp
 from gyrelake.registry import query
+from gyrelake.session import scratch_dir
 from gyrelake.sources.testdata import adapted, read, sql
+from gyrelake.streaming import runs
 
 SIZE = (1600, 1200)
 
@@ -71,3 +73,10 @@ def projective_solve(spark, sf_dir):
     out = projective.projective_reconstructions(ring(spark, sf_dir), *map(float, SIZE)).where("passed")
     frames = out.select("acq", F.posexplode("poses").alias("at", "m"))
     return frames.select("acq", (F.col("at") + 1).alias("frame"), *[(F.round(F.col("m")[k] * unit, 3) + 0.0).alias(f"m{k}") for k, unit in enumerate(UNITS)])
+
+
+@query("select event_id, user_id, row_number() over (order by user_id desc, event_id) as sequence from events")
+def numbered_events(spark, sf_dir):
+    """Gapless numbers over the whole table by counts of range partitions, no single task ordering it."""
+    rows = read(spark, sf_dir, "events").select("event_id", "user_id")
+    return runs.numbered(rows, [F.desc("user_id"), "event_id"], scratch_dir(spark)).select("event_id", "user_id", "sequence")

@@ -74,6 +74,20 @@ ADAPTERS: dict[str, tuple[str, list[str], str]] = {
         ["cast(l_orderkey % 16 + 1 as int) as frame", "cast(l_partkey % 64 as int) as x", "cast(l_suppkey % 48 as int) as y", "cast(l_partkey % 256 as int) as r", "cast(l_suppkey % 256 as int) as g", "cast(l_orderkey % 256 as int) as b"],
         "true",
     ),
+    "images": ("supplier", ["cast(s_suppkey as int) as frame", "cast(400 + (s_suppkey * 131) % 6161 as int) as width", "cast(300 + (s_suppkey * 777) % 4649 as int) as height"], "true"),
+    "edges": (
+        "orders",
+        [
+            "cast(floor(o_orderkey / 16) as bigint) as acq", "cast(o_orderkey % 16 + 1 as int) as frame", "75e-2 + (o_custkey % 8) / 64e0 as c", "(o_custkey % 5 - 2) / 16e0 as s",
+            "(o_orderkey * 7) % 40 - 2e1 as tx", "(o_custkey * 3) % 30 - 15e0 as ty",
+        ],
+        "true",
+    ),
+    "flashes": (
+        "orders",
+        ["cast(floor(o_orderkey / 16) as bigint) as acq", "cast(o_orderkey % 16 as int) as place", "36e0 * (o_orderkey % 16) + (o_custkey * 7) % 11 as a", "36e0 * (o_orderkey % 16) + (o_custkey * 5) % 13 + 4 as b"],
+        "o_orderkey % 16 < 10",
+    ),
     "plates": (
         "lineitem",
         [
