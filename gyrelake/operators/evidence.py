@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -104,36 +107,48 @@ def heldout_reasons(metrics: DataFrame, limit: float = 1.0, least: int = 5) -> D
 QUERY_BLOCK = 4096
 
 
-def ratio_matches(vectors: DataFrame, queries: DataFrame, ratio: float = 0.78) -> DataFrame:
+def two_nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray, block: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """query, id and d (squared) of the two vectors of each batch that are nearest to each query of a block, ties to the smaller id."""
+    own = (block**2).sum(1)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        v, keys = batch["v"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1), batch["id"].to_numpy()
+        size = (v**2).sum(1)
+        about = size[:, None] - 2 * (v @ block.T) + own  # one product picks; what is picked is measured exactly below
+        about[keys[:, None] == ids[None, :]] = np.inf
+        second = np.partition(about, 1, axis=0)[1] if len(v) > 1 else np.full(len(ids), np.inf)
+        slack = 1e-9 * (size.max(initial=0) + own)
+        row, query = np.nonzero((about <= second + slack) & (about < np.inf))
+        d = ((v[row] - block[query]) ** 2).sum(1)
+        order = np.lexsort((keys[row], d, query))
+        row, query, d = row[order], query[order], d[order]
+        kept = np.arange(len(query)) - np.searchsorted(query, query, "left") < 2
+        yield pa.record_batch([pa.array(ids[query[kept]], pa.int64()), pa.array(keys[row[kept]], pa.int64()), pa.array(d[kept], pa.float64())], ["query", "id", "d"])
+
+
+def ratio_matches(vectors: DataFrame, queries: DataFrame, scratch: str, ratio: float = 0.78) -> DataFrame:
     """query, neighbour, d1 and d2 (squared) of queries whose nearest vector is clearly nearer than the second.
 
-    The stated query set (query, qv) goes over the vectors (id, v) in blocks of ``QUERY_BLOCK``; each
-    task keeps two rows of a query, so that 2 * tasks rows of it are compared after the shuffle.
+    The stated query set (query, qv) goes over the vectors (id, v) in blocks of about ``QUERY_BLOCK`` rows, one broadcast block
+    and one job at a time, whose two best rows of each query and batch are written under ``scratch``, a folder that all executors share.
+    All vectors have the same number of components.
     """
+    spark, path = vectors.sparkSession, f"{scratch.rstrip('/')}/ratio-{uuid.uuid4().hex}"
     n = -(-queries.count() // QUERY_BLOCK) or 1
-    parts = []
     for b in range(n):
-        rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(n)) == b).select("query", "qv").collect()
-        ids, block = np.array([r["query"] for r in rows], np.int64), np.array([r["qv"] for r in rows], np.float64).reshape(len(rows), -1)
-
-        def run(batches, ids=ids, block=block):
-            for batch in batches:
-                v = np.array(batch["v"].to_pylist(), np.float64).reshape(batch.num_rows, -1)
-                keys, out = batch["id"].to_numpy(), []
-                for k, q in enumerate(block):
-                    if len(v):
-                        d = ((v - q) ** 2).sum(1)
-                        d[keys == ids[k]] = np.inf
-                        for i in np.lexsort((keys, d))[:2]:
-                            if d[i] < np.inf:
-                                out.append((int(ids[k]), int(keys[i]), float(d[i])))
-                yield pa.record_batch([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query", "id", "d"])
-
-        parts.append(vectors.select("id", "v").mapInArrow(run, "query long, id long, d double"))
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
-    two = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))).where("rank <= 2")
+        rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(n)) == b).select("query", "qv").collect()  # about QUERY_BLOCK rows
+        ids = np.array([r["query"] for r in rows], np.int64)
+        shared = spark.sparkContext.broadcast((ids, np.array([r["qv"] for r in rows], np.float64).reshape(len(rows), -1)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            return two_nearest(batches, *shared.value) if len(shared.value[0]) else iter(())
+
+        found = vectors.select("id", "v").mapInArrow(run, "query long, id long, d double")
+        order = Window.partitionBy("query").orderBy("d", "id")
+        found.withColumn("rank", F.row_number().over(order)).where("rank <= 2").write.parquet(f"{path}/{b}")
+        shared.destroy()
+    two = spark.read.schema("query long, id long, d double, rank int").parquet(*(f"{path}/{b}" for b in range(n)))
     out = two.groupBy("query").agg(F.min_by("id", "rank").alias("neighbour"), F.min("d").alias("d1"), F.max("d").alias("d2"), F.count("*").alias("n"))
     return out.where((F.col("n") == 2) & (F.sqrt("d1") < ratio * F.sqrt("d2"))).drop("n")
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -238,13 +239,15 @@ def edge_residuals(edges: DataFrame, width: float, height: float) -> DataFrame:
 def conditions(poses: DataFrame, matrix: str = "m", most: float = 1e8) -> DataFrame:
     """poses with the 2-norm condition number of their 3 x 3 matrix (infinite where singular or null) and ``well``."""
 
-    @F.pandas_udf("double")
-    def number(m: pd.Series) -> pd.Series:
-        out = np.full(len(m), np.inf)
-        whole = np.array([x is not None and len(x) == 9 and bool(np.isfinite(np.asarray(x, float)).all()) for x in m], bool)
-        if whole.any():
-            out[whole] = np.linalg.cond(np.stack(m[whole].to_list()).astype(float).reshape(-1, 3, 3))
-        return pd.Series(out)
+    @F.arrow_udf("double")
+    def number(m: pa.Array) -> pa.Array:
+        out, sizes = np.full(len(m), np.inf), pc.list_value_length(m).to_numpy(zero_copy_only=False)
+        nine = np.flatnonzero(sizes == 9)
+        if len(nine):
+            cells = m.take(pa.array(nine)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 3, 3)  # nulls become nan
+            whole = np.isfinite(cells).all((1, 2))
+            out[nine[whole]] = np.linalg.cond(cells[whole])
+        return pa.array(out)
 
     return poses.withColumn("condition", number(matrix)).withColumn("well", (F.col("condition") < float("inf")) & (F.col("condition") <= most))
 

@@ -14,6 +14,7 @@ from gyrelake.functions import text as X
 from gyrelake.operators import alignment, evidence, merge, projection, raster, registration, slicing
 from gyrelake.plans import contracts, lifecycle, metadata
 from gyrelake.registry import query
+from gyrelake.session import scratch_dir
 from gyrelake.sources.testdata import adapted, read, sql
 from gyrelake.streaming import cycles, events
 
@@ -416,7 +417,7 @@ def tile_cull(spark, sf_dir):
 def knn_top2_ratio(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
     queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
-    out = evidence.ratio_matches(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), queries, 0.98)
+    out = evidence.ratio_matches(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), queries, scratch_dir(spark), 0.98)
     return out.select("query", "neighbour", F.round("d1", 4).alias("d1"), F.round("d2", 4).alias("d2"))
 
 

@@ -304,14 +304,29 @@ def test_blend_and_fill(spark):
     assert rows(filled.groupBy("acquired", "filled", "r").count()) == [(False, True, 200, 200), (True, False, 1, 200)]
 
 
-def test_knn_ratio_equals_brute_force(spark):
+@pytest.mark.parametrize("block", [4096, 3])
+def test_knn_ratio_equals_brute_force(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(evidence, "QUERY_BLOCK", block)
     rng = random.Random(2)
     v = [[rng.random() for _ in range(6)] for _ in range(120)]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "id long, v array<double>")
-    got = {(r.query, r.neighbour) for r in evidence.ratio_matches(df, df.where("id % 10 = 0").selectExpr("id as query", "v as qv"), 0.8).collect()}
+    got = {(r.query, r.neighbour) for r in evidence.ratio_matches(df, df.where("id % 10 = 0").selectExpr("id as query", "v as qv"), str(tmp_path), 0.8).collect()}
     want = set()
     for q in range(0, 120, 10):
         d = sorted((math.dist(v[q], v[i]), i) for i in range(120) if i != q)
         if d[0][0] < 0.8 * d[1][0]:
             want.add((q, d[0][1]))
     assert got == want
+
+
+def test_conditions_equal_numpy(spark):
+    rng = random.Random(3)
+    made = [[rng.uniform(-2, 2) for _ in range(9)] for _ in range(30)] + [[1.0, 2, 3, 2, 4, 6, 0, 0, 1], [0.0] * 9]
+    odd = [None, [], [1.0] * 8, [1.0] * 10, [1.0] * 8 + [None], [1.0] * 8 + [float("nan")], [1.0] * 8 + [float("inf")]]
+    df = spark.createDataFrame([(i, m if m is None else [None if x is None else float(x) for x in m]) for i, m in enumerate(made + odd)], "id int, m array<double>").repartition(3)
+    got = {r.id: r for r in registration.conditions(df).collect()}
+    for i, m in enumerate(made):
+        want = np.linalg.cond(np.array(m, float).reshape(3, 3))
+        assert got[i].condition == want or abs(got[i].condition / want - 1) < 1e-9 or min(got[i].condition, want) > 1e14
+        assert got[i].well == (want <= 1e8)
+    assert all(got[len(made) + i].condition == float("inf") and not got[len(made) + i].well for i in range(len(odd)))
