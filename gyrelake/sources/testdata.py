@@ -74,6 +74,15 @@ ADAPTERS: dict[str, tuple[str, list[str], str]] = {
         ["cast(l_orderkey % 16 + 1 as int) as frame", "cast(l_partkey % 64 as int) as x", "cast(l_suppkey % 48 as int) as y", "cast(l_partkey % 256 as int) as r", "cast(l_suppkey % 256 as int) as g", "cast(l_orderkey % 256 as int) as b"],
         "true",
     ),
+    "manifests": (
+        "orders",
+        [
+            "cast(floor(o_orderkey / 16) as bigint) as acq", "cast(o_orderkey % 16 + 1 as int) as position", "(o_orderkey % 16) * 225e-1 + case when o_orderkey % 611 = 0 then 1 else 0 end as angle_degrees",
+            "concat('content-', o_custkey * 7 + o_orderkey % 4) as sha256",
+        ],
+        "o_orderkey % 397 > 0",
+    ),
+    "ray_angles": ("orders", ["cast(floor(o_orderkey / 16) as bigint) as acq", "case when o_orderkey % 211 = 0 then cast('infinity' as double) else ((o_custkey * 37) % 500) * 15e-1 - 300 end as angle"], "o_orderkey % 16 < 5"),
     "images": ("supplier", ["cast(s_suppkey as int) as frame", "cast(400 + (s_suppkey * 131) % 6161 as int) as width", "cast(300 + (s_suppkey * 777) % 4649 as int) as height"], "true"),
     "edges": (
         "orders",
