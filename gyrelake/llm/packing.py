@@ -40,7 +40,7 @@ RATE, GAP, EPOCHS = 0.1, 0.002, 3
 #: What is left of a length below this is rounding of doubles.
 LEAST = 1e-6
 #: Bytes of new cuts that a worker remembers, twice; characters of a long text that are cut at once.
-CACHE, WINDOW = 240 << 20, 1 << 20
+CACHE, WINDOW = 320 << 20, 1 << 20
 #: White space and a word of Latin letters before ASCII punctuation or white space, or else all up to
 #: the next white space.
 _CUTS = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[!-/:-@\[-`{-~\s]|\Z)|\s*\S+|\s+\Z")
