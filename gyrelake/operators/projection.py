@@ -67,8 +67,26 @@ def box_runs(boxes: DataFrame, keys: list[str]) -> DataFrame:
     return boxes.where("x2 > x1 and y2 > y1").select(*keys, F.transform(down, line).alias("runs"))
 
 
+def box_rects(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """``box_runs`` in less room: ``rects``, one (y1, y2, x1, x2) for each box, whatever its height is.
+
+    What takes footprints takes either form; the rectangles of a footprint are disjoint as well.
+    """
+    cell = F.struct(*[F.col(c).cast("int").alias(c) for c in ("y1", "y2", "x1", "x2")])
+    return boxes.where("x2 > x1 and y2 > y1").where("cast(x2 as int) > cast(x1 as int) and cast(y2 as int) > cast(y1 as int)").select(*keys, F.array(cell).alias("rects"))
+
+
+def rects(footprints: DataFrame, keys: list[str]) -> DataFrame:
+    """A row (y1, y2, x1, x2) for each rectangle; a run is one of a line."""
+    if "rects" in footprints.columns:
+        return footprints.select(*keys, F.inline("rects"))
+    return footprints.select(*keys, F.inline("runs")).select(*keys, F.col("y").alias("y1"), (F.col("y") + 1).alias("y2"), "x1", "x2")
+
+
 def lines(footprints: DataFrame, keys: list[str]) -> DataFrame:
     """A row (y, x1, x2) for each run."""
+    if "rects" in footprints.columns:
+        return rects(footprints, keys).select(*keys, F.explode(F.sequence("y1", F.col("y2") - 1)).alias("y"), "x1", "x2")
     return footprints.select(*keys, F.inline("runs"))
 
 
@@ -94,21 +112,39 @@ def strips(runs: DataFrame, left: str, right: str) -> DataFrame:
 def clip_to_acquired(footprints: DataFrame, provenance: DataFrame, keys: list[str], within: list[str] = []) -> DataFrame:  # noqa: B006
     """The trimmed extent and area of what lies on acquired pixels; predictions without any are gone.
 
-    ``within`` names the columns of both tables that tell the canvases of several acquisitions apart. Lines meet strip by strip.
+    ``within`` names the columns of both tables that tell the canvases of several acquisitions apart. Each different shape of a
+    canvas is clipped once, and the footprints that have it take the result. Lines meet strip by strip; the acquired pixels of a strip are
+    one row, so that a task holds one of them. The map of a single canvas is sent to all tasks.
     """
-    runs = strips(lines(footprints, list(dict.fromkeys([*within, *keys]))), "x1", "x2")
-    seen = runs.join(strips(acquired_runs(provenance, within), "left", "right"), [*within, "y", "strip"]).where("x1 < right and left < x2")
+    form = "rects" if "rects" in footprints.columns else "runs"
+    shape = [*within, form]
+    strip = strips(acquired_runs(provenance, within), "left", "right").groupBy(*within, "y", "strip").agg(F.collect_list(F.struct("left", "right")).alias("seen"))  # STRIP / 2 runs at most
+    shapes = footprints.select(*shape).distinct().withColumn("shape__", F.col(form))
+    runs = strips(lines(shapes, [*within, "shape__"]), "x1", "x2")
+    met = runs.join(strip if within else F.broadcast(strip), [*within, "y", "strip"])
+    seen = met.select(*within, "shape__", "y", "x1", "x2", F.inline("seen")).where("x1 < right and left < x2")
     cut = seen.withColumns({"x1": F.greatest("x1", "left"), "x2": F.least("x2", "right")})
-    return cut.groupBy(*keys).agg(F.min("x1").alias("x1"), F.min("y").alias("y1"), F.max("x2").alias("x2"), (F.max("y") + 1).alias("y2"), F.sum(F.col("x2") - F.col("x1")).alias("area"))
+    extent = [F.min("x1").alias("x1__"), F.min("y").alias("y1__"), F.max("x2").alias("x2__"), (F.max("y") + 1).alias("y2__"), F.sum(F.col("x2") - F.col("x1")).alias("area__")]
+    found = cut.groupBy(*within, "shape__").agg(*extent).withColumnRenamed("shape__", form)
+    named = footprints.select(*dict.fromkeys([*within, *keys]), form).join(found, shape)
+    return named.groupBy(*keys).agg(F.min("x1__").alias("x1"), F.min("y1__").alias("y1"), F.max("x2__").alias("x2"), F.max("y2__").alias("y2"), F.sum("area__").alias("area"))
 
 
 def footprint_overlaps(footprints: DataFrame, within: list[str], key: str) -> DataFrame:
-    """a, b and both: common pixels of two footprints of a group, by an equi-join on lines."""
-    runs = lines(footprints, [*within, key])
-    left = runs.select(*within, "y", F.col(key).alias("a"), F.col("x1").alias("l1"), F.col("x2").alias("l2"))
-    right = runs.select(*within, "y", F.col(key).alias("b"), F.col("x1").alias("r1"), F.col("x2").alias("r2"))
-    meet = left.join(right, [*within, "y"]).where("a < b and l1 < r2 and r1 < l2")
-    return meet.groupBy(*within, "a", "b").agg(F.sum(F.least("l2", "r2") - F.greatest("l1", "r1")).alias("both"))
+    """a, b and both: common pixels of two footprints of a group, by an equi-join on square cells of ``STRIP`` pixels.
+
+    Rectangles are cut at the cells' borders, so that each common pixel counts in one cell; a box moves as a few rows, not one for each line.
+    """
+    parts = rects(footprints, [*within, key])
+    for side in "yx":
+        lo, hi, cell = F.col(f"{side}1"), F.col(f"{side}2"), F.col(f"{side}__")
+        parts = parts.where(lo < hi).withColumn(f"{side}__", F.explode(F.sequence(F.floor(lo / STRIP), F.floor((hi - 1) / STRIP))))
+        parts = parts.withColumns({f"{side}1": F.greatest(lo, cell * STRIP).cast("int"), f"{side}2": F.least(hi, (cell + 1) * STRIP).cast("int")})
+    cells = [*within, F.col("y__").cast("int").alias("y__"), F.col("x__").cast("int").alias("x__")]
+    left, right = (parts.select(*cells, F.col(key).alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("x1", "x2", "y1", "y2")]) for n in "ab")
+    meet = left.join(right, [*within, "y__", "x__"]).where("a < b and a_x1 < b_x2 and b_x1 < a_x2 and a_y1 < b_y2 and b_y1 < a_y2")
+    wide, high = (F.least(f"a_{s}2", f"b_{s}2") - F.greatest(f"a_{s}1", f"b_{s}1") for s in "xy")
+    return meet.groupBy(*within, "a", "b").agg(F.sum(wide * high).alias("both"))
 
 
 def running_budget(sizes: DataFrame, group: list[str], order: list[str], size: str, most: int) -> DataFrame:
@@ -140,7 +176,7 @@ def stable_id(cls: int, links: list[tuple[int, str]]) -> str:
 
 
 def dedup_footprints(footprints: DataFrame, group: list[str], threshold: float) -> DataFrame:
-    """Greedy de-duplication of footprints (frame, id, conf, cls and runs) in each group.
+    """Greedy de-duplication of footprints (frame, id, conf, cls and runs or rects) in each group.
 
     Best first: by confidence, then box, then id; a footprint absorbs those that overlap its present
     union at ``threshold`` (max of IoU and share of the smaller), until a pass changes nothing. The
@@ -149,13 +185,20 @@ def dedup_footprints(footprints: DataFrame, group: list[str], threshold: float)
     """
 
     def work(key: tuple, rows: list[tuple]) -> list[tuple]:
-        left, top, right = (f(f(r[4][i::3]) for r in rows) for f, i in ((min, 1), (min, 0), (max, 2)))
-        stride, items = right - left, []
+        if len(rows) == 1:  # nothing to compare
+            frame, name, conf, cls, flat = rows[0]
+            tops, bottoms, lefts, rights = (flat[i::4] for i in range(4))
+            area = sum((b - t) * (r - l) for t, b, l, r in zip(tops, bottoms, lefts, rights, strict=True))
+            return [(*key, min(lefts), min(tops), max(rights), max(bottoms), conf, area, stable_id(cls, [(frame, name)]), [f"{frame}:{name}"])]
+        top, left, right = (f(f(r[4][i::4]) for r in rows) for f, i in ((min, 0), (min, 2), (max, 3)))
+        stride, items, ones = right - left, [], {1: 1}
         for frame, name, conf, cls, flat in rows:
-            bits, ys = 0, flat[::3]
-            for y, x1, x2 in zip(ys, flat[1::3], flat[2::3], strict=True):
-                bits |= ((1 << x2 - x1) - 1) << (y - top) * stride + x1 - left
-            box = (min(flat[1::3]), min(ys), max(flat[2::3]), max(ys) + 1)
+            bits = 0
+            for y1, y2, x1, x2 in zip(flat[::4], flat[1::4], flat[2::4], flat[3::4], strict=True):
+                if (high := y2 - y1) not in ones:
+                    ones[high] = ((1 << high * stride) - 1) // ((1 << stride) - 1)  # a bit at the begin of each line
+                bits |= ones[high] * ((1 << x2 - x1) - 1) << (y1 - top) * stride + x1 - left
+            box = (min(flat[2::4]), min(flat[::4]), max(flat[3::4]), max(flat[1::4]))
             items.append((-conf, box, stable_id(cls, [(frame, name)]), cls, bits, bits.bit_count(), [(frame, name)]))
         waiting, out = sorted(items, key=lambda i: i[:3]), []
         while waiting:
@@ -176,6 +219,8 @@ def dedup_footprints(footprints: DataFrame, group: list[str], threshold: float)
         return [(*key, *r) for r in sorted(out, key=lambda r: (r[:4], -r[4], r[6]))]
 
     types = ", ".join(f"{g} {footprints.schema[g].dataType.simpleString()}" for g in group)
-    flat = F.flatten(F.transform("runs", lambda r: F.array(r["y"], r["x1"], r["x2"]))).alias("flat")
-    rows = footprints.where(F.size("runs") > 0).select(*group, "frame", "id", "conf", F.col("cls").alias("cls_of"), flat)
+    form = "rects" if "rects" in footprints.columns else "runs"
+    cells = (lambda r: F.array(r["y1"], r["y2"], r["x1"], r["x2"])) if form == "rects" else (lambda r: F.array(r["y"], r["y"] + 1, r["x1"], r["x2"]))
+    flat = F.flatten(F.transform(form, cells)).alias("flat")
+    rows = footprints.where(F.size(form) > 0).select(*group, "frame", "id", "conf", F.col("cls").alias("cls_of"), flat)
     return sorted_groups(rows, group, work, f"{types}, x1 int, y1 int, x2 int, y2 int, conf double, area int, id string, links array<string>")
