@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 def spatial_split(points: DataFrame, group: list[str], ties: list[str], tile: int = 256, stride: int = 5) -> DataFrame:
     """Points with ``ordinal`` in tile order and ``part``: every ``stride``-th is held out, the rest fits.
 
-    Points are numbered inside their tile, by as many tasks as there are tiles, and go on from the number of
-    points in the group's tiles before; only the table of tiles is ordered group by group.
+    Points are numbered inside a line of pixels of their tile, by as many tasks as there are such lines, and go on from the number of
+    points in the group's lines before; only the table of lines, at most ``tile`` for each tile, is ordered group by group.
     """
-    placed = points.withColumns({"ty__": F.floor(F.col("y") / tile), "tx__": F.floor(F.col("x") / tile)})
-    key = [*group, "ty__", "tx__"]
+    placed = points.withColumns({"ty__": F.floor(F.col("y") / tile), "tx__": F.floor(F.col("x") / tile), "line__": F.floor("y")})
+    key = [*group, "ty__", "tx__", "line__"]
     tiles = placed.groupBy(*key).agg(F.count("*").alias("n__"))
-    before = (F.sum("n__").over(Window.partitionBy(*group).orderBy("ty__", "tx__")) - F.col("n__")).alias("before__")
+    before = (F.sum("n__").over(Window.partitionBy(*group).orderBy("ty__", "tx__", "line__")) - F.col("n__")).alias("before__")
     same = [placed[k].eqNullSafe(F.col(f"{k}_t")) for k in key]
     joined = placed.join(tiles.select(*[F.col(k).alias(f"{k}_t") for k in key], before), same)
     inside = F.row_number().over(Window.partitionBy(*key).orderBy("y", "x", *ties)) - 1
@@ -33,8 +33,11 @@ def evenly_kept(n: Column, rank: Column, most: int) -> Column:
     if most < 2:
         return rank < most
     step = (n - 1) / F.lit(float(most - 1))
-    picks = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.when(i == most - 1, n - 1).otherwise(F.floor(i * step)).cast("long"))
-    return (n <= most) | F.array_contains(picks, rank.cast("long"))
+    # floor(i * step) = rank only for an i next to rank / step: a few are tried, not all positions
+    about = F.floor(rank / step)
+    at = lambda i: F.when(i == most - 1, n - 1).when(i.between(0, most - 2), F.floor(i * step)).cast("long")
+    picked = [F.coalesce(at(about + d) == rank, F.lit(False)) for d in (-1, 0, 1, 2)]
+    return (n <= most) | picked[0] | picked[1] | picked[2] | picked[3]
 
 
 def even_sample(rows: DataFrame, group: list[str], order: list[str], most: int) -> DataFrame:
@@ -105,33 +108,42 @@ def heldout_reasons(metrics: DataFrame, limit: float = 1.0, least: int = 5) -> D
 
 
 QUERY_BLOCK = 4096
+#: Products of vectors and queries that are held at once.
+PRODUCTS = 1 << 20
 
 
 def two_nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray, block: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """query, id and d (squared) of the two vectors of each batch that are nearest to each query of a block, ties to the smaller id."""
-    own = (block**2).sum(1)
+    """query, id and d (squared) of the two vectors of all batches that are nearest to each query of a block, ties to the smaller id.
+
+    Batches are taken in slices of ``PRODUCTS`` pairs, whatever the block's size is; two rows of each query are kept from slice to slice.
+    """
+    own, step = (block**2).sum(1), max(1, PRODUCTS // max(1, len(ids)))
+    best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # place of the query, id, d
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        v, keys = batch["v"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1), batch["id"].to_numpy()
-        size = (v**2).sum(1)
-        about = size[:, None] - 2 * (v @ block.T) + own  # one product picks; what is picked is measured exactly below
-        about[keys[:, None] == ids[None, :]] = np.inf
-        second = np.partition(about, 1, axis=0)[1] if len(v) > 1 else np.full(len(ids), np.inf)
-        slack = 1e-9 * (size.max(initial=0) + own)
-        row, query = np.nonzero((about <= second + slack) & (about < np.inf))
-        d = ((v[row] - block[query]) ** 2).sum(1)
-        order = np.lexsort((keys[row], d, query))
-        row, query, d = row[order], query[order], d[order]
-        kept = np.arange(len(query)) - np.searchsorted(query, query, "left") < 2
-        yield pa.record_batch([pa.array(ids[query[kept]], pa.int64()), pa.array(keys[row[kept]], pa.int64()), pa.array(d[kept], pa.float64())], ["query", "id", "d"])
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            v, keys = part["v"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1), part["id"].to_numpy()
+            size = (v**2).sum(1)
+            about = size[:, None] - 2 * (v @ block.T) + own  # one product picks; what is picked is measured exactly below
+            about[keys[:, None] == ids[None, :]] = np.inf
+            second = np.partition(about, 1, axis=0)[1] if len(v) > 1 else np.full(len(ids), np.inf)
+            slack = 1e-9 * (size.max(initial=0) + own)
+            row, query = np.nonzero((about <= second + slack) & (about < np.inf))
+            d = ((v[row] - block[query]) ** 2).sum(1)
+            query, key, d = (np.concatenate(x) for x in zip(best, (query, keys[row], d), strict=True))
+            order = np.lexsort((key, d, query))
+            query, key, d = query[order], key[order], d[order]
+            kept = np.arange(len(query)) - np.searchsorted(query, query, "left") < 2
+            best = query[kept], key[kept], d[kept]
+    query, key, d = best
+    yield pa.record_batch([pa.array(ids[query], pa.int64()), pa.array(key, pa.int64()), pa.array(d, pa.float64())], ["query", "id", "d"])
 
 
 def ratio_matches(vectors: DataFrame, queries: DataFrame, scratch: str, ratio: float = 0.78) -> DataFrame:
     """query, neighbour, d1 and d2 (squared) of queries whose nearest vector is clearly nearer than the second.
 
     The stated query set (query, qv) goes over the vectors (id, v) in blocks of about ``QUERY_BLOCK`` rows, one broadcast block
-    and one job at a time, whose two best rows of each query and batch are written under ``scratch``, a folder that all executors share.
+    and one job at a time, whose two best rows of each query and task are ranked and written under ``scratch``, a folder that all executors share.
     All vectors have the same number of components.
     """
     spark, path = vectors.sparkSession, f"{scratch.rstrip('/')}/ratio-{uuid.uuid4().hex}"
