@@ -29,8 +29,12 @@ def provenance(canvas: DataFrame, covered: DataFrame, reference: DataFrame, with
     at = [*within, "x", "y"]
     joined = canvas.join(covered.select(*at, "coverage"), at, "left").join(reference.where("mask >= 128").select(*at, F.lit(True).alias("filled")), at, "left")
     n = F.coalesce("coverage", F.lit(0))
-    kind = F.when(n > 0, ACQUIRED).when(F.col("filled"), REFERENCE_FILL).otherwise(NO_DATA)
-    return joined.select(*at, n.alias("coverage"), kind.alias("provenance"))
+    return joined.select(*at, n.alias("coverage"), kind(n, F.col("filled")).alias("provenance"))
+
+
+def kind(coverage: Column, filled: Column) -> Column:
+    """Provenance of a pixel by its coverage and whether the reference mask is there."""
+    return F.when(coverage > 0, ACQUIRED).when(filled, REFERENCE_FILL).otherwise(NO_DATA)
 
 
 def coverage_report(covered: DataFrame) -> DataFrame:

@@ -95,11 +95,12 @@ def reference_warp(spark, sf_dir):
 """)
 def reference_fill(spark, sf_dir):
     """What the reference layer (frame 0) fills where the other frames left gaps, by provenance."""
-    warped = reference_layer(plates(spark, sf_dir))
-    seen = warped.where("frame > 0 and (x * 7 + y * 3) % 5 > 0").groupBy("acq", "x", "y").agg(F.least(F.count("*"), F.lit(255)).alias("coverage"))
-    layer = warped.where("frame = 0").drop("frame")
-    grid = warped.select("acq").distinct().select("acq", F.explode(F.sequence(F.lit(0), F.lit(CANVAS[0] - 1))).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(CANVAS[1] - 1))))
-    kinds = raster.provenance(grid, seen, layer, ("acq",)).join(layer.where("mask >= 128").select("acq", "x", "y", *BANDS), ["acq", "x", "y"], "left")
+    pixels = plates(spark, sf_dir)
+    seen, known = F.expr("frame > 0 and (x * 7 + y * 3) % 5 > 0"), F.expr("frame = 0 and mask >= 128")
+    both = reference_layer(pixels).where(seen | known).groupBy("acq", "x", "y")  # the layer is warped once
+    both = both.agg(F.least(F.count_if(seen), F.lit(255)).alias("coverage"), F.count_if(known).alias("known"), *[F.max(F.when(known, F.col(b))).alias(b) for b in BANDS])
+    grid = pixels.select("acq").distinct().select("acq", F.explode(F.sequence(F.lit(0), F.lit(CANVAS[0] - 1))).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(CANVAS[1] - 1))))
+    kinds = grid.join(both, ["acq", "x", "y"], "left").withColumns({"coverage": F.coalesce("coverage", F.lit(0)), "provenance": raster.kind(F.coalesce("coverage", F.lit(0)), F.col("known") > 0)})
     worth = F.coalesce("r", F.lit(0)) + F.coalesce("g", F.lit(0)) * 3 + F.coalesce("b", F.lit(0)) * 5
     filled = F.sum(F.when(F.col("coverage") == 0, worth).otherwise(0)).cast("long").alias("filled")
     return kinds.groupBy("acq", "provenance").agg(F.count("*").alias("pixels"), F.sum("coverage").cast("long").alias("coverage"), filled)
@@ -151,11 +152,14 @@ DET_KEY = "acq, cls, conf, slice_index, x1, y1, x2, y2"
 """)
 def polygon_footprints(spark, sf_dir):
     keys = DET_KEY.split(", ")
-    shapes = adapted(spark, sf_dir, "det_acq").distinct().withColumn("corners", F.array(*[F.struct(F.expr(x).alias("x"), F.expr(y).alias("y")) for x, y in CORNERS]))
-    runs = polygons.polygon_runs(shapes, keys, (80, 60))
+    box = ["x1", "y1", "x2", "y2"]
+    rows = adapted(spark, sf_dir, "det_acq").distinct()
+    shapes = rows.select(*box).distinct().withColumn("corners", F.array(*[F.struct(F.expr(x).alias("x"), F.expr(y).alias("y")) for x, y in CORNERS]))
+    runs = polygons.polygon_runs(shapes, box, (80, 60))  # equal boxes have one polygon, which is filled once
     cells = {n: F.col(f"runs.{n}") for n in ("x1", "x2", "y")}
     area = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r["x2"] - r["x1"])
-    return runs.select(*keys, F.size(F.array_distinct(cells["y"])).cast("long").alias("lines"), F.array_min(cells["y"]).alias("top"), (F.array_max(cells["y"]) + 1).alias("bottom"), F.array_min(cells["x1"]).alias("left_px"), F.array_max(cells["x2"]).alias("right_px"), area.alias("area"))
+    found = runs.select(*box, F.size(F.array_distinct(cells["y"])).cast("long").alias("lines"), F.array_min(cells["y"]).alias("top"), (F.array_max(cells["y"]) + 1).alias("bottom"), F.array_min(cells["x1"]).alias("left_px"), F.array_max(cells["x2"]).alias("right_px"), area.alias("area"))
+    return rows.join(found, box).select(*keys, "lines", "top", "bottom", "left_px", "right_px", "area")
 
 
 #: Windows of 24 pixels every 12, four in a batch, over frames of 50 x 40: the last ones end at the far edges.
