@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gyrelake.functions.geometry import map_point
 from gyrelake.operators.grouping import sorted_groups
@@ -32,19 +36,41 @@ def projected_bounds(predictions: DataFrame, frames: DataFrame, how: str = "inne
 
     All four are null where a corner goes to infinity: such a prediction is to be rejected, not cut (``unplaced``).
     """
-    # the cells, then each corner's weight, then its place, as columns of their own: nothing is computed twice
-    cells = {f"m__{k}": F.col("m")[k] for k in range(9)}
-    out = predictions.join(frames.select("frame", "m", F.lit(True).alias("known__")), "frame", how).withColumns(cells).drop("m")
-    corners = [(F.col(a), F.col(b)) for a, b in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))]
-    m = [F.col(f"m__{k}") for k in range(9)]
-    out = out.withColumns({f"w__{i}": m[6] * x + m[7] * y + m[8] for i, (x, y) in enumerate(corners)})
-    out = out.withColumn("whole__", F.least(*[F.abs(F.col(f"w__{i}")) for i in range(4)]) > gate)
-    place = {f"{n}__{i}": F.when(F.col("whole__"), (m[k] * x + m[k + 1] * y + m[k + 2]) / F.col(f"w__{i}")) for n, k in (("x", 0), ("y", 3)) for i, (x, y) in enumerate(corners)}
-    out = out.withColumns(place)
-    edges = (("left_px", F.least, "x"), ("top_px", F.least, "y"), ("right_px", F.greatest, "x"), ("bottom_px", F.greatest, "y"))
-    out = out.withColumns({n: f(*[F.col(f"{c}__{i}") for i in range(4)]) for n, f, c in edges})
-    extra = ["known__"] if how == "left" else []
-    return out.select(*predictions.columns, *extra, *[n for n, *_ in edges])
+    numbers = {f"n__{k}": F.col("m")[k].cast("double") for k in range(9)} | {f"n__{c}": F.col(c).cast("double") for c in BOX}
+    out = predictions.join(frames.select("frame", "m", F.lit(True).alias("known__")), "frame", how).withColumns(numbers)
+    names = [*predictions.columns, *(["known__"] if how == "left" else [])]
+    edges, read = ["left_px", "top_px", "right_px", "bottom_px"], list(numbers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, none = corner_bounds([batch[c] for c in read], gate)
+            yield pa.record_batch([*[batch[c] for c in names], *[pa.array(v, pa.float64(), mask=none) for v in found]], [*names, *edges])
+
+    plain = StructType([StructField(f.name, f.dataType) for f in out.select(names).schema] + [StructField(e, DoubleType()) for e in edges])
+    return out.select(*names, *numbers).mapInArrow(run, plain)
+
+
+BOX = ("x1", "y1", "x2", "y2")
+
+
+def corner_bounds(columns: list[pa.Array], gate: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """([left, top, right, bottom], where they are null) of a batch's nine matrix cells and four box edges.
+
+    A corner with a null number is left out; a NaN is greater than any number, as in Spark's least and greatest.
+    """
+    values = [c.to_numpy(zero_copy_only=False).astype(np.float64) for c in columns]
+    null = [c.is_null().to_numpy(zero_copy_only=False) for c in columns]
+    m, lost = values[:9], np.logical_or.reduce(null[:9])
+    corners = [(9, 10), (11, 10), (11, 12), (9, 12)]
+    gone = [lost | null[a] | null[b] for a, b in corners]
+    with np.errstate(all="ignore"):
+        w = [m[6] * values[a] + m[7] * values[b] + m[8] for a, b in corners]
+        low = np.fmin.reduce([np.where(g, np.inf, np.abs(v)) for g, v in zip(gone, w, strict=True)])
+        none = np.logical_and.reduce(gone) | (low <= gate)
+        xs, ys = ([(m[k] * values[a] + m[k + 1] * values[b] + m[k + 2]) / v for (a, b), v in zip(corners, w, strict=True)] for k in (0, 3))
+        least = [np.fmin.reduce([np.where(g, np.inf, v) for g, v in zip(gone, s, strict=True)]) for s in (xs, ys)]
+        most = [np.maximum.reduce([np.where(g, -np.inf, v) for g, v in zip(gone, s, strict=True)]) for s in (xs, ys)]
+    return [*least, *most], none
 
 
 def clipped_bounds(corners: Column, width: Column, height: Column) -> Column:
