@@ -58,3 +58,38 @@ def test_training_raises_the_likelihood_and_sums_to_one(spark):
     weights, fits = lm.train(spark, cells)
     assert all(b > a for a, b in zip(fits, fits[1:]))
     assert np.exp(weights.log_probabilities(np.arange(50))).sum(1) == pytest.approx(np.ones(50))
+
+
+def test_tokens_equal_plain_splitting():
+    texts = [None, "", " \t", "  A b\x0b\x1cC \n", "é ÀÉ" + "Y" * 100 + " x\x00y", "a  B\ra"]
+    t = lm.tokens_of(lm.pa.array(texts))
+    words = t.words.cast(lm.pa.binary()).to_pylist()
+    plain = [[*(x or "").encode().lower().split(), b"\n"] for x in texts]
+    assert [words[i] for i in t.token] == [w for p in plain for w in p]
+    assert t.text.tolist() == [i for i, p in enumerate(plain) for _ in p]
+    alone = lm.tokens_of(lm.pa.array(["b\x0b\x1cc"]))  # hashes don't depend on the words beside
+    assert set(alone.outcome.tolist()) <= set(t.outcome.tolist())
+
+
+def test_the_word_factor_knows_the_word_before(spark):
+    # both words after x1 and x2 are of one class, so that only the word's own features tell them apart
+    a, b = "aaing", next(w + "ing" for w in "bcdefgh" if len(set(lm.codes(lm.pa.array(["aaing", w + "ing"]))[0])) == 2)
+    assert len({int(k) // lm.BINS for k in lm.codes(lm.pa.array([a, b]))[0]}) == 1
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = [i for i in range(2000, 3000) if zlib.crc32(str(i).encode()) % 5 == 1][:4]
+    rows = [(i, f"x1 {a}" if k % 2 else f"x2 {b}") for k, i in enumerate(ids)]
+    rows += list(zip(held, [f"x1 {a}", f"x2 {a}", f"x2 {b}", f"x1 {b}"]))
+    got = {r.doc_id: r.score for r in lm.score(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen, swapped = got[held[0]] + got[held[2]], got[held[1]] + got[held[3]]
+    assert seen > swapped + 1
+
+
+def test_the_word_factor_is_trained_and_sums_to_one(spark):
+    rng = np.random.default_rng(1)
+    cell = np.unique(rng.integers(0, 40 * lm.NEAR * lm.OUTCOMES, 3000))
+    inner = spark.createDataFrame([(int(c), int(n)) for c, n in zip(cell, rng.integers(1, 9, len(cell)))], "cell int, n long").repartition(3, lm.F.floor(lm.F.col("cell") / (lm.NEAR * lm.OUTCOMES)))
+    weights, fits = lm.train_words(spark, inner, rng.uniform(0.5, 9, lm.OUTCOMES))
+    assert all(b > a for a, b in zip(fits, fits[1:]))
+    sums = np.exp(weights.log_probabilities(np.arange(50))).reshape(50, lm.CLASSES, lm.BINS).sum(2)
+    assert sums == pytest.approx(np.ones((50, lm.CLASSES)))
+    assert np.abs(weights.before).max() > 0.1 and np.abs(weights.near).max() > 0.01
