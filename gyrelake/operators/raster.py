@@ -47,6 +47,29 @@ def cull(tiles: DataFrame, bounds: DataFrame, group: str = "acq") -> DataFrame:
     return tiles.join(bounds, group).where(meets).select(group, "tile", "frame")
 
 
+def grid_cull(bounds: DataFrame, columns: int, rows: int, size: int, group: str = "acq") -> DataFrame:
+    """acq, tile, frame and n, the number of a frame's distinct bounds that meet a tile of a regular grid, numbered by rows.
+
+    One shuffle of the bounds by acquisition and frame; the tiles that a box may meet follow from its sides, and the
+    frame's few boxes are one row when they become tiles, so that no join, sort or aggregate holds rows of tiles.
+    """
+    at = F.transform(F.collect_set(F.struct("left", "top", "right", "bottom")), lambda b: _tiles(b, columns, rows, size))
+    met = bounds.repartition(group, "frame").groupBy(group, "frame").agg(F.flatten(at).alias("met"))
+    return met.select(group, "frame", "met", F.explode(F.array_distinct("met")).alias("tile")).select(group, "tile", "frame", F.expr("cast(size(filter(met, t -> t = tile)) as long)").alias("n"))
+
+
+def _tiles(box: Column, columns: int, rows: int, size: int) -> Column:
+    """The numbers of the grid's tiles that a box meets."""
+
+    def span(low: str, high: str, most: int) -> Column:
+        first, last = F.greatest(F.floor(box[low] / size), F.lit(0).cast("long")), F.least(F.ceil(box[high] / size) - 1, F.lit(most - 1).cast("long"))
+        missing = F.isnull(box[low]) | F.isnull(box[high])
+        return F.when(missing | (first > last), F.array().cast("array<long>")).otherwise(F.sequence(first, last))
+
+    across = lambda y: F.transform(span("left", "right", columns), lambda x: y * columns + x)
+    return F.flatten(F.transform(span("top", "bottom", rows), across))
+
+
 def canvas_geometry(corners: DataFrame, group: str) -> DataFrame:
     """Whole-pixel canvas of an acquisition's mapped corners (frame, x, y): origin, width and height."""
     box = corners.groupBy(group).agg(F.floor(F.min("x")).alias("left"), F.floor(F.min("y")).alias("top"), F.ceil(F.max("x")).alias("right"), F.ceil(F.max("y")).alias("bottom"))

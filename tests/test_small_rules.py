@@ -71,3 +71,20 @@ def test_rows_that_depend_on_others(spark):
     assert [r.id for r in metadata.cascade(children, spark.createDataFrame([("a",)], "key string"), "parent", "key").collect()] == [1]
     stages = spark.createDataFrame([("fine", 1, 2, "done", None), ("late", 2, 1, "done", None), ("odd", 1, 2, "failed", None), ("mute", 1, 2, "done", "e"), ("open", 1, None, "running", None)], "stage string, started_at int, finished_at int, status string, error string")
     assert sorted(r.stage for r in metadata.stages_ok(stages).collect()) == ["late", "mute", "odd"]
+
+
+def test_grid_cull_equals_the_join_and_moves_no_tiles(spark):
+    import random
+
+    from gyrelake.operators import raster
+
+    rng = random.Random(4)
+    boxes = [(rng.randrange(3), rng.randrange(4), x, y, x + rng.randrange(-3, 9), y + rng.randrange(9)) for x, y in ((rng.randrange(-8, 24), rng.randrange(-8, 24)) for _ in range(300))]
+    boxes += boxes[:40] + [(0, 1, None, 2, 5, 5), (1, 2, 4, 4, 4, 4), (2, 3, 0, 4, 8, 8)]
+    bounds = spark.createDataFrame(boxes, "acq long, frame long, left long, top long, right long, bottom long")
+    tiles = spark.createDataFrame([(a, r * 5 + c, c * 4, r * 4, c * 4 + 4, r * 4 + 4) for a in range(3) for r in range(4) for c in range(5)], "acq long, tile long, x0 long, y0 long, x1 long, y1 long")
+    want = raster.cull(tiles, bounds.distinct()).groupBy("acq", "tile", "frame").count()
+    got = raster.grid_cull(bounds, 5, 4, 4)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1 and plan.count("Repartition") == 1
