@@ -156,7 +156,9 @@ def fit_homography(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     b, mb = normal(target)
     zero = np.zeros_like(a)
     rows = np.r_[np.c_[a, zero, -b[:, :1] * a], np.c_[zero, a, -b[:, 1:2] * a]]
-    h = np.linalg.inv(mb) @ np.linalg.svd(rows)[2][-1].reshape(3, 3) @ ma
+    # without a row and column of the left side for each point; four points alone need the whole right side
+    right = np.linalg.svd(rows, full_matrices=len(rows) < 9)[2]
+    h = np.linalg.inv(mb) @ right[-1].reshape(3, 3) @ ma
     return h / h[2, 2]
 
 

@@ -130,3 +130,17 @@ def test_solution_is_a_least_squares_minimum():
             moved = x.copy()
             moved[k] += step
             assert projective.equations(moved, pairs, 1600)[0] >= cost * (1 - 1e-9)
+
+
+def test_a_homography_of_many_points_takes_memory_in_proportion():
+    import tracemalloc
+
+    m = np.array([[1.1, 0.05, 3], [-0.02, 0.9, 7], [1e-4, -2e-4, 1]])
+    for n in (4, 5, 3000):
+        a = np.random.default_rng(n).uniform(-20, 20, (n, 2))
+        tracemalloc.start()
+        got = registration.fit_homography(a, registration.projective(m, a))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert np.allclose(got, m, atol=1e-8)
+        assert peak < 20e6  # 288 MB for 3,000 points where the left side is square
