@@ -20,7 +20,6 @@ rows are packed one by one; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import bisect
-import itertools
 import re
 import zlib
 from collections import Counter
@@ -55,8 +54,9 @@ class WordIds:
     """Token ids, as bytes of little-endian uint32, by a byte-level BPE of the tokenizers library.
 
     The pre-tokeniser never joins a non-space to white space after it, nor a letter to punctuation
-    after it, so a text is cut there and each distinct cut is encoded once; many words at once as
-    the lines of one text, since a line feed between them is a token of its own.
+    after it, so a text is cut there and each distinct cut is encoded once; many words at once as one
+    text: those that begin with a space in a row, as none but their first tokens begin with one, and the others
+    as lines, since a line feed between them is a token of its own.
     """
 
     def __init__(self, model: str):
@@ -65,9 +65,14 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(model).encode_batch_fast
+        tokenizer = Tokenizer.from_file(model)
+        self.encode = tokenizer.encode_batch_fast
         self.cache = TwoGenerations(CACHE)
         self.line = self._ids(["\n"])[0]
+        tokens = tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(tokens.values(), default=0) + 1, bool)  # tokens that begin with a space
+        self.begins[[i for t, i in tokens.items() if t.startswith("\u0120")]] = True
+        self.row = self._ids([" ab cd ef"])[0] == b"".join(self._ids([" ab", " cd", " ef"])) and self.begins[np.frombuffer(self._ids([" ab"])[0], "<u4")[0]]
         self.lines = len(self.line) == 4 and self._ids(["ab\n cd\nef"])[0] == self.line.join(self._ids(["ab", " cd", "ef"]))
 
     def _words(self, words: list[str]) -> list[bytes]:
@@ -77,6 +82,13 @@ class WordIds:
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in ends[:-1])], ends, strict=True)]
 
+    def _row(self, words: list[str]) -> list[bytes]:
+        """Ids of words that begin with a space, encoded as one text."""
+        ids = np.frombuffer(self._ids(["".join(words)])[0], "<u4")
+        at = (4 * np.append(np.flatnonzero(self.begins[ids]), len(ids))).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encode(texts, add_special_tokens=False)]
 
@@ -90,15 +102,28 @@ class WordIds:
 
     def _of(self, texts: list[str]) -> list[bytes]:
         cut = [None if any(c in t for c in _ODD) else _CUTS.findall(t) for t in texts]
-        missing = self.cache.absent(set(itertools.chain.from_iterable(c for c in cut if c)))
-        words, other = [], []
-        for c in missing:
-            (words if self.lines and _WORD.fullmatch(c) else other).append(c)
-        for cuts, encode in ((words, self._words), (other, self._ids)):
+        found = [c and list(map(self.cache.get, c)) for c in cut]
+        gaps = [(c, f, _gaps(f)) for c, f in zip(cut, found, strict=True) if c and None in f]
+        row, words, other = [], [], []
+        for c in self.cache.absent({c[i] for c, _, at in gaps for i in at}):
+            (other if not (self.lines and _WORD.fullmatch(c)) else row if self.row and c[0] == " " else words).append(c)
+        for cuts, encode in ((row, self._row), (words, self._words), (other, self._ids)):
             for at in range(0, len(cuts), 4096):
                 part = cuts[at : at + 4096]
                 self.cache.put(part, encode(part))
-        return [self._ids([t])[0] if c is None else b"".join(map(self.cache.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
+        for c, f, at in gaps:
+            for i in at:
+                f[i] = self.cache[c[i]]
+        return [self._ids([t])[0] if f is None else b"".join(f) for t, f in zip(texts, found, strict=True)]
+
+
+def _gaps(values: list) -> list[int]:
+    """The places of None."""
+    at, out = -1, []
+    for _ in range(values.count(None)):
+        at = values.index(None, at + 1)
+        out.append(at)
+    return out
 
 
 def pieces_of(length: int, capacity: int) -> list[tuple[int, int]]:

@@ -175,3 +175,15 @@ def test_caches_are_bounded_in_bytes():
         cache.put(missing, [b"1234"] * len(missing))
         assert cache["often"] == b"1234" and cache["x" * 5000] == b"1234"
         assert (len(cache) + len(cache.old)) * TwoGenerations.ENTRY < 3 * 100_000 and not any(len(k) > TwoGenerations.LONGEST for k in [*cache, *cache.old])
+
+
+def test_words_that_begin_with_a_space_are_encoded_in_a_row():
+    from gyrelake.llm import packing
+    from gyrelake.llm.tokenizers_at import tokenizer_path
+
+    ids = packing.WordIds(tokenizer_path("byte_bpe_50k.json"))
+    assert ids.row and ids.lines
+    words = [" a", " Thentionth", " zzqxj", " ÀÉo", " I", " " + "antidisestablishmentarianism" * 9]
+    assert ids._row(words) == ids._ids(words)
+    texts = ["the a a Ab zq", "", " a\n b  c, d Ab", "x" + " zz" * 500 + " " + "q" * 600]
+    assert ids.of(texts) == ids._ids(texts) == ids.of(texts)
