@@ -20,6 +20,9 @@ rows are packed one by one; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import bisect
+import codecs
+import itertools
+import json
 import re
 import zlib
 from collections import Counter
@@ -32,47 +35,130 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gyrelake.llm.common import Scratch, TwoGenerations, claim, groups, windows
+from gyrelake.llm.common import Scratch, TwoGenerations, claim, slices
 
 CAPACITY, END_ID = 1024, 2
 RATE, GAP, EPOCHS = 0.1, 0.002, 3
 #: What is left of a length below this is rounding of doubles.
 LEAST = 1e-6
-#: Bytes of new cuts that a worker remembers, twice; characters of a long text that are cut at once.
+#: Bytes of new cuts that a worker remembers, twice; bytes of a long text that are cut at once.
 CACHE, WINDOW = 240 << 20, 1 << 20
-#: White space and a word of Latin letters before ASCII punctuation or white space, or else all up to
-#: the next white space.
-_CUTS = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[!-/:-@\[-`{-~\s]|\Z)|\s*\S+|\s+\Z")
-_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: Python counts these as white space and the tokenizer's pattern does not.
-_ODD = "\x1c\x1d\x1e\x1f"
+#: A word of Latin letters; a cut of printable characters and Latin letters.
+_WORD, _LINE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+"), re.compile(r" ?[!-~À-ÖØ-öø-ÿ]+")
+
+#: Classes of bytes: ASCII letters, digits, punctuation, the apostrophe, the space, other white space, letters of
+#: Latin-1, characters with cuts before white space alone, and those (odd white space) without any cut beside them.
+_A, _D, _P, _Q, _S, _W, _L, _X, _U = range(9)
+_CLASS = np.full(256, _X, np.uint8)
+_CLASS[0x21:0x7F] = _P
+for _kind, _chars in ((_A, b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), (_D, b"0123456789"), (_Q, b"'"), (_S, b" "), (_W, b"\t\n\r"), (_U, b"\x0b\x0c\x1c\x1d\x1e\x1f")):
+    _CLASS[list(_chars)] = _kind
+#: What a pair of classes says of the place between them: a token ends there; white space on both sides; white space
+#: before another character; the same for one that is no space.
+_CUT, _INSIDE, _LAST, _ALONE = 1, 2, 4, 8
+_PAIR = np.zeros(256, np.uint8)
+for _a, _bs in ((_A, (_P, _Q, _D)), (_L, (_P, _Q, _D)), (_D, (_A, _L, _P, _Q)), (_P, (_A, _L, _D)), (_Q, (_D,))):
+    _PAIR[[_a << 4 | _b for _b in _bs]] = _CUT
+for _a in (_A, _D, _P, _Q, _L, _X):
+    _PAIR[[_a << 4 | _S, _a << 4 | _W]] = _CUT
+    _PAIR[[_S << 4 | _a, _W << 4 | _a]] = _LAST, _LAST | _ALONE
+_PAIR[[_S << 4 | _S, _S << 4 | _W, _W << 4 | _S, _W << 4 | _W]] = _INSIDE
+
+
+def _codes(chars: str) -> np.ndarray:
+    """Characters of three bytes as numbers."""
+    return np.array([int.from_bytes(c.encode(), "big") for c in chars], np.uint32)
+
+
+_ODD = _codes("\u1680\u180e\u205f\u3000" + "".join(map(chr, [*range(0x2000, 0x2010), *range(0x2028, 0x2030)])))
+_MARKS = _codes("".join(map(chr, range(0x2010, 0x2028))))  # dashes, quotes, dots
 
 _loaded: dict[str, WordIds] = {}
 
 
+def classes(data: np.ndarray) -> np.ndarray:
+    """The class of every byte of UTF-8 texts; all bytes of a character have the same."""
+    kinds = _CLASS[data]
+    if data.max(initial=0) < 0x80:
+        return kinds
+    at = np.flatnonzero(data == 0xC3)
+    at = at[(data[at + 1] != 0x97) & (data[at + 1] != 0xB7)]
+    kinds[at] = kinds[at + 1] = _L
+    at = np.flatnonzero(data == 0xC2)
+    at = at[data[at + 1] <= 0xA0]
+    kinds[at] = kinds[at + 1] = _U
+    at = np.flatnonzero((data >= 0xE1) & (data <= 0xE3))
+    code = data[at].astype(np.uint32) << 16 | data[at + 1].astype(np.uint32) << 8 | data[at + 2]
+    for kind, codes in ((_U, _ODD), (_P, _MARKS)):
+        found = at[np.isin(code, codes)]
+        kinds[found] = kinds[found + 1] = kinds[found + 2] = kind
+    return kinds
+
+
+def cut_starts(data: np.ndarray, offsets: np.ndarray, special: list[bytes]) -> np.ndarray:
+    """Where the cuts of texts begin that lie one after another in ``data``, from one of ``offsets`` to the next.
+
+    A cut begins with its text, and where a token of the pattern ends at any rate: between letters, digits and
+    punctuation (but not behind an apostrophe, which may join), before white space, before the last of several white
+    spaces, which goes with what follows, and behind a single one that is no space. None is beside or in a special token.
+    """
+    kinds = classes(data)
+    pair = _PAIR[kinds[:-1] << 4 | kinds[1:]]
+    begins = np.zeros(len(data), bool)
+    begins[1:] = pair & _CUT
+    at = np.flatnonzero(pair & _INSIDE) + 1
+    at = at[at < len(pair)]
+    begins[at[pair[at] & _LAST > 0]] = True
+    at = np.flatnonzero(pair & _ALONE) + 1
+    begins[at[(at < 2) | (kinds[at - 2] != _U)]] = True
+    filled = offsets[1:] > offsets[:-1]
+    last = offsets[1:][filled] - 1  # no other text follows here
+    last = last[last > 0]
+    begins[last] = pair[last - 1] & _CUT
+    if special:
+        raw = data.tobytes()
+        for token in special:
+            at = raw.find(token)
+            while at >= 0:
+                begins[max(at - 1, 0) : at + len(token)] = False
+                at = raw.find(token, at + 1)
+    begins[offsets[:-1][filled]] = True
+    return np.flatnonzero(begins)
+
+
 class WordIds:
     """Token ids, as bytes of little-endian uint32, by a byte-level BPE of the tokenizers library.
 
-    The pre-tokeniser never joins a non-space to white space after it, nor a letter to punctuation
-    after it, so a text is cut there and each distinct cut is encoded once; many words at once as one
-    text: those that begin with a space in a row, as none but their first tokens begin with one, and the others
-    as lines, since a line feed between them is a token of its own.
+    Texts are cut where the pre-tokeniser's pattern ends a token whatever else they hold, and each distinct cut
+    (Arrow's dictionary of a batch) is encoded once; many at once as one text: words that begin with a space in a row,
+    as none but their first tokens begin with one, and others as lines, since a line feed between them is a token of
+    its own. A row goes to the library's model without the pattern, as it is known to leave words whole. A tokenizer
+    with another pattern is given whole texts.
     """
 
     def __init__(self, model: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(model)
         self.encode = tokenizer.encode_batch_fast
         self.cache = TwoGenerations(CACHE)
+        rules = json.loads(tokenizer.to_str())
+        pattern, added = rules["pre_tokenizer"] or {}, rules["added_tokens"]
+        self.special = [t["content"].encode() for t in added]
+        self.cuts = pattern.get("type") == "ByteLevel" and pattern.get("use_regex", True) and not pattern["add_prefix_space"] and not any(rules[k] for k in ("normalizer", "truncation", "padding")) and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or any(map(str.isspace, t["content"])) for t in added)
         self.line = self._ids(["\n"])[0]
         tokens = tokenizer.get_vocab(with_added_tokens=True)
         self.begins = np.zeros(max(tokens.values(), default=0) + 1, bool)  # tokens that begin with a space
         self.begins[[i for t, i in tokens.items() if t.startswith("\u0120")]] = True
-        self.row = self._ids([" ab cd ef"])[0] == b"".join(self._ids([" ab", " cd", " ef"])) and self.begins[np.frombuffer(self._ids([" ab"])[0], "<u4")[0]]
+        self.chars = _byte_chars()
+        bare = Tokenizer(tokenizer.model)
+        bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.encode_bare = bare.encode_batch_fast
+        probe = [" ab", " cd", " ef", " \u00e9\u00c0"]
+        self.row = bool(self.cuts and self._row(probe) == self._ids(probe))
         self.lines = len(self.line) == 4 and self._ids(["ab\n cd\nef"])[0] == self.line.join(self._ids(["ab", " cd", "ef"]))
 
     def _words(self, words: list[str]) -> list[bytes]:
@@ -84,46 +170,87 @@ class WordIds:
 
     def _row(self, words: list[str]) -> list[bytes]:
         """Ids of words that begin with a space, encoded as one text."""
-        ids = np.frombuffer(self._ids(["".join(words)])[0], "<u4")
+        text = codecs.charmap_decode("".join(words).encode(), "strict", self.chars)[0].replace("\u0120", " \u0120")
+        ids = np.array(self.encode_bare([text], add_special_tokens=False)[0].ids, "<u4")
         at = (4 * np.append(np.flatnonzero(self.begins[ids]), len(ids))).tolist()
         raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        return [raw[a:b] for a, b in itertools.pairwise(at)]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encode(texts, add_special_tokens=False)]
 
     def of(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; a long one goes through in windows that begin with a space."""
-        if max(map(len, texts), default=0) <= 2 * WINDOW:
-            return self._of(texts)
-        whole = [t for t in texts if len(t) <= 2 * WINDOW]
-        ids = iter(self._of(whole))
-        return [next(ids) if len(t) <= 2 * WINDOW else self._of([t])[0] if any(c in t for c in _ODD) else b"".join(self._of([w])[0] for w in windows(t, WINDOW)) for t in texts]
-
-    def _of(self, texts: list[str]) -> list[bytes]:
-        cut = [None if any(c in t for c in _ODD) else _CUTS.findall(t) for t in texts]
-        found = [c and list(map(self.cache.get, c)) for c in cut]
-        gaps = [(c, f, _gaps(f)) for c, f in zip(cut, found, strict=True) if c and None in f]
+        """Ids of each text."""
+        return self.of_column(pa.array(texts, pa.string()))
+
+    def of_column(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (null: empty); a long one goes through in windows that begin with a space."""
+        if not self.cuts:
+            return self._ids([x or "" for x in texts.to_pylist()])
+        texts = texts.cast(pa.large_string()).fill_null("")
+        _, ends, chars = texts.buffers()
+        offsets = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(chars or b"", np.uint8)
+        out: list[bytes] = []
+        long = np.diff(offsets) > 2 * WINDOW
+        for at, end in itertools.pairwise([0, *(np.flatnonzero(np.diff(long)) + 1).tolist(), len(texts)]):
+            if at < end and not long[at]:
+                out += self._of(data, offsets[at : end + 1])
+            else:
+                out += [b"".join(self._of(data, w)[0] for w in _windows(data[: offsets[i + 1]], int(offsets[i]))) for i in range(at, end)]
+        return out
+
+    def _of(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Ids of the texts that lie between ``offsets``."""
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        if not len(data):
+            return [b""] * (len(offsets) - 1)
+        starts = cut_starts(data, offsets, self.special)
+        cuts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)).dictionary_encode()
+        ids = self._known(cuts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        which = cuts.indices.to_numpy()
+        counts = sizes[which]
+        ends = np.append(0, np.cumsum(counts))
+        places = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], counts)
+        places += np.arange(ends[-1])
+        raw = np.frombuffer(b"".join(ids), "<u4")[places].tobytes()
+        return [raw[a:b] for a, b in itertools.pairwise((4 * ends[np.searchsorted(starts, offsets)]).tolist())]
+
+    def _known(self, cuts: list[str]) -> list[bytes]:
+        """Ids of distinct cuts, remembered or encoded."""
+        found = list(map(self.cache.get, cuts))
+        if not (gaps := [i for i, f in enumerate(found) if f is None]):
+            return found
         row, words, other = [], [], []
-        for c in self.cache.absent({c[i] for c, _, at in gaps for i in at}):
-            (other if not (self.lines and _WORD.fullmatch(c)) else row if self.row and c[0] == " " else words).append(c)
-        for cuts, encode in ((row, self._row), (words, self._words), (other, self._ids)):
-            for at in range(0, len(cuts), 4096):
-                part = cuts[at : at + 4096]
-                self.cache.put(part, encode(part))
-        for c, f, at in gaps:
-            for i in at:
-                f[i] = self.cache[c[i]]
-        return [self._ids([t])[0] if f is None else b"".join(f) for t, f in zip(texts, found, strict=True)]
-
-
-def _gaps(values: list) -> list[int]:
-    """The places of None."""
-    at, out = -1, []
-    for _ in range(values.count(None)):
-        at = values.index(None, at + 1)
-        out.append(at)
-    return out
+        for c in self.cache.absent({cuts[i] for i in gaps}):
+            (row if self.row and c[0] == " " and _WORD.fullmatch(c) else words if self.lines and _LINE.fullmatch(c) else other).append(c)
+        for part, encode in ((row, self._row), (words, self._words), (other, self._ids)):
+            for at in range(0, len(part), 4096):
+                some = part[at : at + 4096]
+                self.cache.put(some, encode(some))
+        for i in gaps:
+            found[i] = self.cache[cuts[i]]
+        return found
+
+
+def _byte_chars() -> str:
+    """The character by which a byte-level vocabulary writes each byte."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in plain else next(rest)) for b in range(256))
+
+
+def _windows(data: np.ndarray, at: int) -> Iterator[np.ndarray]:
+    """(start, end) of stretches of some ``WINDOW`` bytes from ``at`` to the end, each but the first beginning with a space behind an ASCII character."""
+    while at < len(data):
+        to = at + WINDOW
+        while to < len(data) and not (data[to] == 0x20 and 0x20 < data[to - 1] < 0x80):
+            step = data[to + 1 : to + 1 + WINDOW] == 0x20
+            to = to + 1 + int(step.argmax()) if step.any() else min(to + 1 + WINDOW, len(data))
+        to = min(to, len(data))
+        yield np.array([at, to])
+        at = to
 
 
 def pieces_of(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -142,9 +269,9 @@ def token_pieces(docs: DataFrame, model: str, capacity: int = CAPACITY, end_id:
             words = _loaded[model] = WordIds(model)
         claim("packing", words.cache)
         seen, pid = Counter(), TaskContext.get().partitionId()
-        for part, texts in groups(batches):
+        for part in slices(batches):
             out: list[list] = [[] for _ in range(6)]
-            for row, ids in enumerate(words.of(texts)):
+            for row, ids in enumerate(words.of_column(part.column(1))):
                 ids += end
                 for k, (start, length) in enumerate(pieces_of(len(ids) // 4, capacity)):
                     for column, value in zip(out, (row, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), seen[length]), strict=True):

@@ -187,3 +187,41 @@ def test_words_that_begin_with_a_space_are_encoded_in_a_row():
     assert ids._row(words) == ids._ids(words)
     texts = ["the a a Ab zq", "", " a\n b  c, d Ab", "x" + " zz" * 500 + " " + "q" * 600]
     assert ids.of(texts) == ids._ids(texts) == ids.of(texts)
+
+
+def test_cuts_are_tokens_of_the_pattern_and_few():
+    """Numbers, marks and words are cut apart, so that what they form together is not encoded each time."""
+    words = packing.WordIds(P.path("byte_bpe_50k.json"))
+    texts = [f"{a}.{b} word{a}({b}) {a}-day\n{b}!" for a in range(40) for b in range(40)]
+    want = words._ids(texts)
+    assert words.of(texts) == want
+    assert len(words.cache) < 400
+
+
+def test_cuts_equal_the_library_on_odd_texts(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "WINDOW", 40)
+    t, words = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.WordIds(P.path("byte_bpe_50k.json"))
+    parts = list("   \n\n\t\r\x0b\x0c\x1c\x1f''astdmvrelZ019.,!-<|>\x00\x7fé×÷ßÀ") + ["\x85", "\xa0", "²", "ª", " ", " ", " ", "​", "　", "’", "–", "好", "́", "\U0001f44d", "<|endoftext|>", "'ll", " the"]
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        some = parts if rng.random() < 0.4 else list(rng.choice(parts, 6))
+        texts = ["".join(rng.choice(some, rng.integers(0, 9))) for _ in range(100)] + ["".join(rng.choice(some, 200)), None]
+        want = [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+        assert words.of_column(pa.array(texts, pa.string()).slice(3)) == want[3:]
+
+
+@pytest.mark.parametrize("change", ["prefix", "added"])
+def test_other_tokenizers_are_given_whole_texts(tmp_path, change):
+    from tokenizers import AddedToken, Tokenizer, pre_tokenizers
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    if change == "prefix":
+        t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    else:
+        t.add_tokens([AddedToken("two words", lstrip=True)])
+    t.save(str(tmp_path / "t.json"))
+    texts = ["Hello, one  two words", "(a) b", "", "two words"]
+    assert packing.WordIds(str(tmp_path / "t.json")).of(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
