@@ -14,10 +14,11 @@ before the first word. A word's class is a hash of its last two bytes, or of six
 Training, over all rows whose crc32(doc_id as text; null: empty) mod ``FOLDS`` is not ``HELD``: one
 pass counts every word and every (context, class) and (context, class and bin) cell; cells are the sufficient
 statistics of both factors and bounded (``CELLS``, ``INNER``), whatever the corpus is. Each of ``STEPS`` updates
-computes the expected feature counts over the partitions of a cell table and moves the weights
-by the gradient of the likelihood with a quadratic penalty, scaled by the features' counts.
+computes the expected feature counts over the partitions of a cell table, adds them up feature by feature
+in tasks, and moves the weights by the gradient of the likelihood with a quadratic penalty, scaled by the
+features' counts. The driver is sent one row for each feature, however many partitions there are.
 
-Scoring: a batch looks up its tokens' cells in the tables of log probabilities (numpy), and word
+Scoring: a worker makes the tables of log probabilities from the weights, a batch looks up its tokens' cells there (numpy), and word
 counts of the ``HEAD`` most frequent words (bounded, broadcast); all other words are joined with the
 whole count table, so that no count is cut off. Texts are whole.
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,9 @@ FLUSH, CHUNK = 600_000, 1 << 19
 END = b"\n"  # no word is white space
 #: Bytes of a word that are hashed at once with other words; longer ones go one by one.
 SHORT = 64
+#: Features of the class factor and of the word factor, below each other; a row of sums has what was seen and what is expected.
+FEATURES, WORD_FEATURES = BEFORE + SKIP + PAIRS, BEFORE + NEAR
+SUMS = "at int, part int, sums binary, fit double"
 
 
 def _bytes(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -160,6 +165,39 @@ def survey(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "word binary, cell int, n long").groupBy("word", "cell").agg(F.sum("n").alias("n"))
 
 
+def sums_batch(at: np.ndarray, sums: np.ndarray, fit: float = 0.0) -> pa.RecordBatch:
+    """``SUMS`` of some features, a row of ``sums`` each; the fit stands in the first row."""
+    part = np.full(len(at), TaskContext.get().partitionId(), np.int32)
+    rows = [x.tobytes() for x in sums.astype(np.float32)]
+    return pa.record_batch([pa.array(at, pa.int32()), pa.array(part), pa.array(rows, pa.binary()), pa.array([fit, *[0.0] * len(at)][: len(at)], pa.float64())], ["at", "part", "sums", "fit"])
+
+
+def _sums(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, 2, width)
+
+
+def added(parts: DataFrame, features: int, width: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(seen, expected) sums of every feature and the sum of the fits, from ``SUMS`` of any number of partitions.
+
+    One task adds a feature's rows, in the order of their partitions, so that the driver is sent at most ``features`` rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, some, fit = np.zeros((features, 2, width)), np.zeros(features, bool), 0.0
+        for b in batches:
+            at = b["at"].to_numpy()
+            np.add.at(total, at, _sums(b["sums"], width))
+            some[at] = True
+            fit += float(b["fit"].to_numpy().sum())
+        at = np.flatnonzero(some)
+        yield sums_batch(at, total[at].reshape(len(at), 2 * width), fit)
+
+    found = parts.repartition("at").sortWithinPartitions("at", "part").mapInArrow(run, SUMS).toArrow()  # a row for each feature
+    total = np.zeros((features, 2, width))
+    total[found["at"].to_numpy()] = _sums(found["sums"], width)
+    return total[:, 0], total[:, 1], float(found["fit"].to_numpy().sum())
+
+
 class Weights:
     """Weights of the maximum-entropy part."""
 
@@ -172,10 +210,17 @@ class Weights:
         z -= z.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
+    def table(self) -> np.ndarray:
+        """log10 P of every cell, some contexts at once."""
+        out = np.empty((CONTEXTS, CLASSES), np.float32)
+        for at in range(0, len(out), 4096):
+            out[at : at + 4096] = self.log_probabilities(np.arange(at, min(at + 4096, len(out)))) / np.log(10)
+        return out.ravel()
+
     @staticmethod
     def gather(context: np.ndarray, values: np.ndarray) -> np.ndarray:
         """Sums of the rows of ``values`` for every feature: before, skip and pair below each other."""
-        out = np.zeros((BEFORE + SKIP + PAIRS, CLASSES))
+        out = np.zeros((FEATURES, CLASSES))
         for at in (context // SKIP, BEFORE + context % SKIP, BEFORE + SKIP + pair_bucket(context)):
             np.add.at(out, at, values)
         return out
@@ -202,14 +247,13 @@ def expectations(cells: DataFrame, weights: Weights, spark: SparkSession) -> tup
         np.add.at(counts, (at, cell % CLASSES), n)
         logs = shared.value.log_probabilities(context)
         expected = np.exp(logs) * counts.sum(1, keepdims=True)
-        sums = np.stack([Weights.gather(context, counts), Weights.gather(context, expected)]).astype(np.float32)
-        yield pa.record_batch([pa.array([sums.tobytes()], pa.binary()), pa.array([float((counts * logs).sum())])], ["sums", "fit"])
+        sums = np.hstack([Weights.gather(context, counts), Weights.gather(context, expected)])
+        at = np.flatnonzero(sums.any(1))
+        yield sums_batch(at, sums[at], float((counts * logs).sum()))
 
-    total, fit = np.zeros((2, BEFORE + SKIP + PAIRS, CLASSES)), 0.0
-    for r in cells.mapInArrow(run, "sums binary, fit double").collect():  # one row for each of PARTS partitions
-        total += np.frombuffer(r["sums"], np.float32).reshape(total.shape)
-        fit += r["fit"]
-    return total[0], total[1], fit
+    found = added(cells.mapInArrow(run, SUMS), FEATURES, CLASSES)
+    shared.destroy()
+    return found
 
 
 def train(spark: SparkSession, cells: DataFrame) -> tuple[Weights, list[float]]:
@@ -253,7 +297,7 @@ class WordWeights:
 def word_expectations(inner: DataFrame, weights: WordWeights, spark: SparkSession) -> tuple[np.ndarray, np.ndarray, float]:
     """(seen, expected) feature counts, words before and words before that below each other, and the log likelihood.
 
-    All contexts of a word before are in one partition of ``inner``, so that its counts are sent once.
+    All contexts of a word before are in one partition of ``inner``, so that its counts are dealt once.
     """
     shared = spark.sparkContext.broadcast(weights)
 
@@ -273,20 +317,12 @@ def word_expectations(inner: DataFrame, weights: WordWeights, spark: SparkSessio
             expected = np.exp(logs) * np.repeat(of_class, BINS, 1)
             near += [counts, expected]
             fit += float((counts * logs).sum())
-            sums = np.stack([counts.sum(0), expected.sum(0)]).astype(np.float32)
-            yield pa.record_batch([pa.array([before], pa.int32()), pa.array([sums.tobytes()], pa.binary()), pa.array([0.0])], ["at", "sums", "fit"])
-        yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([near.astype(np.float32).tobytes()], pa.binary()), pa.array([fit])], ["at", "sums", "fit"])
-
-    total, fit = np.zeros((2, BEFORE + NEAR, OUTCOMES)), 0.0
-    for r in inner.mapInArrow(run, "at int, sums binary, fit double").collect():  # one row for each word bucket and partition
-        sums = np.frombuffer(r["sums"], np.float32).reshape(2, -1, OUTCOMES)
-        if r["at"] >= 0:
-            total[:, r["at"]] += sums[:, 0]
-        else:
-            total[:, BEFORE:] += sums
-        fit += r["fit"]
+            yield sums_batch(np.array([before]), np.hstack([counts.sum(0), expected.sum(0)])[None])
+        yield sums_batch(BEFORE + np.arange(NEAR), np.hstack(near), fit)
+
+    found = added(inner.mapInArrow(run, SUMS), WORD_FEATURES, OUTCOMES)
     shared.destroy()
-    return total[0], total[1], fit
+    return found
 
 
 def train_words(spark: SparkSession, inner: DataFrame, masses: np.ndarray) -> tuple[WordWeights, list[float]]:
@@ -302,7 +338,23 @@ def train_words(spark: SparkSession, inner: DataFrame, masses: np.ndarray) -> tu
     return weights, fits
 
 
-def frequent(words: DataFrame) -> list:
+@dataclass
+class Model:
+    """What scoring needs: the weights of both factors, the bins' masses, and the most frequent words with their counts."""
+
+    weights: Weights
+    inner: WordWeights
+    masses: np.ndarray
+    head: pa.Array
+    head_n: np.ndarray
+
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """log10 P of every cell of both factors; made once in a worker, since they are some four times their weights."""
+        return self.weights.table(), self.inner.table()
+
+
+def frequent(words: DataFrame) -> pa.Table:
     """The words of the highest counts, at most HEAD rows: a threshold from the histogram of counts, then one filter."""
     step = F.floor(F.log2("c") * 8).cast("int")
     room, least = HEAD, None
@@ -310,7 +362,7 @@ def frequent(words: DataFrame) -> list:
         if r["n"] > room:
             break
         room, least = room - r["n"], r["step"]
-    return [] if least is None else words.where(step >= least).select("word", "c").collect()
+    return words.where(F.lit(False) if least is None else step >= least).select("word", "c").toArrow()
 
 
 def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -318,7 +370,7 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "lm")
     counts = scratch.write("counts", survey(docs))
     known_cells = counts.where("word is null").select("cell", "n")
-    cells = scratch.write("cells", known_cells.where(F.col("cell") < CELLS).repartition(PARTS, F.floor(F.col("cell") / CLASSES)))
+    cells = scratch.write("cells", known_cells.where(F.col("cell") < CELLS).repartition(PARTS, F.floor(F.col("cell") / (CLASSES * SKIP))))
     at = F.col("cell") - CELLS
     inner = scratch.write("inner", known_cells.where(at >= 0).select(at.alias("cell"), "n").repartition(PARTS, F.floor(at / (NEAR * OUTCOMES))))
     words = counts.where("word is not null").select("word", F.col("cell").alias("k"), F.col("n").alias("c"))
@@ -329,13 +381,11 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     all_n, all_v = sum(r["n"] for r in totals), sum(r["v"] for r in totals)
     head = frequent(words.where(F.octet_length("word") <= HEAD_BYTES))
     weights, _ = train(spark, cells)
-    logs = (weights.log_probabilities(np.arange(CONTEXTS)).ravel() / np.log(10)).astype(np.float32)
     inner_weights, _ = train_words(spark, inner, masses) if all_n else (WordWeights(masses), [])
-    known = pa.array([bytes(r["word"]) for r in head], pa.binary()), np.array([r["c"] for r in head], np.int64)
-    model = spark.sparkContext.broadcast((logs, inner_weights.table(), np.log10(masses), *known))
+    model = spark.sparkContext.broadcast(Model(weights, inner_weights, np.log10(masses), head["word"].combine_chunks(), head["c"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, inner, masses, head, head_n = model.value
+        (logs, inner), masses, head, head_n = model.value.tables, model.value.masses, model.value.head, model.value.head_n
         key = TaskContext.get().partitionId() << 33
         for part in slices(batches):
             rows = part.num_rows

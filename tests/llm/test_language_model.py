@@ -93,3 +93,35 @@ def test_the_word_factor_is_trained_and_sums_to_one(spark):
     sums = np.exp(weights.log_probabilities(np.arange(50))).reshape(50, lm.CLASSES, lm.BINS).sum(2)
     assert sums == pytest.approx(np.ones((50, lm.CLASSES)))
     assert np.abs(weights.before).max() > 0.1 and np.abs(weights.near).max() > 0.01
+
+
+@pytest.mark.parametrize("factor", ["class", "word"])
+def test_what_a_step_sends_to_the_driver_does_not_grow_with_the_partitions(spark, monkeypatch, factor):
+    rng = np.random.default_rng(2)
+    owner, step, limit = (lm.CLASSES * lm.SKIP, lm.expectations, lm.FEATURES * lm.CLASSES) if factor == "class" else (lm.NEAR * lm.OUTCOMES, lm.word_expectations, lm.WORD_FEATURES * lm.OUTCOMES)
+    cell = np.unique(rng.integers(0, lm.CELLS if factor == "class" else lm.INNER, 20000))
+    cells = spark.createDataFrame([(int(c), int(n)) for c, n in zip(cell, rng.integers(1, 9, len(cell)))], "cell int, n long")
+    weights = lm.Weights() if factor == "class" else lm.WordWeights(rng.uniform(0.5, 9, lm.OUTCOMES))
+    sent = []
+    kind = type(cells)
+    collect, to_arrow = kind.collect, kind.toArrow
+
+    def collected(self):
+        rows = collect(self)
+        sent.append(sum(len(x) for r in rows for x in r if isinstance(x, bytes | bytearray)))
+        return rows
+
+    def arrow(self):
+        table = to_arrow(self)
+        sent.append(table.nbytes)
+        return table
+
+    monkeypatch.setattr(kind, "collect", collected)
+    monkeypatch.setattr(kind, "toArrow", arrow)
+    found = []
+    for partitions in (4, 64):
+        sent.clear()
+        found.append(step(cells.repartition(partitions, lm.F.floor(lm.F.col("cell") / owner)), weights, spark))
+        assert 0 < sum(sent) <= limit * 8 * 1.1  # seen and expected of every feature, four bytes each
+    for a, b in zip(*found):
+        assert a == pytest.approx(b, rel=1e-5)
