@@ -107,56 +107,88 @@ def heldout_reasons(metrics: DataFrame, limit: float = 1.0, least: int = 5) -> D
     return metrics.withColumn("reasons", reasons).withColumn("passed", F.size(reasons) == 0)
 
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 16_384
 #: Products of vectors and queries that are held at once.
 PRODUCTS = 1 << 20
 
 
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors of one length as a matrix of doubles."""
+    return np.array(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten(), np.float64).reshape(len(column), -1)
+
+
+def different(v: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of the rows that can be among two nearest: of rows with the same vector two of the least id and two of the ids after it.
+
+    Whatever id a query has, the two of least id that are not its own are among these, so that copies do not meet copies pair by pair.
+    """
+    group = np.unique(np.ascontiguousarray(v).view(f"V{v.itemsize * v.shape[1]}").ravel(), return_inverse=True)[1] if v.shape[1] else np.zeros(len(v), np.int64)
+    order = np.lexsort((keys, group))
+    group, keys, place = group[order], keys[order], np.arange(len(order))
+    begins = np.concatenate([[True], group[1:] != group[:-1]])[: len(order)]
+    other = keys != keys[np.maximum.accumulate(np.where(begins, place, 0))]
+    begins[1:] |= other[1:] != other[:-1]
+    return np.sort(order[place - np.maximum.accumulate(np.where(begins, place, 0)) < 2])
+
+
 def two_nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray, block: np.ndarray) -> Iterator[pa.RecordBatch]:
     """query, id and d (squared) of the two vectors of all batches that are nearest to each query of a block, ties to the smaller id.
 
-    Batches are taken in slices of ``PRODUCTS`` pairs, whatever the block's size is; two rows of each query are kept from slice to slice.
+    Batches are taken in slices of ``PRODUCTS`` pairs, whatever the block's size is; two rows of each query are kept from slice to slice,
+    and what is farther than the second of them is not looked at.
     """
-    own, step = (block**2).sum(1), max(1, PRODUCTS // max(1, len(ids)))
-    best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # place of the query, id, d
+    own, step = (block**2).sum(1), max(2, PRODUCTS // max(1, len(ids)))
+    right = np.vstack([-2 * block.T, np.ones(len(ids)), own])  # [v, |v|^2, 1] times this is the squared distance, about
+    by_id = np.argsort(ids, kind="stable")
+    sorted_ids = ids[by_id]
+    key, d = np.zeros((len(ids), 2), np.int64), np.full((len(ids), 2), np.inf)
     for batch in batches:
-        for at in range(0, batch.num_rows, step):
-            part = batch.slice(at, step)
-            v, keys = part["v"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1), part["id"].to_numpy()
+        if not batch.num_rows:
+            continue
+        vectors, keys = matrix(batch["v"]), batch["id"].to_numpy()
+        few = different(vectors, keys)
+        for at in range(0, len(few), step):
+            v, k = vectors[few[at : at + step]], keys[few[at : at + step]]
             size = (v**2).sum(1)
-            about = size[:, None] - 2 * (v @ block.T) + own  # one product picks; what is picked is measured exactly below
-            about[keys[:, None] == ids[None, :]] = np.inf
-            second = np.partition(about, 1, axis=0)[1] if len(v) > 1 else np.full(len(ids), np.inf)
-            slack = 1e-9 * (size.max(initial=0) + own)
-            row, query = np.nonzero((about <= second + slack) & (about < np.inf))
-            d = ((v[row] - block[query]) ** 2).sum(1)
-            query, key, d = (np.concatenate(x) for x in zip(best, (query, keys[row], d), strict=True))
-            order = np.lexsort((key, d, query))
-            query, key, d = query[order], key[order], d[order]
-            kept = np.arange(len(query)) - np.searchsorted(query, query, "left") < 2
-            best = query[kept], key[kept], d[kept]
-    query, key, d = best
-    yield pa.record_batch([pa.array(ids[query], pa.int64()), pa.array(key, pa.int64()), pa.array(d, pa.float64())], ["query", "id", "d"])
+            about = np.column_stack([v, size, np.ones(len(v))]) @ right  # picks; what is picked is measured exactly below
+            low, high = (np.searchsorted(sorted_ids, k, side) for side in ("left", "right"))
+            for i in np.flatnonzero(high > low).tolist():
+                about[i, by_id[low[i] : high[i]]] = np.inf
+            most = d[:, 1].copy()
+            fresh = np.flatnonzero(np.isinf(most))
+            if len(fresh) and len(v) > 1:
+                most[fresh] = np.partition(about[:, fresh], 1, axis=0)[1]
+            row, query = np.nonzero(about <= most + 1e-9 * (size.max(initial=0) + own))
+            known = about[row, query] < np.inf
+            row, query = row[known], query[known]
+            who, place = np.unique(query, return_inverse=True)
+            every = np.concatenate([np.arange(len(who)).repeat(2), place])
+            both = np.concatenate([key[who].ravel(), k[row]]), np.concatenate([d[who].ravel(), ((v[row] - block[query]) ** 2).sum(1)])
+            order = np.lexsort((*both, every))
+            first = order[np.searchsorted(every[order], np.arange(len(who)))[:, None] + [0, 1]]
+            key[who], d[who] = both[0][first], both[1][first]
+    query, nth = np.nonzero(d < np.inf)
+    yield pa.record_batch([pa.array(ids[query], pa.int64()), pa.array(key[query, nth], pa.int64()), pa.array(d[query, nth], pa.float64())], ["query", "id", "d"])
 
 
 def ratio_matches(vectors: DataFrame, queries: DataFrame, scratch: str, ratio: float = 0.78) -> DataFrame:
     """query, neighbour, d1 and d2 (squared) of queries whose nearest vector is clearly nearer than the second.
 
-    The stated query set (query, qv) goes over the vectors (id, v) in blocks of about ``QUERY_BLOCK`` rows, one broadcast block
+    The stated query set (query, qv), which may be all vectors, goes over the vectors (id, v) in blocks of about ``QUERY_BLOCK`` rows, one broadcast block
     and one job at a time, whose two best rows of each query and task are ranked and written under ``scratch``, a folder that all executors share.
-    All vectors have the same number of components.
+    Every query meets every vector: the work grows with the product of both. All vectors have the same number of components; a null id or vector takes no part.
     """
     spark, path = vectors.sparkSession, f"{scratch.rstrip('/')}/ratio-{uuid.uuid4().hex}"
+    vectors, queries = vectors.where("id is not null and v is not null"), queries.where("query is not null and qv is not null")
     n = -(-queries.count() // QUERY_BLOCK) or 1
     for b in range(n):
-        rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(n)) == b).select("query", "qv").collect()  # about QUERY_BLOCK rows
-        ids = np.array([r["query"] for r in rows], np.int64)
-        shared = spark.sparkContext.broadcast((ids, np.array([r["qv"] for r in rows], np.float64).reshape(len(rows), -1)))
+        rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(n)) == b).select(F.col("query").cast("long"), "qv").toArrow()  # about QUERY_BLOCK rows
+        shared = spark.sparkContext.broadcast((rows["query"].to_numpy(), matrix(rows["qv"])) if rows.num_rows else None)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            return two_nearest(batches, *shared.value) if len(shared.value[0]) else iter(())
+            return two_nearest(batches, *shared.value) if shared.value else iter(())
 
-        found = vectors.select("id", "v").mapInArrow(run, "query long, id long, d double")
+        found = vectors.select(F.col("id").cast("long"), "v").mapInArrow(run, "query long, id long, d double")
         order = Window.partitionBy("query").orderBy("d", "id")
         found.withColumn("rank", F.row_number().over(order)).where("rank <= 2").write.parquet(f"{path}/{b}")
         shared.destroy()

@@ -3,6 +3,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -319,6 +320,32 @@ def test_knn_ratio_equals_brute_force(spark, tmp_path, monkeypatch, block):
     assert got == want
 
 
+def test_knn_query_asks_for_every_vector(spark, tmp_path, monkeypatch):
+    """Against the SQL: many blocks and slices, copies of vectors and of ids, nulls; not only ids that 50 divides are asked for."""
+    from gyrelake import catalogue
+
+    monkeypatch.setattr(evidence, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(evidence, "PRODUCTS", 300)
+    rng = random.Random(5)
+    made = [(i, [float(rng.randrange(4)) for _ in range(4)]) for i in range(150)] + [(i, [rng.random() * 9 for _ in range(4)]) for i in range(150, 260)]
+    made += [(i, [1.0] * 4) for i in range(300, 340)] + [made[3], made[77], (9, [2.5] * 4), (None, [2.5] * 4), (400, None)]
+    spark.createDataFrame(made, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, catalogue.QUERIES["knn_top2_ratio"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(con.execute(catalogue.ORACLE_SQL["knn_top2_ratio"]).fetchall())
+    assert len(got) > 20 and sum(r[0] % 50 != 0 for r in got) > 20
+
+
+def test_copies_of_a_vector_do_not_meet_pair_by_pair():
+    """Of rows with one vector a few are compared, whatever id is asked for."""
+    ids = np.array([5, 5, 5, 6, 7, 8, 1, 2, 2, 3])
+    v = np.array([[1.0]] * 6 + [[4.0]] * 4)
+    kept = evidence.different(v, ids)
+    assert [(v[i, 0], ids[i]) for i in kept] == [(1, 5), (1, 5), (1, 6), (1, 7), (4, 1), (4, 2), (4, 2)]
+    assert len(evidence.different(np.ones((1000, 3)), np.arange(1000))) == 3
+
+
 def test_conditions_equal_numpy(spark):
     rng = random.Random(3)
     made = [[rng.uniform(-2, 2) for _ in range(9)] for _ in range(30)] + [[1.0, 2, 3, 2, 4, 6, 0, 0, 1], [0.0] * 9]
